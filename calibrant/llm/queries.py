@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import chat, exactdedup
+import public_tokenizers
+from calibrant.llm import bpe, chat, exactdedup, packing
 from calibrant.llm.common import read
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -17,6 +22,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op3_chat(turns.unionByName(extra))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
@@ -50,7 +59,9 @@ FROM n WINDOW w AS (PARTITION BY norm)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe": op2_bpe,
         "op3_chat_formatting": op3_chat_formatting,
+        "op4_packing": op4_packing,
         "op7_exact_dedup": op7_exact_dedup,
     }
 
