@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from calibrant.llm import bpe, chat, exactdedup, packing
+from calibrant.llm import bpe, chat, exactdedup, linedup, packing, quality, simhash
 from calibrant.llm.common import read
 
 
@@ -26,10 +26,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5_quality(read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.op8_line_dedup(read(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op9_simhash(read(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -57,14 +69,71 @@ FROM n WINDOW w AS (PARTITION BY norm)
 """
 
 
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)
+), r AS (
+  SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), p AS (
+  SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM r, range(8) AS t(k) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w
+), d AS (
+  SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), c AS (
+  SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(d.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN d USING (doc_id) LEFT JOIN p USING (doc_id)
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+), h AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY source
+), a AS (
+  SELECT greatest(1e-6, least(1 - 1e-6, sum(f) / sum(n))) AS m, var_pop(f / n) AS v, avg(n) AS size FROM h
+), q AS (
+  SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(size, m * (1 - m) / v - 1)) ELSE size END AS s FROM a
+), j AS (
+  SELECT source AS host, (f + m * s) / (n + s) > 0.5 AS host_failed FROM h, q
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
+FROM b JOIN j ON b.source IS NOT DISTINCT FROM j.host
+"""
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, pos, line, regexp_replace(line, '[\x20\x09-\x0D]+$', '') AS norm
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+), n AS (
+  SELECT *, sum((norm <> '')::INT) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS no FROM l
+), w AS (
+  SELECT doc_id, no, norm || chr(10) || lead(norm) OVER k || chr(10) || lead(norm, 2) OVER k AS win
+  FROM n WHERE norm <> '' WINDOW k AS (PARTITION BY doc_id ORDER BY no)
+), t AS (
+  SELECT doc_id, no, row_number() OVER (PARTITION BY win ORDER BY doc_id, no) AS nth FROM w WHERE win IS NOT NULL
+), c AS (
+  SELECT DISTINCT doc_id, no + k AS no FROM t, range(3) AS r(k) WHERE nth > 1
+), k AS (
+  SELECT n.doc_id, count(c.no)::BIGINT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.no IS NULL), '') AS text
+  FROM n LEFT JOIN c ON n.doc_id = c.doc_id AND n.no = c.no GROUP BY n.doc_id
+)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(length(k.text), 0)::BIGINT AS kept_chars, k.text FROM documents LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_packing": op4_packing,
+        "op5_host_quality": op5_host_quality,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_simhash": op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op5_host_quality": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
