@@ -21,6 +21,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # small stores don't reserve space
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
@@ -38,7 +39,7 @@ def _keyed(rows: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
     norm = normalise(F.col(f"`{text_col}`"))
     return rows.select(
         F.col(f"`{id_col}`").alias("id"), norm.alias("norm"), digest(norm).alias("digest"),
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"),
+        F.coalesce("_metadata.file_name", F.lit("")).alias("file"), F.coalesce("_metadata.row_index", F.lit(-1)).alias("at"),
     )
 
 
@@ -93,12 +94,12 @@ def deduplicate(spark: SparkSession, path: str, state: str | None = None, id_col
     ingest(spark, path, state, id_col, text_col, digest)
     found = cut(read_state(spark, state), "dedup-keys")
     docs = _keyed(spark.read.parquet(path), id_col, text_col, digest)
-    # BETWEEN keeps the digest the only join key: both joins then use one exchange of the texts.
-    at_first = F.col("at").between(F.col("keep_at"), F.col("keep_at")) & F.col("file").between(F.col("keep_file"), F.col("keep_file"))
+    # BETWEEN keeps the digest the only join key, and the same columns are used: both joins then read one
+    # exchange of the texts.
+    same = lambda a, b: F.coalesce(a, F.lit(0)).between(F.coalesce(b, F.lit(0)), F.coalesce(b, F.lit(0)))
+    at_first = same("at", "keep_at") & F.col("file").between(F.col("keep_file"), F.col("keep_file")) & same("id", "keep_id")
     reps = docs.join(found.where("n > 1"), "digest").where(at_first).select("digest", F.col("norm").alias("rep_norm"))
-    light = docs.drop("norm", "file", "at").columns
-    # The texts of hits only are compared, but every row of a key with hits passes through the one join.
-    joined = docs.join(reps, "digest", "left").select(*light, "file", "at", (F.col("rep_norm").isNull() | (F.col("norm") == F.col("rep_norm"))).alias("same"), F.sha2("norm", 256).alias("text_sha256"))
+    joined = docs.join(reps, "digest", "left").select("id", "digest", "file", "at", (F.col("rep_norm").isNull() | (F.col("norm") == F.col("rep_norm"))).alias("same"), F.sha2("norm", 256).alias("text_sha256"))
     checked = cut(joined.join(found, "digest").select("id", "digest", "file", "at", "same", "text_sha256", "keep_id", "keep_file", "keep_at", "n"), "dedup-checked")
     whole = checked
     clash = checked.where("not same").select("digest").distinct()
