@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from calibrant.llm import bpe, chat, exactdedup, linedup, packing, quality, simhash
+from calibrant.llm import bpe, chat, exactdedup, linedup, packing, quality, simhash, urlrank, warc
 from calibrant.llm.common import read
 
 
+#: The rules of the contract.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op1_warc(spark, read(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,6 +38,10 @@ def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op5_quality(read(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrank.op6_url_filter(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, urlrank.RULES))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
@@ -42,6 +54,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9_simhash(read(spark, sf_dir, "documents"))
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+k AS (SELECT html, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keep <> page_id THEN keep END AS refers_to
+FROM p LEFT JOIN k ON p.html = k.html
+"""
+
 OP3_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -125,10 +146,12 @@ SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(length(k.text), 0):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_normaliser": op1_warc_normaliser,
         "op2_bpe": op2_bpe,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_packing": op4_packing,
         "op5_host_quality": op5_host_quality,
+        "op6_url_filter": op6_url_filter,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
@@ -136,4 +159,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op5_host_quality": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_warc_normaliser": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_host_quality": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
