@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from calibrant.llm import bpe, chat, exactdedup, linedup, packing, quality, simhash, urlrank, warc
+from calibrant.llm import bpe, chat, exactdedup, linedup, packing, quality, simhash, substring, urlrank, warc
 from calibrant.llm.common import read
 
 
@@ -54,6 +54,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9_simhash(read(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op10_substring(read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
 k AS (SELECT html, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY html)
@@ -155,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": op7_exact_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 

@@ -108,20 +108,21 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return table.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id per row of ``docs``: the smallest doc_id reachable over links.
+def groups(docs: DataFrame, *keep: str, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """doc_id, the columns ``keep``, fp, root and component_id per row of ``docs``: the smallest fingerprint and
+    the smallest doc_id reachable over links.
 
     Null and word-less text have fingerprint zero, linked like any other; equal fingerprints are linked; a
     null doc_id gets a component but never names one unless all in it are null; repeated rows repeat; no rows
     give no rows; other columns are not read.
     """
-    rows = cut(fingerprints(docs, id_col, width=width).withColumnRenamed(id_col, "doc_id"), "simhash")
+    rows = cut(fingerprints(docs, "doc_id", *keep, width=width), "simhash")
     own = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     root = components(links(own.select("fp"), radius), "simhash-links").withColumnRenamed("node", "fp")
     placed = own.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(named, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = placed.join(named, "root").select("fp", "root", "component_id")
+    return rows.join(of, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
 def op9_simhash(docs: DataFrame) -> DataFrame:
