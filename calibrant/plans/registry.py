@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from calibrant.plans import states
+from calibrant.plans import evidence, metrics, states
 
-MODULES = (states,)
+MODULES = (states, evidence, metrics)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
