@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from calibrant.plans import evidence, metrics, states
+from calibrant.plans import evidence, joins, metrics, states
 
-MODULES = (states, evidence, metrics)
+MODULES = (states, evidence, metrics, joins)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
