@@ -74,8 +74,8 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` (columns row, a struct of all of them) with n_removed and the new text.
 
     Null text stays null; text of fewer than ``width`` lines never changes; the first occurrence (smallest
-    doc_id, a null one before all, then place) always stays; rows alike in id and text lose the same lines,
-    as one document. No rows give no rows.
+    doc_id, a null one before all, then place) stays, but for lines that a later occurrence overlaps; rows
+    alike in id and text lose the same lines, as one document. No rows give no rows.
     """
 
     @F.pandas_udf("text string, n_removed int")
