@@ -160,16 +160,16 @@ def reference_transitions(states: DataFrame, group: str, state: str, charge: str
     """Each state against the group's reference: group, state, status, family. ``forms`` is map<family, count> of
     acid-side sites. unambiguous: one reference, charge off by one, exactly one family changed, by one, in the same
     direction as the charge."""
-    ref = states.where(F.col(is_reference)).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(state).alias("s"), F.col(charge).alias("q"), F.map_entries(forms).alias("f"))).alias("r"))
+    ref = states.where(F.col(is_reference)).groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col(state).alias("s"), F.col(charge).alias("q"), F.map_entries(forms).alias("f"))).alias("_ref"))
     j = states.where(~F.col(is_reference)).join(ref, group, "left")
     of = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
-    ref_map = F.map_from_entries(F.col("r.f"))
+    ref_map = F.map_from_entries(F.col("_ref.f"))
     keys = F.array_sort(F.array_union(F.map_keys(forms), F.map_keys(ref_map)))
     diff = F.filter(F.transform(keys, lambda k: F.struct(k.alias("k"), (of(F.col(forms), k) - of(ref_map, k)).alias("d"))), lambda x: x["d"] != 0)
-    step = F.col(charge) - F.col("r.q")
+    step = F.col(charge) - F.col("_ref.q")
     one = F.get(diff, F.lit(0))
     status = (
-        F.when(F.col("n").isNull(), "no_reference").when(F.col("n") > 1, "several_references").when(F.abs(step) != 1, "charge_not_one").when(F.size(diff) != 1, "families_changed")
+        F.when(F.col("_n").isNull(), "no_reference").when(F.col("_n") > 1, "several_references").when(F.abs(step) != 1, "charge_not_one").when(F.size(diff) != 1, "families_changed")
         .when(F.abs(one["d"]) != 1, "several_sites").when(one["d"] != step, "wrong_direction").otherwise("unambiguous")
     )
     return j.select(group, state, status.alias("status"), F.when(status == "unambiguous", one["k"]).alias("family"))

@@ -86,9 +86,9 @@ def scan_sdf_properties(spark: SparkSession, path: str, with_index: bool = False
     it must fit in a row.
     """
     if with_index:
-        text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", r"\$\$\$\$\r?\n?")).alias("record_index", "value"))
+        text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", r"\$\$\$\$\r?\n?")).alias("record_index", "value"))
     else:
-        text = spark.read.option("lineSep", "$$$$\n").text(path).select(F.col("_metadata.file_name").alias("source_file"), F.lit(None).cast("int").alias("record_index"), "value")
+        text = spark.read.text(path, lineSep="$$$$\n").select(F.col("_metadata.file_name").alias("source_file"), F.lit(None).cast("int").alias("record_index"), "value")
     tag = r">[^<\n]*<([^>\n]+)>[^\n]*\n([^\n]*)"
     names, values = F.regexp_extract_all("value", F.lit(tag), F.lit(1)), F.regexp_extract_all("value", F.lit(tag), F.lit(2))
     first = F.transform(F.array_distinct(names), lambda n: F.trim(F.get(values, (F.array_position(names, n) - 1).cast("int"))))
@@ -98,7 +98,7 @@ def scan_sdf_properties(spark: SparkSession, path: str, with_index: bool = False
 def scan_fixed_width_atoms(spark: SparkSession, path: str) -> DataFrame:
     """Atoms of PDB text files: the first model only, ATOM and HETATM, alternate location blank, A or 1, rows whose
     coordinates parse; the element falls back to the first letter of the atom's name. One file is one structure."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("_metadata.file_name", r"\.[^.]+$", "").alias("structure_id"), F.split_part("value", F.lit("ENDMDL"), F.lit(1)).alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.[^.]+$", "").alias("structure_id"), F.split_part("value", F.lit("ENDMDL"), F.lit(1)).alias("value"))
     line = whole.select("structure_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "l")).where(F.substring("l", 1, 6).isin("ATOM  ", "HETATM"))
     part = lambda a, n: F.trim(F.substring("l", a, n))
     num = lambda a: part(a, 8).try_cast("double")
