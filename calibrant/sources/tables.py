@@ -64,10 +64,10 @@ def keyed_files(df: DataFrame, pattern: str = r"^(.*?)\.[^.]+$", name: str = "en
     return df.select("*", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).alias(name))
 
 
-def read_json_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_json_records(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """A3, A4: JSON files that are a list of records, or an object with ``data`` (records with attributes) or
     ``activities``: one row per record, id from ``id`` or ``attributes.id``."""
-    r = spark.read.option("multiLine", True)
+    r = spark.read.option("multiLine", multi_line)
     df = (r.schema(schema) if schema else r).json(path)
     for name in ("data", "activities"):
         if name in df.columns and isinstance(df.schema[name].dataType, T.ArrayType):
