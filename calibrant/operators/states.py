@@ -86,7 +86,7 @@ def with_populations(g: DataFrame, level: float | Column) -> DataFrame:
     def summary(v: Column) -> Column:
         p = v["p"]
         entropy = F.aggregate(p, F.lit(0.0), lambda t, x: t + F.when(x > 0, x * F.ln(x)).otherwise(0.0))
-        ranked = F.sort_array(F.transform(p, lambda x, i: F.struct(F.round(x, 9).alias("p"), (-i).alias("k"))), asc=False)
+        ranked = F.sort_array(F.transform(p, lambda x, i: F.struct(F.round(x, 9).alias("r"), (-i).alias("k"), x.alias("p"))), asc=False)
         first, second = (lambda r: F.get(r, F.lit(0))), (lambda r: F.coalesce(F.get(r, F.lit(1))["p"], F.lit(0.0)))
         return let(ranked, lambda r: F.struct(
             p.alias("p"), v["log10z"].alias("log10z"), (-entropy).alias("entropy"), F.exp(-entropy).alias("effective"),
