@@ -37,7 +37,7 @@ def odd(spark):
     long = "\n".join(prose(rng, 40) for _ in range(60))
     rows = [(1, None), (2, ""), (3, "  \n\t "), (None, "a null id"), (None, None), (4, "x"), (4, "x"), (4, "x y"), (5, long), (6, long), (7, "naïve é 漢字 😀 <|endoftext|> x")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return df.select("*", *[F.lit("z").alias(c) for c in ("k1", "k2", "fp", "ats", "spans", "kept", "host", "row", "n", "key")], F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(0).cast("long").alias("n_chars"))
+    return df.select("*", *[F.lit("z").alias(c) for c in ("k1", "k2", "fp", "ats", "spans", "kept", "host", "row", "n", "key", "n_words", "base_failed")], F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(0).cast("long").alias("n_chars"))
 
 
 def test_bpe_matches_the_library(spark, odd):
