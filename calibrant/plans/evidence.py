@@ -45,10 +45,10 @@ def quality_scores(spark, d):
 
 
 def replicate_target(spark, d):
-    lines = read(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").cast("double").alias("x"), F.when(F.col("l_returnflag") == "N", "gold").otherwise("silver").alias("tier"), F.when(F.col("l_linestatus") == "O", "medium").otherwise("high").alias("conf"))
+    lines = read(spark, d, "lineitem").select("l_partkey", F.round(F.col("l_extendedprice").cast("double") * 100).alias("x"), F.when(F.col("l_returnflag") == "N", "gold").otherwise("silver").alias("tier"), F.when(F.col("l_linestatus") == "O", "medium").otherwise("high").alias("conf"))
     t = ev.replicate_target(lines, "l_partkey", "x", "tier", "conf")
-    w = s.measurement_weight("n", F.col("sigma") / 10000, "medium_fraction", "tier")
-    return t.select("l_partkey", "n", "tier", *[F.round(c, 3).alias(c) for c in ("target", "mad", "sigma", "mean", "sd", "range")], r6("medium_fraction").alias("medium_fraction"), r6(w).alias("weight"))
+    w = s.measurement_weight("n", F.col("sigma") / 1000000, "medium_fraction", "tier")
+    return t.select("l_partkey", "n", "tier", *[F.round(c, 3).alias(c) for c in ("target", "mad", "mean", "range")], F.round("sigma", 5).alias("sigma"), F.round("sd", 1).alias("sd"), r6("medium_fraction").alias("medium_fraction"), r6(w).alias("weight"))
 
 
 def group_summary(spark, d):
@@ -216,10 +216,10 @@ SQL = {
     "funnel": "SELECT count(*) AS rows, count(*) FILTER (l_quantity <= 45) AS small, count(*) FILTER (l_quantity <= 45 AND l_discount > 0) AS discounted, count(*) FILTER (l_quantity <= 45 AND l_discount > 0 AND l_shipdate <= '1998-06-01') AS early FROM lineitem",
     "quality_scores": """SELECT c_custkey, round(greatest(0, least(1, 1 - CASE WHEN c_custkey % 3 > 0 THEN 0.25 ELSE 0 END - CASE WHEN c_nationkey % 4 = 0 THEN 0.35 ELSE 0 END - CASE WHEN c_nationkey % 2 <= 0 THEN 0.2 ELSE 0 END + c_nationkey::DOUBLE / 50)), 6) AS quality,
         c_nationkey = 1 AS flag, CASE WHEN c_acctbal IS NULL THEN 'missing' WHEN c_acctbal < 0 THEN 'negative' WHEN c_acctbal > 9000 THEN 'high' ELSE '' END AS reason, round(1 / (1 + pow(10, 4.0 - c_acctbal::DOUBLE / 1000)), 6) + 0.0 AS fraction FROM customer""",
-    "replicate_target": """WITH x AS (SELECT l_partkey, l_extendedprice::DOUBLE AS x, l_returnflag = 'N' AS gold, (l_linestatus = 'O')::INT::DOUBLE AS medium FROM lineitem), g AS (SELECT l_partkey, median(x) AS target, avg(x) AS mean, stddev_pop(x) AS sd, max(x) - min(x) AS range, count(*) AS n, bool_and(gold) AS gold, avg(medium) AS mf FROM x GROUP BY 1),
+    "replicate_target": """WITH x AS (SELECT l_partkey, round(l_extendedprice::DOUBLE * 100) AS x, l_returnflag = 'N' AS gold, (l_linestatus = 'O')::INT::DOUBLE AS medium FROM lineitem), g AS (SELECT l_partkey, median(x) AS target, avg(x) AS mean, stddev_pop(x) AS sd, max(x) - min(x) AS range, count(*) AS n, bool_and(gold) AS gold, avg(medium) AS mf FROM x GROUP BY 1),
         m AS (SELECT x.l_partkey, median(abs(x - target)) AS mad FROM x JOIN g ON x.l_partkey = g.l_partkey GROUP BY 1)
-        SELECT g.l_partkey, n, CASE WHEN gold THEN 'gold' ELSE 'silver' END AS tier, round(target, 3) AS target, round(mad, 3) AS mad, round(1.4826 * mad, 3) AS sigma, round(mean, 3) AS mean, round(sd, 3) AS sd, round(range, 3) AS range, round(mf, 6) + 0.0 AS medium_fraction,
-        round(greatest(0.1, least(1.5, least(1.5, 1 + 0.2 * log2(n)) / (1 + pow(1.4826 * mad / 10000, 2)) * (1 - 0.25 * mf) * CASE WHEN gold THEN 1.0 ELSE 0.7 END)), 6) + 0.0 AS weight FROM g JOIN m ON g.l_partkey = m.l_partkey""",
+        SELECT g.l_partkey, n, CASE WHEN gold THEN 'gold' ELSE 'silver' END AS tier, round(target, 3) AS target, round(mad, 3) AS mad, round(1.4826 * mad, 5) AS sigma, round(mean, 3) AS mean, round(sd, 1) AS sd, round(range, 3) AS range, round(mf, 6) + 0.0 AS medium_fraction,
+        round(greatest(0.1, least(1.5, least(1.5, 1 + 0.2 * log2(n)) / (1 + pow(1.4826 * mad / 1000000, 2)) * (1 - 0.25 * mf) * CASE WHEN gold THEN 1.0 ELSE 0.7 END)), 6) + 0.0 AS weight FROM g JOIN m ON g.l_partkey = m.l_partkey""",
     "group_summary": "SELECT o_orderpriority, count(*) AS n, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(stddev_samp(x), 4) AS sd, round(min(x), 4) AS min, round(max(x), 4) AS max, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.75), 4) AS q3, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 4) AS iqr FROM (SELECT o_orderpriority, o_totalprice::DOUBLE AS x FROM orders) GROUP BY 1",
     "weighted_median": "WITH x AS (SELECT l_suppkey, l_extendedprice::DOUBLE AS x, sum(l_quantity::DOUBLE) AS w FROM lineitem GROUP BY ALL), c AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey ORDER BY x) AS c, sum(w) OVER (PARTITION BY l_suppkey) AS t FROM x) SELECT l_suppkey, min(x) AS weighted_median FROM c WHERE c >= t / 2 GROUP BY 1",
     "weighted_quantile": "WITH x AS (SELECT l_suppkey, l_extendedprice::DOUBLE AS x, sum(l_quantity::DOUBLE) AS w FROM lineitem GROUP BY ALL), c AS (SELECT *, round(sum(w) OVER (PARTITION BY l_suppkey ORDER BY x) / sum(w) OVER (PARTITION BY l_suppkey), 12) AS s FROM x) SELECT l_suppkey, min(x) AS quantile FROM c WHERE s >= 0.9 GROUP BY 1",
