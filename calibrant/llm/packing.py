@@ -27,6 +27,8 @@ from calibrant.llm.common import need
 SIZE = 4096
 SENTENCE_CUT, HARD_CUT = 8, 64  # costs of a cut inside a document, in padded places
 BLOCK = 1 << 20  # ids that a dynamic programme spans, one longer document aside
+MARKS = ".,;:!?"
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python only
 
 
@@ -48,19 +50,22 @@ class WordIds(dict):
 
     def learn(self, chunks: set[str]) -> None:
         """Encode what is not known yet, in one call of the tokenizer."""
-        new = []
+        plain, marked, older = list(MARKS), [], self.older
         for c in chunks.difference(self.keys()):
-            if (ids := self.older.get(c)) is not None:
-                self[c] = ids
+            if c in older:
+                self[c] = older[c]
+            elif c[-1] in MARKS and c[:-1].isalpha():  # a word and one mark
+                marked.append(c)
+                if (bare := c[:-1]) not in self:
+                    plain.append(bare)
             else:
-                new.append(c)
-        bare = {c[:-1] for c in new if c[-1] in ".,;:!?" and c[:-1].isalpha()}
-        ask = list({c for c in new if not (c[-1] in ".,;:!?" and c[:-1].isalpha())} | {c for c in bare if c not in self and c not in self.older} | set(".,;:!?").difference(self.keys()))
+                plain.append(c)
+        ask = list(dict.fromkeys(plain))
         for c, e in zip(ask, self.model.encode_batch_fast(ask, add_special_tokens=False)):
-            self[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for c in new:
-            if c not in self:
-                self[c] = (self.get(c[:-1]) or self.older[c[:-1]]) + self[c[-1]]
+            ids = e.ids
+            self[c] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+        for c in marked:
+            self[c] = self[c[:-1]] + self[c[-1]]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id, little-endian unsigned 32-bit."""
@@ -91,6 +96,12 @@ def load(path: str, end_id: int) -> WordIds:
     return WordIds(path, end_id)
 
 
+def _merged(*parts) -> np.ndarray:
+    """Sorted, each value once."""
+    x = np.sort(np.concatenate([np.asarray(p, np.int64) for p in parts]))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def cuts(total: int, documents: np.ndarray, sentences: np.ndarray, size: int = SIZE, sentence_cut: float = SENTENCE_CUT, hard_cut: float = HARD_CUT) -> list[int]:
     """Ends of the windows of a stream of ``total`` ids.
 
@@ -101,15 +112,15 @@ def cuts(total: int, documents: np.ndarray, sentences: np.ndarray, size: int = S
     if not total:
         return []
     step = max(1, size // 16)
-    natural = np.union1d(np.union1d(documents, sentences), [0, total]).astype(np.int64)
+    natural = _merged(documents, sentences, [0, total])
     natural = natural[(natural >= 0) & (natural <= total)]
     gaps = np.flatnonzero(np.diff(natural) > size // 4)
     hard = [np.arange(natural[g] + step, natural[g + 1], step) for g in gaps] + [np.arange(total - step, max(0, total - size) - 1, -step)]
-    places = np.union1d(natural, np.concatenate(hard)).astype(np.int64)
+    places = _merged(natural, *hard)
     places = places[(places >= 0) & (places <= total)]
     price = np.full(len(places), float(hard_cut))
-    price[np.isin(places, sentences)] = sentence_cut
-    price[np.isin(places, documents)] = 0
+    price[np.searchsorted(places, sentences)] = sentence_cut
+    price[np.searchsorted(places, documents)] = 0
     price[-1] = 0
     exact: dict[int, list[int]] = {}  # windows of a power of two
     power = size // 2
@@ -155,7 +166,7 @@ def _pack_block(doc_ids: list, ids: list[bytes], ends: np.ndarray, first: int, s
     sentence_ends = np.flatnonzero(ends[flat]) + 1
     window_ends = np.asarray(cuts(len(flat), doc_ends, sentence_ends, size))
     window_starts = np.concatenate([[0], window_ends[:-1]])
-    stops = np.union1d(doc_ends, window_ends)
+    stops = _merged(doc_ends, window_ends)
     starts = np.concatenate([[0], stops[:-1]])
     doc = np.searchsorted(doc_ends, starts, side="right")
     window = np.searchsorted(window_ends, starts, side="right")
