@@ -27,8 +27,7 @@ from calibrant.llm.common import LOWEST, SPACE, cut, drop_path, filled, need
 SHINGLE, SIMILARITY = 5, 0.8
 MIN_WORDS = 50
 SPAN = MIN_WORDS - SHINGLE + 1
-HASHES = 2
-HALF = SPAN // 2  # shingles of the half, the smallest one included
+HASHES = 4
 CASE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MISS = 8  # 8 of 9 matching shingles on both sides are a Jaccard similarity of 0.8
 
@@ -75,18 +74,6 @@ def compact_windows(values: np.ndarray, span: int = SPAN) -> tuple[list[int], li
     return left, centre, right
 
 
-def _whole_runs(x: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` hashes, by doubling."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        if len(x) <= step:
-            return np.zeros(0, np.uint64)
-        x = mixed(x[: len(x) - step] * np.uint64(0x9E3779B97F4A7C15) + mixed(x[step:]))
-        have += step
-    return x
-
-
 def _word_hashes(dictionary: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in dictionary.to_pylist()), np.uint64, len(dictionary))
 
@@ -96,8 +83,7 @@ WHOLE = -1  # ``at`` of the row that stands for a whole text
 
 
 def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFrame:
-    """key, document key, and lo, at, hi (shingle numbers) of each compact window, once for the half that ends with its
-    smallest shingle and once for the half that starts with it. The key is the hash of the half.
+    """key (the smallest hash), document key, and lo, at, hi (shingle numbers) of each compact window.
 
     Each text with a word also has one row for itself: at WHOLE, key and hi a hash of all of its words in order (95
     bits), lo their number.
@@ -122,7 +108,6 @@ def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFram
             one, two = (mixed(np.add.reduceat(mixed(hashed * np.uint64(m) + number), starts[some])) for m in (3, 5))
             yield out(one, some, np.diff(offsets)[some], np.full(len(some), WHOLE), (two >> np.uint64(33)).astype(np.int64))
             shingles = rolled(hashed, SHINGLE)
-            halves = _whole_runs(shingles, HALF)
             # texts one after the other, a 0 before each and one at the end
             n_all = int(n.sum()) + len(n) + 1
             begin = np.concatenate([[0], np.cumsum(n + 1)])
@@ -138,12 +123,7 @@ def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFram
                     continue
                 doc = np.searchsorted(begin, centre, side="right") - 1
                 first = begin[doc] + 1
-                at = centre - first
-                for back, has in ((HALF - 1, at >= HALF - 1), (0, at + HALF <= n[doc])):
-                    key = mixed(halves[(starts[doc] + at - back)[has]] + np.uint64(back))
-                    # A text that repeats a few words has a window at each place, all alike: one a half will do.
-                    _, some = np.unique(mixed(key ^ mixed((doc[has] << 32) + at[has] // HALF)), return_index=True)
-                    yield out(key[some], doc[has][some], *[(x - first)[has][some] for x in (left, centre, right)])
+                yield out(values[centre], doc, *[x - first for x in (left, centre, right)])
 
     return docs.select(*document_key(), filled("text").alias("text")).mapInArrow(run, WINDOWS)
 
@@ -204,7 +184,8 @@ def _segments(hit: np.ndarray, span: int) -> list[tuple[int, int]]:
     """The longest runs [a, b) of at least ``span`` in which 8 of 9 shingles match, ends trimmed.
 
     With 1 for a hit and -MISS for a miss these are the longest runs whose sum isn't negative; what is left on both
-    sides is searched again. Ends are trimmed to the part with the largest surplus of hits over misses.
+    sides is searched again. Ends are trimmed to the part with the largest surplus of hits over misses,
+    or to the outermost hits where less than ``span`` would be left.
     """
     out, todo = [], [(0, len(hit))]
     while todo:
@@ -222,7 +203,11 @@ def _segments(hit: np.ndarray, span: int) -> list[tuple[int, int]]:
         surplus = np.concatenate([[0], np.cumsum(np.where(hit[a:b], 1, -1))])
         low = np.minimum.accumulate(surplus)
         z = int(np.argmax(surplus - low))
-        out.append((a + int(np.argmin(surplus[: z + 1])), a + z))
+        p, q = a + int(np.argmin(surplus[: z + 1])), a + z
+        if q - p < span:  # a change near an end: out to the last hits
+            hits = np.flatnonzero(hit[a:b])
+            p, q = a + int(hits[0]), a + int(hits[-1]) + 1
+        out.append((p, q))
     return out
 
 
@@ -295,9 +280,8 @@ def passages(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFra
     earlier document holds too.
 
     Each window is compared with the first of its key (by document and place): a group of any size costs a row per
-    member and key, never all pairs. A passage of some length has several smallest shingles, each with a key to its left
-    and one to its right, and so several firsts to be compared with. Copies of whole documents are found by digest,
-    and only their first takes part.
+    member and key, never all pairs. A run of SPAN shingles has one key a hash function, so that two runs share each with
+    the probability of their similarity. Copies of whole documents are found by digest, and only their first takes part.
     """
     spark = docs.sparkSession
     wins = cut(windows(docs, hashes, span), "passage-windows")

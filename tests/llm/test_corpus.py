@@ -265,6 +265,20 @@ def test_a_large_group_is_a_star(spark):
     assert got.select("doc_id").distinct().count() == n - 1 and got.count() < 4 * n
 
 
+def test_substring_changes_anywhere(spark):
+    """Passages of 50 words with one changed word (similarity 0.80) are found wherever the change is."""
+    rng = random.Random(12)
+    words = lambda n: [f"t{rng.randrange(200000)}" for _ in range(n)]
+    texts, places = [], [5, 12, 23, 24, 25, 26, 30, 33, 40, 44] * 6
+    for p in places:
+        passage = words(50)
+        near = [*passage[:p], "changed", *passage[p + 1 :]]
+        texts += [" ".join([*words(20), *x, *words(20)]) for x in (passage, near)]
+    got = {(r.doc_id, r.of_doc_id) for r in substring.op10_substring(docs_of(spark, texts)).collect()}
+    pairs = {(2 * i + 1, 2 * i) for i in range(len(places))}
+    assert got <= pairs and len(got) >= 0.95 * len(pairs)
+
+
 def test_dropped_words():
     assert substring.dropped_words(" a b  c\nd ", [(1, 3)]) == " a d "
     assert substring.dropped_words("a b", [(0, 2)]) == ""
