@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrant.llm.arrow import mixed, rolled, slices, words
@@ -28,6 +28,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 MIN_WORDS = 50
 SPAN = MIN_WORDS - SHINGLE + 1
 HASHES = 4
+FUNCTIONS = 3  # the bits of a key that tell its hash function
 CASE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MISS = 8  # 8 of 9 matching shingles on both sides are a Jaccard similarity of 0.8
 
@@ -83,7 +84,8 @@ WHOLE = -1  # ``at`` of the row that stands for a whole text
 
 
 def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFrame:
-    """key (the smallest hash), document key, and lo, at, hi (shingle numbers) of each compact window.
+    """key (the smallest hash, the number of its function in the lowest bits), document key, and lo, at, hi (shingle
+    numbers) of each compact window.
 
     Each text with a word also has one row for itself: at WHOLE, key and hi a hash of all of its words in order (95
     bits), lo their number.
@@ -123,7 +125,7 @@ def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFram
                     continue
                 doc = np.searchsorted(begin, centre, side="right") - 1
                 first = begin[doc] + 1
-                yield out(values[centre], doc, *[x - first for x in (left, centre, right)])
+                yield out(values[centre] & ~np.uint64(FUNCTIONS) | np.uint64(f), doc, *[x - first for x in (left, centre, right)])
 
     return docs.select(*document_key(), filled("text").alias("text")).mapInArrow(run, WINDOWS)
 
@@ -275,31 +277,91 @@ def verified(pairs: DataFrame, texts: DataFrame, span: int = SPAN) -> DataFrame:
     return both.mapInPandas(run, FOUND)
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """The regions of each pair of documents whose windows met."""
+    reach = lambda n: (n * 1.25 + 8).cast("int")  # noqa: E731  room for words put in or left out
+    return met.groupBy("k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2")).agg(
+        F.min(F.greatest(F.col("lo"), F.col("at") - reach(F.col("f_at") - F.col("f_lo")))).alias("a_lo"),
+        F.max(F.least(F.col("hi"), F.col("at") + reach(F.col("f_hi") - F.col("f_at")))).alias("a_hi"),
+        F.min(F.greatest(F.col("f_lo"), F.col("f_at") - reach(F.col("at") - F.col("lo")))).alias("b_lo"),
+        F.max(F.least(F.col("f_hi"), F.col("f_at") + reach(F.col("hi") - F.col("at")))).alias("b_hi"),
+    )
+
+
+def _outside(rows: DataFrame, found: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The rows whose words start..end (excluded) aren't all in one passage found."""
+    spans = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["start"] <= start) & (end <= s["end"]))
+    return rows.join(spans, ["k1", "k2"], "left").where(F.col("spans").isNull() | ~inside).drop("spans")
+
+
+def whole_runs(met: DataFrame, texts: DataFrame, found: DataFrame, span: int = SPAN) -> DataFrame:
+    """Like :func:`passages`: the runs of ``span`` shingles in the windows of ``met`` that occur unchanged in an earlier
+    document and aren't in a passage found, runs beside each other as one.
+
+    Windows of one hash function hold each run once. Runs have a key of their own, the hash of all of their words, so
+    that the first of a key always holds the run and none is lost, in whatever order and company documents come.
+    """
+    own = met.where(F.col("key").bitwiseAND(FUNCTIONS) == 0)
+    least, most = F.greatest(F.col("lo"), F.col("at") - (span - 1)), F.least(F.col("at") + (span - 1), F.col("hi"))
+    open_keys = _outside(own, found, least, most + SHINGLE).select("key").distinct()
+    held = own.join(open_keys, "key", "left_semi")
+    ranges = lambda r, c: r.select(*[F.col(c + x).alias(x) for x in ("k1", "k2", "lo", "at", "hi")])
+    ranges = ranges(held, "").unionByName(ranges(held, "f_")).select("k1", "k2", F.struct(least.alias("a"), (most - (span - 1)).alias("b")).alias("r"))
+    at = ranges.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("r")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            codes, dictionary, offsets = words(pc.ascii_lower(b.column("text")))
+            hashed = _word_hashes(dictionary)[codes]
+            runs = rolled(hashed, span + SHINGLE - 1)
+            for i, at in enumerate(b.column("at").to_pylist()):
+                mark = np.zeros(offsets[i + 1] - offsets[i] + 1, np.int64)
+                for r in at:
+                    mark[r["a"]] += 1
+                    mark[r["b"] + 1] -= 1
+                here = np.flatnonzero(np.cumsum(mark))
+                same = lambda c: pa.array(np.full(len(here), b.column(c)[i].as_py(), np.int64))  # noqa: E731, B023
+                place = lambda x: pa.array(x.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(runs[offsets[i] + here].view(np.int64)), same("k1"), same("k2"), place(here), place(here), place(here + span - 1)], ["key", "k1", "k2", "lo", "at", "hi"])
+
+    alike = met_in_order(cut(at.join(texts, ["k1", "k2"]).mapInArrow(run, WINDOWS), "passage-runs"))
+    new = _outside(alike, found, F.col("lo"), F.col("hi") + SHINGLE)
+    diagonal = Window.partitionBy("k1", "k2", "f_k1", "f_k2", F.col("f_at") - F.col("at")).orderBy("at")
+    beside = new.select("*", (F.col("at") - F.dense_rank().over(diagonal)).alias("island"), (F.col("f_at") - F.col("at")).alias("shift"))
+    pairs = beside.groupBy("k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2"), "shift", "island").agg(F.min("lo").alias("a_lo"), F.max("hi").alias("a_hi"), F.min("f_lo").alias("b_lo"), F.max("f_hi").alias("b_hi"))
+    return cut(verified(pairs.drop("shift", "island"), texts, span), "passages")
+
+
 def passages(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFrame:
     """k1, k2, start, end, o1, o2, o_start, o_end, similarity: passages (word numbers, end excluded) that an
     earlier document holds too.
 
-    Each window is compared with the first of its key (by document and place): a group of any size costs a row per
-    member and key, never all pairs. A run of SPAN shingles has one key a hash function, so that two runs share each with
-    the probability of their similarity. Copies of whole documents are found by digest, and only their first takes part.
+    Each window is compared with the first of its key (by document and place), those in no passage with the first of
+    themselves, and so on while that finds more: a group of any size costs a row per member and round, never all pairs.
+    A run of SPAN shingles has one key a hash function, so that two runs share each with the probability of their
+    similarity. What is unchanged is then met by keys of whole runs, which no order of documents can hide. Copies of
+    whole documents are found by digest, and only their first takes part.
     """
     spark = docs.sparkSession
     wins = cut(windows(docs, hashes, span), "passage-windows")
     twins = cut(copies(wins), "passage-copies")
-    met = cut(met_in_order(wins).join(twins.select("k1", "k2"), ["k1", "k2"], "left_anti"), "passage-pairs")
+    others = lambda met: cut(met.join(twins.select("k1", "k2"), ["k1", "k2"], "left_anti"), "passage-pairs")
+    met = all_met = others(met_in_order(wins))
     for path in {f.rpartition("/")[0] for f in wins.inputFiles()}:
         drop_path(spark, path)
     involved = cut(met.select("k1", "k2").unionByName(met.select(F.col("f_k1").alias("k1"), F.col("f_k2").alias("k2"))).distinct(), "passage-docs")
-    texts = cut(docs.select(*document_key(), filled("text").alias("text")).join(involved, ["k1", "k2"], "left_semi"), "passage-texts")
-    reach = lambda n: (n * 1.25 + 8).cast("int")  # noqa: E731  room for words put in or left out
-    pairs = met.groupBy("k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2")).agg(
-        F.min(F.greatest(F.col("lo"), F.col("at") - reach(F.col("f_at") - F.col("f_lo")))).alias("a_lo"),
-        F.max(F.least(F.col("hi"), F.col("at") + reach(F.col("f_hi") - F.col("f_at")))).alias("a_hi"),
-        F.min(F.greatest(F.col("f_lo"), F.col("f_at") - reach(F.col("at") - F.col("lo")))).alias("b_lo"),
-        F.max(F.least(F.col("f_hi"), F.col("f_at") + reach(F.col("hi") - F.col("at")))).alias("b_hi"),
-    )
+    texts = cut(docs.select(*document_key(), filled("text").alias("text")).join(involved, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "passage-texts")
+    found = cut(verified(_pairs(met), texts, span), "passages")
+    new = found
+    while not new.isEmpty():
+        left = cut(_outside(met.select("key", "k1", "k2", "lo", "at", "hi"), found, F.col("at"), F.col("at") + 1), "passage-left")
+        met = others(met_in_order(left))
+        new = cut(verified(_pairs(met), texts, span), "passages")
+        found = found.unionByName(new)
+    found = found.unionByName(whole_runs(all_met, texts, found, span))
     whole = twins.where(F.col("n_words") >= MIN_WORDS).select("k1", "k2", F.lit(0).alias("start"), F.col("n_words").alias("end"), "o1", "o2", F.lit(0).alias("o_start"), F.col("n_words").alias("o_end"), F.lit(1.0).alias("similarity"))
-    return cut(verified(pairs, texts, span), "passages").unionByName(whole)
+    return found.unionByName(whole)
 
 
 def op10_substring(docs: DataFrame) -> DataFrame:

@@ -279,6 +279,21 @@ def test_substring_changes_anywhere(spark):
     assert got <= pairs and len(got) >= 0.95 * len(pairs)
 
 
+def test_substring_first_holder_holds_less(spark):
+    """Passages of 50 words are found among documents 2..n when the first holds only 45 of them, or an edited form."""
+    rng = random.Random(13)
+    words = lambda n: [f"t{rng.randrange(200000)}" for _ in range(n)]
+    texts, pairs = [], set()
+    for k in range(20):
+        passage = words(50)
+        edited = [w if i % 9 else "other" for i, w in enumerate(passage)]
+        for i, x in enumerate((edited if k % 2 else passage[:45], passage, passage, passage)):
+            texts.append(" ".join([*words(20), *x, *words(20)]))
+            pairs |= {len(texts) - 1} if i > 1 else set()
+    got = substring.op10_substring(docs_of(spark, texts)).collect()
+    assert {r.doc_id for r in got} == pairs and all(r.of_doc_id == r.doc_id // 4 * 4 + 1 for r in got)
+
+
 def test_dropped_words():
     assert substring.dropped_words(" a b  c\nd ", [(1, 3)]) == " a d "
     assert substring.dropped_words("a b", [(0, 2)]) == ""
