@@ -30,6 +30,7 @@ SPAN = MIN_WORDS - SHINGLE + 1
 HASHES = 4
 FUNCTIONS = 3  # the bits of a key that tell its hash function
 CASE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+PLACES = 1 << 18  # places of shingles held while a shift is chosen
 MISS = 8  # 8 of 9 matching shingles on both sides are a Jaccard similarity of 0.8
 
 
@@ -217,19 +218,36 @@ def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: flo
     """Runs of shingles of ``a`` and ``b`` of at least ``span`` whose sets have that Jaccard similarity."""
     order = np.argsort(b, kind="stable")
     ordered = b[order]
-    spot = np.minimum(np.searchsorted(ordered, a), len(b) - 1)
-    hit = ordered[spot] == a
+    first, last = np.searchsorted(ordered, a), np.searchsorted(ordered, a, side="right")
+    hit = last > first
+    # places in b sorted by (shingle, place), so that the place nearest to a given one is a search
+    line = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) * (2 * len(b)) + order
     out = []
 
+    def nearest(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Of the places in b of each shingle a[at], the one nearest to ``to``."""
+        f, n = first[at], last[at]
+        spot = np.searchsorted(line, line[f] - order[f] + np.clip(to, 0, len(b)))
+        low, high = order[np.maximum(spot - 1, f)], order[np.minimum(spot, n - 1)]
+        return np.where(np.abs(low - to) <= np.abs(high - to), low, high)
+
     def test(i: int, j: int) -> bool:
         if j - i < span:
             return False
-        other = order[spot[i:j][hit[i:j]]]
-        shift = other - (np.arange(i, j)[hit[i:j]])
-        sorted_shift = np.sort(shift)  # the place where most of them agree, with room for words put in or left out
+        at = np.arange(i, j)[hit[i:j]]
+        # All places of the shingles with the fewest in b (each with one, and of others as many as PLACES lets) choose
+        # the shift where most of them agree, with room for words put in or left out.
+        count = last[at] - first[at]
+        rare = np.argsort(count, kind="stable")
+        rare = rare[: max(1, int(np.searchsorted(np.cumsum(count[rare]), PLACES, side="right")))]
+        n = count[rare]
+        places = order[np.repeat(first[at[rare]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        shift = np.sort(places - np.repeat(at[rare], n))
         room = 0.25 * (j - i) + SHINGLE
-        best = np.argmax(np.searchsorted(sorted_shift, sorted_shift + room, side="right") - np.arange(len(shift)))
-        near = other[(shift >= sorted_shift[best]) & (shift <= sorted_shift[best] + room)]
+        best = np.argmax(np.searchsorted(shift, shift + room, side="right") - np.arange(len(shift)))
+        value, times = np.unique(shift[(shift >= shift[best]) & (shift <= shift[best] + room)], return_counts=True)
+        other = nearest(at, at + value[np.argmax(times)])
+        near = other[(other - at >= shift[best]) & (other - at <= shift[best] + room)]
         k, m = int(near.min()), int(near.max()) + 1
         if m - k < span * similarity:
             return False

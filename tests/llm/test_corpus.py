@@ -294,6 +294,18 @@ def test_substring_first_holder_holds_less(spark):
     assert {r.doc_id for r in got} == pairs and all(r.of_doc_id == r.doc_id // 4 * 4 + 1 for r in got)
 
 
+def test_similar_runs_with_shingles_repeated_further_up():
+    """An exact copy, of whose shingles some also stand earlier in the other text."""
+    rng = np.random.default_rng(14)
+    for n, again in ((96, 20), (46, 10), (46, 46), (60, 30)):
+        a = rng.integers(1, 1 << 60, n).astype(np.uint64)
+        for gap in (5, 30, 300):
+            b = np.concatenate([a[:again], rng.integers(1, 1 << 60, gap).astype(np.uint64), a])
+            assert [(i, j, s) for i, j, k, m, s in substring.similar_runs(a, b)] == [(0, n, 1.0)]
+    a = np.full(3000, 7, np.uint64)
+    assert substring.similar_runs(a, a)[0][4] == 1.0
+
+
 def test_dropped_words():
     assert substring.dropped_words(" a b  c\nd ", [(1, 3)]) == " a d "
     assert substring.dropped_words("a b", [(0, 2)]) == ""
