@@ -13,11 +13,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.arrow import slices
+from calibrant.llm.arrow import mixed, rolled, slices, words
 from calibrant.llm.common import cut, drop_path, need
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -125,5 +126,51 @@ def groups(docs: DataFrame, *keep: str, radius: int = RADIUS, width: int = SHING
     return rows.join(of, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
+BANDS, ROWS = 20, 5  # a pair of similarity 0.8 shares a band with probability 0.9996
+NEAR_WIDTH, NEAR = 5, 0.8
+
+
+def _shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of the five-word shingles of each text, of all its words where it has fewer; 0 for none."""
+    codes, dictionary, offsets = words(pc.ascii_lower(texts))
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, dictionary.to_pylist()), np.uint64, len(dictionary))[codes]
+    each = [hashed[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    return [rolled(h, min(len(h), NEAR_WIDTH)) if len(h) else np.zeros(1, np.uint64) for h in each]
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """k1, k2, root per row of ``docs`` (k1, k2, text): components of links with a Jaccard similarity of NEAR or more on
+    whole sets of five-word shingles. A document is compared with the first of each of its min-hash bands."""
+    factors = [np.uint64(x | 1) for x in np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64).tolist()]
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = _shingle_sets(b.column("text"))
+            x, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+            for band in range(BANDS):
+                key = np.full(len(sets), band, np.uint64)
+                for f in factors[band * ROWS : (band + 1) * ROWS]:
+                    key = mixed(key ^ np.minimum.reduceat(x * f, starts))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("k1"), b.column("k2")], ["key", "k1", "k2"])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            mine, theirs = ([np.unique(x) for x in _shingle_sets(b.column(c))] for c in ("text", "o_text"))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(mine, theirs)])
+            total = np.array([len(x) + len(y) for x, y in zip(mine, theirs)])
+            yield b.select(["a", "b"]).filter(pa.array(both >= NEAR * (total - both)))
+
+    node = lambda x, y: F.xxhash64(F.col(x), F.col(y))
+    texts = docs.select("k1", "k2", F.coalesce("text", F.lit("")).alias("text"))
+    rows = cut(texts.mapInArrow(bands, "key long, k1 long, k2 long").distinct(), "near-bands")
+    first = rows.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    star = rows.join(first, "key").where(F.struct("k1", "k2") != F.col("f")).select("k1", "k2", F.col("f.k1").alias("o1"), F.col("f.k2").alias("o2")).distinct()
+    one = texts.dropDuplicates(["k1", "k2"])
+    both = cut(star, "near-pairs").join(one, ["k1", "k2"]).join(one.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("text").alias("o_text")), ["o1", "o2"])
+    edges = both.select(node("o1", "o2").alias("a"), node("k1", "k2").alias("b"), "text", "o_text").mapInArrow(checked, "a long, b long")
+    root = components(cut(edges, "near-edges"), "near-links")
+    return docs.select("k1", "k2", node("k1", "k2").alias("node")).join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+
+
 def op9_simhash(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

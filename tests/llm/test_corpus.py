@@ -402,3 +402,13 @@ def test_pipeline(spark, odd):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd.limit(0), "").count() == 0
         stage(spark, odd, "").count()
+
+
+def test_pipeline_drops_near_copies(spark):
+    """Copies of similarity 0.81 on five-word shingles go, those of 0.55 stay."""
+    rng, texts = random.Random(15), []
+    for _ in range(20):
+        w = [f"t{rng.randrange(200000)}" for _ in range(100)]
+        texts += [" ".join("changed" if i in at else x for i, x in enumerate(w)) for at in ((), (33, 66), (10, 25, 40, 55, 70, 85))]
+    kept = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs_of(spark, texts), "").collect()}
+    assert kept == {i for i in range(60) if i % 3 != 1}
