@@ -48,6 +48,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`cut` returned; it can't be read any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: others, whatever their names, can't clash with an operator's own.
 

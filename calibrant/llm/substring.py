@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrant.llm.arrow import mixed, rolled, slices, words
-from calibrant.llm.common import LOWEST, SPACE, cut, drop_path, filled, need
+from calibrant.llm.common import LOWEST, SPACE, cut, drop_table, filled, need
 
 SHINGLE, SIMILARITY = 5, 0.8
 MIN_WORDS = 50
@@ -76,6 +76,16 @@ def compact_windows(values: np.ndarray, span: int = SPAN) -> tuple[list[int], li
     return left, centre, right
 
 
+def _values(shingles: np.ndarray, f: int) -> np.ndarray:
+    """The shingles under hash function ``f``; never 0."""
+    return np.maximum(mixed(shingles + np.uint64(0x9E3779B97F4A7C15 * (f + 1) & (1 << 64) - 1)), 1)
+
+
+def _counted(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each length, one after the other."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 def _word_hashes(dictionary: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in dictionary.to_pylist()), np.uint64, len(dictionary))
 
@@ -115,12 +125,12 @@ def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFram
             n_all = int(n.sum()) + len(n) + 1
             begin = np.concatenate([[0], np.cumsum(n + 1)])
             owner = np.repeat(np.arange(len(n)), n)
-            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            within = _counted(n)
             source = shingles[starts[owner] + within] if len(owner) else np.zeros(0, np.uint64)
             target = begin[owner] + 1 + within
             for f in range(hashes):
                 values = np.zeros(n_all, np.uint64)
-                values[target] = np.maximum(mixed(source + np.uint64(0x9E3779B97F4A7C15 * (f + 1) & (1 << 64) - 1)), 1)
+                values[target] = _values(source, f)
                 left, centre, right = map(np.asarray, compact_windows(values, span))
                 if not len(centre):
                     continue
@@ -131,56 +141,66 @@ def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFram
     return docs.select(*document_key(), filled("text").alias("text")).mapInArrow(run, WINDOWS)
 
 
-def copies(wins: DataFrame) -> DataFrame:
-    """k1, k2, o1, o2, n_words: documents whose words are those of an earlier document (o1, o2)."""
-    each = wins.where(F.col("at") == WHOLE).select("key", "hi", F.col("lo").alias("n_words"), "k1", "k2")
-    first = each.groupBy("key", "hi", "n_words").agg(F.min(F.struct("k1", "k2")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return each.join(first, ["key", "hi", "n_words"]).where(F.struct("k1", "k2") > F.col("o")).select("k1", "k2", F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2"), "n_words").distinct()
-
-
 LEADER = ("k1", "k2", "lo", "at", "hi")
-MET = WINDOWS + ", edge boolean, " + ", ".join(f"f_{c} {'long' if c[0] == 'k' else 'int'}" for c in LEADER)
+MET = WINDOWS + ", edge boolean, block int, more boolean, " + ", ".join(f"f_{c} {'long' if c[0] == 'k' else 'int'}" for c in LEADER)
+BLOCK = 4096  # windows of a key that share a copy of its first one's text
 
 
 def met_in_order(wins: DataFrame) -> DataFrame:
-    """Each window that meets the first of its key (f_...) from another document.
+    """Each window that meets the first of its key (f_...) from another document; whole texts alike.
 
     The windows are dealt out by ranges of key and document and sorted, so that a hot key spans several tasks
     and each streams its rows. Where a key crosses from one task to the next, each task takes its own first,
-    and those few firsts are joined afterwards.
+    which then gives way to the first of the key: two keys a task at most are broadcast for that. ``block`` parts the windows of a key into bounded lots; ``more`` is
+    false where the two of a row are known to be the only documents of their key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, key_now, opening = None, None, True
+        leader, key_now, number, opening = None, None, 0, True
         for b in batches:
             if not b.num_rows:
                 continue
             col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", *LEADER)}
             key = col["key"]
+            rows = np.arange(len(key))
             start = np.concatenate([[leader is None or key[0] != key_now], key[1:] != key[:-1]])
-            index = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))  # -1: the group of the last batch
+            index = np.maximum.accumulate(np.where(start, rows, -1))  # -1: the group of the last batch
             first = {c: np.where(index < 0, leader[c] if leader else 0, col[c][np.maximum(index, 0)]) for c in LEADER}
             show = (col["k1"] != first["k1"]) | (col["k2"] != first["k2"])  # a text that repeats itself isn't its own copy
+            place = np.where(index < 0, rows + number, rows - index)
+            group = np.cumsum(start)
+            group -= group[0]
+            ends = np.flatnonzero(np.concatenate([group[1:] != group[:-1], [True]]))[group]
+            document = np.cumsum(np.concatenate([[True], start[1:] | (col["k1"][1:] != col["k1"][:-1]) | (col["k2"][1:] != col["k2"][:-1])]))
+            alone = (index >= 0) & (ends < len(key) - 1) & (document[ends] - document[np.maximum(index, 0)] == 1)
+            if opening:
+                alone[group == 0] = False
+            whole = col["at"] == WHOLE  # the rest of the hash and the number of words tell too
+            show &= np.where(whole, (first["at"] == WHOLE) & (col["hi"] == first["hi"]) & (col["lo"] == first["lo"]), first["at"] != WHOLE)
             edge = np.zeros(len(key), bool)
-            if opening:  # the first of the task's first key
-                edge[0] = show[0] = True
+            if opening:  # the first of the task's first key, with all its windows
+                edge = (group == 0) & (col["k1"] == col["k1"][0]) & (col["k2"] == col["k2"][0])
+                show |= edge
                 opening = False
-            columns = [*[pa.array(col[c][show]) for c in ("key", "k1", "k2", "lo", "at", "hi")], pa.array(edge[show]), *[pa.array(first[c][show]) for c in LEADER]]
+            columns = [*[pa.array(col[c][show]) for c in ("key", *LEADER)], pa.array(edge[show]), pa.array((place[show] // BLOCK).astype(np.int32)), pa.array(~alone[show]), *[pa.array(first[c][show]) for c in LEADER]]
             yield pa.RecordBatch.from_arrays(columns, names)
-            leader, key_now = {c: first[c][-1] for c in LEADER}, key[-1]
+            leader, key_now, number = {c: first[c][-1] for c in LEADER}, key[-1], int(place[-1]) + 1
         if leader is not None:  # the first of the task's last key
             own = [pa.array([leader[c]], kinds[c]) for c in LEADER]
-            yield pa.RecordBatch.from_arrays([pa.array([key_now], pa.int64()), *[pa.array([leader[c]], kinds[c]) for c in ("k1", "k2", "lo", "at", "hi")], pa.array([True]), *own], names)
+            yield pa.RecordBatch.from_arrays([pa.array([key_now], pa.int64()), *own, pa.array([True]), pa.array([0], pa.int32()), pa.array([True]), *own], names)
 
-    names = ["key", "k1", "k2", "lo", "at", "hi", "edge", *[f"f_{c}" for c in LEADER]]
+    names = ["key", *LEADER, "edge", "block", "more", *[f"f_{c}" for c in LEADER]]
     kinds = {c: pa.int64() if c[0] == "k" else pa.int32() for c in LEADER}
     n = int(wins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = wins.where(F.col("at") != WHOLE).select("key", "k1", "k2", "lo", "at", "hi").repartitionByRange(n, "key", "k1", "k2", "at").sortWithinPartitions("key", "k1", "k2", "at")
+    dealt = wins.repartitionByRange(n, "key", "k1", "k2", "at").sortWithinPartitions("key", "k1", "k2", "at")
     met = cut(dealt.mapInArrow(run, MET), "passage-met")
     edges = met.where("edge").select("key", *LEADER).distinct()
-    first = edges.groupBy("key").agg(F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("f"))
-    crossed = edges.join(first, "key").where(F.struct("k1", "k2") != F.struct("f.k1", "f.k2")).select("key", *LEADER, *[F.col(f"f.{c}").alias(f"f_{c}") for c in LEADER])
-    return met.where("not edge").drop("edge").unionByName(crossed)
+    first = edges.groupBy("key").agg(F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("f"))  # two keys a task at most
+    crossed = edges.select("key", *LEADER, F.lit(0).alias("block"), F.lit(True).alias("more"), *[F.col(c).alias(f"f_{c}") for c in LEADER])
+    rows = met.where("not edge").drop("edge").unionByName(crossed).join(F.broadcast(first), "key", "left")
+    told = rows.select("key", *LEADER, "block", "more", *[F.coalesce(F.col(f"f.{c}"), F.col(f"f_{c}")).alias(f"f_{c}") for c in LEADER]).where(F.struct("k1", "k2") != F.struct("f_k1", "f_k2"))
+    both, same = (F.col("at") == WHOLE).cast("int") + (F.col("f_at") == WHOLE).cast("int"), F.struct("lo", "hi") == F.struct("f_lo", "f_hi")
+    return told.where((both == 0) | (both == 2) & same)
 
 
 def _segments(hit: np.ndarray, span: int) -> list[tuple[int, int]]:
@@ -219,7 +239,6 @@ def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: flo
     order = np.argsort(b, kind="stable")
     ordered = b[order]
     first, last = np.searchsorted(ordered, a), np.searchsorted(ordered, a, side="right")
-    hit = last > first
     # places in b sorted by (shingle, place), so that the place nearest to a given one is a search
     line = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) * (2 * len(b)) + order
     out = []
@@ -231,155 +250,211 @@ def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: flo
         low, high = order[np.maximum(spot - 1, f)], order[np.minimum(spot, n - 1)]
         return np.where(np.abs(low - to) <= np.abs(high - to), low, high)
 
-    def test(i: int, j: int) -> bool:
-        if j - i < span:
-            return False
-        at = np.arange(i, j)[hit[i:j]]
-        # All places of the shingles with the fewest in b (each with one, and of others as many as PLACES lets) choose
-        # the shift where most of them agree, with room for words put in or left out.
+    def beside(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the shingles a[at] lie along the shift where most of them agree, and their places in b.
+
+        All places of the shingles with the fewest in b (each with one, and of others as many as PLACES lets) choose
+        the shift, with room for words put in or left out.
+        """
         count = last[at] - first[at]
         rare = np.argsort(count, kind="stable")
         rare = rare[: max(1, int(np.searchsorted(np.cumsum(count[rare]), PLACES, side="right")))]
         n = count[rare]
         places = order[np.repeat(first[at[rare]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         shift = np.sort(places - np.repeat(at[rare], n))
-        room = 0.25 * (j - i) + SHINGLE
+        room = 0.25 * length + SHINGLE
         best = np.argmax(np.searchsorted(shift, shift + room, side="right") - np.arange(len(shift)))
         value, times = np.unique(shift[(shift >= shift[best]) & (shift <= shift[best] + room)], return_counts=True)
         other = nearest(at, at + value[np.argmax(times)])
-        near = other[(other - at >= shift[best]) & (other - at <= shift[best] + room)]
-        k, m = int(near.min()), int(near.max()) + 1
-        if m - k < span * similarity:
-            return False
-        x, y = np.unique(a[i:j]), np.unique(b[k:m])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        s = both / (len(x) + len(y) - both)
-        if s >= similarity:
-            out.append((i, j, k, m, s))
-        return s >= similarity
-
-    for i, j in _segments(hit, span):
-        if not test(i, j) and j - i >= span:  # unbroken runs within
-            inner = np.flatnonzero(np.diff(np.concatenate([[0], hit[i:j].astype(np.int8), [0]])))
-            for p, q in inner.reshape(-1, 2).tolist():
-                test(i + p, i + q)
+        return (other - at >= shift[best]) & (other - at <= shift[best] + room), other
+
+    todo = [(0, last > first)]
+    while todo:
+        zero, hit = todo.pop()
+        for p, q in _segments(hit, span):
+            i, j, part = zero + p, zero + q, hit[p:q]
+            if j - i < span:
+                continue
+            at = i + np.flatnonzero(part)
+            near, other = beside(at, j - i)
+            k, m = int(other[near].min()), int(other[near].max()) + 1
+            x, y = np.unique(a[i:j]), np.unique(b[k:m])
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            s = both / (len(x) + len(y) - both)
+            if s >= similarity and m - k >= span * similarity:
+                out.append((i, j, k, m, s))
+            elif near.all():  # unbroken runs within
+                runs = np.flatnonzero(np.diff(np.concatenate([[0], part.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                todo += [(i + u, np.ones(v - u, bool)) for u, v in runs if span <= v - u < j - i]
+            else:  # what lies along this shift, and what doesn't
+                along = np.zeros(j - i, bool)
+                along[at[near] - i] = True
+                todo += [(i, along), (i, part & ~along)]
     return out
 
 
 FOUND = "k1 long, k2 long, start int, end int, o1 long, o2 long, o_start int, o_end int, similarity double"
+STEP = 32  # places of an earlier document's regions are multiples, so that it has few different ones
+PAIR = ("o1", "o2", "b_lo", "b_hi", "block")
+
+
+def regions(met: DataFrame) -> DataFrame:
+    """Regions (shingles a_lo..a_hi of k1, k2 and b_lo..b_hi of o1, o2) around windows that met, as intervals along one
+    shift joined where they overlap. One exchange, by document, whose windows are bounded by its length."""
+    reach = lambda n: (n * 1.25 + 8).cast("int")  # noqa: E731  room for words put in or left out
+    each = met.select(
+        "k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2"), "block", F.floor((F.col("f_at") - F.col("at")) / STEP).alias("shift"),
+        F.greatest(F.col("lo"), F.col("at") - reach(F.col("f_at") - F.col("f_lo"))).alias("a_lo"), F.least(F.col("hi"), F.col("at") + reach(F.col("f_hi") - F.col("f_at"))).alias("a_hi"),
+        F.greatest(F.col("f_lo"), F.col("f_at") - reach(F.col("at") - F.col("lo"))).alias("b_lo"), F.least(F.col("f_hi"), F.col("f_at") + reach(F.col("hi") - F.col("at"))).alias("b_hi"),
+    )
+    along = Window.partitionBy("k1", "k2", "o1", "o2", "shift").orderBy("a_lo", "a_hi")
+    apart = F.coalesce((F.col("a_lo") > F.max("a_hi").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    island = each.withColumn("apart", apart).withColumn("island", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = island.groupBy("k1", "k2", "o1", "o2", "shift", "island").agg(F.min("block").alias("block"), F.min("a_lo").alias("a_lo"), F.max("a_hi").alias("a_hi"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"))
+    return joined.select("k1", "k2", "a_lo", "a_hi", "o1", "o2", (F.floor(F.col("b_lo") / STEP) * STEP).cast("int").alias("b_lo"), (F.ceil((F.col("b_hi") + 1) / STEP) * STEP - 1).cast("int").alias("b_hi"), "block").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """Compare the regions (shingles a_lo..a_hi of the one, b_lo..b_hi of the other document) of each pair.
+def verified(pairs: DataFrame, docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """Compare the words of the :func:`regions` in ``pairs``.
 
-    ``texts``: k1, k2, text of the documents that occur in pairs.
+    Both sides ask for their words at once: the texts are shuffled a single time and cut down to the regions asked for
+    where they meet the requests. The slices then meet on the earlier document's region and its block, so that a region
+    with any number of partners is spread over tasks of BLOCK windows' partners each.
     """
-    part = lambda lo, hi: F.array_join(F.slice(F.filter(F.split("text", SPACE), lambda w: w != ""), F.col(lo) + 1, F.col(hi) - F.col(lo) + SHINGLE), " ")
-    mine = pairs.join(texts, ["k1", "k2"]).select(*pairs.columns, part("a_lo", "a_hi").alias("a"))
-    theirs = texts.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "text")
-    both = mine.join(theirs, ["o1", "o2"]).select("k1", "k2", "a_lo", "a", "o1", "o2", "b_lo", part("b_lo", "b_hi").alias("b"))
+    none = F.lit(None).cast("int")
+    asks = F.struct("a_lo", "a_hi", *PAIR)
+    mine = pairs.select("k1", "k2", asks.alias("ask"))
+    theirs = pairs.select(*PAIR).distinct().select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.struct(none.alias("a_lo"), none.alias("a_hi"), *PAIR).alias("ask"))
+    asked = mine.unionByName(theirs).groupBy("k1", "k2").agg(F.collect_list("ask").alias("asks"))
+    texts = docs.select(*document_key(), filled("text").alias("text"))
+    told = texts.hint("merge").join(asked, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"), "asks")
+    lo, hi = F.coalesce("ask.a_lo", "ask.b_lo"), F.coalesce("ask.a_hi", "ask.b_hi")
+    slices_ = told.select("k1", "k2", "words", F.explode("asks").alias("ask")).select("k1", "k2", "ask.*", F.array_join(F.slice("words", lo + 1, hi - lo + SHINGLE), " ").alias("text"))
+    ordered = slices_.repartition(*PAIR).sortWithinPartitions(*PAIR, F.col("a_lo").asc_nulls_first())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def coded(text: str) -> np.ndarray:  # equality within this task is all that counts
             text = text.lower() if text.isascii() else text.translate(CASE)
             return rolled(np.fromiter(map(hash, text.split(" ")), np.int64).view(np.uint64), SHINGLE)
 
-        for frame in batches:
+        theirs = np.zeros(0, np.uint64)
+        for batch in batches:
             rows = []
-            for p in frame.itertuples(index=False):
-                a, b = coded(p.a), coded(p.b)
-                if len(a) and len(b):
-                    rows += [(p.k1, p.k2, p.a_lo + i, p.a_lo + j + SHINGLE - 1, p.o1, p.o2, p.b_lo + k, p.b_lo + m + SHINGLE - 1, s) for i, j, k, m, s in similar_runs(a, b, span)]
-            yield pd.DataFrame(rows, columns=["k1", "k2", "start", "end", "o1", "o2", "o_start", "o_end", "similarity"])
+            for p in batch.to_pandas().itertuples(index=False):
+                if p.a_lo != p.a_lo:  # null: the earlier document's region leads its partners
+                    theirs = coded(p.text)
+                    continue
+                a = coded(p.text)
+                if len(a) and len(theirs):
+                    at = int(p.a_lo)
+                    rows += [(p.k1, p.k2, at + i, at + j + SHINGLE - 1, p.o1, p.o2, p.b_lo + k, p.b_lo + m + SHINGLE - 1, s) for i, j, k, m, s in similar_runs(a, theirs, span)]
+            if rows:
+                columns = zip(*rows)
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split(" ")[0] for f in FOUND.split(", ")])
 
-    return both.mapInPandas(run, FOUND)
+    return ordered.mapInArrow(run, FOUND).distinct()
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """The regions of each pair of documents whose windows met."""
-    reach = lambda n: (n * 1.25 + 8).cast("int")  # noqa: E731  room for words put in or left out
-    return met.groupBy("k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2")).agg(
-        F.min(F.greatest(F.col("lo"), F.col("at") - reach(F.col("f_at") - F.col("f_lo")))).alias("a_lo"),
-        F.max(F.least(F.col("hi"), F.col("at") + reach(F.col("f_hi") - F.col("f_at")))).alias("a_hi"),
-        F.min(F.greatest(F.col("f_lo"), F.col("f_at") - reach(F.col("at") - F.col("lo")))).alias("b_lo"),
-        F.max(F.least(F.col("f_hi"), F.col("f_at") + reach(F.col("hi") - F.col("at")))).alias("b_hi"),
-    )
+def _inside(spans: str, start: Column, end: Column) -> Column:
+    """Whether the words start..end (excluded) are all in one of the passages in ``spans``."""
+    return F.coalesce(F.exists(spans, lambda s: (s["start"] <= start) & (end <= s["end"])), F.lit(False))
 
 
-def _outside(rows: DataFrame, found: DataFrame, start: Column, end: Column) -> DataFrame:
-    """The rows whose words start..end (excluded) aren't all in one passage found."""
-    spans = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    inside = F.exists("spans", lambda s: (s["start"] <= start) & (end <= s["end"]))
-    return rows.join(spans, ["k1", "k2"], "left").where(F.col("spans").isNull() | ~inside).drop("spans")
+def _spans(found: DataFrame) -> DataFrame:
+    return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def whole_runs(met: DataFrame, texts: DataFrame, found: DataFrame, span: int = SPAN) -> DataFrame:
-    """Like :func:`passages`: the runs of ``span`` shingles in the windows of ``met`` that occur unchanged in an earlier
-    document and aren't in a passage found, runs beside each other as one.
+def narrower(met: DataFrame, docs: DataFrame, found: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFrame:
+    """Windows under narrower keys, of the windows of ``met`` whose words aren't in a passage found.
 
-    Windows of one hash function hold each run once. Runs have a key of their own, the hash of all of their words, so
-    that the first of a key always holds the run and none is lost, in whatever order and company documents come.
+    A window that isn't like the first of its key has still to meet other holders. Runs whose smallest shingles agree for
+    two hash functions share a pair key (an interval join of the windows of both functions within the text), and
+    runs of equal words share a run key, the hash of all their words: no order of documents and no company of other texts
+    can hide an unchanged run. All windows of a key with such a window take part, for they may be the holders.
     """
-    own = met.where(F.col("key").bitwiseAND(FUNCTIONS) == 0)
-    least, most = F.greatest(F.col("lo"), F.col("at") - (span - 1)), F.least(F.col("at") + (span - 1), F.col("hi"))
-    open_keys = _outside(own, found, least, most + SHINGLE).select("key").distinct()
-    held = own.join(open_keys, "key", "left_semi")
-    ranges = lambda r, c: r.select(*[F.col(c + x).alias(x) for x in ("k1", "k2", "lo", "at", "hi")])
-    ranges = ranges(held, "").unionByName(ranges(held, "f_")).select("k1", "k2", F.struct(least.alias("a"), (most - (span - 1)).alias("b")).alias("r"))
-    at = ranges.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("r")).alias("at"))
+    function = F.col("key").bitwiseAND(FUNCTIONS)
+    least, most = F.greatest(F.col("lo"), F.col("at") - (span - 1)), F.least(F.col("at"), F.col("hi") - (span - 1))
+    more = met.where("more").select("key", "k1", "k2", "at", least.alias("a"), most.alias("b"), *[F.col(f"f_{c}") for c in LEADER])
+    loose, strict = ~_inside("spans", F.col("at"), F.col("at") + 1), (function == 0) & ~_inside("spans", F.col("a"), F.col("b") + MIN_WORDS)
+    told = more.hint("merge").join(_spans(found), ["k1", "k2"], "left").select("key", loose.alias("loose"), strict.alias("strict")).where("loose or strict")
+    keys = cut(told.groupBy("key").agg(F.max("loose").alias("loose"), F.max("strict").alias("strict")), "passage-open")
+    held = more.hint("merge").join(keys, "key").select("k1", "k2", F.struct("a", "b", "loose", "strict").alias("r"), *[f"f_{c}" for c in LEADER], "loose", "strict")
+    f_least, f_most = F.greatest(F.col("f_lo"), F.col("f_at") - (span - 1)), F.least(F.col("f_at"), F.col("f_hi") - (span - 1))
+    firsts = held.where("strict").select(F.col("f_k1").alias("k1"), F.col("f_k2").alias("k2"), F.struct(f_least.alias("a"), f_most.alias("b"), F.lit(False).alias("loose"), "strict").alias("r")).distinct()
+    ranges = held.select("k1", "k2", "r").unionByName(firsts).groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             codes, dictionary, offsets = words(pc.ascii_lower(b.column("text")))
             hashed = _word_hashes(dictionary)[codes]
-            runs = rolled(hashed, span + SHINGLE - 1)
-            for i, at in enumerate(b.column("at").to_pylist()):
-                mark = np.zeros(offsets[i + 1] - offsets[i] + 1, np.int64)
-                for r in at:
-                    mark[r["a"]] += 1
-                    mark[r["b"] + 1] -= 1
-                here = np.flatnonzero(np.cumsum(mark))
-                same = lambda c: pa.array(np.full(len(here), b.column(c)[i].as_py(), np.int64))  # noqa: E731, B023
-                place = lambda x: pa.array(x.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(runs[offsets[i] + here].view(np.int64)), same("k1"), same("k2"), place(here), place(here), place(here + span - 1)], ["key", "k1", "k2", "lo", "at", "hi"])
-
-    alike = met_in_order(cut(at.join(texts, ["k1", "k2"]).mapInArrow(run, WINDOWS), "passage-runs"))
-    new = _outside(alike, found, F.col("lo"), F.col("hi") + SHINGLE)
-    diagonal = Window.partitionBy("k1", "k2", "f_k1", "f_k2", F.col("f_at") - F.col("at")).orderBy("at")
-    beside = new.select("*", (F.col("at") - F.dense_rank().over(diagonal)).alias("island"), (F.col("f_at") - F.col("at")).alias("shift"))
-    pairs = beside.groupBy("k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2"), "shift", "island").agg(F.min("lo").alias("a_lo"), F.max("hi").alias("a_hi"), F.min("f_lo").alias("b_lo"), F.max("f_hi").alias("b_hi"))
-    return cut(verified(pairs.drop("shift", "island"), texts, span), "passages")
+            for i, held in enumerate(b.column("ranges").to_pylist()):
+                own = hashed[offsets[i] : offsets[i + 1]]
+                shingles, n = rolled(own, SHINGLE), len(own) - SHINGLE - span + 2
+                marks = {}
+                for kind in ("loose", "strict"):
+                    mark = np.zeros(n + 1, np.int64)
+                    for r in held:
+                        if r[kind]:
+                            mark[r["a"]] += 1
+                            mark[r["b"] + 1] -= 1
+                    marks[kind] = np.cumsum(mark[:-1]) > 0
+
+                def out(key: np.ndarray, lo: np.ndarray, at: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+                    same = lambda c: pa.array(np.full(len(key), b.column(c)[i].as_py(), np.int64))  # noqa: E731, B023
+                    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), same("k1"), same("k2"), *[pa.array(x.astype(np.int32)) for x in (lo, at, hi)]], ["key", "k1", "k2", "lo", "at", "hi"])
+
+                here = np.flatnonzero(marks["strict"])
+                if len(here):
+                    yield out(rolled(own, span + SHINGLE - 1)[here], here, here, here + span - 1)
+                if marks["loose"].any():
+                    low = []  # the smallest hash of each run, its place, and the window it has
+                    for f in range(hashes):
+                        values = np.concatenate([[0], _values(shingles, f), [0]]).astype(np.uint64)
+                        left, centre, right = map(np.asarray, compact_windows(values, span))
+                        a, z = np.maximum(left, centre - span + 1) - 1, np.minimum(centre, right - span + 1) - 1
+                        which = np.empty(n, np.int64)
+                        which[np.repeat(a, z - a + 1) + _counted(z - a + 1)] = np.repeat(np.arange(len(a)), z - a + 1)
+                        low.append((values[centre][which], centre[which] - 1, left[which] - 1, right[which] - 1))
+                    for f in range(hashes):
+                        for g in range(f + 1, hashes):
+                            change = np.concatenate([[True], (low[f][1][1:] != low[f][1][:-1]) | (low[g][1][1:] != low[g][1][:-1])]) & marks["loose"]
+                            change[1:] |= marks["loose"][1:] & ~marks["loose"][:-1]
+                            at = np.flatnonzero(change)
+                            x, y = low[f], low[g]
+                            key = mixed(mixed(x[0][at]) + y[0][at] * np.uint64(3) + np.uint64(f * hashes + g))
+                            yield out(key, np.maximum(x[2], y[2])[at], x[1][at], np.minimum(x[3], y[3])[at])
+
+    texts = docs.select(*document_key(), filled("text").alias("text"))
+    return texts.hint("merge").join(ranges, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "ranges").mapInArrow(run, WINDOWS)
 
 
 def passages(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFrame:
     """k1, k2, start, end, o1, o2, o_start, o_end, similarity: passages (word numbers, end excluded) that an
-    earlier document holds too.
+    earlier document holds too: one row per passage, with its earliest holder found.
 
-    Each window is compared with the first of its key (by document and place), those in no passage with the first of
-    themselves, and so on while that finds more: a group of any size costs a row per member and round, never all pairs.
-    A run of SPAN shingles has one key a hash function, so that two runs share each with the probability of their
-    similarity. What is unchanged is then met by keys of whole runs, which no order of documents can hide. Copies of
-    whole documents are found by digest, and only their first takes part.
+    Each window is compared with the first of its key (by document and place): a group of any size costs a row per
+    member, never all pairs. A run of SPAN shingles has one key a hash function, so that two runs share each with
+    the probability of their similarity. Windows of keys with three documents or more that end up in no passage go on
+    under the keys of :func:`narrower`. Copies of whole documents are found by digest, and only their first takes part.
     """
-    spark = docs.sparkSession
     wins = cut(windows(docs, hashes, span), "passage-windows")
-    twins = cut(copies(wins), "passage-copies")
-    others = lambda met: cut(met.join(twins.select("k1", "k2"), ["k1", "k2"], "left_anti"), "passage-pairs")
-    met = all_met = others(met_in_order(wins))
-    for path in {f.rpartition("/")[0] for f in wins.inputFiles()}:
-        drop_path(spark, path)
-    involved = cut(met.select("k1", "k2").unionByName(met.select(F.col("f_k1").alias("k1"), F.col("f_k2").alias("k2"))).distinct(), "passage-docs")
-    texts = cut(docs.select(*document_key(), filled("text").alias("text")).join(involved, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "passage-texts")
-    found = cut(verified(_pairs(met), texts, span), "passages")
-    new = found
-    while not new.isEmpty():
-        left = cut(_outside(met.select("key", "k1", "k2", "lo", "at", "hi"), found, F.col("at"), F.col("at") + 1), "passage-left")
-        met = others(met_in_order(left))
-        new = cut(verified(_pairs(met), texts, span), "passages")
-        found = found.unionByName(new)
-    found = found.unionByName(whole_runs(all_met, texts, found, span))
+    met = met_in_order(wins)
+    twins = cut(met.where(F.col("at") == WHOLE).select("k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2"), F.col("lo").alias("n_words")).distinct(), "passage-copies")
+    drop_table(wins)
+    others = lambda m: m.where(F.col("at") != WHOLE).repartition("k1", "k2").hint("merge").join(twins.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    found = cut(verified(regions(others(met)), docs, span), "passages")
+    second = cut(narrower(others(met), docs, found, hashes, span), "passage-narrower")
+    again = met_in_order(second)
+    drop_table(second)
+    one_run = (F.col("at") == F.col("lo")) & (F.col("hi") - F.col("lo") == span - 1)
+    missed = again.hint("merge").join(_spans(found), ["k1", "k2"], "left").where(~_inside("spans", F.col("at"), F.when(one_run, F.col("hi") + SHINGLE).otherwise(F.col("at") + 1))).drop("spans")
+    found = found.unionByName(cut(verified(regions(missed), docs, span), "passages"))
+    drop_table(met)
+    drop_table(again)
     whole = twins.where(F.col("n_words") >= MIN_WORDS).select("k1", "k2", F.lit(0).alias("start"), F.col("n_words").alias("end"), "o1", "o2", F.lit(0).alias("o_start"), F.col("n_words").alias("o_end"), F.lit(1.0).alias("similarity"))
-    return found.unionByName(whole)
+    earliest = found.groupBy("k1", "k2", "start", "end").agg(F.min(F.struct("o1", "o2", "o_start", "o_end", "similarity")).alias("o")).select("k1", "k2", "start", "end", "o.*")
+    return earliest.unionByName(whole)
 
 
 def op10_substring(docs: DataFrame) -> DataFrame:
