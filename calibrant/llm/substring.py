@@ -264,10 +264,13 @@ def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: flo
         the shift, with room for words put in or left out.
         """
         count, room = last[at] - first[at], 0.25 * length + SHINGLE
-        if (count == 1).all():
-            other = order[first[at]]
-            if np.ptp(other - at) <= room:
-                return np.ones(len(at), bool), other
+        single = count == 1
+        if 2 * np.count_nonzero(single) >= len(at):  # those with one place agree: no other places need be tried
+            own = (order[first[at]] - at)[single]
+            low = own.min()
+            if own.max() - low <= room:
+                other = nearest(at, at + low + np.argmax(np.bincount(own - low)))
+                return (other - at >= low) & (other - at <= low + room), other
         rare = np.argsort(count, kind="stable")
         rare = rare[: max(1, int(np.searchsorted(np.cumsum(count[rare]), PLACES, side="right")))]
         n = count[rare]
