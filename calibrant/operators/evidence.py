@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from calibrant.functions.scalars import first_failing
+from calibrant.operators import ranks
 
 
 def route_quarantine(df: DataFrame, *rules: tuple[Column, str, Column | str]) -> DataFrame:
@@ -33,9 +34,10 @@ def funnel(df: DataFrame, **gates: Column) -> DataFrame:
 
 def group_summary(df: DataFrame, key: str, x: str) -> DataFrame:
     """N, mean, median, sd (sample), min, max, q1, q3, iqr by key; null keys are left out."""
-    q = F.expr(f"percentile({x}, array(0.25, 0.5, 0.75))")
-    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), q.alias("q"))
-    return g.select(key, "n", "mean", F.col("q")[1].alias("median"), "sd", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    rows = df.where(F.col(key).isNotNull())
+    g = rows.groupBy(key).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"))
+    t = ranks.beside(g, ranks.quantiles(rows.select(key, F.col(x).alias("_v")), [key], "_v", {"median": 0.5, "q1": 0.25, "q3": 0.75}), [key])
+    return t.select(key, "n", "mean", "median", "sd", "min", "max", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def weighted_median(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
@@ -202,9 +204,9 @@ def carry_forward(df: DataFrame, key: list[str], order: list[str], is_main: Colu
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[str], records: str) -> DataFrame:
     """First row per key by ``order`` with n_copies and the sorted list of ``records``."""
-    w = Window.partitionBy(*keys)
-    g = df.withColumn("n_copies", F.count(F.lit(1)).over(w)).withColumn("records", F.sort_array(F.collect_list(records).over(w))).withColumn("_r", F.row_number().over(w.orderBy(*order)))
-    return g.where("_r = 1").drop("_r")
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    g = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(first, F.count(F.lit(1)).alias("n_copies"), F.sort_array(F.collect_list(records)).alias("records"))
+    return g.select("_row.*", "n_copies", "records")
 
 
 def apply_overrides(df: DataFrame, overrides: DataFrame, key: list[str], column: str, newest: list[str]) -> DataFrame:

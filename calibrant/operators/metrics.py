@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from calibrant.functions.scalars import seed_of
-
+from calibrant.operators import ranks
+from calibrant.sources.tables import cut
 
 
 def _err() -> Column:
@@ -19,7 +20,7 @@ def _err() -> Column:
 
 
 def metric_columns(weight: str | None = "w") -> list[Column]:
-    """The aggregates behind :func:`error_metrics`; r2 from sums, so one pass is enough."""
+    """The sums behind :func:`error_metrics`; r2 from sums, so one pass is enough."""
     y, p, e = F.col("y"), F.col("p"), _err()
     w = F.col(weight) if weight else F.lit(1.0)
     sse, n = F.sum(e * e), F.count(F.lit(1))
@@ -28,22 +29,42 @@ def metric_columns(weight: str | None = "w") -> list[Column]:
     return [
         n.alias("rows"), F.avg(e).alias("mae"), (F.sum(w * e) / F.sum(w)).alias("weighted_mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.sum(w * e * e) / F.sum(w)).alias("weighted_rmse"),
         F.when(sst > 0, 1 - sse / sst).alias("r2"), F.when(wsst > 0, 1 - F.sum(w * e * e) / wsst).alias("weighted_r2"), F.avg(p - y).alias("bias"),
-        F.median(e).alias("median_abs_error"), F.percentile(e, F.lit(0.9)).alias("p90_abs_error"), F.percentile(e, F.lit(0.95)).alias("p95_abs_error"), F.max(e).alias("max_abs_error"),
+        F.max(e).alias("max_abs_error"),
         *[F.count_if(e > k).alias(f"over_{k}") for k in (2, 3, 5)],
     ]
 
 
 def error_metrics(df: DataFrame, *keys: str, weight: str | None = "w") -> DataFrame:
     """Metrics of all rows, or of each cohort of ``keys``."""
-    return df.groupBy(*keys).agg(*metric_columns(weight))
+    sums = df.groupBy(*keys).agg(*metric_columns(weight))
+    q = ranks.quantiles(df.select(*keys, _err().alias("_e")), list(keys), "_e", {"median_abs_error": 0.5, "p90_abs_error": 0.9, "p95_abs_error": 0.95})
+    return ranks.beside(sums, q, list(keys))
 
 
 def error_strata(df: DataFrame, family: str, label: str) -> DataFrame:
-    """Rows, mae, median, p90, p95 of everything, each family and each label, in one grouping-sets pass."""
-    df = df.withColumn("e", _err())
-    return df.groupingSets([(), (F.col(family),), (F.col(label),)], F.col(family), F.col(label)).agg(
-        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("rows"), F.avg("e").alias("mae"), F.median("e").alias("median"), F.percentile("e", F.lit(0.9)).alias("p90"), F.percentile("e", F.lit(0.95)).alias("p95")
-    ).select(F.when(F.col("gid") == 3, "global").when(F.col("gid") == 1, "family").otherwise("label").alias("scope"), F.coalesce(family, label, F.lit("")).alias("stratum"), "rows", "mae", "median", "p90", "p95")
+    """Rows, mae, median, p90, p95 of everything, each family and each label. Equal errors of a family and label are
+    counted before they are listed under the three."""
+    by = df.groupBy(F.col(family).alias("_f"), F.col(label).alias("_l"), _err().alias("e")).agg(F.count(F.lit(1)).alias("c"))
+    scopes = F.array(*[F.struct(F.lit(s).alias("scope"), F.coalesce(v, F.lit("")).alias("stratum")) for s, v in (("global", F.lit("")), ("family", F.col("_f")), ("label", F.col("_l")))])
+    keys = ["scope", "stratum"]
+    each = by.select(F.explode(scopes).alias("s"), "e", "c").groupBy("s.scope", "s.stratum", "e").agg(F.sum("c").alias("c"))
+    t = ranks.cumulative(each, keys, ["e"], ["c"])
+    return t.groupBy(*keys).agg(F.sum("c").alias("rows"), (F.sum(F.col("e") * F.col("c")) / F.sum("c")).alias("mae"), *[ranks.interpolated("e", "upto_c", "n_c", q).alias(n) for n, q in (("median", 0.5), ("p90", 0.9), ("p95", 0.95))])
+
+
+def composite_heldout(protocols: dict[str, DataFrame], family: str, label: str) -> DataFrame:
+    """:func:`error_strata` of each protocol's held-out rows and of their union ("combined"), with protocol. Each
+    table has family, label, y and p; a row held out under two protocols counts once in each and twice in the union."""
+    named = [df.select(family, label, "y", "p").withColumn("protocol", F.lit(name)) for name, df in protocols.items()]
+    out = None
+    for name, df in [*protocols.items(), ("combined", None)]:
+        rows = df if df is not None else named[0]
+        if df is None:
+            for other in named[1:]:
+                rows = rows.unionByName(other)
+        part = error_strata(rows, family, label).select(F.lit(name).alias("protocol"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def group_balanced_mae(df: DataFrame, group: str) -> DataFrame:
@@ -57,40 +78,51 @@ def conformal_radius(df: DataFrame, key: str, levels: tuple[float, ...] = (0.5,
     Equal errors are counted before they are ordered.
     """
     by = df.select(key, _err().alias("e")).groupBy(key, "e").agg(F.count(F.lit(1)).alias("c"))
-    cum = by.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy("e"))).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
+    cum = ranks.cumulative(by, [key], ["e"], ["c"]).select(key, "e", F.col("upto_c").alias("upto"), F.col("n_c").alias("n"))
     lv = F.explode(F.array(*[F.lit(x) for x in levels]))
     k = F.least(F.col("n"), F.ceil(F.round((F.col("n") + 1) * F.col("level"), 9)))
     t = cum.withColumn("level", lv).where(F.col("upto") >= k)
     return t.groupBy(key, "level").agg(F.min("e").alias("radius"), (F.min("upto") / F.first("n")).alias("coverage"))
 
 
-def group_bootstrap(df: DataFrame, group: str, replicates: int = 200) -> DataFrame:
-    """p05, p50, p95 of the gain in MAE of p over q when whole groups are drawn again, and P(gain > 0).
+#: Cumulative Poisson(1) probabilities (fixed values).
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
 
-    Each group's error sums are weighted by a Poisson(1) count per replicate, drawn from a hash of group and
+def _replicates(sums: DataFrame, group: str, gains: list[str], replicates: int, *keys: str) -> DataFrame:
+    """keys, b and the mean of each gain (sums over n) when whole groups are drawn again, for each replicate b.
+
+    A group's sums are weighted by a Poisson(1) count per replicate, drawn from a hash of group and
     replicate: any partitioning gives the same draws, and sums are all that is shuffled. (A multinomial draw would need
     all groups in one place.)
     """
-    sums = df.groupBy(group).agg(F.sum(F.abs(F.col("y") - F.col("q")) - F.abs(F.col("y") - F.col("p"))).alias("g"), F.count(F.lit(1)).alias("n"))
     b = sums.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(group).cast("string"), F.col("b").cast("string")), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    #: cumulative Poisson(1) probabilities
-    cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    m = sum((F.when(u >= c, 1).otherwise(0) for c in cdf[1:]), F.when(u >= cdf[0], 1).otherwise(0))
-    each = b.withColumn("m", m).groupBy("b").agg((F.sum(F.col("m") * F.col("g")) / F.sum(F.col("m") * F.col("n"))).alias("gain"))
-    q = F.percentile("gain", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    m = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+    return b.withColumn("m", m).groupBy(*keys, "b").agg(*[(F.sum(F.col("m") * F.col(g)) / F.sum(F.col("m") * F.col("n"))).alias(g) for g in gains])
+
+
+def group_bootstrap(df: DataFrame, group: str, replicates: int = 200) -> DataFrame:
+    """p05, p50, p95 of the gain in MAE of p over q when whole groups are drawn again, and P(gain > 0)."""
+    sums = df.groupBy(group).agg(F.sum(F.abs(F.col("y") - F.col("q")) - F.abs(F.col("y") - F.col("p"))).alias("gain"), F.count(F.lit(1)).alias("n"))
+    each = _replicates(sums, group, ["gain"], replicates)
+    q = F.percentile("gain", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))  # a row per replicate
     return each.agg(q.alias("q"), F.avg((F.col("gain") > 0).cast("double")).alias("p_gain")).select(F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"), "p_gain")
 
 
-def calibration_gate(df: DataFrame, key: str, group: str) -> DataFrame:
-    """Per key the point gains over zero and over the baseline q, bias, correlation (three rows or more and
-    spread on both sides), and the scale 0.5 when both gains are positive, else 0; bootstrap bounds raise it to 1."""
+def calibration_gate(df: DataFrame, key: str, group: str, replicates: int = 200) -> DataFrame:
+    """Per key the point gains over zero and over the baseline q, their 5 % bootstrap bounds over groups (as
+    :func:`group_bootstrap` draws them), bias, correlation (three rows or more and spread on both sides), and the scale:
+    1 when both bounds are positive, 0.5 when both gains are, else 0."""
     e, z, c = _err(), F.abs("y"), F.abs(F.col("y") - F.col("q"))
     t = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct(group).alias("groups"), (F.avg(z) - F.avg(e)).alias("gain_zero"), (F.avg(c) - F.avg(e)).alias("gain_baseline"), F.avg(F.col("p") - F.col("y")).alias("bias"),
         F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop("y") > 0) & (F.stddev_pop("p") > 0), F.corr("y", "p")).alias("correlation"),
     )
-    return t.withColumn("scale", F.when((F.col("gain_zero") > 0) & (F.col("gain_baseline") > 0), 0.5).otherwise(0.0))
+    sums = df.groupBy(key, group).agg(F.sum(z - e).alias("zero"), F.sum(c - e).alias("base"), F.count(F.lit(1)).alias("n"))
+    drawn = _replicates(sums, group, ["zero", "base"], replicates, key).groupBy(key).agg(F.percentile("zero", F.lit(0.05)).alias("p05_zero"), F.percentile("base", F.lit(0.05)).alias("p05_baseline"))
+    t = ranks.beside(t, drawn, [key])
+    return t.withColumn("scale", F.when((F.col("p05_zero") > 0) & (F.col("p05_baseline") > 0), 1.0).when((F.col("gain_zero") > 0) & (F.col("gain_baseline") > 0), 0.5).otherwise(0.0))
 
 
 def censored_score(df: DataFrame, *keys: str) -> DataFrame:
@@ -109,13 +141,13 @@ def censored_score(df: DataFrame, *keys: str) -> DataFrame:
 def portability_block(df: DataFrame, predictors: list[str], *keys: str) -> DataFrame:
     """Mae, rmse, bias, p90 of several predictor columns, one row each and key."""
     long = df.select(*keys, "y", F.explode(F.map_from_arrays(F.array(*map(F.lit, predictors)), F.array(*predictors))).alias("predictor", "p"))
-    return long.groupBy(*keys, "predictor").agg(F.count(F.lit(1)).alias("rows"), F.avg(_err()).alias("mae"), F.sqrt(F.avg(_err() * _err())).alias("rmse"), F.avg(F.col("p") - F.col("y")).alias("bias"), F.percentile(_err(), F.lit(0.9)).alias("p90"))
+    return long.groupBy(*keys, "predictor").agg(F.count(F.lit(1)).alias("rows"), F.avg(_err()).alias("mae"), F.sqrt(F.avg(_err() * _err())).alias("rmse"), F.avg(F.col("p") - F.col("y")).alias("bias")).transform(lambda t: ranks.beside(t, ranks.quantiles(long.select(*keys, "predictor", _err().alias("_e")), [*keys, "predictor"], "_e", {"p90": 0.9}), [*keys, "predictor"]))
 
 
 def distribution_summary(df: DataFrame, x: str, *keys: str) -> DataFrame:
     """D29."""
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.5, 0.9, 0.95, 0.99)]))
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), q.alias("_q"), F.max(x).alias("max")).select(*keys, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))], "max")
+    q = ranks.quantiles(df.select(*keys, F.col(x).alias("_v")), list(keys), "_v", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    return ranks.beside(df.groupBy(*keys).agg(F.count(x).alias("n"), F.max(x).alias("max")), q, list(keys)).select(*keys, "n", "median", "p90", "p95", "p99", "max")
 
 
 def topk_hit_rate(df: DataFrame, group: str, score: str, truth: Column, order: list[str], k: int) -> DataFrame:
@@ -179,28 +211,47 @@ def hierarchical_calibration(calls: DataFrame, residuals: DataFrame, label: str,
     (5 % and 95 % of the weighted residual mixture around p).
 
     ``residuals`` has label, family, r. Pools of a label and family lean to the global pool by n / (n + k); tail
-    probabilities have half counts. Residuals are rounded to 6 places and counted, so that a pool is a sorted list of
-    distinct values; the mixture is made once per distinct (label, family), not per call.
+    probabilities have half counts. Residuals and the calls' thresholds are rounded to 6 places, counted and dealt out by
+    ranges of the value. Each pool is summed per range, so that tails are running counts within a range, and a mixture's
+    quantile is looked for in the one range where the pools' sums reach it: no pool is held by a row or a task.
     """
-    r = residuals.where("r is not null").select(F.col(label).alias("L"), F.col(family).alias("F"), F.round("r", 6).alias("r"))
-    pool = lambda keys: r.groupBy(*keys, "r").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("r", "c"))).alias("v"), F.sum("c").alias("n"))
-    every = pool([]).select(F.col("v").alias("gv"), F.col("n").alias("gn"))
-    pairs = calls.select(F.col(label).alias("L"), F.col(family).alias("F")).distinct()
-    by_f, by_l = pool(["F"]).select("F", F.col("v").alias("fv"), F.col("n").alias("fn")), pool(["L"]).select("L", F.col("v").alias("lv"), F.col("n").alias("ln"))
-    t = pairs.join(by_f, "F", "left").join(by_l, "L", "left").crossJoin(F.broadcast(every))
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    wl, wf = n("ln") / (n("ln") + k_label), n("fn") / (n("fn") + k_family)
-    t = t.withColumn("wl", wl).withColumn("wf", (1 - wl) * wf).withColumn("wg", (1 - wl) * (1 - wf))
-    spread = lambda v, w, c: F.transform(F.coalesce(F.col(v), F.array().cast("array<struct<r:double,c:bigint>>")), lambda x: F.struct(x["r"].alias("r"), (x["c"] * F.col(w) / F.col(c)).alias("w")))
-    mix = F.sort_array(F.concat(spread("lv", "wl", "ln"), spread("fv", "wf", "fn"), spread("gv", "wg", "gn")))
-    run = F.aggregate(mix, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")), lambda s, x: F.struct(
-        (s["s"] + x["w"]).alias("s"), F.coalesce(s["lo"], F.when(F.round(s["s"] + x["w"], 12) >= 0.05, x["r"])).alias("lo"), F.coalesce(s["hi"], F.when(F.round(s["s"] + x["w"], 12) >= 0.95, x["r"])).alias("hi")))
-    t = t.withColumn("q", run)
-    c = calls.withColumnRenamed(label, "L").withColumnRenamed(family, "F").join(t, ["L", "F"])
-    at = F.round(F.col("level") - F.col("p"), 6)
-    tail = lambda v, m: (F.aggregate(F.filter(F.coalesce(F.col(v), F.array().cast("array<struct<r:double,c:bigint>>")), lambda x: x["r"] >= at), F.lit(0).cast("long"), lambda s, x: s + x["c"]) + 0.5) / (n(m) + 1)
-    prob = F.col("wl") * tail("lv", "ln") + F.col("wf") * tail("fv", "fn") + F.col("wg") * tail("gv", "gn")
-    return c.select("id", F.col("L").alias(label), F.col("F").alias(family), "p", prob.alias("prob"), (F.col("p") + F.col("q.lo")).alias("low"), (F.col("p") + F.col("q.hi")).alias("high"))
+    no_pool = F.lit(None).cast("string")
+    c = calls.withColumnRenamed(label, "L").withColumnRenamed(family, "F").withColumn("_at", F.round(F.col("level") - F.col("p"), 6))
+    r = residuals.where("r is not null").select(F.col(label).alias("L"), F.col(family).alias("F"), F.round("r", 6).alias("x"), F.lit(1).alias("z"), F.lit(1).cast("long").alias("c"))
+    asked = c.select("L", "F", F.col("_at").alias("x"), F.lit(0).alias("z"), F.lit(0).cast("long").alias("c")).distinct()
+    events = asked.unionByName(r.groupBy("L", "F", "x", "z").agg(F.sum("c").alias("c")))
+    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(events.repartitionByRange(parts, "x", "z").withColumn("part", F.spark_partition_id()), "residual-ranges")
+    pools = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in (("L", F.col("L")), ("F", F.col("F")), ("G", no_pool))])
+    pool = ["kind", "key"]
+    each = placed.select(F.explode(pools).alias("g"), "part", "x", "z", "c").groupBy("g.kind", "g.key", "part", "x", "z").agg(F.sum("c").alias("c"))
+    each = cut(each.withColumn("key", F.coalesce("key", F.lit(""))), "residual-pools")
+    sums = each.groupBy(*pool, "part").agg(F.sum("c").alias("s"))
+    line = Window.partitionBy(*pool).orderBy("part")  # a row per range
+    sums = cut(sums.select(*pool, "part", F.sum("s").over(line).alias("end"), (F.sum("s").over(line) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy(*pool)).alias("n")), "residual-sums")
+    inside = Window.partitionBy(*pool, "part").orderBy("x", "z").rowsBetween(Window.unboundedPreceding, 0)
+    below = each.join(sums, [*pool, "part"]).select(*pool, "x", "z", (F.col("before") + F.sum("c").over(inside)).alias("below"), "n").where("z = 0")
+    # tails: residuals at or above the threshold
+    told = c.withColumn("L", F.coalesce("L", F.lit(""))).withColumn("F", F.coalesce("F", F.lit("")))
+    for kind, key in (("L", F.col("L")), ("F", F.col("F")), ("G", F.lit(""))):
+        own = below.where(F.col("kind") == kind).select(F.col("key").alias("_k"), F.col("x").alias("_at"), ((F.col("n") - F.col("below") + 0.5) / (F.col("n") + 1)).alias(f"tail_{kind}"), F.col("n").alias(f"n_{kind}"))
+        told = told.withColumn("_k", key).join(own, ["_k", "_at"], "left").drop("_k")
+    wl, wf = F.col("n_L") / (F.col("n_L") + k_label), F.col("n_F") / (F.col("n_F") + k_family)
+    told = told.withColumn("w_L", wl).withColumn("w_F", (1 - wl) * wf).withColumn("w_G", (1 - wl) * (1 - wf))
+    # mixtures: one per label and family of the calls
+    mixes = cut(told.groupBy("L", "F").agg(*[F.first(f"{v}_{k}").alias(f"{v}_{k}") for k in "LFG" for v in "wn"]), "residual-mixtures")
+    share = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key"), (F.col(f"w_{k}") / F.col(f"n_{k}")).alias("w")) for k, v in (("L", F.col("L")), ("F", F.col("F")), ("G", F.lit("")))]))
+    weights = mixes.select("L", "F", share.alias("s")).select("L", "F", "s.*").where("w is not null")
+    ranges = weights.join(sums, pool).select("L", "F", "part", (F.col("w") * (F.col("end") - F.col("before"))).alias("m")).groupBy("L", "F", "part").agg(F.sum("m").alias("m"))
+    up = Window.partitionBy("L", "F").orderBy("part")  # a row per range
+    levels = F.explode(F.array(F.lit(0.05), F.lit(0.95))).alias("q")
+    ends = ranges.select("L", "F", "part", F.sum("m").over(up).alias("end"), "m").select("*", levels).where(F.round("end", 12) >= F.col("q"))
+    spot = ends.groupBy("L", "F", "q").agg(F.min_by(F.struct("part", (F.col("end") - F.col("m")).alias("before")), "part").alias("t")).select("L", "F", "q", "t.part", "t.before")
+    values = spot.join(weights, ["L", "F"]).join(each.where("z = 1"), [*pool, "part"]).groupBy("L", "F", "q", "before", "x").agg(F.sum(F.col("w") * F.col("c")).alias("m"))
+    run = Window.partitionBy("L", "F", "q").orderBy("x")  # the values of one range
+    found = values.withColumn("upto", F.col("before") + F.sum("m").over(run)).where(F.round("upto", 12) >= F.col("q")).groupBy("L", "F").agg(F.min(F.when(F.col("q") < 0.5, F.col("x"))).alias("_low"), F.min(F.when(F.col("q") > 0.5, F.col("x"))).alias("_high"))
+    prob = sum((F.coalesce(F.col(f"w_{k}") * F.col(f"tail_{k}"), F.lit(0.0)) for k in "LF"), F.col("w_G") * F.col("tail_G"))
+    return told.join(found, ["L", "F"], "left").select("id", F.col("L").alias(label), F.col("F").alias(family), "p", prob.alias("prob"), (F.col("p") + F.col("_low")).alias("low"), (F.col("p") + F.col("_high")).alias("high"))
 
 
 # Folds and splits
@@ -239,8 +290,11 @@ def group_kfold(groups: DataFrame, group: str, size: str, k: int) -> DataFrame:
 
 def label_folds(df: DataFrame, label: str, row: str, k: int) -> DataFrame:
     """``df`` with fold: per label in hash order, round robin from an offset that the label's SHA-256 gives."""
-    w = Window.partitionBy(label).orderBy(F.sha2(F.col(row).cast("string"), 256), row)
-    return df.withColumn("fold", ((seed_of(label) % k) + F.row_number().over(w) - 1) % k)
+    one = df.select(F.col(label).alias("_l"), F.sha2(F.col(row).cast("string"), 256).alias("_h"), F.col(row).alias("_row")).groupBy("_l", "_h", "_row").agg(F.count(F.lit(1)).alias("_c"))
+    at = ranks.cumulative(one, ["_l"], ["_h", "_row"], ["_c"]).select("_l", "_row", (F.col("upto__c") - F.col("_c")).alias("_before"))
+    again = Window.partitionBy(label, row).orderBy(row)  # rows alike are told apart among themselves only
+    placed = df.join(at, F.col(label).eqNullSafe(F.col("_l")) & F.col(row).eqNullSafe(F.col("_row")))
+    return placed.withColumn("fold", ((seed_of(label) % k) + F.col("_before") + F.row_number().over(again) - 1) % k).drop("_l", "_row", "_before")
 
 
 def split_manifest(df: DataFrame, key: str, split: str) -> DataFrame:
@@ -257,11 +311,20 @@ def fold_support(df: DataFrame, label: str, group: str, fold: str) -> DataFrame:
 
 
 def leave_fold_out_median(df: DataFrame, key: str, fold: str, x: str, folds: int) -> DataFrame:
-    """Key, fold, baseline: the key's median over the other folds, else the median of all of them."""
-    out = df.select(key, F.col(fold).alias("_f"), F.col(x).alias("_x")).withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col(fold) != F.col("_f"))
-    every = out.groupBy(fold).agg(F.median("_x").alias("_all"))
-    own = out.groupBy(key, fold).agg(F.median("_x").alias("_own"))
+    """Key, fold, baseline: the key's median over the other folds, else the median of all of them.
+
+    Values are counted once with a column per fold; a fold's rank is the whole one less its own.
+    """
+    rest = [f"rest{f}" for f in range(folds)]
+    counts = [F.count_if(F.col(fold) != f).alias(c) for f, c in enumerate(rest)]
+
+    def each(keys: list[str]) -> DataFrame:
+        by = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_x")).agg(*counts)
+        wide = ranks.cumulative(by, keys, ["_x"], rest).groupBy(*keys).agg(*[ranks.interpolated("_x", f"upto_{c}", f"n_{c}", 0.5).alias(c) for c in rest])
+        return wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias(fold), F.col(c).alias("m")) for f, c in enumerate(rest)])).alias("s")).select(*keys, f"s.{fold}", "s.m")
+
     asked = df.select(key, fold).distinct()
+    own, every = each([key]).withColumnRenamed("m", "_own"), each([]).withColumnRenamed("m", "_all")
     return asked.join(own, [key, fold], "left").join(F.broadcast(every), fold, "left").select(key, fold, F.coalesce("_own", "_all").alias("baseline"))
 
 

@@ -10,10 +10,10 @@ from calibrant.plans.common import NUMBERED, numbered, r6, read
 FOLDS = 5
 
 
-def _oof(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("family"), (F.col("o_totalprice").cast("double") / 10000).alias("y"), (F.col("o_custkey") % FOLDS).cast("int").alias("fold"), (1.0 + F.col("o_orderkey") % 3).alias("w"))
+def _oof(spark, d, unit="o_custkey"):
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("family"), (F.col("o_totalprice").cast("double") / 10000).alias("y"), (F.col(unit) % FOLDS).cast("int").alias("fold"), (1.0 + F.col("o_orderkey") % 3).alias("w"))
     base = m.leave_fold_out_median(o, "label", "fold", "y", FOLDS)
-    return o.join(F.broadcast(base), ["label", "fold"]).withColumn("p", F.col("baseline") + F.col("o_orderkey") % 5 - 2).withColumnRenamed("baseline", "q")
+    return o.join(base, ["label", "fold"]).withColumn("p", F.col("baseline") + F.col("o_orderkey") % 5 - 2).withColumnRenamed("baseline", "q")
 
 
 def _r(df, *keep, places=6):
@@ -33,6 +33,10 @@ def error_strata(spark, d):
     return _r(m.error_strata(_oof(spark, d), "family", "label"))
 
 
+def composite_heldout(spark, d):
+    return _r(m.composite_heldout({"customer": _oof(spark, d), "order": _oof(spark, d, "o_orderkey")}, "family", "label"))
+
+
 def group_balanced_mae(spark, d):
     return _r(m.group_balanced_mae(_oof(spark, d), "o_custkey"))
 
@@ -66,7 +70,7 @@ def distribution_summary(spark, d):
 
 def hierarchical_calibration(spark, d):
     o = _oof(spark, d)
-    calls = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), "label", "family", F.round("p", 6).alias("p"), F.lit(15.0).alias("level"))
+    calls = o.select(F.col("o_orderkey").alias("id"), "label", "family", F.round("p", 6).alias("p"), F.lit(15.0).alias("level"))
     res = o.select("label", "family", F.round(F.round("y", 6) - F.round("p", 6), 6).alias("r"))
     return _r(m.hierarchical_calibration(calls, res, "label", "family"))
 
@@ -166,13 +170,19 @@ def cluster_1d(spark, d):
 
 QUERIES = {k: v for k, v in dict(globals()).items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 
-_OOF = """o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS label, o_orderstatus AS family, o_totalprice::DOUBLE / 10000 AS y, (o_custkey % 5)::INT AS fold, 1.0::DOUBLE + o_orderkey % 3 AS w FROM orders),
+_FOLDED = """o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS label, o_orderstatus AS family, o_totalprice::DOUBLE / 10000 AS y, ({unit} % 5)::INT AS fold, 1.0::DOUBLE + o_orderkey % 3 AS w FROM orders),
 b AS (SELECT label, f.fold, median(y) AS q FROM o, (SELECT unnest(range(5)) AS fold) f WHERE o.fold <> f.fold GROUP BY ALL),
 x AS (SELECT o.*, q, q + o_orderkey % 5 - 2 AS p, abs(y - (q + o_orderkey % 5 - 2)) AS e FROM o JOIN b ON o.label = b.label AND o.fold = b.fold)"""
+_OOF = _FOLDED.format(unit="o_custkey")
 _SIZES = "z AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)"
 _SC = "s AS (SELECT d.doc_id, least(1.0, length(coalesce(text, '')) / 5000)::DOUBLE AS s, lang, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+_DRAWN = " + ".join(f"(u >= {c})::INT" for c in m.POISSON)
+_STRATA = "SELECT 'global' AS scope, '' AS stratum, e FROM {t} UNION ALL SELECT 'family', family, e FROM {t} UNION ALL SELECT 'label', label, e FROM {t}"
 
 SQL = {
+    "composite_heldout": f"""WITH c AS (WITH {_OOF} SELECT family, label, e FROM x), k AS (WITH {_FOLDED.format(unit="o_orderkey")} SELECT family, label, e FROM x), a AS (SELECT * FROM c UNION ALL SELECT * FROM k),
+        u AS (SELECT 'customer' AS protocol, * FROM ({_STRATA.format(t="c")}) UNION ALL SELECT 'order', * FROM ({_STRATA.format(t="k")}) UNION ALL SELECT 'combined', * FROM ({_STRATA.format(t="a")}))
+        SELECT protocol, scope, stratum, count(*) AS rows, round(avg(e), 6) AS mae, round(median(e), 6) AS median, round(quantile_cont(e, 0.9), 6) AS p90, round(quantile_cont(e, 0.95), 6) AS p95 FROM u GROUP BY ALL""",
     "leave_fold_out_baseline": f"WITH {_OOF} SELECT DISTINCT label, fold, round(q, 6) AS baseline FROM x",
     "error_metrics": f"""WITH {_OOF} SELECT label, count(*) AS rows, round(avg(e), 6) AS mae, round(sum(w * e) / sum(w), 6) AS weighted_mae, round(sqrt(avg(e * e)), 6) AS rmse, round(sqrt(sum(w * e * e) / sum(w)), 6) AS weighted_rmse,
         round(1 - sum(e * e) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2, round(1 - sum(w * e * e) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)), 6) AS weighted_r2, round(avg(p - y), 6) AS bias,
@@ -181,15 +191,17 @@ SQL = {
     "group_balanced_mae": f"WITH {_OOF}, g AS (SELECT o_custkey, avg(e) AS m FROM x GROUP BY 1) SELECT count(*) AS groups, round(avg(m), 6) AS balanced_mae FROM g",
     "conformal_radius": f"WITH {_OOF}, r AS (SELECT label, abs(round(y, 6) - round(p, 6)) AS e, row_number() OVER (PARTITION BY label ORDER BY abs(round(y, 6) - round(p, 6))) AS k, count(*) OVER (PARTITION BY label) AS n FROM x), l AS (SELECT unnest([0.5, 0.8, 0.9, 0.95])::DOUBLE AS level), c AS (SELECT label, level, e AS radius FROM r, l WHERE k = least(n, ceil(round((n + 1) * level, 9)))) SELECT c.label, level, round(radius, 6) + 0.0 AS radius, round(count(*) FILTER (r.e <= radius) / count(*), 6) + 0.0 AS coverage FROM c JOIN r ON c.label = r.label GROUP BY c.label, level, radius",
     "group_bootstrap": f"""WITH {_OOF},g AS (SELECT o_custkey, sum(abs(y - q) - e) AS g, count(*) AS n FROM x GROUP BY 1), bb AS (SELECT *, ('0x' || substr(sha256(o_custkey || ':' || b), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM g, (SELECT unnest(range(1, 201)) AS b)),
-        m AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.9999167588507119)::INT AS m FROM bb),
+        m AS (SELECT *, {_DRAWN} AS m FROM bb),
         t AS (SELECT b, sum(m * g) / sum(m * n) AS gain FROM m GROUP BY b) SELECT round(quantile_cont(gain, 0.05), 6) AS p05, round(quantile_cont(gain, 0.5), 6) AS p50, round(quantile_cont(gain, 0.95), 6) AS p95, round(avg((gain > 0)::INT), 6) AS p_gain FROM t""",
     "calibration_gate": f"""WITH {_OOF}, c AS (SELECT label, o_custkey, y - 15 AS y, p - 15 AS p, q - 15 AS q FROM x), t AS (SELECT label, count(*) AS rows, count(DISTINCT o_custkey) AS groups, avg(abs(y)) - avg(abs(y - p)) AS gz, avg(abs(y - q)) - avg(abs(y - p)) AS gb, avg(p - y) AS bias, corr(y, p) AS c FROM c GROUP BY 1)
-        SELECT label, rows, groups, round(gz, 6) AS gain_zero, round(gb, 6) AS gain_baseline, round(bias, 6) AS bias, round(c, 6) AS correlation, CASE WHEN gz > 0 AND gb > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS scale FROM t""",
+        , g AS (SELECT label, o_custkey, sum(abs(y) - abs(y - p)) AS z, sum(abs(y - q) - abs(y - p)) AS k, count(*) AS n FROM c GROUP BY ALL), bb AS (SELECT *, ('0x' || substr(sha256(o_custkey || ':' || b), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM g, (SELECT unnest(range(1, 201)) AS b)),
+        m AS (SELECT *, {_DRAWN} AS m FROM bb), v AS (SELECT label, b, sum(m * z) / sum(m * n) AS z, sum(m * k) / sum(m * n) AS k FROM m GROUP BY label, b), e AS (SELECT label, quantile_cont(z, 0.05) AS pz, quantile_cont(k, 0.05) AS pk FROM v GROUP BY label)
+        SELECT label, rows, groups, round(gz, 6) AS gain_zero, round(gb, 6) AS gain_baseline, round(bias, 6) AS bias, round(c, 6) AS correlation, round(pz, 6) AS p05_zero, round(pk, 6) AS p05_baseline, CASE WHEN pz > 0 AND pk > 0 THEN 1.0 WHEN gz > 0 AND gb > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS scale FROM t JOIN e USING (label)""",
     "censored_score": f"""WITH {_OOF}, k AS (SELECT *, o_orderkey % 4 AS k FROM x) SELECT label, count(*) FILTER (k = 3) AS n_exact, round(avg(e) FILTER (k = 3), 6) AS exact_mae, round(avg(e) FILTER (k = 2), 6) AS approximate_mae, round(avg(CASE WHEN k = 0 THEN (p > y)::INT WHEN k = 1 THEN (p < y)::INT END), 6) AS bounds_satisfied,
         round(avg(CASE WHEN k = 0 THEN greatest(0, y - p) END), 6) AS lower_violation, round(avg(CASE WHEN k = 1 THEN greatest(0, p - y) END), 6) AS upper_violation FROM k GROUP BY label""",
     "portability_block": f"WITH {_OOF}, u AS (SELECT family, y, 'p' AS predictor, p FROM x UNION ALL SELECT family, y, 'q', q FROM x) SELECT family, predictor, count(*) AS rows, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(p - y), 6) AS bias, round(quantile_cont(abs(y - p), 0.9), 6) AS p90 FROM u GROUP BY ALL",
     "distribution_summary": f"WITH {_OOF} SELECT label, count(*) AS n, round(median(y), 6) AS median, round(quantile_cont(y, 0.9), 6) AS p90, round(quantile_cont(y, 0.95), 6) AS p95, round(quantile_cont(y, 0.99), 6) AS p99, round(max(y), 6) AS max FROM x GROUP BY 1",
-    "hierarchical_calibration": f"""WITH {_OOF}, r AS (SELECT label, family, round(round(y, 6) - round(p, 6), 6) AS r FROM x), c AS (SELECT o_orderkey AS id, label, family, round(p, 6) AS p, round(15.0 - round(p, 6), 6) AS t FROM x WHERE o_orderkey % 5 = 0),
+    "hierarchical_calibration": f"""WITH {_OOF}, r AS (SELECT label, family, round(round(y, 6) - round(p, 6), 6) AS r FROM x), c AS (SELECT o_orderkey AS id, label, family, round(p, 6) AS p, round(15.0 - round(p, 6), 6) AS t FROM x),
         ln AS (SELECT label, count(*) AS n FROM r GROUP BY 1), fn AS (SELECT family, count(*) AS n FROM r GROUP BY 1), gn AS (SELECT count(*) AS n FROM r),
         w AS (SELECT label, family, ln.n AS ln, fn.n AS fn, gn.n AS gn, ln.n / (ln.n + 20) AS wl, (1 - ln.n / (ln.n + 20)) * fn.n / (fn.n + 40) AS wf, (1 - ln.n / (ln.n + 20)) * (1 - fn.n / (fn.n + 40)) AS wg FROM ln, fn, gn),
         tl AS (SELECT c.label, c.t, count(*) FILTER (r.r >= c.t) AS k FROM (SELECT DISTINCT label, t FROM c) c JOIN r ON c.label = r.label GROUP BY ALL), tf AS (SELECT c.family, c.t, count(*) FILTER (r.r >= c.t) AS k FROM (SELECT DISTINCT family, t FROM c) c JOIN r ON c.family = r.family GROUP BY ALL), tg AS (SELECT c.t, count(*) FILTER (r.r >= c.t) AS k FROM (SELECT DISTINCT t FROM c) c, r GROUP BY ALL),
