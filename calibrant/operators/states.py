@@ -66,13 +66,21 @@ def _bit(state: Column, i: Column) -> Column:
 
 
 def with_states(g: DataFrame) -> DataFrame:
-    """Adds states, an array of state, n (sites on the acid side), weight (log10); null if unavailable."""
-    def weigh(s: Column) -> Column:
-        one = F.aggregate(F.transform("sites", lambda x, i: _bit(s, i) * x["b"]), F.lit(0.0), lambda t, x: t + x)
-        two = F.aggregate(F.col("pairs"), F.lit(0.0), lambda t, p: t + _bit(s, p["i"]) * _bit(s, p["j"]) * p["v"])
-        return F.struct(s.alias("state"), F.bit_count(s).cast("int").alias("n"), (one + two).alias("weight"))
+    """Adds states, an array of state, n (sites on the acid side), weight (log10); null if unavailable.
 
-    return g.withColumn("states", F.when(F.col("available"), F.transform(F.sequence(F.lit(0), (F.col("n_states") - 1).cast("int")), weigh)))
+    Weights double with each site: those with the site are those without it plus its term and its couplings to the
+    sites before it, which double in the same way; so a graph costs about twice its number of states.
+    """
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    between = lambda own, i: F.aggregate(F.filter(own, lambda p: p["i"] == i), F.lit(0.0), lambda t, p: t + p["v"])
+
+    def couplings(k: Column) -> Column:
+        own = F.filter("pairs", lambda p: p["j"] == k)
+        return let(own, lambda v: F.aggregate(upto(k), F.array(F.lit(0.0)), lambda c, i: let(between(v, i), lambda j: F.concat(c, F.transform(c, lambda x: x + j)))))
+
+    grown = F.aggregate(upto(F.size("sites")), F.array(F.lit(0.0)), lambda w, k: F.concat(w, F.zip_with(w, couplings(k), lambda x, c: x + F.get(F.col("sites"), k)["b"] + c)))
+    states = F.transform(grown, lambda w, s: F.struct(s.alias("state"), F.bit_count(s).cast("int").alias("n"), w.alias("weight")))
+    return g.withColumn("states", F.when(F.col("available"), states))
 
 
 def with_populations(g: DataFrame, level: float | Column) -> DataFrame:
@@ -122,33 +130,55 @@ def ladder(g: DataFrame) -> DataFrame:
 def edges(g: DataFrame) -> DataFrame:
     """Every one-unit transition: graph_id, site_id, base_state, acid_state, value (b and the couplings
     to the sites occupied besides), cycle_error (against the difference of the states' weights)."""
-    def of_site(st: Column, i: Column, s: Column) -> Column:
+    def of_site(st: Column, i: Column, near: Column, s: Column) -> Column:
         own = F.get(F.col("sites"), i)
-        other = F.aggregate(F.col("pairs"), F.lit(0.0), lambda t, p: t + F.when(p["i"] == i, _bit(s["state"], p["j"]) * p["v"]).when(p["j"] == i, _bit(s["state"], p["i"]) * p["v"]).otherwise(0.0))
+        other = F.aggregate(near, F.lit(0.0), lambda t, p: t + _bit(s["state"], p["o"]) * p["v"])
         up = (s["state"] + F.call_function("shiftleft", F.lit(1), i)).cast("int")
         value = own["b"] + other
         return F.struct(own["site_id"].alias("site_id"), s["state"].alias("base_state"), up.alias("acid_state"), value.alias("value"), F.abs(F.get(st, up)["weight"] - s["weight"] - value).alias("cycle_error"))
 
     at = F.sequence(F.lit(0), F.size("sites") - 1)
-    every = let(F.col("states"), lambda st: F.flatten(F.transform(at, lambda i: F.transform(F.filter(st, lambda s: _bit(s["state"], i) == 0), lambda s: of_site(st, i, s)))))
+    touching = lambda i: F.transform(F.filter("pairs", lambda p: (p["i"] == i) | (p["j"] == i)), lambda p: F.struct((p["i"] + p["j"] - i).alias("o"), p["v"].alias("v")))
+    of = lambda st, i: let(touching(i), lambda near: F.transform(F.filter(st, lambda s: _bit(s["state"], i) == 0), lambda s: of_site(st, i, near, s)))
+    every = let(F.col("states"), lambda st: F.flatten(F.transform(at, lambda i: of(st, i))))
     return g.where("available").select("graph_id", F.explode(every).alias("e")).select("graph_id", "e.*")
 
 
-def independent_ladder(sites: DataFrame) -> DataFrame:
-    """Ladder of sites that don't interact: elementary symmetric sums as a fold over the sorted terms, kept as
-    log10 coefficients."""
-    rows = sites.groupBy("graph_id").agg(F.sort_array(F.collect_list("b")).alias("bs"))
+def layer_sums(bs: Column) -> Column:
+    """log10 partition sums of 0, 1, ... sites on the acid side, for terms ``bs`` without couplings: elementary symmetric
+    sums as a fold, kept as logarithms; no states are expanded."""
     low = F.lit(-1e300)
 
     def grow(coefs: Column, b: Column) -> Column:
         longer = F.concat(coefs, F.array(low))
         return F.transform(longer, lambda c, k: F.when(k == 0, c).otherwise(log10_sum(F.array(c, F.get(coefs, k - 1) + b))))
 
-    coefs = F.aggregate("bs", F.array(F.lit(0.0)), grow)
-    steps = let(coefs, lambda c: F.transform(F.sequence(F.lit(1), F.size("bs")), lambda k: F.get(c, k) - F.get(c, k - 1)))
+    return F.aggregate(bs, F.array(F.lit(0.0)), grow)
+
+
+def independent_ladder(sites: DataFrame) -> DataFrame:
+    """Ladder of sites that don't interact."""
+    rows = sites.groupBy("graph_id").agg(F.sort_array(F.collect_list("b")).alias("bs"))
+    steps = let(layer_sums(F.col("bs")), lambda c: F.transform(F.sequence(F.lit(1), F.size("bs")), lambda k: F.get(c, k) - F.get(c, k - 1)))
     return rows.select("graph_id", F.posexplode(steps).alias("step", "value")).select("graph_id", (F.col("step") + 1).alias("step"), "value")
 
 
+def coupling_scan(targets: DataFrame, low: float = -4.0, high: float = 4.0, steps: int = 81, ridge: float = 0.25) -> DataFrame:
+    """graph_id, coupling, loss: the shared pair coupling J on a grid whose ladder is nearest to the graph's target
+    ladder, by squared error plus ridge times J^2 (rounded to 6 places; ties: the weaker J, then the lower).
+
+    ``targets``: graph_id, b (terms), target (ladder values for 1, 2, ... sites). The n-th layer's sum is the one without
+    couplings plus J n (n - 1) / 2, so that the layers are summed once for the whole grid and any number of sites fits.
+    """
+    width = (high - low) / (steps - 1)
+    g = targets.withColumn("layers", layer_sums(F.sort_array("b"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    j = F.round(low + F.col("k") * width, 9)
+    z = F.transform("layers", lambda v, n: v + j * n * (n - 1) / 2)
+    err = let(z, lambda v: F.aggregate(F.transform("target", lambda t, i: F.pow(F.get(v, i + 1) - F.get(v, i) - t, 2)), F.lit(0.0), lambda s, x: s + x))
+    g = g.select("graph_id", j.alias("j"), F.round(err + ridge * j * j, 6).alias("loss"))
+    return g.groupBy("graph_id").agg(F.min_by("j", F.struct("loss", F.abs("j"), "j")).alias("coupling"), F.min("loss").alias("loss"))
+
+
 def order_violation(rows: DataFrame, group: str, step: str, value: str) -> DataFrame:
     """Group, violated: does a later step exceed the one before?"""
     w = Window.partitionBy(group).orderBy(step)

@@ -1,4 +1,5 @@
-"""State-graph queries: an order is a graph, its first four lines are the sites."""
+"""State-graph queries: an order is a graph and its lines are the sites; orders of over 12 lines
+(more than 4096 states) are unavailable."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ LEVEL = 7.4
 
 
 def _sites(spark, d):
-    lines = numbered(read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", *LINE_ORDER)).where("rn <= 4")
+    lines = numbered(read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", *LINE_ORDER))
     return lines.select(F.col("l_orderkey").alias("graph_id"), F.col("rn").alias("site_id"), (2 + F.col("l_quantity").cast("double") / 5).alias("b"), F.col("l_discount").cast("double").alias("disc"))
 
 
@@ -25,8 +26,9 @@ def state_populations(spark, d):
 
 
 def population_summary(spark, d):
+    """Summaries per graph; those of unavailable graphs are null, their dominant state -1."""
     g = states.with_populations(_graphs(spark, d), LEVEL)
-    return g.select("graph_id", "n_states", r6("log10z").alias("log10z"), r6("entropy").alias("entropy"), r6("effective").alias("effective"), F.col("dominant").cast("long").alias("dominant"), r6("gap").alias("gap"))
+    return g.select("graph_id", "n_states", "available", r6("log10z").alias("log10z"), r6("entropy").alias("entropy"), r6("effective").alias("effective"), F.coalesce("dominant", F.lit(-1)).cast("long").alias("dominant"), r6("gap").alias("gap"))
 
 
 def site_marginals(spark, d):
@@ -93,32 +95,23 @@ def dominant_then_best(spark, d):
     """The dominant state of each order, then its best-priced site on the acid side."""
     g = states.with_populations(_graphs(spark, d), LEVEL)
     top = g.select("graph_id", "dominant")
-    lines = numbered(read(spark, d, "lineitem")).where("rn <= 4").select(F.col("l_orderkey").alias("graph_id"), "rn", F.col("l_extendedprice").cast("double").alias("price"))
+    lines = numbered(read(spark, d, "lineitem")).select(F.col("l_orderkey").alias("graph_id"), "rn", F.col("l_extendedprice").cast("double").alias("price"))
     inside = lines.join(top, "graph_id").where(F.call_function("shiftright", F.col("dominant"), F.col("rn") - 1).bitwiseAND(1) == 1)
     best = inside.groupBy("graph_id", "dominant").agg(F.max_by("rn", F.struct("price", -F.col("rn"))).alias("best_site"))
     return best.select("graph_id", F.col("dominant").cast("long").alias("dominant"), F.col("best_site").cast("long").alias("best_site"))
 
 
 def coupling_scan(spark, d):
-    """Per order the shared coupling on the grid -4..4 with the least squared ladder error plus 0.25 J^2,
-    the target ladder being the sorted one-body terms less 0.3 a step."""
-    g = states.graphs(_sites(spark, d)).where("n_states <= 16 and size(sites) >= 2")
-    bs = F.transform("sites", lambda s: s["b"])
-    target = F.transform(F.sort_array(bs, asc=False), lambda b, i: b - 0.3 * i)
-    state = F.sequence(F.lit(0), (F.col("n_states") - 1).cast("int"))
-    own = F.transform(state, lambda s: F.struct(F.bit_count(s).alias("n"), F.aggregate(F.transform(bs, lambda b, i: F.call_function("shiftright", s, i).bitwiseAND(1) * b), F.lit(0.0), lambda t, x: t + x).alias("w")))
-    g = g.select("graph_id", F.size("sites").alias("k"), target.alias("target"), own.alias("own")).withColumn("j10", F.explode(F.sequence(F.lit(-40), F.lit(40))))
-    j = F.col("j10") / 10
-    z = F.transform(F.sequence(F.lit(0), F.col("k")), lambda n: states.log10_sum(F.transform(F.filter("own", lambda o: o["n"] == n), lambda o: o["w"] + j * n * (n - 1) / 2)))
-    err = states.let(z, lambda v: F.aggregate(F.transform("target", lambda t, i: F.pow(F.get(v, i + 1) - F.get(v, i) - t, 2)), F.lit(0.0), lambda s, x: s + x))
-    g = g.withColumn("loss", F.round(err + 0.25 * j * j, 6))
-    return g.groupBy("graph_id").agg(F.min_by("j10", F.struct("loss", F.abs("j10"), "j10")).cast("long").alias("j10"), F.min("loss").alias("loss"))
+    """The target ladder is the sorted one-body terms less 0.3 a step."""
+    terms = _sites(spark, d).groupBy("graph_id").agg(F.collect_list("b").alias("b")).where(F.size("b") >= 2)
+    t = states.coupling_scan(terms.withColumn("target", F.transform(F.sort_array("b", asc=False), lambda b, i: b - 0.3 * i)))
+    return t.select("graph_id", F.round(F.col("coupling") * 10).cast("long").alias("j10"), "loss")
 
 
 QUERIES = {f.__name__: f for f in (state_populations, population_summary, site_marginals, macro_ladder, contextual_edges, independent_ladder, interval_marginals, coupling_effect, log10_sum, order_violation, monotone_projection, projection_with_fixed, softmax_rank, dominant_then_best, coupling_scan)}
 
-_S = f"""s AS (SELECT l_orderkey AS graph_id, rn AS site_id, 2 + l_quantity::DOUBLE / 5 AS b, l_discount::DOUBLE AS disc FROM {NUMBERED} WHERE rn <= 4),
-k AS (SELECT graph_id, count(*) AS k FROM s GROUP BY graph_id),
+_S = f"""s AS (SELECT l_orderkey AS graph_id, rn AS site_id, 2 + l_quantity::DOUBLE / 5 AS b, l_discount::DOUBLE AS disc FROM {NUMBERED}),
+k AS (SELECT graph_id, count(*) AS k FROM s GROUP BY graph_id HAVING count(*) <= 12),
 st AS (SELECT graph_id, k, unnest(range(0, (1 << k)::BIGINT)) AS state FROM k),
 oc AS (SELECT st.graph_id, state, site_id, b, disc FROM st JOIN s ON st.graph_id = s.graph_id WHERE (state >> (site_id - 1)) & 1 = 1),
 pw AS (SELECT x.graph_id, x.state, sum(-100 * x.disc * y.disc) AS w FROM oc x JOIN oc y ON x.graph_id = y.graph_id AND x.state = y.state AND x.site_id < y.site_id GROUP BY ALL),
@@ -127,15 +120,16 @@ w AS (SELECT st.graph_id, st.state, k, coalesce(n, 0) AS n, coalesce(ow.w, 0) +
 e AS (SELECT *, weight - n * 7.4 AS e, max(weight - n * 7.4) OVER (PARTITION BY graph_id) AS top FROM w),
 p AS (SELECT *, top + log10(sum(pow(10, e - top)) OVER (PARTITION BY graph_id)) AS z FROM e),
 q AS (SELECT *, pow(10, e - z) AS p FROM p)"""
-
+_ANY = _S.replace(" HAVING count(*) <= 12", "")
 _MARGINAL = "SELECT s.graph_id, s.site_id, round(sum(CASE WHEN (state >> (site_id - 1)) & 1 = 1 THEN p ELSE 0 END), 6) + 0.0 AS p_acid FROM s JOIN q ON s.graph_id = q.graph_id GROUP BY s.graph_id, s.site_id"
 
 SQL = {
     "state_populations": f"WITH {_S} SELECT graph_id, state, n, round(weight, 6) + 0.0 AS weight, round(p, 6) + 0.0 AS population FROM q",
-    "population_summary": f"""WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY round(p, 9) DESC, state) AS rk FROM q)
-        SELECT graph_id, (1 << max(k))::BIGINT AS n_states, round(max(z), 6) + 0.0 AS log10z, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END), 6) + 0.0 AS entropy,
+    "population_summary": f"""WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY round(p, 9) DESC, state) AS rk FROM q),
+        o AS (SELECT graph_id, round(max(z), 6) + 0.0 AS log10z, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END), 6) + 0.0 AS entropy,
         round(exp(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END)), 6) + 0.0 AS effective, max(CASE WHEN rk = 1 THEN state END) AS dominant,
-        round(max(CASE WHEN rk = 1 THEN p END) - coalesce(max(CASE WHEN rk = 2 THEN p END), 0), 6) + 0.0 AS gap FROM r GROUP BY graph_id""",
+        round(max(CASE WHEN rk = 1 THEN p END) - coalesce(max(CASE WHEN rk = 2 THEN p END), 0), 6) + 0.0 AS gap FROM r GROUP BY graph_id)
+        SELECT a.graph_id, (1 << a.k)::BIGINT AS n_states, a.k <= 12 AS available, log10z, entropy, effective, coalesce(dominant, -1) AS dominant, gap FROM (SELECT graph_id, count(*) AS k FROM s GROUP BY graph_id) a LEFT JOIN o ON a.graph_id = o.graph_id""",
     "site_marginals": f"WITH {_S} {_MARGINAL}",
     "macro_ladder": f"""WITH {_S}, z AS (SELECT graph_id, n, max(weight) AS m FROM w GROUP BY ALL),
         l AS (SELECT w.graph_id, w.n, m + log10(sum(pow(10, weight - m))) AS lz FROM w JOIN z ON w.graph_id = z.graph_id AND w.n = z.n GROUP BY w.graph_id, w.n, m),
@@ -144,8 +138,8 @@ SQL = {
     "contextual_edges": f"""WITH {_S}, ed AS (SELECT w.graph_id, site_id, state AS base_state, state + (1 << (site_id - 1)) AS acid_state, b, disc, weight FROM w JOIN s ON w.graph_id = s.graph_id WHERE (state >> (site_id - 1)) & 1 = 0),
         c AS (SELECT ed.graph_id, ed.site_id, base_state, acid_state, any_value(ed.b) + coalesce(sum(-100 * ed.disc * oc.disc), 0) AS value, any_value(ed.weight) AS w0 FROM ed LEFT JOIN oc ON ed.graph_id = oc.graph_id AND ed.base_state = oc.state GROUP BY ALL)
         SELECT c.graph_id, site_id, base_state, acid_state, round(value, 6) + 0.0 AS value, round(abs(w.weight - w0 - value), 6) + 0.0 AS cycle_error FROM c JOIN w ON c.graph_id = w.graph_id AND c.acid_state = w.state""",
-    "independent_ladder": f"""WITH {_S}, o AS (SELECT st.graph_id, st.state, coalesce(w, 0) AS w, coalesce(n, 0) AS n FROM st LEFT JOIN ow ON st.graph_id = ow.graph_id AND st.state = ow.state),
-        z AS (SELECT graph_id, n, log10(sum(pow(10, w))) AS lz FROM o GROUP BY ALL), d AS (SELECT graph_id, n AS step, lz - lag(lz) OVER (PARTITION BY graph_id ORDER BY n) AS value FROM z)
+    "independent_ladder": f"""WITH {_ANY}, o AS (SELECT st.graph_id, st.state, coalesce(w, 0) AS w, coalesce(n, 0) AS n FROM st LEFT JOIN ow ON st.graph_id = ow.graph_id AND st.state = ow.state),
+        z AS (SELECT graph_id, n, max(w) + log10(sum(pow(10, w - m))) AS lz FROM (SELECT *, max(w) OVER (PARTITION BY graph_id, n) AS m FROM o) GROUP BY ALL), d AS (SELECT graph_id, n AS step, lz - lag(lz) OVER (PARTITION BY graph_id ORDER BY n) AS value FROM z)
         SELECT graph_id, step, round(value, 6) + 0.0 AS value FROM d WHERE step > 0""",
     "interval_marginals": " UNION ALL ".join(f"(WITH {_S.replace('2 + l_quantity::DOUBLE / 5 AS b', f'2 + l_quantity::DOUBLE / 5 + ({shift}) AS b')} SELECT '{name}' AS scenario, * FROM ({_MARGINAL}))" for name, shift in (("low", -0.5), ("mid", 0.0), ("high", 0.5))),
     "coupling_effect": f"""WITH a AS (WITH {_S} SELECT s.graph_id, site_id, sum(CASE WHEN (state >> (site_id - 1)) & 1 = 1 THEN p ELSE 0 END) AS p FROM s JOIN q ON s.graph_id = q.graph_id GROUP BY ALL),
@@ -163,10 +157,11 @@ SQL = {
         u AS (SELECT *, e / sum(e) OVER (PARTITION BY l_partkey) AS share FROM t)
         SELECT l_partkey, item, rank, round(share, 6) AS share, tied, n_items, n_items > 16 AS truncated, round(exp(-sum(CASE WHEN share > 0 THEN share * ln(share) ELSE 0 END) OVER (PARTITION BY l_partkey)), 6) AS effective FROM u""",
     "dominant_then_best": f"""WITH {_S}, r AS (SELECT graph_id, state, row_number() OVER (PARTITION BY graph_id ORDER BY round(p, 9) DESC, state) AS rk FROM q),
-        l AS (SELECT r.graph_id, state, n.rn, row_number() OVER (PARTITION BY r.graph_id ORDER BY l_extendedprice DESC, n.rn) AS o FROM r JOIN {NUMBERED} n ON r.graph_id = n.l_orderkey AND n.rn <= 4 WHERE rk = 1 AND (state >> (n.rn - 1)) & 1 = 1)
+        l AS (SELECT r.graph_id, state, n.rn, row_number() OVER (PARTITION BY r.graph_id ORDER BY l_extendedprice DESC, n.rn) AS o FROM r JOIN {NUMBERED} n ON r.graph_id = n.l_orderkey WHERE rk = 1 AND (state >> (n.rn - 1)) & 1 = 1)
         SELECT graph_id, state AS dominant, rn AS best_site FROM l WHERE o = 1""",
-    "coupling_scan": f"""WITH {_S}, j AS (SELECT unnest(range(-40, 41)) AS j10),
-        o AS (SELECT st.graph_id, st.k, j10, coalesce(ow.n, 0) AS n, log10(sum(pow(10, coalesce(w, 0) + j10 / 10.0 * coalesce(ow.n, 0) * (coalesce(ow.n, 0) - 1) / 2))) AS z FROM st LEFT JOIN ow ON st.graph_id = ow.graph_id AND st.state = ow.state CROSS JOIN j WHERE st.k >= 2 GROUP BY 1, 2, 3, 4),
+    "coupling_scan": f"""WITH {_ANY}, j AS (SELECT unnest(range(-40, 41)) AS j10),
+        y AS (SELECT st.graph_id, st.k, coalesce(ow.n, 0) AS n, coalesce(w, 0) AS w, max(coalesce(w, 0)) OVER (PARTITION BY st.graph_id, coalesce(ow.n, 0)) AS m FROM st LEFT JOIN ow ON st.graph_id = ow.graph_id AND st.state = ow.state WHERE st.k >= 2),
+        g AS (SELECT graph_id, n, max(m) + log10(sum(pow(10, w - m))) AS z FROM y GROUP BY ALL), o AS (SELECT graph_id, n, j10, z + j10 / 10.0 * n * (n - 1) / 2 AS z FROM g CROSS JOIN j),
         d AS (SELECT *, z - lag(z) OVER (PARTITION BY graph_id, j10 ORDER BY n) AS v FROM o),
         t AS (SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY b DESC) AS n, b - 0.3 * (row_number() OVER (PARTITION BY graph_id ORDER BY b DESC) - 1) AS target FROM s),
         l AS (SELECT d.graph_id, j10, round(sum(pow(v - target, 2)) + 0.25 * j10 * j10 / 100.0, 6) AS loss FROM d JOIN t ON d.graph_id = t.graph_id AND d.n = t.n GROUP BY d.graph_id, j10),

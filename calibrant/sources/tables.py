@@ -11,15 +11,18 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (one machine) a temporary folder, set once."""
+    """``spark.checkpoint.dir``, which driver and executors share; where it is unset on one machine (a local master) a
+    temporary folder, set once. On a cluster without it: ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("calibrant.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="calibrant-")
         spark.conf.set("calibrant.shared.dir", found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage ends and it is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
