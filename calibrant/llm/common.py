@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibrant.sources.tables import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]
+
 #: White space of the corpus contracts: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 LOWEST = -(1 << 63)
@@ -17,31 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine) a temporary folder is set once for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("calibrant.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="calibrant-")
-        spark.conf.set("calibrant.shared.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, so that a lost
-    executor costs no recomputation, and several readers share one computation."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`scratch` named."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -54,6 +37,21 @@ def drop_table(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+HOT_SHARE = 1000  # a key with over a thousandth of all rows is hot: there are fewer than so many
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Left join of ``rows`` with ``table`` (one row a key) where a key may hold any share of the rows.
+
+    ``counts``: the key and n, its rows. Keys with over one HOT_SHARE-th of all rows, of which there are fewer than
+    HOT_SHARE, take their rows of ``table`` by broadcast and stay where they are; the others meet in an exchange.
+    """
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    hot = F.broadcast(cut(counts.where(F.col("n") > least).select(key), "hot-keys"))
+    told = F.broadcast(cut(table.join(hot, key, "left_semi"), "hot-rows"))
+    return rows.join(hot, key, "left_anti").join(table, key, "left").unionByName(rows.join(hot, key, "left_semi").join(told, key, "left"))
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: others, whatever their names, can't clash with an operator's own.
 

@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import SPACE, cut, filled, scratch
+from calibrant.llm.common import HOT_SHARE, SPACE, cut, filled, scratch
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -39,7 +39,7 @@ def _keyed(rows: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
     norm = normalise(F.col(f"`{text_col}`"))
     return rows.select(
         F.col(f"`{id_col}`").alias("id"), norm.alias("norm"), digest(norm).alias("digest"),
-        F.coalesce("_metadata.file_name", F.lit("")).alias("file"), F.coalesce("_metadata.row_index", F.lit(-1)).alias("at"),
+        F.coalesce("_metadata.file_path", F.lit("")).alias("file"), F.coalesce("_metadata.row_index", F.lit(-1)).alias("at"),
     )
 
 
@@ -87,7 +87,7 @@ def deduplicate(spark: SparkSession, path: str, state: str | None = None, id_col
 
     Rows are equal when their normalised texts (null: empty; runs of white space: one space) are equal byte
     for byte. Of equal rows the one with the smallest id stays; a null id is larger than any other; among
-    repeated rows with the same id the first by file and row stays alone. An empty table gives no rows.
+    repeated rows with the same id the first by path of its file and row stays alone. An empty table gives no rows.
     Other columns are not read.
     """
     state = state or scratch(spark, "dedup-state")
@@ -98,9 +98,15 @@ def deduplicate(spark: SparkSession, path: str, state: str | None = None, id_col
     # exchange of the texts.
     same = lambda a, b: F.coalesce(a, F.lit(0)).between(F.coalesce(b, F.lit(0)), F.coalesce(b, F.lit(0)))
     at_first = same("at", "keep_at") & F.col("file").between(F.col("keep_file"), F.col("keep_file")) & same("id", "keep_id")
-    reps = docs.join(found.where("n > 1"), "digest").where(at_first).select("digest", F.col("norm").alias("rep_norm"))
-    joined = docs.join(reps, "digest", "left").select("id", "digest", "file", "at", (F.col("rep_norm").isNull() | (F.col("norm") == F.col("rep_norm"))).alias("same"), F.sha2("norm", 256).alias("text_sha256"))
-    checked = cut(joined.join(found, "digest").select("id", "digest", "file", "at", "same", "text_sha256", "keep_id", "keep_file", "keep_at", "n"), "dedup-checked")
+    # Keys with over a thousandth of all rows are fewer than a thousand, and their texts fewer bytes than a thousand texts
+    # of mean length: their representatives are broadcast, so that their rows stay where they are read.
+    many = (found.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    hot = F.broadcast(found.where((F.col("n") > 1) & (F.col("n") > many)))
+    hot_reps = F.broadcast(cut(docs.join(hot, "digest").where(at_first).select("digest", F.col("norm").alias("rep_norm")), "dedup-hot"))
+    cold = docs.join(hot.select("digest"), "digest", "left_anti")
+    reps = cold.join(found.where("n > 1"), "digest").where(at_first).select("digest", F.col("norm").alias("rep_norm"))
+    told = lambda rows: rows.select("id", "digest", "file", "at", (F.col("rep_norm").isNull() | (F.col("norm") == F.col("rep_norm"))).alias("same"), F.sha2("norm", 256).alias("text_sha256"), "keep_id", "keep_file", "keep_at", "n")
+    checked = cut(told(cold.join(reps, "digest", "left").join(found, "digest")).unionByName(told(docs.join(hot_reps, "digest").join(hot, "digest"))), "dedup-checked")
     whole = checked
     clash = checked.where("not same").select("digest").distinct()
     if not clash.isEmpty():  # different texts under one digest: their keys are split by the texts themselves

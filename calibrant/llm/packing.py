@@ -102,22 +102,27 @@ def _merged(*parts) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
+def candidates(total: int, documents: np.ndarray, sentences: np.ndarray, size: int) -> np.ndarray:
+    """Places where a window may end: document and sentence ends, and hard cuts where those are too far apart and near
+    the stream's end."""
+    step = max(1, size // 16)
+    natural = _merged(documents, sentences, [0, total])
+    natural = natural[(natural >= 0) & (natural <= total)]
+    gaps = np.flatnonzero(np.diff(natural) > size // 4)
+    hard = [np.arange(natural[g] + step, natural[g + 1], step) for g in gaps] + [np.arange(total - step, max(0, total - size) - 1, -step)]
+    places = _merged(natural, *hard)
+    return places[(places >= 0) & (places <= total)]
+
+
 def cuts(total: int, documents: np.ndarray, sentences: np.ndarray, size: int = SIZE, sentence_cut: float = SENTENCE_CUT, hard_cut: float = HARD_CUT) -> list[int]:
     """Ends of the windows of a stream of ``total`` ids.
 
     documents, sentences: places (ids before them) where one ends. A window holds ``size`` ids at most and
-    is padded to ``size`` unless it holds a power of two. Where candidates are too far apart, and near the
-    stream's end, hard cuts are candidates too.
+    is padded to ``size`` unless it holds a power of two of at least a sixteenth of that. It ends at one of :func:`candidates`.
     """
     if not total:
         return []
-    step = max(1, size // 16)
-    natural = _merged(documents, sentences, [0, total])
-    natural = natural[(natural >= 0) & (natural <= total)]
-    gaps = np.flatnonzero(np.diff(natural) > size // 4)
-    hard = [np.arange(natural[g] + step, natural[g + 1], step) for g in gaps] + [np.arange(total - step, max(0, total - size) - 1, -step)]
-    places = _merged(natural, *hard)
-    places = places[(places >= 0) & (places <= total)]
+    places = candidates(total, documents, sentences, size)
     price = np.full(len(places), float(hard_cut))
     price[np.searchsorted(places, sentences)] = sentence_cut
     price[np.searchsorted(places, documents)] = 0

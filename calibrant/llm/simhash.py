@@ -77,7 +77,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius % 2:
         raise ValueError("the radius is even: two halves meet in the middle")
-    variants = distinct.select("fp", F.explode(ball(F.col("fp"), radius // 2)).alias("word"))
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a ball is 65 times its fingerprint: more tasks than its table has parts
+    variants = distinct.repartition(n, "fp").select("fp", F.explode(ball(F.col("fp"), radius // 2)).alias("word"))
     buckets = variants.groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     star = buckets.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b").distinct()
     return star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)

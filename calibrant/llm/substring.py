@@ -142,7 +142,7 @@ def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFram
 
 LEADER = ("k1", "k2", "lo", "at", "hi")
 MET = WINDOWS + ", edge boolean, block int, more boolean, " + ", ".join(f"f_{c} {'long' if c[0] == 'k' else 'int'}" for c in LEADER)
-BLOCK = 4096  # windows of a key that share a copy of its first one's text
+BLOCK = 512  # windows of a key that share a copy of its first one's text
 
 
 def met_in_order(wins: DataFrame) -> DataFrame:
@@ -233,29 +233,35 @@ def _segments(hit: np.ndarray, span: int) -> list[tuple[int, int]]:
     return out
 
 
-def sorted_places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places of the shingles ``b`` ordered by (shingle, place), the shingles so ordered, and a number of each that
-    grows with both, so that the place nearest to a given one is a search."""
+def sorted_places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the shingles ``b`` ordered by (shingle, place), the shingles so ordered, where each one's equals end,
+    and a number of each that grows with both, so that the place nearest to a given one is a search."""
     order = np.argsort(b, kind="stable")
     ordered = b[order]
-    return order, ordered, np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) * (2 * len(b)) + order
+    kind = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+    return order, ordered, np.concatenate([np.flatnonzero(np.diff(kind)) + 1, [len(b)]])[kind], kind * (2 * len(b)) + order
 
 
 def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: float = SIMILARITY, places: tuple | None = None) -> list[tuple[int, int, int, int, float]]:
     """Runs of shingles of ``a`` and ``b`` of at least ``span`` whose sets have that Jaccard similarity."""
-    order, ordered, line = places or sorted_places(b)
-    first = np.searchsorted(ordered, a)
-    if np.count_nonzero(ordered[np.minimum(first, len(b) - 1)] == a) < span * MISS // (MISS + 1):
+    order, ordered, ends, line = places or sorted_places(b)
+    first = np.minimum(np.searchsorted(ordered, a), len(b) - 1)
+    hits = ordered[first] == a
+    if np.count_nonzero(hits) < span * MISS // (MISS + 1):
         return []
-    last = np.searchsorted(ordered, a, side="right")
+    last = np.where(hits, ends[first], first)
     out = []
 
     def nearest(at: np.ndarray, to: np.ndarray) -> np.ndarray:
         """Of the places in b of each shingle a[at], the one nearest to ``to``."""
-        f, n = first[at], last[at]
-        spot = np.searchsorted(line, line[f] - order[f] + np.clip(to, 0, len(b)))
-        low, high = order[np.maximum(spot - 1, f)], order[np.minimum(spot, n - 1)]
-        return np.where(np.abs(low - to) <= np.abs(high - to), low, high)
+        out = order[first[at]]
+        many = np.flatnonzero(last[at] - first[at] > 1)
+        if len(many):
+            f, n, near = first[at[many]], last[at[many]], to[many]
+            spot = np.searchsorted(line, line[f] - order[f] + np.clip(near, 0, len(b)))
+            low, high = order[np.maximum(spot - 1, f)], order[np.minimum(spot, n - 1)]
+            out[many] = np.where(np.abs(low - near) <= np.abs(high - near), low, high)
+        return out
 
     def beside(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the shingles a[at] lie along the shift where most of them agree, and their places in b.
@@ -281,7 +287,7 @@ def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: flo
         other = nearest(at, at + value[np.argmax(times)])
         return (other - at >= shift[best]) & (other - at <= shift[best] + room), other
 
-    todo = [(0, last > first)]
+    todo = [(0, hits)]
     while todo:
         zero, hit = todo.pop()
         for p, q in _segments(hit, span):
@@ -344,7 +350,8 @@ def verified(pairs: DataFrame, docs: DataFrame, span: int = SPAN) -> DataFrame:
     told = texts.hint("merge").join(asked, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"), "asks")
     lo, hi = F.coalesce("ask.a_lo", "ask.b_lo"), F.coalesce("ask.a_hi", "ask.b_hi")
     slices_ = told.select("k1", "k2", "words", F.explode("asks").alias("ask")).select("k1", "k2", "ask.*", F.array_join(F.slice("words", lo + 1, hi - lo + SHINGLE), " ").cast("binary").alias("text"))
-    ordered = slices_.repartition(*PAIR).sortWithinPartitions(*PAIR, F.col("a_lo").asc_nulls_first())
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # comparing costs more than its bytes tell
+    ordered = slices_.repartition(n, *PAIR).sortWithinPartitions(*PAIR, F.col("a_lo").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def coded(text: bytes) -> np.ndarray:  # equality within this task is all that counts

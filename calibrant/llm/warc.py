@@ -153,12 +153,15 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                         if len(entries) == 10_000:
                             yield _index(entries)
                             entries = []
-                fs.move(final + attempt, final)
-                fs.move(final + ".idx" + attempt, final + ".idx")
+                for whole in (final, final + ".idx"):
+                    if fs.get_file_info(whole).is_file:  # an attempt before this one left it, with equal bytes
+                        fs.delete_file(whole + attempt)
+                    else:
+                        fs.move(whole + attempt, whole)
                 if entries:
                     yield _index(entries)
 
-    return cut(listed.repartition(n, "path").mapInArrow(run, INDEX), "warc-index")
+    return cut(listed.repartitionByRange(n, "path").mapInArrow(run, INDEX), "warc-index")
 
 
 def _index(entries: list[tuple]) -> pa.RecordBatch:

@@ -9,13 +9,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from calibrant.llm import bpe, chat, exactdedup, linedup, packing, quality, simhash, substring, urlrank, warc
+from calibrant.llm import bpe, chat, common, exactdedup, linedup, packing, quality, simhash, substring, urlrank, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -109,10 +111,11 @@ def test_cuts_are_optimal():
                 a = b
             return out
 
-        best = [0.0] + [float("inf")] * total
-        for j in range(1, total + 1):
-            best[j] = min(best[i] + (0 if (n := j - i) & (n - 1) == 0 else 16 - n) + price[j] for i in range(max(0, j - 16), j))
-        assert got[-1] == total and cost(got) <= best[total] + 64  # all places are candidates in the brute force, not here
+        places = packing.candidates(total, documents, sentences, 16).tolist()
+        best = {0: 0.0}
+        for j in places[1:]:
+            best[j] = min(best[i] + (0 if (n := j - i) & (n - 1) == 0 else 16 - n) + price[j] for i in places if 0 < j - i <= 16)
+        assert got[-1] == total and set(got) <= set(places) and cost(got) == best[total]
     assert packing.cuts(0, np.array([]), np.array([])) == []
 
 
@@ -162,6 +165,23 @@ def test_exact_dedup(spark, odd, tmp_path):
         assert sum(r.kept for r in got) == len(groups)
 
 
+def test_exact_dedup_of_partitions_with_equal_file_names(spark, tmp_path):
+    for k, ids in enumerate(((1, 2, 3), (1, 1, 2))):
+        for folder, i in zip("abc", ids):
+            (tmp_path / f"{k}/source={folder}").mkdir(parents=True)
+            pq.write_table(pa.table({"doc_id": [i], "text": ["a b"]}), tmp_path / f"{k}/source={folder}/part-00000.parquet")
+        got = exactdedup.deduplicate(spark, f"file://{tmp_path}/{k}").collect()
+        assert sorted(r.doc_id for r in got) == sorted(ids) and [r.doc_id for r in got if r.kept] == [1]
+        assert {(r.keep_id, r.group_size) for r in got} == {(1, 3)}
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.createDataFrame([("h" if i % 3 else f"k{i}", i) for i in range(3000)] + [(None, -1), ("z", -2)], "key string, i long")
+    table = spark.createDataFrame([("h", 1), *[(f"k{i}", i) for i in range(0, 3000, 6)]], "key string, v long")
+    got = common.join_hot(rows, table, "key", rows.where("key is not null").groupBy("key").count().withColumnRenamed("count", "n"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(table, "key", "left").collect()))
+
+
 def test_exact_dedup_state_goes_on(spark, tmp_path):
     path, state = f"file://{tmp_path}/t", f"file://{tmp_path}/state"
     spark.createDataFrame([(5, "a b"), (7, "c")], "doc_id long, text string").write.parquet(path)
@@ -294,6 +314,47 @@ def test_substring_first_holder_holds_less(spark):
     assert {r.doc_id for r in got} == pairs and all(r.of_doc_id == r.doc_id // 4 * 4 + 1 for r in got)
 
 
+def test_substring_against_brute_force(spark):
+    """Every run of 50 words that an earlier document holds unchanged is in a passage, and nine of ten of those that one
+    holds with a similarity of 0.8; documents share pieces of passages of any length, edited and not, in any order."""
+    rng = random.Random(21)
+    source = [[f"p{k}_{i}" for i in range(90)] for k in range(8)]
+    texts = []
+    for _ in range(90):
+        words = []
+        for _ in range(3):
+            w, n = rng.choice(source), rng.choice((30, 45, 52, 70, 90))
+            at = rng.randrange(len(w) - n + 1)
+            piece = w[at : at + n]
+            if rng.random() < 0.4:
+                piece = [x if rng.random() > 0.02 else "edited" for x in piece]
+            words += [*piece, *[f"t{rng.randrange(100000)}" for _ in range(rng.randrange(40))]]
+        texts.append(words)
+    got = defaultdict(list)
+    for r in substring.op10_substring(docs_of(spark, [" ".join(t) for t in texts])).collect():
+        assert r.of_doc_id < r.doc_id
+        got[r.doc_id].append((r.start_word, r.end_word))
+    first, exact, near, found = {}, 0, 0, 0
+    sets = [[frozenset(map(tuple, (t[j : j + 5] for j in range(i, i + 46)))) for i in range(len(t) - 49)] for t in texts]
+    for d, t in enumerate(texts):
+        inside = [any(a <= i and i + 50 <= b for a, b in got[d]) for i in range(len(sets[d]))]
+        part = [any(a <= i + 25 < b for a, b in got[d]) for i in range(len(sets[d]))]
+        for i in range(len(sets[d])):
+            if first.setdefault(tuple(t[i : i + 50]), d) < d:
+                exact += 1
+                assert inside[i], (d, i, got[d])
+        for i in range(0, len(sets[d]), 7):
+            x = sets[d][i]
+            if any(len(x & y) >= 41 and len(x & y) / len(x | y) >= 0.8 for e in range(d) for y in sets[e]):
+                near += 1
+                found += part[i]
+        for a, b in got[d]:
+            spans = [frozenset(map(tuple, (t[j : j + 5] for j in range(a, b - 4))))]
+            held = [set(map(tuple, (texts[e][j : j + 5] for j in range(len(texts[e]) - 4)))) for e in range(d)]
+            assert any(len(spans[0] & h) >= 0.8 * len(spans[0]) for h in held)
+    assert exact > 500 and near > 300 and found >= 0.9 * near
+
+
 def test_similar_runs_with_shingles_repeated_further_up():
     """An exact copy, of whose shingles some also stand earlier in the other text."""
     rng = np.random.default_rng(14)
@@ -370,17 +431,22 @@ def test_url_rules_and_ranks(spark):
     assert {p: (r.host, r.path, r.rule, r.verdict) for p, r in got.items() if p in (1, 6, 7, 9, None)} == {
         1: ("good.com", "/en/1", "good.com/en/", "allow"), 6: ("", "", None, "allow"), 7: ("", "", None, "allow"), 9: ("sub.good.com", "/en/7", "good.com/en/7", "block"), None: ("xgood.com", "/en/", None, "allow")}
     assert got[4].verdict == "block" and got[5].distrust > got[5].trust
-    # against a dense solution
+    # against a dense solution; what hosts without links hold goes back to the seeds
     hosts = sorted({r.host for r in got.values() if r.host} | {"leaf.com"})
     at = {h: i for i, h in enumerate(hosts)}
     a = np.zeros((len(hosts), len(hosts)))
     for s, d in (("good.com", "mid.com"), ("good.com", "good.com"), ("mid.com", "leaf.com"), ("liar.net", "bad.org")):
         a[at[s], at[d]] += 1
-    norm = lambda m: m / np.maximum(m.sum(1, keepdims=True), 1)
     s, b = np.zeros(len(hosts)), np.zeros(len(hosts))
     s[at["good.com"]], b[at["bad.org"]], b[at["sub.good.com"]] = 1, 0.5, 1
-    trust = np.linalg.solve(np.eye(len(hosts)) - 0.85 * norm(a).T, 0.15 * s)
-    distrust = np.linalg.solve(np.eye(len(hosts)) - 0.85 * norm(a.T).T, 0.15 * b)
+
+    def solved(m, seeds):
+        rows = m.sum(1, keepdims=True)
+        p = np.where(rows > 0, m / np.maximum(rows, 1), seeds / seeds.sum())
+        return np.linalg.solve(np.eye(len(m)) - 0.85 * p.T, 0.15 * seeds)
+
+    trust, distrust = solved(a, s), solved(a.T, b)
+    assert abs(distrust.sum() - b.sum()) < 1e-9
     for r in got.values():
         if r.host:
             assert abs(r.trust - trust[at[r.host]]) < 1e-4 and abs(r.distrust - distrust[at[r.host]]) < 1e-4
