@@ -246,11 +246,41 @@ def normal_cdf(z: C) -> Column:
     return F.when(_c(z) >= 0, 0.5 + half).otherwise(0.5 - half)
 
 
+#: How a DOI and the two ways to write a PubMed id look.
+DOI, PUBMED, PMID = r"(10\.\d{4,9}/[^\s?#]+)", r"(?:pubmed(?:\.ncbi\.nlm\.nih\.gov)?[/=:]|pubmed/)(\d+)", r"pmid:?\s*(\d+)"
+
+
 def reference_key(x: C) -> Column:
-    """H: a DOI, else a PMID, else the URL-decoded text with white space removed, in lower case."""
-    t = F.lower(F.trim(F.coalesce(F.expr(f"try_url_decode({x})") if isinstance(x, str) else x, F.lit(""))))
-    doi, pmid = F.regexp_extract(t, r"(10\.\d{4,9}/[^\s?#]+)", 1), F.regexp_extract(t, r"pmid:?\s*(\d+)", 1)
-    return F.when(doi != "", doi).when(pmid != "", F.concat(F.lit("pmid:"), pmid)).otherwise(F.regexp_replace(t, r"\s+", ""))
+    """H: a DOI without closing marks ``.,;)``, else a PubMed id, else the text with single spaces and no closing
+    slash; URL-decoded where that is possible, in lower case. Null: empty."""
+    t = F.lower(F.trim(F.coalesce(F.try_url_decode(_c(x)), _c(x), F.lit(""))))
+    doi = F.regexp_replace(F.regexp_extract(t, DOI, 1), "[.,;)]+$", "")
+    pmid = F.coalesce(F.nullif(F.regexp_extract(t, PUBMED, 1), F.lit("")), F.regexp_extract(t, PMID, 1))
+    return F.when(doi != "", doi).when(pmid != "", F.concat(F.lit("pmid:"), pmid)).otherwise(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), "/+$", ""))
+
+
+def provenance_bucket(method: C, atom_match: C, override: C, status: C) -> Column:
+    """Struct of bucket and detail, by the first rule that holds; nulls count as no."""
+    yes = lambda c: F.coalesce(_c(c).cast("boolean"), F.lit(False))
+    of = lambda b, d: F.struct(F.lit(b).alias("bucket"), F.lit(d).alias("detail"))
+    tool, single = F.coalesce(_c(method), F.lit("")) == "marvin", F.coalesce(_c(status), F.lit("")) == "single_group"
+    # The names of the method, the status, the buckets and their details.
+    return (
+        F.when(tool & yes(atom_match), of("marvin_backed", "marvin_atom_match"))
+        .when(tool, of("marvin_backed", "marvin_no_atom_match"))
+        .when(yes(override), of("structure_supported_non_marvin", "manual_site_override"))
+        .when(yes(atom_match), of("structure_supported_non_marvin", "explicit_atom_match_non_marvin"))
+        .when(single, of("structure_supported_non_marvin", "single_group_drawn_state"))
+        .otherwise(of("macro_only_no_site_truth", "multi_group_pair_first"))
+    )
+
+
+def utc_stamp(at: Column | None = None) -> Column:
+    """H: a timestamp (now, unless given) as UTC ISO text with seconds and Z; the session's time zone doesn't matter."""
+    moment = F.current_timestamp() if at is None else at
+    seconds = F.unix_seconds(moment.cast("timestamp"))
+    day, rest = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")), F.pmod(seconds, F.lit(86400))
+    return F.format_string("%sT%02d:%02d:%02dZ", F.date_format(day, "yyyy-MM-dd"), F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
 
 
 def integral_id(x: C) -> Column:

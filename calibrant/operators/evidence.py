@@ -182,6 +182,38 @@ def weight_cap(df: DataFrame, cohort: str, weight: str, canonical: str, fraction
     return df.join(scale, cohort).withColumn("capped_weight", F.col(weight) * F.col("scale"))
 
 
+def weight_budget(df: DataFrame, cohort: str, weight: str, canonical: str, order: list[str], fraction: float, apart: dict[str, float] | None = None) -> DataFrame:
+    """Cohorts share one budget of ``fraction`` of the canonical weight: in ``order`` each is scaled to what those
+    before it left. Those in ``apart`` have a budget of their own (their fraction). Adds scale and capped_weight; the
+    canonical cohort and those not named keep their weight, weightless ones have scale 0."""
+    sums = df.groupBy(cohort).agg(F.sum(weight).alias("raw"))  # a row per cohort
+    base = sums.agg(F.coalesce(F.sum(F.when(F.col(cohort) == canonical, F.col("raw"))), F.lit(0.0)).alias("_base"))
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])
+    own = F.create_map(*[F.lit(x) for c, f in (apart or {"": 0.0}).items() for x in (c, f)])
+    s = sums.crossJoin(F.broadcast(base)).withColumn("_at", place[F.col(cohort)]).withColumn("_own", own[F.col(cohort)])
+    earlier = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    shared = s.where("_at is not null").withColumn("_left", F.greatest(F.lit(0.0), fraction * F.col("_base") - F.coalesce(F.sum("raw").over(earlier), F.lit(0.0))))
+    rest = s.where("_at is null").withColumn("_left", F.col("_own") * F.col("_base"))
+    scale = shared.unionByName(rest).select(F.col(cohort).alias("_c"), F.when(F.col("_left").isNull(), 1.0).when(F.col("raw") > 0, F.least(F.lit(1.0), F.col("_left") / F.col("raw"))).otherwise(0.0).alias("scale"))
+    return df.join(scale, F.col(cohort).eqNullSafe(F.col("_c"))).drop("_c").withColumn("capped_weight", F.col(weight) * F.col("scale"))
+
+
+def strict_training_filter(df: DataFrame, strict: Column, required: list[str], value: str, key: list[str], order: list[str], method: tuple[str, str] | None = None, sane: str | None = None, low: float = -5.0, high: float = 20.0) -> DataFrame:
+    """The rows fit for training: ``strict`` (a single site, or for pairs the right mode and form) holds, the required
+    columns are there, the method (column, name; case and outer space ignored) and the sanity flag agree where asked for,
+    the value is a number within [low, high]; of rows alike in ``key`` the first by ``order`` stays. Nulls fail."""
+    ok = F.coalesce(strict, F.lit(False))
+    for c in required:
+        ok = ok & F.col(c).isNotNull()
+    if method:
+        ok = ok & F.coalesce(F.lower(F.trim(F.col(method[0]).cast("string"))) == method[1].strip().lower(), F.lit(False))
+    if sane:
+        ok = ok & F.coalesce(F.col(sane).cast("boolean"), F.lit(False))
+    ok = ok & F.coalesce(F.col(value).try_cast("double").between(low, high), F.lit(False))
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    return df.where(ok).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(first).select("_row.*")
+
+
 def latest_wins(log: DataFrame, key: list[str], *newest: str) -> DataFrame:
     """``log`` with is_current: the last row per key by ``newest`` (descending, total order)."""
     return log.withColumn("is_current", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in newest])) == 1)

@@ -80,12 +80,13 @@ def holdout_safe_union(train: DataFrame, extra: DataFrame, held: DataFrame, grou
     return train.unionByName(extra.join(held.select(group).distinct(), group, "left_anti"), allowMissingColumns=True)
 
 
-def best_overlap(items: DataFrame, candidates: DataFrame, item: str, candidate: str, ids: str) -> DataFrame:
+def best_overlap(items: DataFrame, candidates: DataFrame, item: str, candidate: str, ids: str, same_table: bool = False) -> DataFrame:
     """Item, candidate (null when ambiguous), jaccard, status: best Jaccard overlap of id sets. Only sharing pairs
-    meet."""
+    meet; of one table (``same_table``) no row meets itself."""
     a = items.select(item, F.size(F.array_distinct(ids)).alias("na"), F.explode(F.array_distinct(ids)).alias("_id"))
     b = candidates.select(candidate, F.size(F.array_distinct(ids)).alias("nb"), F.explode(F.array_distinct(ids)).alias("_id"))
-    s = a.join(b, "_id").groupBy(item, candidate).agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    met = a.join(b, "_id").where(F.col(item) != F.col(candidate)) if same_table else a.join(b, "_id")
+    s = met.groupBy(item, candidate).agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     s = s.withColumn("jaccard", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 9))
     w = Window.partitionBy(item)
     best = s.withColumn("_m", F.max("jaccard").over(w)).where("jaccard = _m").groupBy(item).agg(F.first("jaccard").alias("jaccard"), F.count(F.lit(1)).alias("n"), F.min(candidate).alias("c"))

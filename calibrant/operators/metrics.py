@@ -94,12 +94,12 @@ def _replicates(sums: DataFrame, group: str, gains: list[str], replicates: int,
 
     A group's sums are weighted by a Poisson(1) count per replicate, drawn from a hash of group and
     replicate: any partitioning gives the same draws, and sums are all that is shuffled. (A multinomial draw would need
-    all groups in one place.)
+    all groups in one place.) A replicate that draws no group has no gain.
     """
     b = sums.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(group).cast("string"), F.col("b").cast("string")), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
     m = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
-    return b.withColumn("m", m).groupBy(*keys, "b").agg(*[(F.sum(F.col("m") * F.col(g)) / F.sum(F.col("m") * F.col("n"))).alias(g) for g in gains])
+    return b.withColumn("m", m).groupBy(*keys, "b").agg(*[F.try_divide(F.sum(F.col("m") * F.col(g)), F.sum(F.col("m") * F.col("n"))).alias(g) for g in gains])
 
 
 def group_bootstrap(df: DataFrame, group: str, replicates: int = 200) -> DataFrame:
@@ -240,7 +240,7 @@ def hierarchical_calibration(calls: DataFrame, residuals: DataFrame, label: str,
     told = told.withColumn("w_L", wl).withColumn("w_F", (1 - wl) * wf).withColumn("w_G", (1 - wl) * (1 - wf))
     # mixtures: one per label and family of the calls
     mixes = cut(told.groupBy("L", "F").agg(*[F.first(f"{v}_{k}").alias(f"{v}_{k}") for k in "LFG" for v in "wn"]), "residual-mixtures")
-    share = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key"), (F.col(f"w_{k}") / F.col(f"n_{k}")).alias("w")) for k, v in (("L", F.col("L")), ("F", F.col("F")), ("G", F.lit("")))]))
+    share = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key"), F.try_divide(F.col(f"w_{k}"), F.col(f"n_{k}")).alias("w")) for k, v in (("L", F.col("L")), ("F", F.col("F")), ("G", F.lit("")))]))
     weights = mixes.select("L", "F", share.alias("s")).select("L", "F", "s.*").where("w is not null")
     ranges = weights.join(sums, pool).select("L", "F", "part", (F.col("w") * (F.col("end") - F.col("before"))).alias("m")).groupBy("L", "F", "part").agg(F.sum("m").alias("m"))
     up = Window.partitionBy("L", "F").orderBy("part")  # a row per range
@@ -302,6 +302,17 @@ def split_manifest(df: DataFrame, key: str, split: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(split)), "|").alias("splits"), (F.count_distinct(split) > 1).alias("leaks"))
 
 
+def split_errors(df: DataFrame, row: str, key: str, train: DataFrame, test: DataFrame) -> DataFrame:
+    """Kind and id (as text) of what is wrong with a split given as row ids: ``overlap`` (a row in both), ``range`` (an id that
+    no row has), ``leak`` (a key whose rows lie in both). No rows: the split is sound."""
+    ids = train.select(F.col(row).alias("_i"), F.lit(1).alias("s")).unionByName(test.select(F.col(row).alias("_i"), F.lit(2).alias("s"))).distinct()
+    sides = ids.groupBy("_i").agg(F.sum("s").alias("s"))
+    rows = sides.join(df.select(F.col(row).alias("_r"), F.col(key).alias("_k")), F.col("_i") == F.col("_r"), "left")
+    leaks = rows.where("_r is not null").groupBy("_k").agg(F.bit_or("s").alias("s")).where("s = 3")
+    pick = lambda t, kind, c: t.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"))
+    return pick(sides.where("s = 3"), "overlap", "_i").unionByName(pick(rows.where("_r is null"), "range", "_i")).unionByName(pick(leaks, "leak", "_k"))
+
+
 def fold_support(df: DataFrame, label: str, group: str, fold: str) -> DataFrame:
     """Label, fold, rows_elsewhere, groups_elsewhere, zero_shot. A group lies in one fold, so distinct groups
     subtract as rows do."""

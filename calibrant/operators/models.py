@@ -9,10 +9,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.operators.metrics import error_metrics, group_balanced_mae
+from calibrant.sources.tables import cut
 
 SEED = 17
 
@@ -37,7 +38,7 @@ def candidates(target: str = "y", weight: str = "w") -> dict[str, object]:
 
 def oof_predict(df: DataFrame, estimator, folds: int, fold: str = "fold") -> DataFrame:
     """Every row predicted once (p) by a model that didn't see its fold. Raises where a fold leaves nothing to fit."""
-    parts = []
+    df, parts = cut(df, "oof"), []  # read by a test, a fit and a prediction per fold
     for f in range(folds):
         train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
         if test.isEmpty():
@@ -70,10 +71,19 @@ def supplement_gate(base: DataFrame, extra: DataFrame, estimator, folds: int, gr
     return out
 
 
+def evidence_counts(group: str, label: str) -> list[Column]:
+    """The aggregates behind the gate: rows, groups, classes."""
+    return [F.count(F.lit(1)).alias("rows"), F.count_distinct(group).alias("groups"), F.count_distinct(label).alias("classes")]
+
+
+def enough_evidence(rows: int = 12, groups: int = 6, classes: int = 3) -> Column:
+    """Enough of each."""
+    return (F.col("rows") >= rows) & (F.col("groups") >= groups) & (F.col("classes") >= classes)
+
+
 def evidence_gate(df: DataFrame, group: str, label: str, rows: int = 12, groups: int = 6, classes: int = 3) -> bool:
     """Enough rows, groups and classes before any fit."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("g"), F.count_distinct(label).alias("c")).first()
-    return r.n >= rows and r.g >= groups and r.c >= classes
+    return df.agg(*evidence_counts(group, label)).select(enough_evidence(rows, groups, classes)).first()[0]
 
 
 def paired_difference(df: DataFrame, key: str, end: str, estimator, folds: int) -> DataFrame:

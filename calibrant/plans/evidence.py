@@ -81,7 +81,7 @@ def _tokens():
 
 
 def exploded_counts(spark, d):
-    t = ev.exploded_counts(read(spark, d, "documents"), _tokens()).where("n >= 5")
+    t = ev.exploded_counts(read(spark, d, "documents"), _tokens())
     return t.select("item", "n", F.round("share", 9).alias("share"))
 
 
@@ -225,7 +225,7 @@ SQL = {
     "weighted_quantile": "WITH x AS (SELECT l_suppkey, l_extendedprice::DOUBLE AS x, sum(l_quantity::DOUBLE) AS w FROM lineitem GROUP BY ALL), c AS (SELECT *, round(sum(w) OVER (PARTITION BY l_suppkey ORDER BY x) / sum(w) OVER (PARTITION BY l_suppkey), 12) AS s FROM x) SELECT l_suppkey, min(x) AS quantile FROM c WHERE s >= 0.9 GROUP BY 1",
     "mode_tiebreak": "WITH n AS (SELECT l_partkey, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_linestatus) AS k FROM n) SELECT l_partkey, l_linestatus AS mode FROM r WHERE k = 1",
     "count_fraction": "SELECT lang, source, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) + 0.0 AS share FROM documents GROUP BY ALL",
-    "exploded_counts": r"WITH t AS (SELECT unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS item FROM documents), n AS (SELECT item, count(*) AS n FROM t GROUP BY 1) SELECT item, n, round(n / (SELECT sum(n) FROM n), 9) AS share FROM n WHERE n >= 5",
+    "exploded_counts": r"WITH t AS (SELECT unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS item FROM documents), n AS (SELECT item, count(*) AS n FROM t GROUP BY 1) SELECT item, n, round(n / (SELECT sum(n) FROM n), 9) AS share FROM n",
     "combination_counts": "WITH c AS (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS combination FROM lineitem GROUP BY 1) SELECT combination, count(*) AS n, round(count(*) / (SELECT count(*) FROM c), 6) + 0.0 AS share FROM c GROUP BY 1",
     "exclusive_items": r"WITH t AS (SELECT DISTINCT source, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS item FROM documents WHERE source IS NOT NULL) SELECT item, min(source) AS source FROM t GROUP BY 1 HAVING min(source) = max(source)",
     "source_contribution": "SELECT source, count(*) AS rows, count(DISTINCT lang) AS keys, round(avg(n), 6) + 0.0 AS mean, round(median(n), 6) + 0.0 AS median, round(avg((n > 2000)::INT), 6) + 0.0 AS long_rate, round(avg((lang = 'en')::INT), 6) + 0.0 AS english_rate, count(*) FILTER (n > 2000) AS long, count(*) FILTER (lang = 'en') AS english FROM (SELECT *, length(coalesce(text, ''))::DOUBLE AS n FROM documents) GROUP BY source",

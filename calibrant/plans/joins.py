@@ -60,7 +60,7 @@ def hierarchical_lookup(spark, d):
 def plausibility(spark, d):
     """Order prices against the reference of their priority."""
     ref = read(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg(F.col("o_totalprice").cast("double")).alias("ref"), (F.stddev_pop(F.col("o_totalprice").cast("double")) / 2).alias("unc"))
-    t = read(spark, d, "orders").join(F.broadcast(ref), "o_orderpriority")
+    t = read(spark, d, "orders").join(ref, "o_orderpriority")
     z = s.plausibility(F.col("o_totalprice").cast("double"), "ref", "unc")
     src = F.when(F.col("o_orderstatus") == "F", "high").when(F.col("o_orderstatus") == "O", "medium").otherwise("none")
     tier = s.evidence_tier(src, F.lit("high"), z["status"], (F.col("o_custkey") % 3 == 0).cast("int"), F.lit(""), F.lit(False))
@@ -97,8 +97,9 @@ def coverage_match(spark, d):
 
 
 def best_overlap(spark, d):
-    o = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids"))
-    return j.best_overlap(o.where("l_orderkey % 2 = 0").withColumnRenamed("l_orderkey", "item"), o.where("l_orderkey % 2 = 1").withColumnRenamed("l_orderkey", "candidate"), "item", "candidate", "ids").select("item", "candidate", r6("jaccard").alias("jaccard"), "status")
+    """Orders and the other order that shares the most of its parts."""
+    o = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ids"))
+    return j.best_overlap(o.withColumnRenamed("l_orderkey", "item"), o.withColumnRenamed("l_orderkey", "candidate"), "item", "candidate", "ids", same_table=True).select("item", "candidate", r6("jaccard").alias("jaccard"), "status")
 
 
 def overlap_resolve(spark, d):
@@ -150,14 +151,14 @@ def site_center(spark, d):
     """Centroid and radius of gyration of each label's points; no self-join for the radius."""
     p = _points(spark, d)
     c = p.groupBy("scope").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
-    t = p.join(F.broadcast(c), "scope").groupBy("scope").agg(F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.first("cz").alias("cz"), F.sqrt(F.avg(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2) + F.pow(F.col("z") - F.col("cz"), 2))).alias("gyration"), F.count(F.lit(1)).alias("n"))
+    t = p.join(c, "scope").groupBy("scope").agg(F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.first("cz").alias("cz"), F.sqrt(F.avg(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2) + F.pow(F.col("z") - F.col("cz"), 2))).alias("gyration"), F.count(F.lit(1)).alias("n"))
     return t.select("scope", "n", *[r6(c).alias(c) for c in ("cx", "cy", "cz", "gyration")])
 
 
 def similar_orders(spark, d):
-    """Orders whose sets of suppliers have a Jaccard similarity of a half or more."""
-    o = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids"))
-    t = nb.similar_sets(o.where("l_orderkey % 2 = 0"), o.where("l_orderkey % 2 = 1"), "l_orderkey", "ids", 0.5)
+    """Pairs of orders whose sets of parts have a Jaccard similarity of a half or more."""
+    o = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ids"))
+    t = nb.similar_sets(o, o, "l_orderkey", "ids", 0.5).where("a_l_orderkey < b_l_orderkey")
     return t.select("a_l_orderkey", "b_l_orderkey", r6("jaccard").alias("jaccard"))
 
 
@@ -168,15 +169,15 @@ def nearest_same_label(spark, d):
 
 
 def connected_groups(spark, d):
-    """Parts and suppliers linked by lines of large quantity."""
-    e = read(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'A'").select(F.col("l_partkey").cast("long").alias("a"), (-F.col("l_suppkey").cast("long") - 1).alias("b"))
+    """Orders and parts (-1 less the key) linked by lines."""
+    e = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("a"), (-F.col("l_partkey").cast("long") - 1).alias("b"))
     return nb.connected_groups(e)
 
 
 def k_hop_features(spark, d):
-    """From every 50th part, the parts and suppliers within 3 hops over the same links."""
-    e = read(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'A'").select(F.col("l_partkey").cast("long").alias("a"), (-F.col("l_suppkey").cast("long") - 1).alias("b"))
-    t = nb.k_hop(e, e.where("a % 50 = 0").select("a"), 3)
+    """From the orders with keys divisible by 20 (the query set), the orders and parts within 3 hops over all lines."""
+    e = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("a"), (-F.col("l_partkey").cast("long") - 1).alias("b"))
+    t = nb.k_hop(e, e.where("a % 20 = 0").select("a"), 3)
     return t.groupBy("start", "hops").agg(F.count(F.lit(1)).alias("n")).select("start", F.col("hops").cast("long").alias("hops"), "n")
 
 
@@ -273,8 +274,8 @@ def expand_states(spark, d):
 QUERIES = {k: v for k, v in dict(globals()).items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 
 _PTS = "p AS (SELECT label AS scope, vec_id AS id, 10 * embedding[1]::DOUBLE AS x, 10 * embedding[2]::DOUBLE AS y, 10 * embedding[3]::DOUBLE AS z, (vec_id % 3 - 1)::DOUBLE AS q FROM embeddings), pr AS (SELECT a.scope, a.id AS site, b.id AS point, b.q, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM p a JOIN p b ON a.scope = b.scope AND a.id <> b.id)"
-_EDGE = "e AS (SELECT DISTINCT l_partkey::BIGINT AS a, -l_suppkey::BIGINT - 1 AS b FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'A'), u AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e)"
-_SETS = "s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), n AS (SELECT l_orderkey, count(*) AS n FROM s GROUP BY 1), ov AS (SELECT a.l_orderkey AS x, b.l_orderkey AS y, count(*) AS k FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey WHERE a.l_orderkey % 2 = 0 AND b.l_orderkey % 2 = 1 GROUP BY ALL), jc AS (SELECT x, y, round(k / (m.n + o.n - k), 9) AS j FROM ov JOIN n m ON x = m.l_orderkey JOIN n o ON y = o.l_orderkey)"
+_EDGE = "e AS (SELECT DISTINCT l_orderkey::BIGINT AS a, -l_partkey::BIGINT - 1 AS b FROM lineitem), u AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e)"
+_SETS = "s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), n AS (SELECT l_orderkey, count(*) AS n FROM s GROUP BY 1), ov AS (SELECT a.l_orderkey AS x, b.l_orderkey AS y, count(*) AS k FROM s a JOIN s b ON a.l_partkey = b.l_partkey WHERE a.l_orderkey <> b.l_orderkey GROUP BY ALL), jc AS (SELECT x, y, round(k / (m.n + o.n - k), 9) AS j FROM ov JOIN n m ON x = m.l_orderkey JOIN n o ON y = o.l_orderkey)"
 
 SQL = {
     "enrich_star": f"SELECT l_orderkey, rn, o_custkey, n_name FROM {NUMBERED} LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON n_nationkey = coalesce(c_nationkey, s_nationkey)",
@@ -298,12 +299,15 @@ SQL = {
     "radius_features": f"WITH {_PTS} SELECT p.scope, p.id AS site, count(*) FILTER (dist <= 0.5) AS n_0, count(*) FILTER (dist <= 1.0) AS n_1, count(*) FILTER (dist <= 2.0) AS n_2, round(min(dist) FILTER (dist <= 2.0), 6) + 0.0 AS nearest, round(coalesce(sum(pr.q / greatest(dist, 1e-6)) FILTER (dist <= 2.0), 0), 5) AS field FROM p LEFT JOIN pr ON p.scope = pr.scope AND p.id = pr.site GROUP BY ALL",
     "nearest_within": f"WITH {_PTS} SELECT scope, site, point, round(dist, 6) + 0.0 AS distance, row_number() OVER w AS rank, count(*) OVER (PARTITION BY scope, site) AS n_near FROM pr WHERE dist <= 2.0 WINDOW w AS (PARTITION BY scope, site ORDER BY round(dist, 9), point) QUALIFY row_number() OVER w <= 6",
     "site_center": f"WITH {_PTS}, c AS (SELECT scope, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p GROUP BY 1) SELECT p.scope, count(*) AS n, round(any_value(cx), 6) + 0.0 AS cx, round(any_value(cy), 6) + 0.0 AS cy, round(any_value(cz), 6) + 0.0 AS cz, round(sqrt(avg(pow(x - cx, 2) + pow(y - cy, 2) + pow(z - cz, 2))), 6) + 0.0 AS gyration FROM p JOIN c ON p.scope = c.scope GROUP BY p.scope",
-    "similar_orders": f"WITH {_SETS} SELECT x AS a_l_orderkey, y AS b_l_orderkey, round(j, 6) + 0.0 AS jaccard FROM jc WHERE j >= 0.5",
+    "similar_orders": f"WITH {_SETS} SELECT x AS a_l_orderkey, y AS b_l_orderkey, round(j, 6) + 0.0 AS jaccard FROM jc WHERE j >= 0.5 AND x < y",
     "nearest_same_label": """WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey, o_orderpriority AS l FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT l_orderkey, l, count(*) AS n FROM s GROUP BY ALL), o AS (SELECT a.l_orderkey AS x, b.l_orderkey AS y, count(*) AS k FROM s a JOIN s b ON a.l = b.l AND a.l_suppkey = b.l_suppkey WHERE a.l_orderkey % 20 = 0 AND b.l_orderkey % 20 <> 0 GROUP BY ALL),
         j AS (SELECT x, max(k / (m.n + q.n - k)) AS j FROM o JOIN n m ON x = m.l_orderkey JOIN n q ON y = q.l_orderkey GROUP BY x), t AS (SELECT l, count(*) AS c FROM n WHERE l_orderkey % 20 <> 0 GROUP BY 1)
         SELECT n.l_orderkey AS o_orderkey, n.l AS o_orderpriority, round(coalesce(j, 0), 6) + 0.0 AS similarity, coalesce(c, 0) AS n_train, CASE WHEN coalesce(c, 0) = 0 THEN 'zero_shot' WHEN round(coalesce(j, 0), 9) >= 0.7 AND c >= 5 THEN 'high' WHEN round(coalesce(j, 0), 9) >= 0.4 AND c >= 2 THEN 'medium' ELSE 'low' END AS domain FROM n LEFT JOIN j ON n.l_orderkey = x LEFT JOIN t ON n.l = t.l WHERE n.l_orderkey % 20 = 0""",
-    "connected_groups": f"WITH RECURSIVE {_EDGE}, r(node, grp) AS (SELECT u, u FROM u UNION SELECT v, grp FROM r JOIN u ON node = u) SELECT node, min(grp) AS \"group\" FROM r GROUP BY node",
-    "k_hop_features": f"WITH RECURSIVE {_EDGE}, r(start, node, hops) AS (SELECT DISTINCT a, a, 0 FROM e WHERE a % 50 = 0 UNION SELECT start, v, hops + 1 FROM r JOIN u ON node = u WHERE hops < 3), m AS (SELECT start, node, min(hops) AS hops FROM r GROUP BY ALL) SELECT start, hops::BIGINT AS hops, count(*) AS n FROM m GROUP BY ALL",
+    # the smallest label reached in up to 24 steps over neighbours and what those point at
+    "connected_groups": f"WITH {_EDGE}, l0 AS MATERIALIZED (SELECT u AS node, least(u, min(v)) AS g FROM u GROUP BY u), "
+    + ", ".join(f"s{i} AS MATERIALIZED (SELECT u.u AS node, least(any_value(o.g), min(l.g)) AS g FROM u JOIN l{i - 1} l ON l.node = u.v JOIN l{i - 1} o ON o.node = u.u GROUP BY u.u), l{i} AS MATERIALIZED (SELECT s.node, least(s.g, t.g) AS g FROM s{i} s JOIN s{i} t ON t.node = s.g)" for i in range(1, 25))
+    + ' SELECT node, g AS "group" FROM l24',
+    "k_hop_features": f"WITH RECURSIVE {_EDGE}, r(start, node, hops) AS (SELECT DISTINCT a, a, 0 FROM e WHERE a % 20 = 0 UNION SELECT start, v, hops + 1 FROM r JOIN u ON node = u WHERE hops < 3), m AS (SELECT start, node, min(hops) AS hops FROM r GROUP BY ALL) SELECT start, hops::BIGINT AS hops, count(*) AS n FROM m GROUP BY ALL",
     "outlier_queue": "WITH l AS (SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), o AS (SELECT o_orderkey AS id, o_custkey, abs(o_totalprice::DOUBLE / 10000 - 15) AS e FROM orders) SELECT id, o_custkey, round(e, 6) + 0.0 AS error, row_number() OVER (PARTITION BY o_custkey ORDER BY e DESC, id) AS rank, coalesce(event_type, 'pending') AS status FROM o LEFT JOIN l ON o_custkey = user_id WHERE e > 10",
     "one_worst_per_entity": "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "merge_queues": "WITH u AS (SELECT o_custkey AS id, 'high' AS queue, 0 AS p, o_orderkey AS o FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_custkey, 'low', 1, o_orderkey FROM orders WHERE o_totalprice < 20000) SELECT id, queue, o FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, o) = 1",

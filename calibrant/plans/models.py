@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from calibrant.operators import metrics as m
 from calibrant.operators import models as md
-from calibrant.operators import states as st
 from calibrant.functions import scalars as s
 from calibrant.plans.common import r6, read
-from calibrant.plans.states import LEVEL, _graphs
+from calibrant.plans import metrics as m_plans
+from calibrant.plans import states as st_plans
+from calibrant.plans.states import coupling_effect, interval_marginals
+from calibrant.sources.tables import cut
 
 FOLDS = 3
 
@@ -28,8 +30,9 @@ def oof_regression(spark, d):
 def candidate_scores(spark, d):
     """Each candidate's held-out errors and the one that the one-standard-error rule takes."""
     o, out = _orders(spark, d), None
-    for i, name in enumerate(("linear", "gbt_squared")):
-        oof = md.oof_predict(o, md.candidates()[name], FOLDS)
+    o = cut(o, "candidates")
+    for i, (name, estimator) in enumerate(sorted(md.candidates().items(), key=lambda c: (c[0] != "linear", c[0]))):  # simplest first
+        oof = md.oof_predict(o, estimator, FOLDS)
         by = m.error_metrics(oof, "fold").select(F.lit(name).alias("candidate"), F.lit(i).alias("rank"), F.col("mae"), F.col("p95_abs_error").alias("p95"))
         out = by if out is None else out.unionByName(by)
     return m.one_se_select(out, "candidate", "mae", "p95", "rank").select("candidate", r6("mean").alias("mean"))
@@ -58,24 +61,26 @@ def form_head(spark, d):
 
 
 def batch_score(spark, d):
-    """The batch call as one plan: populations, marginals, calls, interval robustness and confidence per site."""
-    g = st.with_populations(_graphs(spark, d), LEVEL)
-    sites = st.marginals(g).join(g.select("graph_id", "entropy", "gap"), "graph_id")
-    conf = s.site_confidence("p_acid", s.interval_confidence(F.greatest(F.lit(0.0), F.col("p_acid") - 0.05), F.least(F.lit(1.0), F.col("p_acid") + 0.05)), F.lit(0.95), F.lit("high"), F.lit(0.0), F.lit(True), F.lit("none"))
-    return sites.select("graph_id", F.col("site_id").cast("long").alias("site_id"), s.state_call(F.round("p_acid", 9)).alias("call"), r6(conf).alias("confidence"), s.confidence_tier(F.round(conf, 9)).alias("tier"))
+    """The batch call as one plan. Per site the call at the level; confidence from the interval scenarios (D47), the
+    calibrated probability of the order (D45), its label's support in other folds (D53) and what couplings change (D48)."""
+    at = lambda name: F.max(F.when(F.col("scenario") == name, F.col("p_acid")))
+    sites = interval_marginals(spark, d).groupBy("graph_id", "site_id").agg(at("low").alias("low"), at("mid").alias("p"), at("high").alias("high"), F.lit(True).alias("complete"))
+    order = read(spark, d, "orders").select(F.col("o_orderkey").alias("graph_id"), F.col("o_orderpriority").alias("label"), (F.col("o_custkey") % m_plans.FOLDS).alias("fold"))
+    fits = m_plans.fold_support(spark, d).select("label", "fold", F.when(F.col("zero_shot"), "none").when(F.col("groups_elsewhere") >= 1000, "high").when(F.col("groups_elsewhere") >= 100, "medium").otherwise("low").alias("support"))
+    calibrated = m_plans.hierarchical_calibration(spark, d).select(F.col("id").alias("graph_id"), F.greatest(F.col("prob"), 1 - F.col("prob")).alias("empirical"))
+    gaps = coupling_effect(spark, d).select("graph_id", F.col("largest").alias("gap"), F.when(F.col("largest") > 0, "screened_coupling").otherwise("direct").alias("kind"))
+    t = sites.join(order, "graph_id").join(fits, ["label", "fold"]).join(calibrated, "graph_id").join(gaps, "graph_id")
+    conf = s.site_confidence("p", s.interval_confidence(F.least("low", "high"), F.greatest("low", "high")), "empirical", "support", "gap", "complete", "kind")
+    return t.select("graph_id", "site_id", s.state_call("p").alias("call"), r6(conf).alias("confidence"), s.confidence_tier(F.round(conf, 9)).alias("tier"), "support")
 
 
 QUERIES = {f.__name__: f for f in (oof_regression, candidate_scores, supplement_gate, rank_classifier, form_head, batch_score)}
 
-
-
-def _batch_sql() -> str:
-    from calibrant.plans.states import _MARGINAL, _S
-
-    raw = _MARGINAL.replace("round(sum(CASE WHEN (state >> (site_id - 1)) & 1 = 1 THEN p ELSE 0 END), 6) + 0.0", "sum(CASE WHEN (state >> (site_id - 1)) & 1 = 1 THEN p ELSE 0 END)")
-    return f"""WITH {_S}, m AS ({raw}), i AS (SELECT *, greatest(0.0, p_acid - 0.05) AS lo, least(1.0, p_acid + 0.05) AS hi FROM m),
-        c AS (SELECT graph_id, site_id, p_acid, abs(2 * p_acid - 1) * CASE WHEN lo >= 0.5 THEN 2 * (lo - 0.5) WHEN hi <= 0.5 THEN 2 * (0.5 - hi) ELSE 0 END * 0.9 AS c FROM i)
-        SELECT graph_id, site_id, CASE WHEN round(p_acid, 9) >= 0.5 THEN 'acid_form' ELSE 'base_form' END AS call, round(c, 6) + 0.0 AS confidence, CASE WHEN round(c, 9) >= 0.7 THEN 'high' WHEN round(c, 9) >= 0.4 THEN 'medium' WHEN round(c, 9) >= 0.1 THEN 'low' ELSE 'very_low' END AS tier FROM c"""
-
-
-SQL = {"batch_score": _batch_sql()}
+_TIER = "CASE WHEN round(c, 9) >= 0.7 THEN 'high' WHEN round(c, 9) >= 0.4 THEN 'medium' WHEN round(c, 9) >= 0.1 THEN 'low' ELSE 'very_low' END"
+SQL = {
+    "batch_score": f"""WITH im AS ({st_plans.SQL["interval_marginals"]}), hc AS ({m_plans.SQL["hierarchical_calibration"]}), fs AS ({m_plans.SQL["fold_support"]}), ce AS ({st_plans.SQL["coupling_effect"]}),
+        p AS (SELECT graph_id, site_id, max(p_acid) FILTER (scenario = 'low') AS a, max(p_acid) FILTER (scenario = 'mid') AS p, max(p_acid) FILTER (scenario = 'high') AS z FROM im GROUP BY ALL),
+        t AS (SELECT p.*, greatest(hc.prob, 1 - hc.prob) AS emp, CASE WHEN zero_shot THEN 'none' WHEN groups_elsewhere >= 1000 THEN 'high' WHEN groups_elsewhere >= 100 THEN 'medium' ELSE 'low' END AS support, largest FROM p JOIN orders ON p.graph_id = o_orderkey JOIN hc ON p.graph_id = hc.id JOIN fs ON fs.label = o_orderpriority AND fs.fold = o_custkey % 5 JOIN ce ON p.graph_id = ce.graph_id),
+        c AS (SELECT *, greatest(0.0, least(1.0, 2 * emp - 1)) * abs(2 * p - 1) * CASE WHEN least(a, z) >= 0.5 THEN 2 * (least(a, z) - 0.5) WHEN greatest(a, z) <= 0.5 THEN 2 * (0.5 - greatest(a, z)) ELSE 0 END * CASE support WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.8 WHEN 'low' THEN 0.55 ELSE 0.3 END * exp(-largest) * CASE WHEN largest > 0 THEN 0.55 ELSE 1.0 END AS c FROM t)
+        SELECT graph_id, site_id, CASE WHEN p >= 0.5 THEN 'acid_form' ELSE 'base_form' END AS call, round(c::DOUBLE, 6) + 0.0 AS confidence, {_TIER} AS tier, support FROM c""",
+}

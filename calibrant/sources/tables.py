@@ -36,11 +36,11 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, required: tuple[str, ...] = (), sep: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, required: tuple[str, ...] = (), sep: str | None = None, multi_line: bool = False) -> DataFrame:
     """A1: CSV or TSV with a header (separator by the name's ending unless given). With a schema nothing is inferred;
-    without one every column is text."""
+    without one every column is text. Quoted line breaks need ``multi_line``, which reads each file in one task."""
     sep = sep or ("\t" if path.rstrip("/").endswith((".tsv", ".tsv.gz")) else ",")
-    r = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
+    r = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     return require_columns((r.schema(schema) if schema is not None else r).csv(path), *required)
 
 

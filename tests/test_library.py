@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calibrant.functions import scalars as s
+from calibrant.operators import encode
 from calibrant.operators import evidence as ev
 from calibrant.operators import joins as j
 from calibrant.operators import metrics as m
@@ -76,8 +77,8 @@ def test_scalars(spark):
     assert [one.select(s.confidence_tier(F.lit(c))).first()[0] for c in (0.7, 0.4, 0.1, 0.09)] == ["high", "medium", "low", "very_low"]
     assert one.select(s.interval_confidence(F.lit(0.6), F.lit(0.9)), s.interval_confidence(F.lit(0.4), F.lit(0.6))).first()[:] == (pytest.approx(0.2), 0.0)
     assert one.select(s.integral_id(F.lit("12.0")), s.integral_id(F.lit("12A"))).first()[:] == ("12", "12A")
-    refs = spark.createDataFrame([("https://doi.org/10.1021/ja01.x?q",), ("PMID: 12",), (" a  b ",), (None,)], "x string")
-    assert [r[0] for r in refs.select(s.reference_key("x")).collect()] == ["10.1021/ja01.x", "pmid:12", "ab", ""]
+    refs = spark.createDataFrame([("https://doi.org/10.1021/ja01.x?q",), ("PMID: 12",), (" a  b ",), (None,), ("https://doi.org/10.1021/ja01.x.;",), ("pubmed/7",), ("http%3A//X/",)], "x string")
+    assert [r[0] for r in refs.select(s.reference_key("x")).collect()] == ["10.1021/ja01.x", "pmid:12", "a b", "", "10.1021/ja01.x", "pmid:7", "http://x"]
 
 
 def observations(spark, rows):
@@ -228,3 +229,56 @@ def test_sources(spark, tmp_path):
     assert tables.incremental_inputs(ledger, ledger).count() == 0
     d = spark.range(5)
     assert tables.table_digest(d, "t").first() == tables.table_digest(d.repartition(3).orderBy(F.desc("id")), "t").first()
+
+
+def test_provenance_and_strict_filter_with_nulls(spark):
+    rows = spark.createDataFrame([("marvin", True, None, None), ("marvin", None, True, None), (None, None, True, None), ("x", True, None, ""), (None, None, None, "single_group"), (None, None, None, None)], "m string, a boolean, o boolean, t string")
+    got = [r.b.detail for r in rows.select(s.provenance_bucket("m", "a", "o", "t").alias("b")).collect()]
+    assert got == ["marvin_atom_match", "marvin_no_atom_match", "manual_site_override", "explicit_atom_match_non_marvin", "single_group_drawn_state", "multi_group_pair_first"]
+    data = [(1, "k", "7", True, " Marvin "), (2, "k", "7", True, "marvin"), (3, "j", "21", True, "marvin"), (4, "i", "x", True, "marvin"), (5, None, "7", True, "marvin"), (6, "h", "7", None, "marvin"), (7, "g", "7", True, None)]
+    df = spark.createDataFrame(data, "id int, k string, v string, strict boolean, method string")
+    kept = ev.strict_training_filter(df, F.col("strict"), ["k"], "v", ["k", "v"], ["id"], method=("method", "marvin"))
+    assert values(kept, "id") == {(1,)} and kept.columns == df.columns
+    assert ev.strict_training_filter(df.limit(0), F.col("strict"), ["k"], "v", ["k"], ["id"]).count() == 0
+
+
+def test_weight_budget(spark):
+    df = spark.createDataFrame([("c", 100.0), ("a", 20.0), ("b", 20.0), ("z", 4.0), ("o", 3.0), (None, 1.0), ("n", 0.0)], "cohort string, w double")
+    got = {r.cohort: r.scale for r in ev.weight_budget(df, "cohort", "w", "c", ["a", "b", "n"], 0.25, {"z": 0.02}).collect()}
+    assert got == {"c": 1.0, "a": 1.0, "b": 0.25, "z": 0.5, "o": 1.0, None: 1.0, "n": 0.0}
+
+
+def test_encodings(spark):
+    df = spark.createDataFrame([(1, "b|a||b"), (2, None), (3, "c")], "id int, x string")
+    words = encode.vocabulary(df.where("id < 3"), encode.tokens_of("x"))
+    assert values(words, "token", "index") == {("a", 0), ("b", 1)}
+    assert {r.id: r.indices for r in encode.multi_hot(df, "id", encode.tokens_of("x"), words).collect()} == {1: [0, 1], 2: [], 3: []}
+    rows = spark.createDataFrame([(1, "a", 2.5), (2, "b", None), (3, None, 1.0)], "id int, c string, m double")
+    got = {r.id: [tuple(f) for f in r.features] for r in encode.class_by_margin(rows, "c", "m", words, 2).collect()}
+    assert got == {1: [(0, 1.0), (2, 2.5)], 2: [(1, 1.0)], 3: []}
+
+
+def test_split_errors_and_quantiles(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, k string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id int")
+    assert values(m.split_errors(rows, "id", "k", ids(1, 3), ids(2, 3, 9)), "kind", "id") == {("overlap", "3"), ("range", "9"), ("leak", "a"), ("leak", "b")}
+    assert m.split_errors(rows, "id", "k", ids(1, 2), ids(3)).count() == 0
+    x = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v")).unionByName(spark.createDataFrame([(None, 4.0), (5, None)], "k long, v double"))
+    got = {r.k: (r.q, r.m) for r in m.ranks.quantiles(x, ["k"], "v", {"q": 0.9, "m": 0.5}).collect()}
+    want = {r.k: (r.q, r.m) for r in x.where("v is not null").groupBy("k").agg(F.percentile("v", F.lit(0.9)).alias("q"), F.median("v").alias("m")).collect()}
+    assert got == want and m.ranks.quantiles(x.limit(0), ["k"], "v", {"q": 0.9}).count() == 0
+
+
+def test_gate_reaches_full_scale(spark):
+    rows = [("k", g, float(g % 7), float(g % 7) + 0.01 * (g % 3), float(g % 7) + 2) for g in range(40)]
+    t = m.calibration_gate(spark.createDataFrame(rows, "key string, g int, y double, p double, q double"), "key", "g").first()
+    assert t.scale == 1.0 and t.p05_baseline > 0 and t.p05_zero > 0
+
+
+def test_coupling_scan_finds_the_coupling(spark):
+    sites = [("g", i, 9.0 - i) for i in range(5)]
+    pairs = [("g", i, k, -1.5) for i in range(5) for k in range(i + 1, 5)]
+    g = st.with_states(st.graphs(spark.createDataFrame(sites, "graph_id string, site_id int, b double"), pairs=spark.createDataFrame(pairs, "graph_id string, site_i int, site_j int, j double")))
+    target = st.ladder(g).groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"]).alias("target"))
+    terms = spark.createDataFrame([("g", [9.0 - i for i in range(5)])], "graph_id string, b array<double>").join(target, "graph_id")
+    assert st.coupling_scan(terms, ridge=0.0).first().coupling == pytest.approx(-1.5)
