@@ -13,7 +13,8 @@ SLICE_BYTES = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most ``size`` bytes of text, one row at least."""
+    """Runs of rows with at most ``size`` bytes of text, one row at least. What Arrow's pool holds free is given back at the
+    end: a worker outlives its task."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -25,6 +26,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
                 start, held = i, 0
             held += k
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -208,5 +208,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = SIZE, block: i
                 yield out
         if names:
             yield _pack_block(names, ids, model.ends, ended, size)[0]
+        model.older = {}  # the worker outlives its task; the newer generation is enough for the next one
 
     return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
