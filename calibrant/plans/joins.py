@@ -323,4 +323,14 @@ SQL = {
     "label_frequency": "SELECT p_partkey, count(*) OVER (PARTITION BY p_type) AS n, round(1 / ln(1 + count(*) OVER (PARTITION BY p_type)), 6) + 0.0 AS uniqueness FROM part",
     "nested_value_counts": "SELECT l_returnflag AS tier, count(*) AS n, min(l_extendedprice::DOUBLE) AS low, median(l_extendedprice::DOUBLE) AS mid, max(l_extendedprice::DOUBLE) AS high FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1",
     "expand_states": "WITH c AS (SELECT c_custkey, c_nationkey % 3 + 1 AS a, c_custkey % 4 + 1 AS b FROM customer), x AS (SELECT c_custkey, i::VARCHAR || ',' || j || ',' || k AS state FROM c, range(3) r(i), range(4) s(j), range(2) t(k) WHERE i < a AND j < b AND a * b * 2 <= 20) SELECT c.c_custkey, a * b * 2 > 20 AS truncated, coalesce(state, '') AS state FROM c LEFT JOIN x ON c.c_custkey = x.c_custkey",
+    "reference_transitions": """WITH f AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) AS q FROM lineitem GROUP BY 1),
+        o AS (SELECT o_orderkey, o_custkey, f.* FROM orders JOIN f ON o_orderkey = l_orderkey), m AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY q, o_orderkey) = 1),
+        d AS (SELECT o.o_custkey, o.o_orderkey, o.q - m.q AS step, o.a - m.a AS da, o.n - m.n AS dn, o.r - m.r AS dr FROM o JOIN m ON o.o_custkey = m.o_custkey AND o.o_orderkey <> m.o_orderkey),
+        c AS (SELECT *, (da <> 0)::INT + (dn <> 0)::INT + (dr <> 0)::INT AS k, da + dn + dr AS one FROM d),
+        t AS (SELECT *, CASE WHEN abs(step) <> 1 THEN 'charge_not_one' WHEN k <> 1 THEN 'families_changed' WHEN abs(one) <> 1 THEN 'several_sites' WHEN one <> step THEN 'wrong_direction' ELSE 'unambiguous' END AS status FROM c)
+        SELECT o_custkey, o_orderkey, status, CASE WHEN status <> 'unambiguous' THEN '' WHEN da <> 0 THEN 'A' WHEN dn <> 0 THEN 'N' ELSE 'R' END AS family FROM t""",
+    "overlap_resolve": f"""WITH RECURSIVE x AS (SELECT l_orderkey, rn, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS a, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) + 400 AS z, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, rn) AS k FROM {NUMBERED}),
+        r AS (SELECT l_orderkey, k, [{{'i': rn, 'a': a, 'z': z}}] AS kept FROM x WHERE k = 1
+        UNION ALL SELECT x.l_orderkey, x.k, CASE WHEN len(list_filter(kept, lambda y: y.a < x.z AND x.a < y.z)) > 0 THEN kept ELSE list_append(kept, {{'i': x.rn, 'a': x.a, 'z': x.z}}) END FROM r JOIN x ON x.l_orderkey = r.l_orderkey AND x.k = r.k + 1),
+        e AS (SELECT l_orderkey, unnest(kept) AS y FROM r QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC) = 1) SELECT l_orderkey, y.i AS rn, y.a AS a, y.z AS z FROM e""",
 }

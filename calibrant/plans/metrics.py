@@ -228,4 +228,11 @@ SQL = {
     "context_stats": f"""WITH x AS (SELECT l_orderkey, rn, l_extendedprice::DOUBLE AS x FROM {NUMBERED}) SELECT a.l_orderkey, a.rn, count(b.x) AS n, round(coalesce(min(b.x), 0), 6) + 0.0 AS low, round(coalesce(max(b.x), 0), 6) + 0.0 AS high, round(coalesce(avg(b.x), 0), 6) + 0.0 AS mean, round(coalesce(min(abs(a.x - b.x)), 0), 6) + 0.0 AS closest, count(*) FILTER (b.x < a.x) AS lower, count(*) FILTER (b.x > a.x) AS higher
         FROM x a LEFT JOIN x b ON a.l_orderkey = b.l_orderkey AND a.rn <> b.rn GROUP BY a.l_orderkey, a.rn, a.x""",
     "soft_assign": f"WITH x AS (SELECT l_orderkey, rn, exp(-abs(o_totalprice::DOUBLE / 40000 - l_extendedprice::DOUBLE / 10000) / 2) AS e FROM {NUMBERED} JOIN orders ON l_orderkey = o_orderkey) SELECT l_orderkey, rn, round(0.2 * e / sum(e) OVER (PARTITION BY l_orderkey), 9) AS weight FROM x",
+    # each order's first two lines against the others, every pair of different steps tried
+    "set_match": f"""WITH x AS (SELECT l_orderkey, rn, l_quantity::DOUBLE AS o, l_extendedprice::DOUBLE / 1000 AS p FROM {NUMBERED}),
+        c AS (SELECT a.l_orderkey, min(abs(a.o - s.p) + abs(b.o - t.p)) AS cost FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.rn = 1 AND b.rn = 2 JOIN x s ON s.l_orderkey = a.l_orderkey AND s.rn > 2 JOIN x t ON t.l_orderkey = a.l_orderkey AND t.rn > 2 AND t.rn <> s.rn GROUP BY 1)
+        SELECT l_orderkey, round(cost, 6) + 0.0 AS cost FROM (SELECT DISTINCT l_orderkey FROM x) LEFT JOIN c USING (l_orderkey)""",
+    "cluster_1d": """WITH RECURSIVE v AS (SELECT l_orderkey, x, row_number() OVER (PARTITION BY l_orderkey ORDER BY x) AS k FROM (SELECT DISTINCT l_orderkey, l_quantity::DOUBLE / 5 AS x FROM lineitem)),
+        r AS (SELECT l_orderkey, k, x, x AS first, 1 AS c FROM v WHERE k = 1 UNION ALL SELECT v.l_orderkey, v.k, v.x, CASE WHEN round(v.x - r.x, 9) <= 1 AND round(v.x - first, 9) <= 2 THEN first ELSE v.x END, CASE WHEN round(v.x - r.x, 9) <= 1 AND round(v.x - first, 9) <= 2 THEN c ELSE c + 1 END FROM r JOIN v ON v.l_orderkey = r.l_orderkey AND v.k = r.k + 1)
+        SELECT l_orderkey, min(x) AS first, max(x) AS last, count(*) AS n FROM r GROUP BY l_orderkey, c""",
 }

@@ -166,4 +166,9 @@ SQL = {
         t AS (SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY b DESC) AS n, b - 0.3 * (row_number() OVER (PARTITION BY graph_id ORDER BY b DESC) - 1) AS target FROM s),
         l AS (SELECT d.graph_id, j10, round(sum(pow(v - target, 2)) + 0.25 * j10 * j10 / 100.0, 6) AS loss FROM d JOIN t ON d.graph_id = t.graph_id AND d.n = t.n GROUP BY d.graph_id, j10),
         r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY loss, abs(j10), j10) AS rk FROM l) SELECT graph_id, j10, loss FROM r WHERE rk = 1""",
+    "projection_with_fixed": f"""WITH n AS (SELECT l_orderkey AS g, rn, l_extendedprice::DOUBLE AS v, l_returnflag = 'R' AS fixed FROM {NUMBERED}), l AS (SELECT *, fixed OR coalesce(lag(fixed) OVER (PARTITION BY g ORDER BY rn), false) AS new FROM n),
+        b AS (SELECT *, sum(new::INT) OVER (PARTITION BY g ORDER BY rn) AS blk, last_value(CASE WHEN fixed THEN v END IGNORE NULLS) OVER (PARTITION BY g ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, first_value(CASE WHEN fixed THEN v END IGNORE NULLS) OVER (PARTITION BY g ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lo FROM l),
+        c AS (SELECT *, sum(v) OVER (PARTITION BY g, blk ORDER BY rn) AS c FROM b), m AS (SELECT a.g, a.blk, a.rn AS i, z.rn AS j, (z.c - a.c + a.v) / (z.rn - a.rn + 1) AS mean FROM c a JOIN c z ON a.g = z.g AND a.blk = z.blk AND a.rn <= z.rn),
+        x AS (SELECT c.g, c.rn, m.i, max(mean) AS top FROM c JOIN m ON c.g = m.g AND c.blk = m.blk AND m.i <= c.rn AND m.j >= c.rn GROUP BY ALL), f AS (SELECT g, rn, min(top) AS fit FROM x GROUP BY ALL)
+        SELECT f.g AS l_orderkey, f.rn, fixed, round(CASE WHEN fixed THEN v ELSE greatest(coalesce(lo, '-infinity'::DOUBLE), least(coalesce(hi, 'infinity'::DOUBLE), fit)) END, 6) AS fitted FROM f JOIN b ON f.g = b.g AND f.rn = b.rn""",
 }
