@@ -148,6 +148,39 @@ SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(length(k.text), 0):
 """
 
 
+#: Rules, then personalised PageRank unrolled for as many rounds as the operator makes at most.
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, coalesce(html, '') AS html, row_number() OVER () AS rid FROM pages
+), rules(rule, told) AS (VALUES {rules}), k AS (
+  SELECT rule, told, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS q FROM rules
+), fit AS (
+  SELECT rid, rule, told FROM p JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, rule DESC) = 1
+), j AS (
+  SELECT p.*, rule, told FROM p LEFT JOIN fit USING (rid)
+), a AS (
+  SELECT rid, host AS src, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1))) AS href FROM p
+), b AS (
+  SELECT DISTINCT rid, src, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') OR starts_with(href, '//')
+    THEN translate(regexp_extract(CASE WHEN starts_with(href, '//') THEN 'x:' || href ELSE href END, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE src END AS dst FROM a
+), e AS MATERIALIZED (
+  SELECT src, dst, count(*) AS n FROM b WHERE src <> '' AND dst <> '' GROUP BY ALL
+), l AS (SELECT 't' AS kind, src AS u, dst AS v, n FROM e UNION ALL SELECT 'd', dst, src, n FROM e),
+o AS MATERIALIZED (SELECT kind, u, sum(n) AS total FROM l GROUP BY ALL), w AS MATERIALIZED (SELECT l.kind, l.u, l.v, 0.85 * n / total AS w FROM l JOIN o ON l.kind = o.kind AND l.u = o.u),
+h AS (SELECT host, avg((told IS NOT DISTINCT FROM 'allow')::INT) AS t, avg((told IS NOT DISTINCT FROM 'block')::INT) AS d FROM j WHERE host <> '' GROUP BY host),
+s AS MATERIALIZED (SELECT * FROM (SELECT 't' AS kind, host AS u, t AS s FROM h UNION ALL SELECT 'd', host, d FROM h) WHERE s > 0), total AS MATERIALIZED (SELECT kind, sum(s) AS s FROM s GROUP BY kind),
+r0 AS MATERIALIZED (SELECT kind, u, s AS r FROM s), {rounds},
+z AS (SELECT u AS host, coalesce(sum(r) FILTER (kind = 't'), 0) AS t, coalesce(sum(r) FILTER (kind = 'd'), 0) AS d FROM r50 GROUP BY u)
+SELECT page_id, j.host, path, rule, coalesce(told, CASE WHEN d > 0.5 AND d > t THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN z ON j.host = z.host
+""".replace("{rules}", ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)).replace("{rounds}", ", ".join(
+    f"r{i} AS MATERIALIZED (SELECT kind, u, sum(r) AS r FROM (SELECT w.kind, v AS u, w * r AS r FROM w JOIN r{i - 1} x ON w.kind = x.kind AND w.u = x.u"
+    f" UNION ALL SELECT s.kind, s.u, s.s * (0.15 + 0.85 * coalesce(m, 0) / total.s) FROM s JOIN total ON s.kind = total.kind LEFT JOIN (SELECT x.kind, sum(r) AS m FROM r{i - 1} x ANTI JOIN o ON x.kind = o.kind AND x.u = o.u GROUP BY x.kind) g ON g.kind = s.kind) GROUP BY ALL)"
+    for i in range(1, 51)
+))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_normaliser": op1_warc_normaliser,
@@ -164,4 +197,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_normaliser": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_host_quality": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_warc_normaliser": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_host_quality": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}

@@ -470,6 +470,94 @@ def test_pipeline(spark, odd):
         stage(spark, odd, "").count()
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage of the pipeline on what its predecessor kept, against plain Python."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    lined = lambda w: "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+    shared, boiler = [fresh(60) for _ in range(4)], [" ".join(fresh(7)) for _ in range(5)]
+    texts = []
+    for i in range(60):
+        body = lined(fresh(rng.randrange(40, 120)))
+        if i % 4 == 0:
+            body += "\n" + " ".join(shared[i // 4 % 4])  # a passage in one line
+        if i % 5 == 0:
+            body = "\n".join(boiler[: 3 + i % 3]) + "\n" + body
+        texts.append(body)
+    for i in (3, 7, 11):  # copies, near and exact, and texts that the rules reject
+        w = texts[i].split(" ")
+        w[len(w) // 2] = "changed"
+        texts += [" ".join(w), texts[i], "too short", " ".join(fresh(10) * 6)]
+    docs, want = docs_of(spark, texts), dict(enumerate(texts))
+
+    def quality(held):
+        out = {}
+        for i, t in held.items():
+            n, _, _, _, repeated = brute_quality(t)
+            if n >= 20 and 100 * repeated <= 30 * n:
+                out[i] = t
+        return out
+
+    def lines(held):
+        seen, out = set(), {}
+        for i, t in sorted(held.items()):
+            rows = [r for r in t.split("\n") if r.strip()]
+            gone = set()
+            for k in range(len(rows) - 2):
+                window = tuple(r.rstrip() for r in rows[k : k + 3])
+                gone |= {k, k + 1, k + 2} if window in seen else set()
+                seen.add(window)
+            out[i] = "\n".join(r for k, r in enumerate(rows) if k not in gone)
+        return out
+
+    def shingles(t):
+        w = WORD.findall(t.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    def near(held):
+        sets, out = {i: shingles(t) for i, t in held.items()}, {}
+        group = {i: i for i in held}
+        for i in sorted(held):
+            for k in sorted(held):
+                if k < i and len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]):
+                    a, b = group[i], group[k]
+                    group = {x: min(a, b) if g in (a, b) else g for x, g in group.items()}
+        for i, t in held.items():
+            if group[i] == i:
+                out[i] = t
+        return out
+
+    def passages(held):
+        seen, out = set(), {}
+        for i, t in sorted(held.items()):
+            w = WORD.findall(t.lower())
+            runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+            gone = {k + x for k, r in enumerate(runs) if r in seen for x in range(50)}
+            seen.update(runs)
+            out[i] = [x for k, x in enumerate(WORD.findall(t)) if k not in gone]
+        return out
+
+    stages = dict(corpus_pipeline.STAGES)
+    for name, brute in (("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near)):
+        docs = common.cut(stages[name](spark, docs, ""), "test-stage")
+        before, want = want, brute(want)
+        assert {r.doc_id: r.text for r in docs.collect()} == want, name
+        assert want != before
+    docs = common.cut(stages["substring dedup"](spark, docs, ""), "test-stage")
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert {i: WORD.findall(t) for i, t in left.items()} == passages(want) and any(len(left[i]) < len(want[i]) for i in left)
+    t, of = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), defaultdict(list)
+    for r in stages["packing"](spark, docs, "").collect():
+        of[r.doc_id].append(r)
+    assert set(of) == set(left)
+    for i, pieces in of.items():
+        ids, at = t.encode(left[i], add_special_tokens=False).ids + [2], 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{r.length}I", *ids[at : at + r.length])))
+            at += r.length
+        assert at == len(ids)
+
+
 def test_pipeline_drops_near_copies(spark):
     """Copies of similarity 0.81 on five-word shingles go, those of 0.55 stay."""
     rng, texts = random.Random(15), []
