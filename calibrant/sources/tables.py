@@ -29,6 +29,12 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     """A1: raises before any job when columns are missing."""
     if missing := sorted(set(names) - set(df.columns)):
