@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibrant.sources.tables import cut, shared_dir
+from calibrant.sources.tables import cut, drop_path, shared_dir
 
-__all__ = ["cut", "shared_dir"]
+__all__ = ["cut", "drop_path", "shared_dir"]
 
 #: White space of the corpus contracts: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -25,12 +25,6 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table that :func:`scratch` named."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that :func:`cut` returned; it can't be read any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
