@@ -319,19 +319,21 @@ PAIR = ("o1", "o2", "b_lo", "b_hi", "block")
 
 def regions(met: DataFrame, agree: int = 1) -> DataFrame:
     """Regions (shingles a_lo..a_hi of k1, k2 and b_lo..b_hi of o1, o2) around windows that met, as intervals along one
-    shift joined where they overlap, of at least ``agree`` hash functions. One exchange, by document, whose windows are
-    bounded by its length."""
+    shift joined where they overlap, for pairs of documents that met under at least ``agree`` hash functions. One exchange,
+    by document, whose windows are bounded by its length."""
     reach = lambda n: (n * 1.25 + 8).cast("int")  # noqa: E731  room for words put in or left out
     each = met.select(
         "k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2"), "block", F.expr(f"shiftleft(1, cast(key & {FUNCTIONS} as int))").alias("functions"), F.floor((F.col("f_at") - F.col("at")) / STEP).alias("shift"),
         F.greatest(F.col("lo"), F.col("at") - reach(F.col("f_at") - F.col("f_lo"))).alias("a_lo"), F.least(F.col("hi"), F.col("at") + reach(F.col("f_hi") - F.col("f_at"))).alias("a_hi"),
         F.greatest(F.col("f_lo"), F.col("f_at") - reach(F.col("at") - F.col("lo"))).alias("b_lo"), F.least(F.col("f_hi"), F.col("f_at") + reach(F.col("hi") - F.col("at"))).alias("b_hi"),
     )
+    pair = Window.partitionBy("k1", "k2", "o1", "o2")
+    each = each.withColumn("functions", F.bit_or("functions").over(pair)).where(F.bit_count("functions") >= agree)
     along = Window.partitionBy("k1", "k2", "o1", "o2", "shift").orderBy("a_lo", "a_hi")
     apart = F.coalesce((F.col("a_lo") > F.max("a_hi").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
     island = each.withColumn("apart", apart).withColumn("island", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = island.groupBy("k1", "k2", "o1", "o2", "shift", "island").agg(F.min("block").alias("block"), F.min("a_lo").alias("a_lo"), F.max("a_hi").alias("a_hi"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"), F.bit_or("functions").alias("functions"))
-    return joined.where(F.bit_count("functions") >= agree).select("k1", "k2", "a_lo", "a_hi", "o1", "o2", (F.floor(F.col("b_lo") / STEP) * STEP).cast("int").alias("b_lo"), (F.ceil((F.col("b_hi") + 1) / STEP) * STEP - 1).cast("int").alias("b_hi"), "block").distinct()
+    joined = island.groupBy("k1", "k2", "o1", "o2", "shift", "island").agg(F.min("block").alias("block"), F.min("a_lo").alias("a_lo"), F.max("a_hi").alias("a_hi"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"))
+    return joined.select("k1", "k2", "a_lo", "a_hi", "o1", "o2", (F.floor(F.col("b_lo") / STEP) * STEP).cast("int").alias("b_lo"), (F.ceil((F.col("b_hi") + 1) / STEP) * STEP - 1).cast("int").alias("b_hi"), "block").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, span: int = SPAN) -> DataFrame:
