@@ -29,7 +29,7 @@ MIN_WORDS = 50
 SPAN = MIN_WORDS - SHINGLE + 1
 HASHES = 4
 FUNCTIONS = 3  # the bits of a key that tell its hash function
-PLACES = 1 << 18  # places of shingles held while a shift is chosen
+PLACES = 1 << 14  # places of shingles, the rarest first, that choose a shift
 MISS = 8  # 8 of 9 matching shingles on both sides are a Jaccard similarity of 0.8
 
 
