@@ -246,16 +246,20 @@ def normal_cdf(z: C) -> Column:
     return F.when(_c(z) >= 0, 0.5 + half).otherwise(0.5 - half)
 
 
-#: How a DOI and the two ways to write a PubMed id look.
-DOI, PUBMED, PMID = r"(10\.\d{4,9}/[^\s?#]+)", r"(?:pubmed(?:\.ncbi\.nlm\.nih\.gov)?[/=:]|pubmed/)(\d+)", r"pmid:?\s*(\d+)"
+#: How a DOI looks, and what stands before a PubMed id.
+DOI = r"(10\.\d{4,9}/[^\s?#]+)"
+PUBMED_SITES = ("pubmed.ncbi.nlm.nih.gov", "pubmed")
+PUBMED_MARKS = ("/", "=", ":")
 
 
 def reference_key(x: C) -> Column:
     """H: a DOI without closing marks ``.,;)``, else a PubMed id, else the text with single spaces and no closing
-    slash; URL-decoded where that is possible, in lower case. Null: empty."""
-    t = F.lower(F.trim(F.coalesce(F.try_url_decode(_c(x)), _c(x), F.lit(""))))
+    slash; URL-decoded where that is possible (a plus sign stays one), in lower case. Null: empty."""
+    decoded = F.try_url_decode(F.replace(_c(x).cast("string"), F.lit("+"), F.lit("%2B")))
+    t = F.lower(F.trim(F.coalesce(decoded, _c(x), F.lit(""))))
     doi = F.regexp_replace(F.regexp_extract(t, DOI, 1), "[.,;)]+$", "")
-    pmid = F.coalesce(F.nullif(F.regexp_extract(t, PUBMED, 1), F.lit("")), F.regexp_extract(t, PMID, 1))
+    starts = "|".join(f"{site}{mark}".replace(".", r"\.") for site in PUBMED_SITES for mark in PUBMED_MARKS)
+    pmid = F.coalesce(F.nullif(F.regexp_extract(t, rf"(?:{starts})(\d+)", 1), F.lit("")), F.regexp_extract(t, r"pmid:?\s*(\d+)", 1))
     return F.when(doi != "", doi).when(pmid != "", F.concat(F.lit("pmid:"), pmid)).otherwise(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), "/+$", ""))
 
 
@@ -286,7 +290,7 @@ def utc_stamp(at: Column | None = None) -> Column:
 def integral_id(x: C) -> Column:
     """H: ``12.0`` becomes ``12``; insertion codes stay."""
     t = F.trim(_c(x).cast("string"))
-    return F.when(t.rlike(r"^-?\d+\.0+$"), F.split_part(t, F.lit("."), F.lit(1))).otherwise(t)
+    return F.when(t.rlike(r"^[-+]?\d+\.0+$"), F.split_part(t, F.lit("."), F.lit(1))).otherwise(t)
 
 
 def hash_id(prefix: str, *parts: Column, length: int = 16) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from calibrant.functions.scalars import first_failing
 from calibrant.operators import ranks
+from calibrant.sources.tables import cut
 
 
 def route_quarantine(df: DataFrame, *rules: tuple[Column, str, Column | str]) -> DataFrame:
@@ -42,19 +43,17 @@ def group_summary(df: DataFrame, key: str, x: str) -> DataFrame:
 
 def weighted_median(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
     """Keys, weighted_median: the least x whose running weight reaches half; negative and null weights are 0;
-    all zero: the plain median. Equal values are summed first, so that a hot key sorts distinct values only."""
-    by = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(F.greatest(F.coalesce(F.col(w), F.lit(0.0)), F.lit(0.0))).alias("_w"), F.count(F.lit(1)).alias("_n"))
-    run, all_ = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys)
-    t = by.withColumn("_c", F.sum("_w").over(run)).withColumn("_t", F.sum("_w").over(all_))
-    med = F.expr(f"percentile({x}, 0.5, _n)")
-    return t.groupBy(*keys).agg(F.when(F.first("_t") > 0, F.min(F.when(F.col("_c") >= F.col("_t") / 2, F.col(x)))).otherwise(med).alias("weighted_median"))
+    all zero: the plain median. Equal values are summed first; a group with many of them is ranked over value ranges."""
+    by = cut(ranks.counted(df, keys, x, F.greatest(F.coalesce(F.col(w).cast("double"), F.lit(0.0)), F.lit(0.0))), "weighed")
+    half = ranks.first_reaching(by, keys, lambda upto, total: (total > 0) & (upto >= total / 2))
+    plain = ranks.quantiles_of(by, keys, {"plain": 0.5})
+    return ranks.beside(half, plain, keys).select(*keys, F.when(F.col("total") > 0, F.col("value").cast("double")).otherwise(F.col("plain")).alias("weighted_median"))
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], x: str, w: str, q: float) -> DataFrame:
-    """The first x whose cumulative share of weight reaches q (to 12 places)."""
-    by = df.where(F.col(x).isNotNull() & (F.col(w) > 0)).groupBy(*keys, x).agg(F.sum(w).alias("_w"))
-    share = F.round(F.sum("_w").over(Window.partitionBy(*keys).orderBy(x)) / F.sum("_w").over(Window.partitionBy(*keys)), 12)
-    return by.withColumn("_s", share).groupBy(*keys).agg(F.min(F.when(F.col("_s") >= q, F.col(x))).alias("quantile"))
+    """The first x whose cumulative share of weight reaches q (to 12 places); rows without a positive weight don't count."""
+    by = ranks.counted(df.where(F.col(w) > 0), keys, x, F.col(w).cast("double"))
+    return ranks.first_reaching(by, keys, lambda upto, total: F.round(upto / total, 12) >= q).select(*keys, F.col("value").alias("quantile"))
 
 
 def mode_tiebreak(df: DataFrame, keys: list[str], x: str, out: str = "mode") -> DataFrame:
@@ -65,9 +64,8 @@ def mode_tiebreak(df: DataFrame, keys: list[str], x: str, out: str = "mode") ->
 
 def mad_sigma(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Median, mad, sigma (1.4826 mad), range by key."""
-    med = df.groupBy(*keys).agg(F.median(x).alias("median"), (F.max(x) - F.min(x)).alias("range"))
-    both = df.join(med, keys)
-    return both.groupBy(*keys).agg(F.first("median").alias("median"), F.median(F.abs(F.col(x) - F.col("median"))).alias("mad"), F.first("range").alias("range")).withColumn("sigma", 1.4826 * F.col("mad"))
+    spread = df.groupBy(*keys).agg((F.max(x) - F.min(x)).alias("range"))
+    return ranks.beside(spread, ranks.deviations(df, keys, x), keys).select(*keys, "median", "mad", "range", (1.4826 * F.col("mad")).alias("sigma"))
 
 
 def censored_summary(obs: DataFrame, key: str) -> DataFrame:
@@ -77,16 +75,17 @@ def censored_summary(obs: DataFrame, key: str) -> DataFrame:
     conflict when they contradict or leave one side open. Exact against bounds and a spread over 6 conflict too.
     """
     med = weighted_median(obs.where("is_exact"), [key], "value", "quality")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    qx = F.percentile(F.when(F.col("is_exact"), F.col("value")), F.array(F.lit(0.25), F.lit(0.75)))
+    quarters = {"q1": 0.25, "q3": 0.75}
+    every, exactly = ranks.quantiles(obs, [key], "value", quarters), ranks.quantiles(obs.where("is_exact"), [key], "value", {f"x{q}": at for q, at in quarters.items()})
     centre = obs.groupBy(key).agg(
-        F.median("value").alias("_med"), q.alias("_q"), qx.alias("_qx"), F.stddev_pop("value").alias("sd"), (F.max("value") - F.min("value")).alias("max_gap"),
+        F.stddev_pop("value").alias("sd"), (F.max("value") - F.min("value")).alias("max_gap"),
         F.count(F.lit(1)).alias("n"), F.count_if("is_exact").alias("n_exact"), F.count_if("is_censored").alias("n_censored"),
         F.max(F.when(F.col("is_censored"), F.col("lower"))).alias("_lo"), F.min(F.when(F.col("is_censored"), F.col("upper"))).alias("_hi"),
         F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), "|").alias("ids"),
     )
-    mad = obs.join(centre.select(key, "_med"), key).groupBy(key).agg(F.median(F.abs(F.col("value") - F.col("_med"))).alias("mad"))
-    t = centre.join(med, key, "left").join(mad, key, "left").join(mode_tiebreak(obs, [key], "relation", "dominant_relation"), key, "left")
+    t = centre
+    for part in (every, exactly, med, ranks.deviations(obs, [key], "value").select(key, "mad"), mode_tiebreak(obs, [key], "relation", "dominant_relation")):
+        t = t.join(part, key, "left")
     exact, bounded = F.col("n_exact") > 0, F.col("_lo").isNotNull() | F.col("_hi").isNotNull()
     closed = F.coalesce(F.col("_lo") <= F.col("_hi"), F.lit(False))
     value = F.when(exact, F.col("weighted_median")).when(closed, (F.col("_lo") + F.col("_hi")) / 2)
@@ -95,8 +94,8 @@ def censored_summary(obs: DataFrame, key: str) -> DataFrame:
     note = F.when(open_, "inconsistent_censored_bounds").when(against, "exact_vs_censored_disagreement").when(F.col("max_gap") > 6, "wide_value_spread").otherwise("")
     return t.select(
         key, value.alias("value"), F.when(exact, "exact_weighted_median").when(closed, "censored_interval").when(bounded, "censored_conflict").otherwise("").alias("method"),
-        F.when(exact, F.col("_qx")[0]).otherwise(F.col("_lo")).alias("low"), F.when(exact, F.col("_qx")[1]).otherwise(F.col("_hi")).alias("high"),
-        "n", "n_exact", "n_censored", (F.col("_q")[1] - F.col("_q")[0]).alias("iqr"), "mad", "sd", "max_gap", (note != "").alias("conflict"), note.alias("note"), "dominant_relation", "ids",
+        F.when(exact, F.col("xq1")).otherwise(F.col("_lo")).alias("low"), F.when(exact, F.col("xq3")).otherwise(F.col("_hi")).alias("high"),
+        "n", "n_exact", "n_censored", (F.col("q3") - F.col("q1")).alias("iqr"), "mad", "sd", "max_gap", (note != "").alias("conflict"), note.alias("note"), "dominant_relation", "ids",
     )
 
 
@@ -121,9 +120,9 @@ def lineage_duplicates(df: DataFrame, key: list[Column], ids: str, sources: str)
 def replicate_target(df: DataFrame, key: str, x: str, tier: str, confidence: str, max_range: float | None = None) -> DataFrame:
     """Robust target per key: median, mad, sigma, mean, sd (population), min, max, range, n, tier (gold only if
     all are), medium_fraction, sources of weight (B14 adds it)."""
-    mad = mad_sigma(df, [key], x).select(key, "mad", "sigma")
+    mad = mad_sigma(df, [key], x).select(key, F.col("median").alias("target"), "mad", "sigma")
     g = df.groupBy(key).agg(
-        F.median(x).alias("target"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"),
+        F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"),
         F.every(F.col(tier) == "gold").alias("_gold"), F.avg((F.col(confidence) == "medium").cast("double")).alias("medium_fraction"),
     )
     out = g.join(mad, key).withColumn("range", F.col("max") - F.col("min")).withColumn("tier", F.when(F.col("_gold"), "gold").otherwise("silver")).drop("_gold")
@@ -153,10 +152,10 @@ def exclusive_items(df: DataFrame, item: str, source: str) -> DataFrame:
 
 def source_contribution(df: DataFrame, source: str, key: str, x: str, **flags: Column) -> DataFrame:
     """Rows, distinct keys, count and rate of each flag, mean and median by source."""
-    aggs = [F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"), F.avg(x).alias("mean"), F.median(x).alias("median")]
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"), F.avg(x).alias("mean")]
     for name, c in flags.items():
         aggs += [F.count_if(c).alias(name), F.avg(c.cast("double")).alias(f"{name}_rate")]
-    return df.groupBy(source).agg(*aggs)
+    return ranks.beside(df.groupBy(source).agg(*aggs), ranks.quantiles(df, [source], x, {"median": 0.5}), [source])
 
 
 def weighted_family_prior(df: DataFrame, family: str, n: str = "n", mean: str = "mean", median: str = "median") -> DataFrame:

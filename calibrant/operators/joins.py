@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from calibrant.sources.tables import cut, drop_files
+
 
 class NotUnique(ValueError):
     """The right side of a many-to-one join repeats a key."""
@@ -102,6 +104,53 @@ def overlap_resolve(df: DataFrame, group: str, score: str, item: str, start: str
     return g.select(group, F.explode(kept).alias("k")).select(group, F.col("k.i").alias(item), F.col("k.a").alias(start), F.col("k.z").alias(end))
 
 
+def overlap_conflicts(items: DataFrame, group: str, item: str, members: str, order: list[str], family: str | None = None, core: str | None = None, strong: tuple = (), least: float = 0.75, least_alike: float = 0.01, least_strong: float = 0.5) -> DataFrame:
+    """C20: group, better, worse, rank (of the better): pairs of items of a group that can't both stay. The better one has the larger ``order``
+    columns, of equal ones the smaller item.
+
+    Items conflict when one's ``members`` (an array) are all the other's; when the members they share are ``least`` of either
+    (``least_alike`` where both have the same ``family``); or when they are ``least_strong`` of the worse one's and the
+    better one's family is among ``strong``. Where ``core`` (an array) is given, sharing only members outside both cores is no
+    conflict. Pairs meet on a shared member of their group, so that items without any never meet.
+    """
+    rank = F.struct(*[F.col(c) for c in order])
+    rows = items.select(group, F.col(item).alias("i"), rank.alias("k"), (F.lit(None).cast("string") if family is None else F.col(family)).alias("f"), F.array_distinct(members).alias("m"), (F.col(members) if core is None else F.col(core)).alias("c"))
+    flat = rows.select(group, "i", "k", "f", F.size("m").alias("n"), F.explode("m").alias("x"), "c").withColumn("c", F.coalesce(F.array_contains("c", F.col("x")), F.lit(False)))
+    a, b = (flat.select(group, "x", *[F.col(c).alias(f"{side}{c}") for c in ("i", "k", "f", "n", "c")]) for side in ("a", "b"))
+    met = a.join(b, [group, "x"]).where((F.col("ak") > F.col("bk")) | ((F.col("ak") == F.col("bk")) & (F.col("ai") < F.col("bi"))))
+    pair = met.groupBy(group, "ai", "bi").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("ac") | F.col("bc")).alias("core"), *[F.first(c).alias(c) for c in ("ak", "af", "bf", "an", "bn")])
+    share, most = F.when(F.coalesce(F.col("af") == F.col("bf"), F.lit(False)), least_alike).otherwise(least), F.col("n") / F.least("an", "bn")
+    inside = F.col("n") == F.least("an", "bn")
+    fragment = F.coalesce(F.col("af").isin(*strong), F.lit(False)) & (F.col("n") / F.col("bn") >= least_strong) if strong else F.lit(False)
+    return pair.where(F.col("core") & (inside | (most >= share) | fragment)).select(group, F.col("ai").alias("better"), F.col("bi").alias("worse"), F.col("ak").alias("rank"))
+
+
+def independent_items(items: DataFrame, conflicts: DataFrame, group: str, item: str) -> DataFrame:
+    """C20: ``items`` with kept and overlap_with: an item goes when it conflicts with a better one that stays; overlap_with is the best of those.
+
+    The greedy choice in rounds for all groups at once: whoever has no better live conflict stays, whoever conflicts with one
+    that stays goes, until no conflict is live. The best live item of every group is settled in each round. Rounds are written down,
+    and each reads the conflicts that are left only.
+    """
+    conflicts = cut(conflicts, "conflicts")
+    live, gone = conflicts, None
+    while not live.isEmpty():
+        stays = live.select(group, "better").distinct().join(live.select(group, F.col("worse").alias("better")), [group, "better"], "left_anti")
+        out = cut(live.join(stays, [group, "better"], "left_semi").select(group, F.col("worse").alias("_x")).distinct(), "overlap-gone")
+        gone = out if gone is None else gone.unionByName(out)
+        left = live.join(out.withColumnRenamed("_x", "worse"), [group, "worse"], "left_anti").join(out.withColumnRenamed("_x", "better"), [group, "better"], "left_anti")
+        left = cut(left, "overlap-live")
+        if live is not conflicts:
+            drop_files(live)
+        live = left
+    if gone is None:
+        return items.withColumn("kept", F.lit(True)).withColumn("overlap_with", F.lit(None).cast(dict(items.dtypes)[item]))
+    against = conflicts.join(gone.withColumnRenamed("_x", "better"), [group, "better"], "left_anti")
+    top = against.groupBy(group, "worse").agg(F.max("rank").alias("_top"))
+    best = against.join(top, [group, "worse"]).where(F.col("rank") == F.col("_top")).groupBy(group, F.col("worse").alias(item)).agg(F.min("better").alias("overlap_with"))
+    return items.join(best, [group, item], "left").withColumn("kept", F.col("overlap_with").isNull())
+
+
 def left_context_merge(left: DataFrame, context: DataFrame, on: list[str]) -> DataFrame:
     """Own values first, gaps filled from the context; context-only columns added."""
     shared = [c for c in left.columns if c in context.columns and c not in on]
@@ -119,14 +168,38 @@ def coverage_match(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
 
 
 def alternative_assignment(df: DataFrame, group: str, item: str, observed: str, predicted: str) -> DataFrame:
-    """Per row the sibling whose prediction fits the observed value best, and whether a swap of both improves both."""
-    a = df.select(group, F.col(item).alias("i"), F.col(observed).alias("o"), F.col(predicted).alias("p"))
-    b = df.select(group, F.col(item).alias("j"), F.col(observed).alias("oj"), F.col(predicted).alias("pj"))
-    e = F.abs(F.col("o") - F.col("pj"))
-    t = a.join(b, group).where("i <> j").groupBy(group, "i").agg(F.min_by(F.struct("j", e.alias("e"), "oj", "pj"), F.struct(F.round(e, 9), F.col("j"))).alias("b"), F.first("o").alias("o"), F.first("p").alias("p"))
-    own, other = F.abs(F.col("o") - F.col("p")), F.abs(F.col("b.oj") - F.col("b.pj"))
-    swap = (F.col("b.e") < own) & (F.abs(F.col("b.oj") - F.col("p")) < other)
-    return t.select(group, F.col("i").alias(item), F.col("b.j").alias("alternative"), (own - F.col("b.e")).alias("gain"), swap.alias("swap_improves"))
+    """Per row the sibling whose prediction fits the observed value best (ties by item), how much better than its own it
+    fits, and whether a swap of both improves both. Rows without siblings, or without either value, have no row.
+
+    A nearest-value join: predictions and observations lie on one line in each group, dealt out by ranges of value. Within a
+    range each observation carries the two predictions on either side, and the ranges' own ends are handed over, so that
+    no group is gathered or paired with itself. Of equal predictions two items are enough, one of which is not oneself.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.struct(group).alias("_g"), F.col(item).alias("i"), F.col(observed).cast("double").alias("o"), F.col(predicted).cast("double").alias("p")).where("o is not null and p is not null")
+    least = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "p").orderBy("i"))).where("_r <= 2")
+    told = least.groupBy("_g", "p").agg(F.sort_array(F.collect_list(F.struct("i", "o"))).alias("of"))
+    pred = told.select("_g", F.col("p").alias("v"), F.lit(0).alias("kind"), F.struct("p", "of").alias("pred"))
+    every = pred.unionByName(rows.select("_g", F.col("o").alias("v"), F.lit(1).alias("kind"), F.struct("i", "o", "p").alias("row")), allowMissingColumns=True)
+    placed = cut(every.repartitionByRange(n, "_g", "v", "kind").withColumn("_part", F.spark_partition_id()), "on-a-line")
+
+    passed = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    up, down = Window.partitionBy("_g", "_part").orderBy("v", "kind"), Window.partitionBy("_g", "_part").orderBy(F.col("v").desc(), F.col("kind").desc())
+    for w, name in ((up, "low"), (down, "high")):  # a prediction with the one before it, then the last such pair before each row
+        placed = placed.withColumn(f"_{name}", F.when(F.col("pred").isNotNull(), F.array("pred", F.last("pred", True).over(passed(w))))).withColumn(name, F.last(f"_{name}", True).over(passed(w)))
+    ends = placed.where(F.col("pred").isNotNull()).groupBy("_g", "_part").agg(F.max_by("_low", "v").alias("last"), F.min_by("_high", "v").alias("first"))
+    ends = ends.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_part", "last", "first"))).alias("ends"))  # an entry per range at most
+    near = placed.where(F.col("row").isNotNull()).select("_g", "_part", "row", "low", "high").join(ends, "_g")
+    none = F.array().cast(placed.schema["low"].dataType)
+    before, after = F.filter("ends", lambda x: x["_part"] < F.col("_part")), F.filter("ends", lambda x: x["_part"] > F.col("_part"))
+    carried = F.flatten(F.transform(F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2)), lambda x: x["last"]))
+    coming = F.flatten(F.transform(F.slice(after, 1, 2), lambda x: x["first"]))
+    found = F.filter(F.concat(F.coalesce("low", none), F.coalesce("high", none), carried, coming), lambda x: x.isNotNull())
+    fits = F.flatten(F.transform(found, lambda c: F.transform(c["of"], lambda x: F.struct(F.abs(F.col("row.o") - c["p"]).alias("e"), x["i"].alias("j"), x["o"].alias("oj"), c["p"].alias("pj")))))
+    best = near.select("_g", "row", F.array_min(F.filter(fits, lambda x: x["j"] != F.col("row.i"))).alias("b")).where("b is not null")
+    own, other = F.abs(F.col("row.o") - F.col("row.p")), F.abs(F.col("b.oj") - F.col("b.pj"))
+    swap = (F.col("b.e") < own) & (F.abs(F.col("b.oj") - F.col("row.p")) < other)
+    return best.select(F.col(f"_g.{group}").alias(group), F.col("row.i").alias(item), F.col("b.j").alias("alternative"), (own - F.col("b.e")).alias("gain"), swap.alias("swap_improves"))
 
 
 def require_all(df: DataFrame, **gates: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from calibrant.functions.scalars import seed_of
 from calibrant.operators import ranks
+from calibrant.operators.states import let
 from calibrant.sources.tables import cut
 
 
@@ -396,6 +397,53 @@ def set_match_cost(observed: Column, ladder: Column) -> Column:
     return F.when(F.size(o) <= F.size(p), F.element_at(F.aggregate(o, start, step), -1))
 
 
+def set_match_pairs(observed: Column, ladder: Column) -> Column:
+    """Array of (o, p), places from 0 in both sorted arrays: the match of every observed value to a ladder value of its
+    own with the least total distance (of equal ones that of lower steps, from the last value on). Null when more are
+    observed than there are steps.
+
+    The programme's row for the i-th value holds the least cost within the first j steps and whether step j is taken; the
+    match is read back from the last row along those marks.
+    """
+    line = "struct<cost:array<double>,took:array<array<boolean>>>"
+    js = F.sequence(F.lit(1), F.size(ladder))
+
+    def row(st: Column, x: Column) -> Column:
+        def put(r: Column, j: Column) -> Column:
+            skip, take = F.element_at(r["c"], -1), F.get(st["cost"], j - 1) + F.abs(x - F.get(ladder, j - 1))
+            return F.struct(F.array_append(r["c"], F.least(skip, take)).alias("c"), F.array_append(r["t"], take < skip).alias("t"))
+
+        start = F.struct(F.array(F.lit(1e300)).alias("c"), F.array(F.lit(False)).alias("t"))
+        return let(F.aggregate(js, start, put), lambda r: F.struct(r["c"].alias("cost"), F.array_append(st["took"], r["t"]).alias("took")))
+
+    first = F.struct(F.array_repeat(F.lit(0.0), F.size(ladder) + 1).alias("cost"), F.array().cast("array<array<boolean>>").alias("took")).cast(line)
+    rows = F.aggregate(observed, first, row)
+
+    def back(s: Column, i: Column, took: Column) -> Column:
+        at = F.array_max(F.filter(F.sequence(F.lit(1), s["j"]), lambda j: F.get(F.get(took, i - 1), j)))
+        return let(at, lambda j: F.struct((j - 1).alias("j"), F.array_append(s["out"], F.struct((i - 1).alias("o"), (j - 1).alias("p"))).alias("out")))
+
+    none = F.array().cast("array<struct<o:int,p:int>>")
+    steps = lambda r: F.aggregate(F.sequence(F.size(observed), F.lit(1), F.lit(-1)), F.struct(F.size(ladder).alias("j"), none.alias("out")), lambda s, i: back(s, i, r["took"]))["out"]
+    return F.when(F.size(observed) == 0, none).when(F.size(observed) <= F.size(ladder), F.reverse(let(rows, steps)))
+
+
+def set_match(df: DataFrame, key: str, observed: str, ladder: str) -> DataFrame:
+    """Key, observed, step, predicted, status: a row per distinct observed value (array ``observed``) with the step of the
+    ``ladder`` (array of value, step) that it is matched to; a set larger than its ladder is one blocked row with a reason. Nulls
+    are no values; a key with nothing observed has no row. A ladder fits in a row."""
+    o = F.array_sort(F.array_distinct(F.transform(F.filter(observed, lambda x: x.isNotNull()), lambda x: F.round(x.cast("double"), 6))))
+    p = F.array_sort(F.transform(F.filter(ladder, lambda x: x["value"].isNotNull()), lambda x: F.struct(x["value"].cast("double").alias("value"), x["step"].alias("step"))))
+    t = df.select(key, F.coalesce(o, F.array().cast("array<double>")).alias("_o"), F.coalesce(p, F.filter(p, lambda x: F.lit(False))).alias("_p")).where(F.size("_o") > 0)
+    t = t.withColumn("_v", F.transform("_p", lambda x: x["value"]))
+    none = F.lit(None).cast("double")
+    blocked = t.where(F.size("_o") > F.coalesce(F.size("_p"), F.lit(0))).select(key, none.alias("observed"), F.lit(None).alias("step"), none.alias("predicted"), F.lit("set_larger_than_ladder").alias("status"))
+    free = t.where(F.size("_o") <= F.size("_p"))
+    pair = free.select(key, "_o", "_p", F.explode(set_match_pairs(F.col("_o"), F.col("_v"))).alias("m"))
+    matched = pair.select(key, F.get("_o", F.col("m.o")).alias("observed"), F.get("_p", F.col("m.p"))["step"].alias("step"), F.get("_p", F.col("m.p"))["value"].alias("predicted"), F.lit("matched").alias("status"))
+    return matched.unionByName(blocked.withColumn("step", F.col("step").cast(matched.schema["step"].dataType)))
+
+
 def cluster_1d(values: Column, gap: float = 1.0, span: float = 2.0) -> Column:
     """Array of clusters (sorted arrays) of the distinct values: a new one where the gap to the last or the span
     from the first would be exceeded."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from calibrant.sources.tables import cut
+from calibrant.sources.tables import cut, drop_files
 
 
 def _cells(df: DataFrame, size: float) -> DataFrame:
@@ -90,6 +90,65 @@ def k_hop(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     return seen
 
 
+def _undirected(edges: DataFrame) -> DataFrame:
+    """u, v both ways, each once; loops and nulls are left out. Written down, since every round reads it."""
+    pair = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    return cut(edges.where("a <> b").select(pair.alias("e")).select("e.*").distinct(), "both-ways")
+
+
+def class_distances(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Node, class, distance: the hops, k at most, from each node to the nearest other member of each class over the
+    undirected ``edges`` (a, b); ``nodes`` has node and class, of which a null one is no class.
+
+    All members of a class set out at once. A node keeps its two nearest members of a class (ties by id), which is enough
+    for every node to know one besides itself, and hands on in a round only what is new in it: a round joins each edge with
+    twice the classes at most, whatever the hubs, and no pairs of nodes are made.
+    """
+    both = _undirected(edges)
+    start = nodes.where(F.col("class").isNotNull()).select("node", "class", F.col("node").alias("source"), F.lit(0).alias("hops")).distinct()
+    nearest = Window.partitionBy("node", "class").orderBy("hops", "source")
+    best, front = start, start
+    for i in range(1, k + 1):
+        met = front.join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node"), "class", "source", F.lit(i).alias("hops"))
+        least = best.unionByName(met).groupBy("node", "class", "source").agg(F.min("hops").alias("hops"))
+        kept = cut(least.withColumn("_r", F.row_number().over(nearest)).where("_r <= 2").drop("_r"), "nearest-of-class")
+        if i > 1:
+            drop_files(best)
+        best, front = kept, kept.where(F.col("hops") == i)
+    return best.where(F.col("source") != F.col("node")).groupBy("node", "class").agg(F.min("hops").alias("distance"))
+
+
+def class_sums(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Node, class, n and charge: how many other members of each class lie within k hops of each node over the
+    undirected ``edges`` (a, b), and the sum of their charges; classes without any have no row. ``nodes``: node (unique), class, charge.
+
+    A node's reach is a set of bits, 64 members of one class and charge to a word. A round joins every edge with the words
+    of its end and ORs them by (node, word), on the map side first, so that a member that many paths lead to counts once and a hub hands
+    on words instead of its members one by one.
+    """
+    both = _undirected(edges)
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(nodes.select("node", "class", "charge").repartitionByRange(n, "class", "charge", "node").withColumn("_part", F.spark_partition_id()), "members")
+    place = F.row_number().over(Window.partitionBy("_part", "class", "charge").orderBy("node")) - 1
+    first = F.rank().over(Window.partitionBy("_part").orderBy("class", "charge")) - 1  # a part's members before this class and charge
+    word = F.call_function("shiftleft", F.col("_part").cast("long"), F.lit(40)) + first + F.floor(place / 64)
+    own = cut(placed.select("node", "class", "charge", word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bits")), "members-bits")
+    reach = own.select("node", "word", "bits")
+    for i in range(k):
+        met = both.join(reach, F.col("node") == F.col("u")).select(F.col("v").alias("node"), "word", "bits").unionByName(own.select("node", "word", "bits"))
+        step = cut(met.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "reach")
+        if i:
+            drop_files(reach)
+        reach = step
+    words = own.groupBy("word").agg(F.first("class").alias("class"), F.first("charge").alias("charge"))
+    m = F.bit_count("bits")
+    sums = reach.join(words, "word").groupBy("node", "class").agg(F.sum(m).alias("n"), F.sum(m * F.col("charge")).alias("charge"))
+    self_ = own.select("node", F.col("class").alias("_class"), F.col("charge").alias("_charge"))
+    mine = F.col("class").eqNullSafe(F.col("_class"))
+    out = sums.join(self_, "node").select("node", "class", F.when(mine, F.col("n") - 1).otherwise(F.col("n")).alias("n"), F.when(mine, F.col("charge") - F.col("_charge")).otherwise(F.col("charge")).alias("charge"))
+    return out.where("n > 0")
+
+
 def connected_groups(edges: DataFrame) -> DataFrame:
     """Node, group (the smallest member) over edges a, b: rounds of large star and small star, each written to the
     shared folder, until nothing changes. Nodes only in loops a = b are groups of one."""

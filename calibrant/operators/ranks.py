@@ -27,20 +27,78 @@ def cumulative(values: DataFrame, keys: list[str], order: list[str], counts: lis
     return rows.select(*values.columns, *[(F.col(f"_b_{c}") + F.sum(c).over(inside)).alias(f"upto_{c}") for c in counts], *[f"n_{c}" for c in counts])
 
 
+#: Groups with at most so many distinct values are ranked in one task each; larger ones over ranges.
+LARGE = 100_000
+
+
+def by_size(values: DataFrame, keys: list[str], small, large) -> DataFrame:
+    """``small(rows)`` of the groups of ``values`` with at most LARGE rows, and ``large(rows)`` of the others. ``values`` has
+    a row per distinct value of a group; it is computed once and written."""
+    values = cut(values, "values")
+    group = F.struct(*keys) if keys else F.lit(0)
+    big = cut(values.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > LARGE).select("_g"), "large-groups")
+    if big.isEmpty():
+        return small(values)
+    tagged = values.withColumn("_g", group)
+    return small(tagged.join(big, "_g", "left_anti").drop("_g")).unionByName(large(tagged.join(big, "_g", "left_semi").drop("_g")))
+
+
 def interpolated(x: str, upto: str, n: str, q: float) -> Column:
     """The aggregate over :func:`cumulative` rows that is the linearly interpolated quantile ``q``."""
     at = (F.col(n) - 1) * F.lit(q)
     low = F.min(F.when(F.col(upto) > F.floor(at), F.col(x)))
     high = F.min(F.when(F.col(upto) > F.ceil(at), F.col(x)))
-    share = F.max(at - F.floor(at))
-    return F.when(F.max(n) > 0, F.when(share == 0, low).otherwise((1 - share) * low + share * high))
+    below, above = F.max(at - F.floor(at)), F.max(F.ceil(at) - at)
+    return F.when(F.max(n) > 0, F.when(below == 0, low).otherwise(above * low + below * high))
+
+
+def counted(df: DataFrame, keys: list[str], x: str | Column, weight: Column | None = None) -> DataFrame:
+    """keys, _x, _c (and _w, the sum of ``weight``): the distinct values of ``x`` that aren't null, with how often they occur."""
+    rows = df.select(*keys, (F.col(x) if isinstance(x, str) else x).alias("_x"), (F.lit(0.0) if weight is None else weight).alias("_w")).where(F.col("_x").isNotNull())
+    return rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"), *([] if weight is None else [F.sum("_w").alias("_w")]))
+
+
+def quantiles_of(values: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
+    """keys and one column per entry of ``at``: exact quantiles of :func:`counted` values."""
+
+    def small(by: DataFrame) -> DataFrame:
+        q = F.percentile(F.col("_x").cast("double"), F.array(*map(F.lit, at.values())), F.col("_c"))
+        return by.groupBy(*keys).agg(q.alias("_q")).select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(at)])
+
+    def large(by: DataFrame) -> DataFrame:
+        c = cumulative(by.withColumn("_x", F.col("_x").cast("double")), keys, ["_x"], ["_c"])
+        return c.groupBy(*keys).agg(*[interpolated("_x", "upto__c", "n__c", q).alias(name) for name, q in at.items()])
+
+    return by_size(values, keys, small, large).where(F.col(next(iter(at))).isNotNull())
 
 
 def quantiles(df: DataFrame, keys: list[str], x: str, at: dict[str, float]) -> DataFrame:
     """keys and one column per entry of ``at``: the exact quantiles of the values of ``x`` that aren't null (none: no row)."""
-    by = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    c = cumulative(by, keys, ["_x"], ["_c"])
-    return c.groupBy(*keys).agg(*[interpolated("_x", "upto__c", "n__c", q).alias(name) for name, q in at.items()])
+    return quantiles_of(counted(df, keys, x), keys, at)
+
+
+def deviations(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, median and mad (the median distance from it) of the values of ``x`` that aren't null. Distances are taken of the
+    distinct values with their counts, so that no group is gathered for either rank."""
+    by = cut(counted(df, keys, x), "counted")
+    middle = quantiles_of(by, keys, {"median": 0.5})
+    away = beside(by, middle, keys).groupBy(*keys, F.abs(F.col("_x") - F.col("median")).alias("_x")).agg(F.sum("_c").alias("_c"))
+    return beside(middle, quantiles_of(away, keys, {"mad": 0.5}), keys)
+
+
+def first_reaching(values: DataFrame, keys: list[str], reached) -> DataFrame:
+    """keys and value: the least value of :func:`counted` for which ``reached(sum of _w up to it, sum of all)`` holds, null
+    where there is none, and total, the sum of all."""
+    pick = lambda upto, all_: [F.min(F.when(reached(F.col(upto), F.col(all_)), F.col("_x"))).alias("value"), F.max(all_).alias("total")]
+
+    def small(by: DataFrame) -> DataFrame:
+        run = by.withColumn("_u", F.sum("_w").over(Window.partitionBy(*keys).orderBy("_x"))).withColumn("_t", F.sum("_w").over(Window.partitionBy(*keys)))
+        return run.groupBy(*keys).agg(*pick("_u", "_t"))
+
+    def large(by: DataFrame) -> DataFrame:
+        return cumulative(by, keys, ["_x"], ["_w"]).groupBy(*keys).agg(*pick("upto__w", "n__w"))
+
+    return by_size(values, keys, small, large)
 
 
 def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -87,10 +87,10 @@ def history_merge(history: DataFrame, new: DataFrame, key: list[str], newest: li
 
 def expand_states(df: DataFrame, key: str, levels: str, cap: int = 4096) -> DataFrame:
     """Key, truncated, state: all combinations of levels 0..n-1 by mixed-radix decoding. The number of states is
-    checked before anything is expanded; over ``cap`` the entity has one row with truncated set and no state."""
-    total = F.aggregate(levels, F.lit(1).cast("long"), lambda t, n: t * n)
+    checked before anything is expanded; over ``cap`` the entity has one row with truncated set and no state, as has one with an empty coordinate, not truncated."""
+    total = F.aggregate(levels, F.lit(1).cast("long"), lambda t, n: F.when((t > cap) & (n > 0), t).otherwise(t * n))  # no further than the cap
     t = df.select(key, F.col(levels).alias("_l"), total.alias("_t")).withColumn("truncated", F.col("_t") > cap)
     radix = lambda i: F.aggregate(F.slice("_l", i + 2, F.size("_l")), F.lit(1).cast("long"), lambda a, n: a * n)
     one = lambda s: F.transform("_l", lambda n, i: F.floor(s / radix(i)) % n)
-    every = F.when(~F.col("truncated"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("_t") - 1), one))
+    every = F.when(~F.col("truncated") & (F.col("_t") > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.col("_t") - 1), one))
     return t.select(key, "truncated", F.explode_outer(every).alias("state"))

@@ -34,17 +34,22 @@ def log10_sum_by(df: DataFrame, x: str, *keys: str) -> DataFrame:
 
 def graphs(sites: DataFrame, coupling=None, pairs: DataFrame | None = None, cap: int = CAP) -> DataFrame:
     """One row per graph: graph_id, sites (array of site_id, b and what else ``sites`` has, by site_id), pairs
-    (array of i, j, v with i < j by place), n_states, available.
+    (array of i, j, v with i < j by place), n_sites, n_states (null from 2^63 on), available.
 
     ``sites`` has graph_id, site_id, b; couplings come from ``coupling(site_i, site_j)`` (a function of two
     site structs) or the table ``pairs`` (graph_id, site_i, site_j, j; either order; of repeated pairs the
-    last by value). A graph whose 2^n states exceed ``cap`` is unavailable, never cut. Null b counts as 0.
+    last by value). A graph whose 2^n states exceed ``cap`` is unavailable, never cut: sites are counted before any is gathered,
+    and such a graph has no sites and pairs in its row. Null b counts as 0.
     """
+    fits = cap.bit_length() - 1  # the most sites of an available graph
     extra = [c for c in sites.columns if c not in ("graph_id", "site_id", "b")]
-    g = sites.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("site_id", F.coalesce(F.col("b"), F.lit(0.0)).alias("b"), *extra))).alias("sites"))
+    told = F.struct("site_id", F.coalesce(F.col("b"), F.lit(0.0)).alias("b"), *extra)
+    sized = sites.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("graph_id")))
+    g = sized.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.when(F.col("_n") <= fits, told))).alias("sites"), F.max("_n").alias("n_sites"))
     idx = F.when(F.size("sites") > 0, F.sequence(F.lit(0), F.size("sites") - 1)).otherwise(F.array().cast("array<int>"))
     if pairs is not None:
-        p = pairs.select("graph_id", F.least("site_i", "site_j").alias("a"), F.greatest("site_i", "site_j").alias("z"), "j")
+        small = g.where(F.col("n_sites") <= fits).select("graph_id")
+        p = pairs.join(small, "graph_id", "left_semi").select("graph_id", F.least("site_i", "site_j").alias("a"), F.greatest("site_i", "site_j").alias("z"), "j")
         p = p.groupBy("graph_id", "a", "z").agg(F.max("j").alias("v")).groupBy("graph_id").agg(F.collect_list(F.struct("a", "z", "v")).alias("p"))
         g = g.join(p, "graph_id", "left")
         ids = F.transform("sites", lambda s: s["site_id"])
@@ -56,8 +61,34 @@ def graphs(sites: DataFrame, coupling=None, pairs: DataFrame | None = None, cap:
         g = g.withColumn("pairs", every)
     else:
         g = g.withColumn("pairs", F.array().cast("array<struct<i:int,j:int,v:double>>"))
-    n = F.pow(F.lit(2.0), F.size("sites"))
-    return g.withColumn("n_states", n.cast("long")).withColumn("available", n <= cap)
+    states = F.when(F.col("n_sites") < 63, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n_sites").cast("int")))
+    g = g.withColumn("n_states", states).withColumn("available", F.col("n_sites") <= fits)
+    return g.select("graph_id", "sites", "pairs", "n_sites", "n_states", "available")
+
+
+def site_ranges(sites: DataFrame, pairs: DataFrame) -> DataFrame:
+    """graph_id, site_id, low, high, spread: the least and largest value that a transition of the site has over all
+    backgrounds of the other sites, b plus its couplings' negative or positive parts. Closed form: no states, so that graphs of any
+    size have it. ``sites``: graph_id, site_id, b; ``pairs``: graph_id, site_i, site_j, j (of repeated ones the largest j, as in
+    :func:`graphs`; with itself or with unknown sites: none)."""
+    one = pairs.where("site_i <> site_j").select("graph_id", F.least("site_i", "site_j").alias("a"), F.greatest("site_i", "site_j").alias("z"), "j").groupBy("graph_id", "a", "z").agg(F.max("j").alias("j"))
+    known = sites.select("graph_id", "site_id")
+    for end in ("a", "z"):
+        one = one.join(known.withColumnRenamed("site_id", end), ["graph_id", end], "left_semi")
+    ends = one.select("graph_id", F.explode(F.array("a", "z")).alias("site_id"), "j")
+    sums = ends.groupBy("graph_id", "site_id").agg(F.sum(F.least("j", F.lit(0.0))).alias("_low"), F.sum(F.greatest("j", F.lit(0.0))).alias("_high"))
+    b = F.coalesce(F.col("b"), F.lit(0.0))
+    low, high = b + F.coalesce("_low", F.lit(0.0)), b + F.coalesce("_high", F.lit(0.0))
+    return sites.join(sums, ["graph_id", "site_id"], "left").select("graph_id", "site_id", low.alias("low"), high.alias("high"), (high - low).alias("spread"))
+
+
+def at_dominant(g: DataFrame) -> DataFrame:
+    """graph_id, site_id, value: the site's transition with every other site as in the dominant state; of
+    :func:`with_populations`, available graphs only."""
+    couplings = lambda i: F.filter("pairs", lambda p: (p["i"] == i) | (p["j"] == i))
+    value = lambda s, i: F.aggregate(couplings(i), s["b"], lambda t, p: t + _bit(F.col("dominant"), p["i"] + p["j"] - i) * p["v"])
+    each = F.transform("sites", lambda s, i: F.struct(s["site_id"].alias("site_id"), value(s, i).alias("value")))
+    return g.where("available").select("graph_id", F.explode(each).alias("e")).select("graph_id", "e.*")
 
 
 def _bit(state: Column, i: Column) -> Column:

@@ -107,6 +107,14 @@ def overlap_resolve(spark, d):
     return j.overlap_resolve(lines.withColumn("z", F.col("a") + 400), "l_orderkey", "x", "rn", "a", "z")
 
 
+def overlap_sets(spark, d):
+    """C20: orders of a customer as items with sets of parts: larger sets win, then dearer orders; conflicts by overlap."""
+    o = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_partkey") % 12).alias("m"))
+    t = read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("x")).join(o, "o_orderkey").withColumn("n", F.size("m"))
+    c = j.overlap_conflicts(t, "o_custkey", "o_orderkey", "m", ["n", "x"], family="o_orderpriority", strong=("1-URGENT",))
+    return j.independent_items(t, c, "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "kept", "overlap_with")
+
+
 def reference_transitions(spark, d):
     """Orders of a customer as states: families are return flags, the order with least lines the reference."""
     f = read(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).cast("int").alias("n"))
@@ -181,6 +189,26 @@ def k_hop_features(spark, d):
     return t.groupBy("start", "hops").agg(F.count(F.lit(1)).alias("n")).select("start", F.col("hops").cast("long").alias("hops"), "n")
 
 
+def _site_nodes(spark, d):
+    """Orders and parts (-1 less the key) linked by lines; an order's class is its status, its charge from its key."""
+    e = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("a"), (-F.col("l_partkey").cast("long") - 1).alias("b"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("node"), F.col("o_orderstatus").alias("class"), (F.col("o_orderkey") % 3 - 1).cast("int").alias("charge"))
+    p = read(spark, d, "part").select((-F.col("p_partkey").cast("long") - 1).alias("node"), F.lit("part").alias("class"), F.lit(1).alias("charge"))
+    return e, o.unionByName(p)
+
+
+def class_distances(spark, d):
+    """Hops, 3 at most, from every order and part to the nearest other of each class."""
+    e, nodes = _site_nodes(spark, d)
+    return nb.class_distances(e, nodes, 3).select("node", "class", F.col("distance").cast("long").alias("distance"))
+
+
+def class_sums(spark, d):
+    """How many others of each class lie within 2 hops of every order and part, and their charges."""
+    e, nodes = _site_nodes(spark, d)
+    return nb.class_sums(e, nodes, 2).select("node", "class", F.col("n").cast("long").alias("n"), F.col("charge").cast("long").alias("charge"))
+
+
 def outlier_queue(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", (F.col("o_totalprice").cast("double") / 10000).alias("y")).withColumn("p", F.lit(15.0))
     log = read(spark, d, "events").select(F.col("user_id").alias("o_custkey"), F.col("event_type").alias("decision"), "ts", "event_id")
@@ -275,6 +303,7 @@ QUERIES = {k: v for k, v in dict(globals()).items() if callable(v) and getattr(v
 
 _PTS = "p AS (SELECT label AS scope, vec_id AS id, 10 * embedding[1]::DOUBLE AS x, 10 * embedding[2]::DOUBLE AS y, 10 * embedding[3]::DOUBLE AS z, (vec_id % 3 - 1)::DOUBLE AS q FROM embeddings), pr AS (SELECT a.scope, a.id AS site, b.id AS point, b.q, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM p a JOIN p b ON a.scope = b.scope AND a.id <> b.id)"
 _EDGE = "e AS (SELECT DISTINCT l_orderkey::BIGINT AS a, -l_partkey::BIGINT - 1 AS b FROM lineitem), u AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e)"
+_NODES = "SELECT o_orderkey::BIGINT AS node, o_orderstatus AS class, (o_orderkey % 3 - 1)::INT AS charge FROM orders UNION ALL SELECT -p_partkey::BIGINT - 1, 'part', 1 FROM part"
 _SETS = "s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), n AS (SELECT l_orderkey, count(*) AS n FROM s GROUP BY 1), ov AS (SELECT a.l_orderkey AS x, b.l_orderkey AS y, count(*) AS k FROM s a JOIN s b ON a.l_partkey = b.l_partkey WHERE a.l_orderkey <> b.l_orderkey GROUP BY ALL), jc AS (SELECT x, y, round(k / (m.n + o.n - k), 9) AS j FROM ov JOIN n m ON x = m.l_orderkey JOIN n o ON y = o.l_orderkey)"
 
 SQL = {
@@ -290,7 +319,7 @@ SQL = {
         SELECT o_orderkey, status, round(z, 4) AS z, tier, CASE tier WHEN 'gold' THEN 'source_identifies_site' WHEN 'silver' THEN 'unique_structural_site' ELSE CASE WHEN why = '' THEN 'insufficient_evidence' ELSE why END END AS reason FROM u""",
     "holdout_safe_union": "SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 OR source NOT IN (SELECT source FROM documents WHERE doc_id % 50 = 7)",
     "one_step_edges": "WITH n AS (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) SELECT a.o_custkey, a.o_orderkey AS acid, b.o_orderkey AS base FROM n a JOIN n b ON a.o_custkey = b.o_custkey AND a.n - 1 = b.n",
-    "alternative_assignment": f"WITH x AS (SELECT l_orderkey, rn, l_quantity::DOUBLE AS o, l_extendedprice::DOUBLE / 1500 AS p FROM {NUMBERED}), c AS (SELECT a.l_orderkey, a.rn, a.o, a.p, b.rn AS j, b.o AS oj, b.p AS pj, abs(a.o - b.p) AS e FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.rn <> b.rn) SELECT l_orderkey, rn, j AS alternative, round(abs(o - p) - e, 6) + 0.0 AS gain, e < abs(o - p) AND abs(oj - p) < abs(oj - pj) AS swap_improves FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey, rn ORDER BY round(e, 9), j) = 1",
+    "alternative_assignment": f"WITH x AS (SELECT l_orderkey, rn, l_quantity::DOUBLE AS o, l_extendedprice::DOUBLE / 1500 AS p FROM {NUMBERED}), c AS (SELECT a.l_orderkey, a.rn, a.o, a.p, b.rn AS j, b.o AS oj, b.p AS pj, abs(a.o - b.p) AS e FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.rn <> b.rn) SELECT l_orderkey, rn, j AS alternative, round(abs(o - p) - e, 6) + 0.0 AS gain, e < abs(o - p) AND abs(oj - p) < abs(oj - pj) AS swap_improves FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey, rn ORDER BY e, j) = 1",
     "left_context_merge": "SELECT d.doc_id, lang, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE (d.doc_id % 2)::INT END, l.quality) AS quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "coverage_match": "WITH l AS (SELECT CASE WHEN doc_id % 17 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 10 = 0)), g AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1) SELECT coalesce(d.doc_id, g.doc_id) AS doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'extra' WHEN n > 1 THEN 'duplicate' ELSE 'matched' END AS status FROM documents d FULL JOIN g ON d.doc_id = g.doc_id",
     "best_overlap": f"WITH {_SETS}, b AS (SELECT x, j, count(*) AS n, min(y) AS y FROM (SELECT *, max(j) OVER (PARTITION BY x) AS m FROM jc) WHERE j = m GROUP BY x, j) SELECT x AS item, CASE WHEN n = 1 THEN y END AS candidate, round(j, 6) + 0.0 AS jaccard, CASE WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM b",
@@ -308,6 +337,15 @@ SQL = {
     + ", ".join(f"s{i} AS MATERIALIZED (SELECT u.u AS node, least(any_value(o.g), min(l.g)) AS g FROM u JOIN l{i - 1} l ON l.node = u.v JOIN l{i - 1} o ON o.node = u.u GROUP BY u.u), l{i} AS MATERIALIZED (SELECT s.node, least(s.g, t.g) AS g FROM s{i} s JOIN s{i} t ON t.node = s.g)" for i in range(1, 25))
     + ' SELECT node, g AS "group" FROM l24',
     "k_hop_features": f"WITH RECURSIVE {_EDGE}, r(start, node, hops) AS (SELECT DISTINCT a, a, 0 FROM e WHERE a % 20 = 0 UNION SELECT start, v, hops + 1 FROM r JOIN u ON node = u WHERE hops < 3), m AS (SELECT start, node, min(hops) AS hops FROM r GROUP BY ALL) SELECT start, hops::BIGINT AS hops, count(*) AS n FROM m GROUP BY ALL",
+    "class_distances": f"WITH {_EDGE}, t AS ({_NODES}), r AS (SELECT DISTINCT class, u.v AS node, u.u AS src FROM t JOIN u ON u.u = t.node), m1 AS MATERIALIZED (SELECT DISTINCT node, class FROM r), p2 AS MATERIALIZED (SELECT DISTINCT a.u AS node, b.v AS other FROM u a JOIN u b ON a.v = b.u WHERE a.u <> b.v), m2 AS (SELECT DISTINCT p2.node, class FROM p2 JOIN t ON t.node = p2.other),"
+    " m3 AS (SELECT DISTINCT u.u AS node, t.class FROM u JOIN p2 ON p2.node = u.v JOIN t ON t.node = p2.other WHERE p2.other <> u.u) SELECT node, class, min(k)::BIGINT AS distance FROM (SELECT *, 1 AS k FROM m1 UNION ALL SELECT *, 2 FROM m2 UNION ALL SELECT *, 3 FROM m3) GROUP BY ALL",
+    "class_sums": f"WITH {_EDGE}, t AS ({_NODES}), p AS (SELECT u AS node, v AS other FROM u UNION SELECT a.u, b.v FROM u a JOIN u b ON a.v = b.u WHERE a.u <> b.v) SELECT p.node, class, count(*)::BIGINT AS n, sum(charge)::BIGINT AS charge FROM p JOIN t ON t.node = p.other GROUP BY ALL",
+    "overlap_sets": """WITH RECURSIVE m AS (SELECT l_orderkey, list(DISTINCT l_partkey % 12) AS m FROM lineitem GROUP BY 1), x AS (SELECT o_custkey, o_orderkey, o_orderpriority AS f, m, row_number() OVER (PARTITION BY o_custkey ORDER BY len(m) DESC, o_totalprice DESC, o_orderkey) AS k FROM orders JOIN m ON o_orderkey = l_orderkey),
+        r AS (SELECT o_custkey, k, [{'i': o_orderkey, 'm': m, 'f': f}] AS kept, o_orderkey, NULL::BIGINT AS w FROM x WHERE k = 1
+        UNION ALL SELECT z.o_custkey, z.k, CASE WHEN z.w IS NULL THEN list_append(z.kept, {'i': z.o_orderkey, 'm': z.m, 'f': z.f}) ELSE z.kept END, z.o_orderkey, z.w FROM (
+          SELECT x.*, r.kept, list_filter(r.kept, lambda y: len(list_intersect(y.m, x.m)) > 0 AND (len(list_intersect(y.m, x.m)) / least(len(y.m), len(x.m)) >= CASE WHEN y.f = x.f THEN 0.01 ELSE 0.75 END OR (y.f = '1-URGENT' AND len(list_intersect(y.m, x.m)) / len(x.m) >= 0.5)))[1].i AS w
+          FROM r JOIN x ON x.o_custkey = r.o_custkey AND x.k = r.k + 1) z)
+        SELECT o_custkey, o_orderkey, w IS NULL AS kept, w AS overlap_with FROM r""",
     "outlier_queue": "WITH l AS (SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), o AS (SELECT o_orderkey AS id, o_custkey, abs(o_totalprice::DOUBLE / 10000 - 15) AS e FROM orders) SELECT id, o_custkey, round(e, 6) + 0.0 AS error, row_number() OVER (PARTITION BY o_custkey ORDER BY e DESC, id) AS rank, coalesce(event_type, 'pending') AS status FROM o LEFT JOIN l ON o_custkey = user_id WHERE e > 10",
     "one_worst_per_entity": "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "merge_queues": "WITH u AS (SELECT o_custkey AS id, 'high' AS queue, 0 AS p, o_orderkey AS o FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_custkey, 'low', 1, o_orderkey FROM orders WHERE o_totalprice < 20000) SELECT id, queue, o FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, o) = 1",

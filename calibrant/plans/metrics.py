@@ -162,6 +162,15 @@ def set_match(spark, d):
     return g.select("l_orderkey", r6(m.set_match_cost(F.col("obs"), F.col("steps"))).alias("cost"))
 
 
+def set_match_rows(spark, d):
+    """The first three lines' quantities of each order matched to the other lines' prices, the steps of a ladder."""
+    lines = numbered(read(spark, d, "lineitem"))
+    step = F.struct((F.col("l_extendedprice").cast("double") / 1000).alias("value"), F.col("rn").cast("long").alias("step"))
+    g = lines.groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("rn") <= 3, F.col("l_quantity").cast("double"))).alias("obs"), F.collect_list(F.when(F.col("rn") > 3, step)).alias("ladder"))
+    t = m.set_match(g, "l_orderkey", "obs", "ladder")
+    return t.select("l_orderkey", r6("observed").alias("observed"), "step", r6("predicted").alias("predicted"), "status")
+
+
 def cluster_1d(spark, d):
     g = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("double") / 5).alias("v"))
     c = m.cluster_1d(F.col("v"))
@@ -232,6 +241,19 @@ SQL = {
     "set_match": f"""WITH x AS (SELECT l_orderkey, rn, l_quantity::DOUBLE AS o, l_extendedprice::DOUBLE / 1000 AS p FROM {NUMBERED}),
         c AS (SELECT a.l_orderkey, min(abs(a.o - s.p) + abs(b.o - t.p)) AS cost FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.rn = 1 AND b.rn = 2 JOIN x s ON s.l_orderkey = a.l_orderkey AND s.rn > 2 JOIN x t ON t.l_orderkey = a.l_orderkey AND t.rn > 2 AND t.rn <> s.rn GROUP BY 1)
         SELECT l_orderkey, round(cost, 6) + 0.0 AS cost FROM (SELECT DISTINCT l_orderkey FROM x) LEFT JOIN c USING (l_orderkey)""",
+    # all increasing choices of steps for one, two or three distinct values
+    "set_match_rows": f"""WITH x AS (SELECT l_orderkey, rn, l_quantity::DOUBLE AS o, l_extendedprice::DOUBLE / 1000 AS p FROM {NUMBERED}),
+        o AS (SELECT l_orderkey, o, row_number() OVER (PARTITION BY l_orderkey ORDER BY o) AS i, count(*) OVER (PARTITION BY l_orderkey) AS k FROM (SELECT DISTINCT l_orderkey, o FROM x WHERE rn <= 3)),
+        s AS (SELECT l_orderkey, p, rn, row_number() OVER (PARTITION BY l_orderkey ORDER BY p, rn) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM x WHERE rn > 3),
+        w AS (SELECT l_orderkey, max(o) FILTER (i = 1) AS a, max(o) FILTER (i = 2) AS b, max(o) FILTER (i = 3) AS c, any_value(k) AS k FROM o GROUP BY 1),
+        z AS (SELECT w.*, coalesce(n, 0) AS n FROM w LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM s GROUP BY 1) USING (l_orderkey)),
+        c1 AS (SELECT z.l_orderkey, k, z.n, a, b, c, s.i AS i1, NULL::BIGINT AS i2, NULL::BIGINT AS i3, abs(a - s.p) AS cost FROM z JOIN s ON z.l_orderkey = s.l_orderkey WHERE k <= z.n),
+        c2 AS (SELECT c1.* REPLACE (s.i AS i2, cost + abs(b - s.p) AS cost) FROM c1 JOIN s ON s.l_orderkey = c1.l_orderkey AND s.i > i1 WHERE k >= 2),
+        c3 AS (SELECT c2.* REPLACE (s.i AS i3, cost + abs(c - s.p) AS cost) FROM c2 JOIN s ON s.l_orderkey = c2.l_orderkey AND s.i > i2 WHERE k = 3),
+        best AS (SELECT * FROM (SELECT * FROM c1 WHERE k = 1 UNION ALL SELECT * FROM c2 WHERE k = 2 UNION ALL SELECT * FROM c3) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY cost, i3, i2, i1) = 1),
+        m AS (SELECT l_orderkey, a AS o, i1 AS i FROM best UNION ALL SELECT l_orderkey, b, i2 FROM best WHERE k >= 2 UNION ALL SELECT l_orderkey, c, i3 FROM best WHERE k = 3)
+        SELECT m.l_orderkey, round(o, 6) + 0.0 AS observed, s.rn AS step, round(s.p, 6) + 0.0 AS predicted, 'matched' AS status FROM m JOIN s ON s.l_orderkey = m.l_orderkey AND s.i = m.i
+        UNION ALL SELECT l_orderkey, NULL, NULL, NULL, 'set_larger_than_ladder' FROM z WHERE k > n""",
     "cluster_1d": """WITH RECURSIVE v AS (SELECT l_orderkey, x, row_number() OVER (PARTITION BY l_orderkey ORDER BY x) AS k FROM (SELECT DISTINCT l_orderkey, l_quantity::DOUBLE / 5 AS x FROM lineitem)),
         r AS (SELECT l_orderkey, k, x, x AS first, 1 AS c FROM v WHERE k = 1 UNION ALL SELECT v.l_orderkey, v.k, v.x, CASE WHEN round(v.x - r.x, 9) <= 1 AND round(v.x - first, 9) <= 2 THEN first ELSE v.x END, CASE WHEN round(v.x - r.x, 9) <= 1 AND round(v.x - first, 9) <= 2 THEN c ELSE c + 1 END FROM r JOIN v ON v.l_orderkey = r.l_orderkey AND v.k = r.k + 1)
         SELECT l_orderkey, min(x) AS first, max(x) AS last, count(*) AS n FROM r GROUP BY l_orderkey, c""",

@@ -43,6 +43,17 @@ def contextual_edges(spark, d):
     return states.edges(_graphs(spark, d)).select("graph_id", F.col("site_id").cast("long").alias("site_id"), F.col("base_state").cast("long").alias("base_state"), F.col("acid_state").cast("long").alias("acid_state"), r6("value").alias("value"), r6("cycle_error").alias("cycle_error"))
 
 
+def site_ranges(spark, d):
+    """Least and largest transition value of every site over all backgrounds, and that of the dominant background; orders
+    of any number of lines, but the latter of available ones only."""
+    site = _sites(spark, d)
+    other = site.select("graph_id", F.col("site_id").alias("site_j"), F.col("disc").alias("other"))
+    pairs = site.join(other, "graph_id").where("site_id < site_j").select("graph_id", F.col("site_id").alias("site_i"), "site_j", (-100 * F.col("disc") * F.col("other")).alias("j"))
+    top = states.at_dominant(states.with_populations(_graphs(spark, d), LEVEL))
+    t = states.site_ranges(site, pairs).join(top, ["graph_id", "site_id"], "left")
+    return t.select("graph_id", F.col("site_id").cast("long").alias("site_id"), *[r6(c).alias(c) for c in ("low", "high", "spread", "value")])
+
+
 def independent_ladder(spark, d):
     return states.independent_ladder(_sites(spark, d).select("graph_id", "b")).select("graph_id", F.col("step").cast("long").alias("step"), r6("value").alias("value"))
 
@@ -108,7 +119,7 @@ def coupling_scan(spark, d):
     return t.select("graph_id", F.round(F.col("coupling") * 10).cast("long").alias("j10"), "loss")
 
 
-QUERIES = {f.__name__: f for f in (state_populations, population_summary, site_marginals, macro_ladder, contextual_edges, independent_ladder, interval_marginals, coupling_effect, log10_sum, order_violation, monotone_projection, projection_with_fixed, softmax_rank, dominant_then_best, coupling_scan)}
+QUERIES = {f.__name__: f for f in (state_populations, population_summary, site_marginals, macro_ladder, contextual_edges, site_ranges, independent_ladder, interval_marginals, coupling_effect, log10_sum, order_violation, monotone_projection, projection_with_fixed, softmax_rank, dominant_then_best, coupling_scan)}
 
 _S = f"""s AS (SELECT l_orderkey AS graph_id, rn AS site_id, 2 + l_quantity::DOUBLE / 5 AS b, l_discount::DOUBLE AS disc FROM {NUMBERED}),
 k AS (SELECT graph_id, count(*) AS k FROM s GROUP BY graph_id HAVING count(*) <= 12),
@@ -131,6 +142,10 @@ SQL = {
         round(max(CASE WHEN rk = 1 THEN p END) - coalesce(max(CASE WHEN rk = 2 THEN p END), 0), 6) + 0.0 AS gap FROM r GROUP BY graph_id)
         SELECT a.graph_id, (1 << a.k)::BIGINT AS n_states, a.k <= 12 AS available, log10z, entropy, effective, coalesce(dominant, -1) AS dominant, gap FROM (SELECT graph_id, count(*) AS k FROM s GROUP BY graph_id) a LEFT JOIN o ON a.graph_id = o.graph_id""",
     "site_marginals": f"WITH {_S} {_MARGINAL}",
+    "site_ranges": f"""WITH {_S}, j AS (SELECT x.graph_id, x.site_id, x.b, coalesce(sum(least(-100 * x.disc * y.disc, 0)), 0) AS lo, coalesce(sum(greatest(-100 * x.disc * y.disc, 0)), 0) AS hi FROM s x LEFT JOIN s y ON x.graph_id = y.graph_id AND x.site_id <> y.site_id GROUP BY ALL),
+        d AS (SELECT graph_id, state FROM q QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY round(p, 9) DESC, state) = 1),
+        v AS (SELECT s.graph_id, s.site_id, any_value(s.b) + coalesce(sum(CASE WHEN y.site_id <> s.site_id AND (state >> (y.site_id - 1)) & 1 = 1 THEN -100 * s.disc * y.disc END), 0) AS v FROM s JOIN d ON s.graph_id = d.graph_id JOIN s y ON y.graph_id = s.graph_id GROUP BY s.graph_id, s.site_id)
+        SELECT j.graph_id, j.site_id, round(b + lo, 6) + 0.0 AS low, round(b + hi, 6) + 0.0 AS high, round(hi - lo, 6) + 0.0 AS spread, round(v, 6) + 0.0 AS "value" FROM j LEFT JOIN v ON j.graph_id = v.graph_id AND j.site_id = v.site_id""",
     "macro_ladder": f"""WITH {_S}, z AS (SELECT graph_id, n, max(weight) AS m FROM w GROUP BY ALL),
         l AS (SELECT w.graph_id, w.n, m + log10(sum(pow(10, weight - m))) AS lz FROM w JOIN z ON w.graph_id = z.graph_id AND w.n = z.n GROUP BY w.graph_id, w.n, m),
         d AS (SELECT graph_id, n AS step, lz - lag(lz) OVER (PARTITION BY graph_id ORDER BY n) AS value FROM l)

@@ -83,7 +83,7 @@ def utc_stamps(spark, d):
 def reference_keys(spark, d):
     """H: DOIs, PubMed ids, addresses and plain text around each order's key."""
     k = F.col("o_orderkey").cast("string")
-    text = F.element_at(F.array(F.concat(F.lit("https://doi.org/10.1000/Order-"), k, F.lit(".,;)")), F.concat(F.lit(" HTTPS://PubMed.ncbi.nlm.nih.gov/"), k, F.lit("/ ")), F.concat(F.lit("Report%20No"), k, F.lit("/")), F.concat(F.lit("10.1234/a%2Fb"), k)), (F.pmod("o_orderkey", F.lit(4)) + 1).cast("int"))
+    text = F.element_at(F.array(F.concat(F.lit("https://doi.org/10.1000/Order-"), k, F.lit(".,;)")), F.concat(F.lit(" HTTPS://PubMed.ncbi.nlm.nih.gov/"), k, F.lit("/ ")), F.concat(F.lit("Report%20No"), k, F.lit("/")), F.concat(F.lit("10.1234/a%2Fb"), k), F.concat(F.lit("doi:10.1234/A+"), k)), (F.pmod("o_orderkey", F.lit(5)) + 1).cast("int"))
     return read(spark, d, "orders").select("o_orderkey", s.reference_key(text).alias("reference"))
 
 
@@ -152,7 +152,7 @@ SQL = {
         a AS (SELECT i, 1 AS s FROM tr UNION SELECT i, 2 FROM te), k AS (SELECT o_custkey, count(DISTINCT s) AS n FROM a JOIN orders ON i = o_orderkey GROUP BY 1)
         SELECT 'overlap' AS kind, i::VARCHAR AS id FROM a GROUP BY i HAVING count(*) = 2 UNION ALL SELECT DISTINCT 'range', i::VARCHAR FROM a WHERE i NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'leak', o_custkey::VARCHAR FROM k WHERE n = 2""",
     "utc_stamps": "SELECT user_id, max(event_id) AS event_id, strftime(make_timestamp(max(event_id) * 86399 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events GROUP BY 1",
-    "reference_keys": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '10.1000/order-' || o_orderkey WHEN 1 THEN 'pmid:' || o_orderkey WHEN 2 THEN 'report no' || o_orderkey ELSE '10.1234/a/b' || o_orderkey END AS reference FROM orders",
+    "reference_keys": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '10.1000/order-' || o_orderkey WHEN 1 THEN 'pmid:' || o_orderkey WHEN 2 THEN 'report no' || o_orderkey WHEN 3 THEN '10.1234/a/b' || o_orderkey ELSE '10.1234/a+' || o_orderkey END AS reference FROM orders",
     "exact_numbers": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN round(o_totalprice::DECIMAL(18, 2)::DOUBLE, 6) + 0.0 END AS price FROM orders",
     "written_outputs": "SELECT CASE WHEN round(o_totalprice, 2) < 200000 THEN 'accepted' ELSE 'rejected' END AS \"table\", o_orderkey, round(round(o_totalprice, 2), 6) + 0.0 AS price FROM orders",
     "delta_target": f"WITH {_OOF}, n AS (SELECT l_orderkey, count(*) > 1 AS several FROM lineitem GROUP BY 1) SELECT o_orderkey, round(CASE WHEN coalesce(several, false) THEN y - q ELSE 0 END, 9) + 0.0 AS delta FROM x LEFT JOIN n ON o_orderkey = l_orderkey",

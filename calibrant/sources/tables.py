@@ -35,6 +35,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_files(df: DataFrame) -> None:
+    """Delete the table that :func:`cut` returned; nothing may read it afterwards."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     """A1: raises before any job when columns are missing."""
     if missing := sorted(set(names) - set(df.columns)):
