@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from calibrant.functions.scalars import first_failing
 from calibrant.operators import ranks
-from calibrant.sources.tables import cut
 
 
 def route_quarantine(df: DataFrame, *rules: tuple[Column, str, Column | str]) -> DataFrame:
@@ -44,10 +43,9 @@ def group_summary(df: DataFrame, key: str, x: str) -> DataFrame:
 def weighted_median(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
     """Keys, weighted_median: the least x whose running weight reaches half; negative and null weights are 0;
     all zero: the plain median. Equal values are summed first; a group with many of them is ranked over value ranges."""
-    by = cut(ranks.counted(df, keys, x, F.greatest(F.coalesce(F.col(w).cast("double"), F.lit(0.0)), F.lit(0.0))), "weighed")
+    by = ranks.counted(df, keys, x, F.greatest(F.coalesce(F.col(w).cast("double"), F.lit(0.0)), F.lit(0.0)))
     half = ranks.first_reaching(by, keys, lambda upto, total: (total > 0) & (upto >= total / 2))
-    plain = ranks.quantiles_of(by, keys, {"plain": 0.5})
-    return ranks.beside(half, plain, keys).select(*keys, F.when(F.col("total") > 0, F.col("value").cast("double")).otherwise(F.col("plain")).alias("weighted_median"))
+    return half.select(*keys, F.when(F.col("total") > 0, F.col("value").cast("double")).otherwise(F.col("plain")).alias("weighted_median"))
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], x: str, w: str, q: float) -> DataFrame:
@@ -76,7 +74,8 @@ def censored_summary(obs: DataFrame, key: str) -> DataFrame:
     """
     med = weighted_median(obs.where("is_exact"), [key], "value", "quality")
     quarters = {"q1": 0.25, "q3": 0.75}
-    every, exactly = ranks.quantiles(obs, [key], "value", quarters), ranks.quantiles(obs.where("is_exact"), [key], "value", {f"x{q}": at for q, at in quarters.items()})
+    exactly = ranks.quantiles(obs.where("is_exact"), [key], "value", {f"x{q}": at for q, at in quarters.items()})
+    every = ranks.quantiles(obs, [key], "value", quarters)
     centre = obs.groupBy(key).agg(
         F.stddev_pop("value").alias("sd"), (F.max("value") - F.min("value")).alias("max_gap"),
         F.count(F.lit(1)).alias("n"), F.count_if("is_exact").alias("n_exact"), F.count_if("is_censored").alias("n_censored"),

@@ -32,13 +32,13 @@ LARGE = 100_000
 
 
 def by_size(values: DataFrame, keys: list[str], small, large) -> DataFrame:
-    """``small(rows)`` of the groups of ``values`` with at most LARGE rows, and ``large(rows)`` of the others. ``values`` has
-    a row per distinct value of a group; it is computed once and written."""
-    values = cut(values, "values")
+    """``small(rows)`` of the groups of ``values`` with at most LARGE rows, and ``large(rows)`` of the others. ``values`` is a
+    written table (:func:`cut`) with a row per distinct value of a group."""
     group = F.struct(*keys) if keys else F.lit(0)
-    big = cut(values.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > LARGE).select("_g"), "large-groups")
-    if big.isEmpty():
+    sizes = values.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_d"))
+    if (sizes.agg(F.max("_d")).first()[0] or 0) <= LARGE:
         return small(values)
+    big = cut(sizes.where(F.col("_d") > LARGE).select("_g"), "large-groups")
     tagged = values.withColumn("_g", group)
     return small(tagged.join(big, "_g", "left_anti").drop("_g")).unionByName(large(tagged.join(big, "_g", "left_semi").drop("_g")))
 
@@ -58,47 +58,59 @@ def counted(df: DataFrame, keys: list[str], x: str | Column, weight: Column | No
     return rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"), *([] if weight is None else [F.sum("_w").alias("_w")]))
 
 
-def quantiles_of(values: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
-    """keys and one column per entry of ``at``: exact quantiles of :func:`counted` values."""
+def percentiles(at: dict[str, float], count: str = "_c") -> list[Column]:
+    """Aggregates over the :func:`counted` values of groups of bounded size: the quantiles ``at``, by name."""
+    q = F.percentile(F.col("_x").cast("double"), F.array(*map(F.lit, at.values())), F.col(count))
+    return [F.get(q, F.lit(i)).alias(name) for i, name in enumerate(at)]
 
-    def small(by: DataFrame) -> DataFrame:
-        q = F.percentile(F.col("_x").cast("double"), F.array(*map(F.lit, at.values())), F.col("_c"))
-        return by.groupBy(*keys).agg(q.alias("_q")).select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(at)])
-
-    def large(by: DataFrame) -> DataFrame:
-        c = cumulative(by.withColumn("_x", F.col("_x").cast("double")), keys, ["_x"], ["_c"])
-        return c.groupBy(*keys).agg(*[interpolated("_x", "upto__c", "n__c", q).alias(name) for name, q in at.items()])
 
-    return by_size(values, keys, small, large).where(F.col(next(iter(at))).isNotNull())
+def ranged(values: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
+    """keys and the quantiles ``at`` of :func:`counted` values, over ranges of values."""
+    c = cumulative(values.withColumn("_x", F.col("_x").cast("double")), keys, ["_x"], ["_c"])
+    return c.groupBy(*keys).agg(*[interpolated("_x", "upto__c", "n__c", q).alias(name) for name, q in at.items()])
 
 
 def quantiles(df: DataFrame, keys: list[str], x: str, at: dict[str, float]) -> DataFrame:
     """keys and one column per entry of ``at``: the exact quantiles of the values of ``x`` that aren't null (none: no row)."""
-    return quantiles_of(counted(df, keys, x), keys, at)
+    by = cut(counted(df, keys, x), "counted")
+    found = by_size(by, keys, lambda rows: rows.groupBy(*keys).agg(*percentiles(at)), lambda rows: ranged(rows, keys, at))
+    return found.where(F.col(next(iter(at))).isNotNull())
+
+
+def away(by: DataFrame, middle: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`counted` distances of counted values from their group's median."""
+    return beside(by, middle, keys).groupBy(*keys, F.abs(F.col("_x") - F.col("median")).alias("_x")).agg(F.sum("_c").alias("_c"))
 
 
 def deviations(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """keys, median and mad (the median distance from it) of the values of ``x`` that aren't null. Distances are taken of the
     distinct values with their counts, so that no group is gathered for either rank."""
-    by = cut(counted(df, keys, x), "counted")
-    middle = quantiles_of(by, keys, {"median": 0.5})
-    away = beside(by, middle, keys).groupBy(*keys, F.abs(F.col("_x") - F.col("median")).alias("_x")).agg(F.sum("_c").alias("_c"))
-    return beside(middle, quantiles_of(away, keys, {"mad": 0.5}), keys)
+    mid, mad = {"median": 0.5}, {"mad": 0.5}
+
+    def small(by: DataFrame) -> DataFrame:
+        middle = by.groupBy(*keys).agg(*percentiles(mid))
+        return beside(middle, away(by, middle, keys).groupBy(*keys).agg(*percentiles(mad)), keys)
+
+    def large(by: DataFrame) -> DataFrame:
+        middle = cut(ranged(by, keys, mid), "medians")
+        return beside(middle, ranged(away(by, middle, keys), keys, mad), keys)
+
+    return by_size(cut(counted(df, keys, x), "counted"), keys, small, large).where(F.col("median").isNotNull())
 
 
 def first_reaching(values: DataFrame, keys: list[str], reached) -> DataFrame:
-    """keys and value: the least value of :func:`counted` for which ``reached(sum of _w up to it, sum of all)`` holds, null
-    where there is none, and total, the sum of all."""
+    """keys, value, total and plain of :func:`counted` values with weights: the least value for which ``reached(sum of _w up to
+    it, sum of all)`` holds, null where there is none; the sum of all; the median without weights."""
     pick = lambda upto, all_: [F.min(F.when(reached(F.col(upto), F.col(all_)), F.col("_x"))).alias("value"), F.max(all_).alias("total")]
 
     def small(by: DataFrame) -> DataFrame:
         run = by.withColumn("_u", F.sum("_w").over(Window.partitionBy(*keys).orderBy("_x"))).withColumn("_t", F.sum("_w").over(Window.partitionBy(*keys)))
-        return run.groupBy(*keys).agg(*pick("_u", "_t"))
+        return run.groupBy(*keys).agg(*pick("_u", "_t"), *percentiles({"plain": 0.5}))
 
     def large(by: DataFrame) -> DataFrame:
-        return cumulative(by, keys, ["_x"], ["_w"]).groupBy(*keys).agg(*pick("upto__w", "n__w"))
+        return cumulative(by, keys, ["_x"], ["_w", "_c"]).groupBy(*keys).agg(*pick("upto__w", "n__w"), interpolated("_x", "upto__c", "n__c", 0.5).alias("plain"))
 
-    return by_size(values, keys, small, large)
+    return by_size(cut(values, "weighed"), keys, small, large)
 
 
 def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -160,19 +160,29 @@ def ladder(g: DataFrame) -> DataFrame:
 
 def edges(g: DataFrame) -> DataFrame:
     """Every one-unit transition: graph_id, site_id, base_state, acid_state, value (b and the couplings
-    to the sites occupied besides), cycle_error (against the difference of the states' weights)."""
-    def of_site(st: Column, i: Column, near: Column, s: Column) -> Column:
-        own = F.get(F.col("sites"), i)
-        other = F.aggregate(near, F.lit(0.0), lambda t, p: t + _bit(s["state"], p["o"]) * p["v"])
-        up = (s["state"] + F.call_function("shiftleft", F.lit(1), i)).cast("int")
-        value = own["b"] + other
-        return F.struct(own["site_id"].alias("site_id"), s["state"].alias("base_state"), up.alias("acid_state"), value.alias("value"), F.abs(F.get(st, up)["weight"] - s["weight"] - value).alias("cycle_error"))
-
-    at = F.sequence(F.lit(0), F.size("sites") - 1)
-    touching = lambda i: F.transform(F.filter("pairs", lambda p: (p["i"] == i) | (p["j"] == i)), lambda p: F.struct((p["i"] + p["j"] - i).alias("o"), p["v"].alias("v")))
-    of = lambda st, i: let(touching(i), lambda near: F.transform(F.filter(st, lambda s: _bit(s["state"], i) == 0), lambda s: of_site(st, i, near, s)))
-    every = let(F.col("states"), lambda st: F.flatten(F.transform(at, lambda i: of(st, i))))
-    return g.where("available").select("graph_id", F.explode(every).alias("e")).select("graph_id", "e.*")
+    to the sites occupied besides), cycle_error (against the difference of the states' weights).
+
+    The values of a site double with each other site, as weights do, so that an edge costs one addition; a background's
+    place gives its state by putting the site's own bit in.
+    """
+    n = F.size("sites")
+    every = F.sequence(F.lit(0), n - 1)
+    between = lambda i, j: F.aggregate(F.filter("pairs", lambda p: (p["i"] == F.least(i, j)) & (p["j"] == F.greatest(i, j))), F.lit(0.0), lambda t, p: t + p["v"])
+    shift = lambda way, x, k: F.call_function(f"shift{way}", x, k)
+
+    def of_site(st: Column, own: Column, i: Column) -> Column:
+        others = F.filter(every, lambda j: j != i)
+        values = F.aggregate(others, F.array(own["b"]), lambda v, j: let(between(i, j), lambda x: F.concat(v, F.transform(v, lambda y: y + x))))
+
+        def edge(value: Column, t: Column) -> Column:
+            base = shift("left", shift("right", t, i), i + 1) + t.bitwiseAND(shift("left", F.lit(1), i) - 1)
+            up = base + shift("left", F.lit(1), i)
+            return F.struct(own["site_id"].alias("site_id"), base.alias("base_state"), up.alias("acid_state"), value.alias("value"), F.abs(F.get(st, up)["weight"] - F.get(st, base)["weight"] - value).alias("cycle_error"))
+
+        return F.transform(values, edge)
+
+    rows = g.where("available").select("graph_id", "states", "pairs", "sites", F.posexplode("sites").alias("_i", "_own"))
+    return rows.select("graph_id", F.explode(of_site(F.col("states"), F.col("_own"), F.col("_i"))).alias("e")).select("graph_id", "e.*")
 
 
 def layer_sums(bs: Column) -> Column:
