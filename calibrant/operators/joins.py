@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from calibrant.operators.neighbours import best_matches
 from calibrant.sources.tables import cut, drop_files
 
 
@@ -83,16 +84,10 @@ def holdout_safe_union(train: DataFrame, extra: DataFrame, held: DataFrame, grou
 
 
 def best_overlap(items: DataFrame, candidates: DataFrame, item: str, candidate: str, ids: str, same_table: bool = False) -> DataFrame:
-    """Item, candidate (null when ambiguous), jaccard, status: best Jaccard overlap of id sets. Only sharing pairs
-    meet; of one table (``same_table``) no row meets itself."""
-    a = items.select(item, F.size(F.array_distinct(ids)).alias("na"), F.explode(F.array_distinct(ids)).alias("_id"))
-    b = candidates.select(candidate, F.size(F.array_distinct(ids)).alias("nb"), F.explode(F.array_distinct(ids)).alias("_id"))
-    met = a.join(b, "_id").where(F.col(item) != F.col(candidate)) if same_table else a.join(b, "_id")
-    s = met.groupBy(item, candidate).agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    s = s.withColumn("jaccard", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 9))
-    w = Window.partitionBy(item)
-    best = s.withColumn("_m", F.max("jaccard").over(w)).where("jaccard = _m").groupBy(item).agg(F.first("jaccard").alias("jaccard"), F.count(F.lit(1)).alias("n"), F.min(candidate).alias("c"))
-    return best.select(item, F.when(F.col("n") == 1, F.col("c")).alias(candidate), "jaccard", F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("status"))
+    """Item, candidate (null when ambiguous), jaccard, status: best Jaccard overlap of id sets, for items that share an
+    id with a candidate; of one table (``same_table``) no row meets itself. See :func:`neighbours.best_matches`."""
+    best = best_matches(items, candidates.withColumnRenamed(candidate, item), item, ids, same_table=same_table)
+    return best.select(item, F.when(F.col("n_best") == 1, F.col("match")).alias(candidate), "jaccard", F.when(F.col("n_best") == 1, "unique").otherwise("ambiguous").alias("status"))
 
 
 def overlap_resolve(df: DataFrame, group: str, score: str, item: str, start: str, end: str) -> DataFrame:

@@ -158,16 +158,16 @@ def topk_hit_rate(df: DataFrame, group: str, score: str, truth: Column, order: l
     return hit.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.avg("hit"), F.lit(0.0)).alias("hit_rate"))
 
 
-def best_threshold(df: DataFrame, score: str, truth: str, low: float = 0.1, high: float = 0.9, steps: int = 33) -> DataFrame:
-    """The first threshold of the grid with the best balanced accuracy. Scores are counted on the grid first: the
-    shuffle holds a row per step, whatever the input."""
+def best_threshold(df: DataFrame, score: str, truth: str, low: float = 0.1, high: float = 0.9, steps: int = 33, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys,) threshold and balanced_accuracy: the first threshold of the grid with the best balanced accuracy, of all
+    rows or of each group. Scores are counted on the grid first: the shuffle holds a row per step and group, whatever the input."""
     width = (high - low) / (steps - 1)
     at = F.floor(F.round((F.col(score) - low) / width, 9)).cast("int")  # thresholds 0..at are reached
-    by = df.groupBy(F.greatest(F.lit(-1), F.least(F.lit(steps - 1), at)).alias("at")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    grid = by.select(F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"), "at", "pos", "neg")
-    t = grid.groupBy("i").agg(F.sum(F.when(F.col("at") >= F.col("i"), F.col("pos")).otherwise(0)).alias("tp"), F.sum("pos").alias("p"), F.sum(F.when(F.col("at") < F.col("i"), F.col("neg")).otherwise(0)).alias("tn"), F.sum("neg").alias("n"))
+    by = df.groupBy(*keys, F.greatest(F.lit(-1), F.least(F.lit(steps - 1), at)).alias("at")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    grid = by.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"), "at", "pos", "neg")
+    t = grid.groupBy(*keys, "i").agg(F.sum(F.when(F.col("at") >= F.col("i"), F.col("pos")).otherwise(0)).alias("tp"), F.sum("pos").alias("p"), F.sum(F.when(F.col("at") < F.col("i"), F.col("neg")).otherwise(0)).alias("tn"), F.sum("neg").alias("n"))
     ba = F.round((F.col("tp") / F.col("p") + F.col("tn") / F.col("n")) / 2, 12)
-    return t.agg(F.max_by(F.struct((low + F.col("i") * width).alias("threshold"), ba.alias("balanced_accuracy")), F.struct(ba, -F.col("i"))).alias("b")).select("b.*")
+    return t.groupBy(*keys).agg(F.max_by(F.struct((low + F.col("i") * width).alias("threshold"), ba.alias("balanced_accuracy")), F.struct(ba, -F.col("i"))).alias("b")).select(*keys, "b.*")
 
 
 def threshold_margin_sweep(df: DataFrame, score: str, current: str, truth: str, subgroup: str, thresholds: int = 29, margins: int = 9) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,16 +63,52 @@ def similar_sets(a: DataFrame, b: DataFrame, key: str, items: str, least: float,
     return pairs.withColumn("jaccard", both / (F.size("a_set") + F.size("b_set") - both)).where(F.col("jaccard") >= least - 1e-12).select(*on, f"a_{key}", f"b_{key}", "jaccard")
 
 
+def best_matches(queries: DataFrame, candidates: DataFrame, key: str, items: str, scope: str | None = None, same_table: bool = False, levels: tuple[float, ...] = (0.7, 0.4, 0.2, 0.0)) -> DataFrame:
+    """(scope,) key, jaccard, n_best and match per query that shares an item with a candidate: the largest Jaccard similarity of
+    its items, rounded to 9 places, how many candidates have it, and the smallest of their keys. ``key`` is unique in either table
+    (and scope); of one table (``same_table``) no row meets itself. Exact.
+
+    Items are ranked from rare to frequent. A round asks for similarities of one level or more, for which only the rarest items
+    of both sides need to meet; a query whose best match reaches its level has seen all that could win and is done. Others go on
+    to the next level with the best one found as a bound of their own, which shortens their prefix. Frequent items thus are
+    join keys only for queries whose best match is weaker than every level before.
+    """
+    on = [scope] if scope else []
+    flat = lambda df: df.select(*on, key, F.explode(F.array_distinct(items)).alias("_item"))
+    freq = flat(queries).unionByName(flat(candidates)).groupBy(*on, "_item").agg(F.count(F.lit(1)).alias("_f"))
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        sets = flat(df).join(freq, [*on, "_item"]).groupBy(*on, key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_f", "_item"))), lambda x: x["_item"]).alias("_set"))
+        return cut(sets.select(*on, F.col(key).alias(f"_{name}"), F.col("_set").alias(f"{name}s")), "ranked-sets")
+
+    def prefix(of: str, level: Column) -> Column:
+        n = F.size(of)
+        return F.explode(F.slice(of, F.lit(1), F.least(n, n - F.ceil(F.round(level * n, 9)).cast("int") + 1))).alias("_item")
+
+    active, all_c, done = ranked(queries, "q").withColumn("bound", F.lit(0.0)), ranked(candidates, "c"), None
+    nq, nc = F.size("qs"), F.size("cs")
+    both = F.size(F.array_intersect("qs", "cs"))
+    for level in levels:
+        need = F.greatest(F.col("bound") - 1e-8, F.lit(float(level)))  # the bound is rounded
+        asks = active.select(*on, "_q", "qs", need.alias("need"), prefix("qs", need))
+        met = asks.join(all_c.select(*on, "_c", "cs", prefix("cs", F.lit(float(level)))), [*on, "_item"]).where((nq >= F.col("need") * nc - 1e-9) & (nc >= F.col("need") * nq - 1e-9))
+        pairs = (met.where("_q <> _c") if same_table else met).dropDuplicates([*on, "_q", "_c"])
+        alike = pairs.select(*on, "_q", "_c", F.round(both / (nq + nc - both), 9).alias("jaccard"))
+        best = alike.groupBy(*on, "_q", "jaccard").agg(F.count(F.lit(1)).alias("n_best"), F.min("_c").alias("match")).groupBy(*on, "_q").agg(F.max(F.struct("jaccard", "n_best", "match")).alias("b"))
+        told = cut(active.join(best, [*on, "_q"], "left"), "best-so-far")
+        won = F.lit(True) if level == levels[-1] else F.coalesce(F.col("b.jaccard") >= F.greatest("bound", F.lit(float(level))) - 1e-12, F.lit(False))
+        found = told.where(won & F.col("b").isNotNull()).select(*on, F.col("_q").alias(key), "b.jaccard", "b.n_best", "b.match")
+        done = found if done is None else done.unionByName(found)
+        active = told.where(~won).select(*on, "_q", "qs", F.greatest("bound", F.coalesce("b.jaccard", F.lit(0.0))).alias("bound"))
+    return done
+
+
 def nearest_same_label(query: DataFrame, train: DataFrame, key: str, label: str, items: str) -> DataFrame:
-    """C17: key, label, similarity (the largest Tanimoto to a training row of the label), n_train, domain. Pairs meet on
-    shared items and are counted, so unlike rows never meet."""
-    q = query.select(key, label, F.size(F.array_distinct(items)).alias("na"), F.explode(F.array_distinct(items)).alias("item"))
-    t = train.select(F.col(key).alias("_t"), label, F.size(F.array_distinct(items)).alias("nb"), F.explode(F.array_distinct(items)).alias("item"))
-    shared = q.join(t, [label, "item"]).groupBy(key, label, "_t").agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    best = shared.groupBy(key, label).agg(F.max(F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("similarity"))
+    """C17: key, label, similarity (the largest Tanimoto to a training row of the label), n_train, domain; see :func:`best_matches`."""
+    best = best_matches(query, train, key, items, scope=label).select(key, label, F.col("jaccard").alias("similarity"))
     n = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_train"))
     out = query.select(key, label).join(best, [key, label], "left").join(n, label, "left").fillna(0.0, ["similarity"]).fillna(0, ["n_train"])
-    s = F.round("similarity", 9)
+    s = F.col("similarity")
     domain = F.when(F.col("n_train") == 0, "zero_shot").when((s >= 0.7) & (F.col("n_train") >= 5), "high").when((s >= 0.4) & (F.col("n_train") >= 2), "medium").otherwise("low")
     return out.withColumn("domain", domain)
 

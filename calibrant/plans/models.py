@@ -60,6 +60,26 @@ def form_head(spark, d):
     return out.select("doc_id", "quality", F.col("prediction").cast("int").alias("predicted"))
 
 
+def _head_rows(spark, d):
+    n = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).cast("double").alias("lines"))
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", (F.col("o_orderstatus") == "F").cast("int").alias("acid"), (F.col("o_totalprice").cast("double") / 100000).alias("price"))
+    return o.join(n, "o_orderkey")
+
+
+def form_heads(spark, d):
+    """A head per priority for an order's status, from its price and number of lines; every fifth customer is held out."""
+    t = md.form_heads(_head_rows(spark, d), "o_orderpriority", "acid", ["price", "lines"], F.col("o_custkey") % 5 != 0)
+    beta = [F.round(F.get("beta", F.lit(i)), 4).alias(f"b{i}") for i in range(3)]
+    return t.select("o_orderpriority", "rows", "status", *beta, F.round("threshold", 6).alias("threshold"), F.round("margin", 6).alias("margin"), F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
+
+
+def form_calls(spark, d):
+    """Those heads applied to every order."""
+    rows = _head_rows(spark, d)
+    heads = md.form_heads(rows, "o_orderpriority", "acid", ["price", "lines"], F.col("o_custkey") % 5 != 0)
+    return md.apply_heads(rows, heads, "o_orderpriority", ["price", "lines"]).select("o_orderkey", F.round("probability", 4).alias("probability"))
+
+
 def batch_score(spark, d):
     """The batch call as one plan. Per site the call at the level; confidence from the interval scenarios (D47), the
     calibrated probability of the order (D45), its label's support in other folds (D53) and what couplings change (D48)."""
@@ -74,10 +94,34 @@ def batch_score(spark, d):
     return t.select("graph_id", "site_id", s.state_call("p").alias("call"), r6(conf).alias("confidence"), s.confidence_tier(F.round(conf, 9)).alias("tier"), "support")
 
 
-QUERIES = {f.__name__: f for f in (oof_regression, candidate_scores, supplement_gate, rank_classifier, form_head, batch_score)}
+QUERIES = {f.__name__: f for f in (oof_regression, candidate_scores, supplement_gate, rank_classifier, form_head, form_heads, form_calls, batch_score)}
 
 _TIER = "CASE WHEN round(c, 9) >= 0.7 THEN 'high' WHEN round(c, 9) >= 0.4 THEN 'medium' WHEN round(c, 9) >= 0.1 THEN 'low' ELSE 'very_low' END"
+
+
+def _det(*m: str) -> str:
+    """Determinant of a matrix of three rows."""
+    a, b, c, d, e, f, g, h, i = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+#: Newton's method unrolled: sums by family, then the three equations by Cramer's rule.
+_H = ("h00", "h01", "h02", "h01", "(h11 + 1)", "h12", "h02", "h12", "(h22 + 1)")
+_G = ("g0", "(g1 + b1)", "(g2 + b2)")
+_STEP = ", ".join(f"b{k} - {_det(*[_G[i // 3] if i % 3 == k else _H[i] for i in range(9)])} / {_det(*_H)} AS b{k}" for k in range(3))
+_HEADS = """n AS (SELECT l_orderkey, count(*)::DOUBLE AS x2 FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, o_orderpriority AS f, (o_orderstatus = 'F')::INT AS y, o_totalprice::DOUBLE / 100000 AS x1, x2, o_custkey % 5 <> 0 AS t FROM orders JOIN n ON o_orderkey = l_orderkey),
+    s AS MATERIALIZED (SELECT f, count(*) AS rows, avg(x1) FILTER (t) AS m1, avg(x2) FILTER (t) AS m2, stddev_pop(x1) FILTER (t) AS s1, stddev_pop(x2) FILTER (t) AS s2, count(*) FILTER (t) / 2 / count(*) FILTER (t AND y = 1) AS wp, count(*) FILTER (t) / 2 / count(*) FILTER (t AND y = 0) AS wn FROM o GROUP BY f),
+    z AS MATERIALIZED (SELECT o_orderkey, o.f, y, t, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, CASE y WHEN 1 THEN wp ELSE wn END AS w FROM o JOIN s ON o.f = s.f), b0 AS (SELECT f, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2 FROM s), """ + ", ".join(
+    f"b{k} AS MATERIALIZED (SELECT f, {_STEP} FROM (SELECT f, b0, b1, b2, sum(w * (q - y)) AS g0, sum(w * (q - y) * z1) AS g1, sum(w * (q - y) * z2) AS g2, sum(v) AS h00, sum(v * z1) AS h01, sum(v * z2) AS h02, sum(v * z1 * z1) AS h11, sum(v * z1 * z2) AS h12, sum(v * z2 * z2) AS h22"
+    f" FROM (SELECT *, w * q * (1 - q) AS v FROM (SELECT z.*, b0, b1, b2, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))) AS q FROM z JOIN b{k - 1} b ON z.f = b.f WHERE t)) GROUP BY f, b0, b1, b2))"
+    for k in range(1, 10)
+) + ", q AS (SELECT o_orderkey, z.f, y, t, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))) AS q FROM z JOIN b9 b ON z.f = b.f)"
+
 SQL = {
+    "form_heads": f"""WITH {_HEADS}, g AS (SELECT f, i, 0.1 + i * 0.025 AS threshold, round((count(*) FILTER (y = 1 AND k >= i) / count(*) FILTER (y = 1) + count(*) FILTER (y = 0 AND k < i) / count(*) FILTER (y = 0)) / 2, 12) AS ba FROM (SELECT *, floor(round((q - 0.1) / 0.025, 9)) AS k FROM q WHERE NOT t), range(33) r(i) GROUP BY ALL),
+        a AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY f ORDER BY ba DESC, i) = 1)
+        SELECT s.f AS o_orderpriority, rows, 'trained' AS status, round(b0, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2, round(threshold::DOUBLE, 6) AS threshold, round(greatest(0.05, least(0.2, 0.5 * abs(threshold::DOUBLE - 0.5))), 6) AS margin, round(ba, 6) AS balanced_accuracy FROM s JOIN b9 ON s.f = b9.f JOIN a ON s.f = a.f""",
+    "form_calls": f"WITH {_HEADS} SELECT o_orderkey, round(q, 4) AS probability FROM q",
     "batch_score": f"""WITH im AS ({st_plans.SQL["interval_marginals"]}), hc AS ({m_plans.SQL["hierarchical_calibration"]}), fs AS ({m_plans.SQL["fold_support"]}), ce AS ({st_plans.SQL["coupling_effect"]}),
         p AS (SELECT graph_id, site_id, max(p_acid) FILTER (scenario = 'low') AS a, max(p_acid) FILTER (scenario = 'mid') AS p, max(p_acid) FILTER (scenario = 'high') AS z FROM im GROUP BY ALL),
         t AS (SELECT p.*, greatest(hc.prob, 1 - hc.prob) AS emp, CASE WHEN zero_shot THEN 'none' WHEN groups_elsewhere >= 1000 THEN 'high' WHEN groups_elsewhere >= 100 THEN 'medium' ELSE 'low' END AS support, largest FROM p JOIN orders ON p.graph_id = o_orderkey JOIN hc ON p.graph_id = hc.id JOIN fs ON fs.label = o_orderpriority AND fs.fold = o_custkey % 5 JOIN ce ON p.graph_id = ce.graph_id),

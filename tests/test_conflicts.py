@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from calibrant.functions import scalars as s
 from calibrant.operators import joins as j
 from calibrant.operators import metrics as m
+from calibrant.operators import neighbours as nb
 from calibrant.operators import review as rv
 from calibrant.operators import states
 from pyspark.sql import functions as F
@@ -135,3 +136,34 @@ def test_reference_keys_keep_a_plus(spark):
     t = spark.createDataFrame([(k, v) for k, v in cases.items()], "x string, want string")
     assert t.select(s.reference_key("x").alias("got"), "want").where("got <> want or got is null").collect() == []
     assert spark.createDataFrame([("+12.0",), ("12A",), ("-3.00",)], "x string").select(s.integral_id("x").alias("y")).collect() == [("+12",), ("12A",), ("-3",)]
+
+
+def test_best_matches_are_exact(spark):
+    """Every level has winners; one item is in half of all sets; copies tie; empty sets and lone items match nothing."""
+    rng = random.Random(5)
+    base = [rng.sample(range(1, 60), 8) for _ in range(12)]
+    rows = []
+    for i in range(220):
+        x = rng.choice(base)[: rng.randrange(1, 9)] + rng.sample(range(1, 200), rng.randrange(0, 5)) + ([0] if i % 2 else [])
+        rows.append((i, "a" if i % 3 else "b", x + x[:1]))
+    rows += [(300, "a", []), (301, "a", None), (302, "a", [999]), (303, "c", [0, 1]), (304, "a", rows[4][2]), (305, "a", [0])]
+    df = spark.createDataFrame(rows, "i int, s string, m array<int>")
+
+    def brute(queries, candidates, scoped):
+        out = {}
+        for q in queries:
+            sims = [(round(len(set(q[2]) & set(c[2])) / len(set(q[2]) | set(c[2])), 9), c[0]) for c in candidates if c[0] != q[0] and q[2] and c[2] and (not scoped or c[1] == q[1]) and set(q[2]) & set(c[2])]
+            if sims:
+                top = max(s for s, _ in sims)
+                out[q[0]] = (top, sum(s == top for s, _ in sims), min(c for s, c in sims if s == top))
+        return out
+
+    got = {r.i: (r.jaccard, r.n_best, r.match) for r in nb.best_matches(df, df, "i", "m", same_table=True).collect()}
+    assert got == brute(rows, rows, False)
+    asks, train = df.where("i % 5 = 0"), df.where("i % 5 <> 0")
+    parts = [[r for r in rows if (r[0] % 5 == 0) == want] for want in (True, False)]
+    got = {r.i: (r.jaccard, r.n_best, r.match) for r in nb.best_matches(asks, train, "i", "m", scope="s", levels=(0.9, 0.5, 0.0)).collect()}
+    assert got == brute(*parts, True)
+    best = {r.i: (r.cand, r.status) for r in j.best_overlap(df, df.withColumnRenamed("i", "cand"), "i", "cand", "m", same_table=True).collect()}
+    assert best == {i: (c if n == 1 else None, "unique" if n == 1 else "ambiguous") for i, (_, n, c) in brute(rows, rows, False).items()}
+    assert nb.best_matches(df.limit(0), df, "i", "m").count() == 0
