@@ -74,8 +74,11 @@ class WordIds(dict):
             if any(c in t for c in CONTROL):
                 split.append(None)  # the tokenizer itself, for the whole text
                 continue
-            if "<|" not in t and (t.isascii() or ("Σ" not in t and unicodedata.is_normalized("NFC", t))):
-                t = t.lower()
+            if "<|" not in t:
+                low = t.lower()
+                # lower case may compose with the marks behind it, which the tokenizer does before it lowers
+                if t.isascii() or ("Σ" not in t and unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", low)):
+                    t = low
             split.append(t.split())
         if len(self) > self.remember:
             self.older = dict(self)

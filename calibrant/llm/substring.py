@@ -29,7 +29,7 @@ MIN_WORDS = 50
 SPAN = MIN_WORDS - SHINGLE + 1
 HASHES = 4
 FUNCTIONS = 3  # the bits of a key that tell its hash function
-PLACES = 1 << 14  # places of shingles, the rarest first, that choose a shift
+PLACES = 1 << 20  # places of shingles that vote on a shift at a time
 MISS = 8  # 8 of 9 matching shingles on both sides are a Jaccard similarity of 0.8
 
 
@@ -141,7 +141,7 @@ def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFram
 
 
 LEADER = ("k1", "k2", "lo", "at", "hi")
-MET = WINDOWS + ", edge boolean, block int, more boolean, " + ", ".join(f"f_{c} {'long' if c[0] == 'k' else 'int'}" for c in LEADER)
+MET = WINDOWS + ", edge boolean, block int, " + ", ".join(f"f_{c} {'long' if c[0] == 'k' else 'int'}" for c in LEADER)
 BLOCK = 512  # windows of a key that share a copy of its first one's text
 
 
@@ -150,8 +150,7 @@ def met_in_order(wins: DataFrame) -> DataFrame:
 
     The windows are dealt out by ranges of key and document and sorted, so that a hot key spans several tasks
     and each streams its rows. Where a key crosses from one task to the next, each task takes its own first,
-    which then gives way to the first of the key: two keys a task at most are broadcast for that. ``block`` parts the windows of a key into bounded lots; ``more`` is
-    false where the two of a row are known to be the only documents of their key.
+    which then gives way to the first of the key: two keys a task at most are broadcast for that. ``block`` parts the windows of a key into bounded lots.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +168,6 @@ def met_in_order(wins: DataFrame) -> DataFrame:
             place = np.where(index < 0, rows + number, rows - index)
             group = np.cumsum(start)
             group -= group[0]
-            ends = np.flatnonzero(np.concatenate([group[1:] != group[:-1], [True]]))[group]
-            document = np.cumsum(np.concatenate([[True], start[1:] | (col["k1"][1:] != col["k1"][:-1]) | (col["k2"][1:] != col["k2"][:-1])]))
-            alone = (index >= 0) & (ends < len(key) - 1) & (document[ends] - document[np.maximum(index, 0)] == 1)
-            if opening:
-                alone[group == 0] = False
             whole = col["at"] == WHOLE  # the rest of the hash and the number of words tell too
             show &= np.where(whole, (first["at"] == WHOLE) & (col["hi"] == first["hi"]) & (col["lo"] == first["lo"]), first["at"] != WHOLE)
             edge = np.zeros(len(key), bool)
@@ -181,23 +175,23 @@ def met_in_order(wins: DataFrame) -> DataFrame:
                 edge = (group == 0) & (col["k1"] == col["k1"][0]) & (col["k2"] == col["k2"][0])
                 show |= edge
                 opening = False
-            columns = [*[pa.array(col[c][show]) for c in ("key", *LEADER)], pa.array(edge[show]), pa.array((place[show] // BLOCK).astype(np.int32)), pa.array(~alone[show]), *[pa.array(first[c][show]) for c in LEADER]]
+            columns = [*[pa.array(col[c][show]) for c in ("key", *LEADER)], pa.array(edge[show]), pa.array((place[show] // BLOCK).astype(np.int32)), *[pa.array(first[c][show]) for c in LEADER]]
             yield pa.RecordBatch.from_arrays(columns, names)
             leader, key_now, number = {c: first[c][-1] for c in LEADER}, key[-1], int(place[-1]) + 1
         if leader is not None:  # the first of the task's last key
             own = [pa.array([leader[c]], kinds[c]) for c in LEADER]
-            yield pa.RecordBatch.from_arrays([pa.array([key_now], pa.int64()), *own, pa.array([True]), pa.array([0], pa.int32()), pa.array([True]), *own], names)
+            yield pa.RecordBatch.from_arrays([pa.array([key_now], pa.int64()), *own, pa.array([True]), pa.array([0], pa.int32()), *own], names)
 
-    names = ["key", *LEADER, "edge", "block", "more", *[f"f_{c}" for c in LEADER]]
+    names = ["key", *LEADER, "edge", "block", *[f"f_{c}" for c in LEADER]]
     kinds = {c: pa.int64() if c[0] == "k" else pa.int32() for c in LEADER}
     n = int(wins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = wins.repartitionByRange(n, "key", "k1", "k2", "at").sortWithinPartitions("key", "k1", "k2", "at")
     met = cut(dealt.mapInArrow(run, MET), "passage-met")
     edges = met.where("edge").select("key", *LEADER).distinct()
     first = edges.groupBy("key").agg(F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("f"))  # two keys a task at most
-    crossed = edges.select("key", *LEADER, F.lit(0).alias("block"), F.lit(True).alias("more"), *[F.col(c).alias(f"f_{c}") for c in LEADER])
+    crossed = edges.select("key", *LEADER, F.lit(0).alias("block"), *[F.col(c).alias(f"f_{c}") for c in LEADER])
     rows = met.where("not edge").drop("edge").unionByName(crossed).join(F.broadcast(first), "key", "left")
-    told = rows.select("key", *LEADER, "block", "more", *[F.coalesce(F.col(f"f.{c}"), F.col(f"f_{c}")).alias(f"f_{c}") for c in LEADER]).where(F.struct("k1", "k2") != F.struct("f_k1", "f_k2"))
+    told = rows.select("key", *LEADER, "block", *[F.coalesce(F.col(f"f.{c}"), F.col(f"f_{c}")).alias(f"f_{c}") for c in LEADER]).where(F.struct("k1", "k2") != F.struct("f_k1", "f_k2"))
     both, same = (F.col("at") == WHOLE).cast("int") + (F.col("f_at") == WHOLE).cast("int"), F.struct("lo", "hi") == F.struct("f_lo", "f_hi")
     return told.where((both == 0) | (both == 2) & same)
 
@@ -242,6 +236,32 @@ def sorted_places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return order, ordered, np.concatenate([np.flatnonzero(np.diff(kind)) + 1, [len(b)]])[kind], kind * (2 * len(b)) + order
 
 
+def shift_votes(at: np.ndarray, first: np.ndarray, count: np.ndarray, order: np.ndarray, zero: int) -> np.ndarray:
+    """How many of the places order[first : first + count] of each shingle lie each shift from its own place ``at``; shift 0 is
+    entry ``zero``. Places vote a bounded number at a time; shingles that are frequent on both sides by a correlation of
+    their places, which costs no more than the lengths."""
+    size = zero + len(order) + 1
+    votes = np.zeros(size, np.int64)
+    of = np.unique(first, return_inverse=True)[1]
+    often = (np.bincount(of, count) > PLACES)[of]
+    for f in np.unique(first[often]):
+        mine = np.flatnonzero(first == f)
+        n = 1 << int(2 * size).bit_length()
+        x, y = np.zeros(n), np.zeros(n)
+        x[at[mine]] = 1
+        y[order[f : f + count[mine[0]]]] = 1
+        both = np.rint(np.fft.irfft(np.fft.rfft(y) * np.conj(np.fft.rfft(x)), n)).astype(np.int64)
+        votes[zero:] += both[: size - zero]
+        votes[:zero] += both[n - zero :] if zero else 0
+    rest = np.flatnonzero(~often)
+    for i, j in _slices_of(count[rest], PLACES):
+        some = rest[i:j]
+        n = count[some]
+        places = order[np.repeat(first[some], n) + _counted(n)]
+        votes += np.bincount(places - np.repeat(at[some], n) + zero, minlength=size)
+    return votes
+
+
 def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: float = SIMILARITY, places: tuple | None = None) -> list[tuple[int, int, int, int, float]]:
     """Runs of shingles of ``a`` and ``b`` of at least ``span`` whose sets have that Jaccard similarity."""
     order, ordered, ends, line = places or sorted_places(b)
@@ -266,10 +286,9 @@ def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: flo
     def beside(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the shingles a[at] lie along the shift where most of them agree, and their places in b.
 
-        All places of the shingles with the fewest in b (each with one, and of others as many as PLACES lets) choose
-        the shift, with room for words put in or left out.
+        All places of all of them vote on the shift, with room for words put in or left out.
         """
-        count, room = last[at] - first[at], 0.25 * length + SHINGLE
+        count, room = last[at] - first[at], int(0.25 * length + SHINGLE)
         single = count == 1
         if 2 * np.count_nonzero(single) >= len(at):  # those with one place agree: no other places need be tried
             own = (order[first[at]] - at)[single]
@@ -277,15 +296,14 @@ def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: flo
             if own.max() - low <= room:
                 other = nearest(at, at + low + np.argmax(np.bincount(own - low)))
                 return (other - at >= low) & (other - at <= low + room), other
-        rare = np.argsort(count, kind="stable")
-        rare = rare[: max(1, int(np.searchsorted(np.cumsum(count[rare]), PLACES, side="right")))]
-        n = count[rare]
-        places = order[np.repeat(first[at[rare]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        shift = np.sort(places - np.repeat(at[rare], n))
-        best = np.argmax(np.searchsorted(shift, shift + room, side="right") - np.arange(len(shift)))
-        value, times = np.unique(shift[(shift >= shift[best]) & (shift <= shift[best] + room)], return_counts=True)
-        other = nearest(at, at + value[np.argmax(times)])
-        return (other - at >= shift[best]) & (other - at <= shift[best] + room), other
+        votes = shift_votes(at, first[at], count, order, len(a))
+        upto = np.concatenate([[0], np.cumsum(votes)])
+        ends = np.minimum(np.arange(len(votes)) + room + 1, len(votes))
+        best = int(np.argmax(np.where(votes > 0, upto[ends] - upto[:-1], -1)))
+        peak = best + int(np.argmax(votes[best : best + room + 1]))
+        low = best - len(a)
+        other = nearest(at, at + peak - len(a))
+        return (other - at >= low) & (other - at <= low + room), other
 
     todo = [(0, hits)]
     while todo:
@@ -396,12 +414,12 @@ WINDOWS_AT_ONCE = 1 << 14
 
 def agreeing(met: DataFrame, found: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFrame:
     """Interval joins of the windows of ``met`` within each document, as windows under pair keys: runs whose windows of
-    two functions both have other holders, of which one has more than one other. And rows at WHOLE: the runs lo..hi for
+    two functions both have other holders. And rows at WHOLE: the runs lo..hi for
     which that is so of all functions, as it is of every run that another document holds unchanged.
 
     Runs in a passage equal to an earlier document's are left out: that document's own runs stand for them.
     """
-    window = lambda f: F.struct("key", *[F.col(f + c).alias(c) for c in ("lo", "at", "hi")], "more").alias("w")
+    window = lambda f: F.struct("key", *[F.col(f + c).alias(c) for c in ("lo", "at", "hi")]).alias("w")
     members = met.select("k1", "k2", window(""))
     held = members.unionByName(met.select(F.col("f_k1").alias("k1"), F.col("f_k2").alias("k2"), window("f_"))).groupBy("k1", "k2").agg(F.collect_set("w").alias("ws"))
     equal = found.where("similarity = 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -413,8 +431,8 @@ def agreeing(met: DataFrame, found: DataFrame, hashes: int = HASHES, span: int =
                 yield from joined(batch.slice(i, j - i))
 
     def joined(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = dict(zip(("key", "lo", "at", "hi", "more"), b.column("ws").flatten().flatten()))
-        key, more = parts["key"].to_numpy(), np.asarray(parts["more"])
+        parts = dict(zip(("key", "lo", "at", "hi"), b.column("ws").flatten().flatten()))
+        key = parts["key"].to_numpy()
         lo, at, hi = (parts[c].to_numpy().astype(np.int64) for c in ("lo", "at", "hi"))
         doc = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(b.column("ws"))))
         first, last = np.maximum(lo, at - (span - 1)), np.minimum(at, hi - (span - 1))
@@ -452,11 +470,11 @@ def agreeing(met: DataFrame, found: DataFrame, hashes: int = HASHES, span: int =
         for f in range(hashes):
             for g in range(f + 1, hashes):
                 x, y = which[f], which[g]
-                at_runs = starts((x >= 0) & (y >= 0) & (more[x] | more[y]) & free, x, y)
+                at_runs = starts((x >= 0) & (y >= 0) & free, x, y)
                 x, y = x[at_runs], y[at_runs]
                 keys = mixed(mixed(key[x].view(np.uint64)) + key[y].view(np.uint64) * np.uint64(3)).view(np.int64)
                 yield out(keys, doc[x], np.maximum(lo[x], lo[y]), at[x], np.minimum(hi[x], hi[y]))
-        full = (which >= 0).all(axis=0) & more[which].any(axis=0) & free
+        full = (which >= 0).all(axis=0) & free
         a = starts(full)
         z = np.flatnonzero(full & ~np.concatenate([full[1:], [False]]))
         rows = doc[which[0][a]]

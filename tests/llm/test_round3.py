@@ -151,3 +151,45 @@ def test_looked_up_scores_are_inner_products():
     huge = np.full((1, 64), 1 << 30)
     with pytest.raises(ValueError, match="long"):
         negatives.Tables(huge).scores(negatives.planes_of(huge)[0])
+
+
+def test_word_ids_where_lower_case_composes(spark):
+    """Capitals that compose with a mark, or change its order, only when lowered."""
+    from calibrant.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    texts = ["W̊ x", "J̌", "H̱a", "T̈ T̈", "İ́ Ị̇̇", "é É", "plain Text", "Ậ", "Σ̊"]
+    got = packing.load(path, 2).texts(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == [*model.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_every_place_votes_on_a_shift(monkeypatch):
+    from calibrant.llm import substring
+
+    rng = np.random.default_rng(36)
+    for places, kinds in ((1 << 20, 5), (50, 5), (50, 400), (3, 2)):
+        monkeypatch.setattr(substring, "PLACES", places)
+        a, b = rng.integers(0, kinds, 90), rng.integers(0, kinds, 140)
+        order, ordered, ends, _ = substring.sorted_places(b)
+        first = np.minimum(np.searchsorted(ordered, a), len(b) - 1)
+        at = np.flatnonzero(ordered[first] == a)
+        votes = substring.shift_votes(at, first[at], ends[first[at]] - first[at], order, len(a))
+        want = Counter(int(k - i) for i in at for k in np.flatnonzero(b == a[i]))
+        assert {k - len(a): v for k, v in enumerate(votes.tolist()) if v} == dict(want)
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    from calibrant.llm import substring
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in ("1", "8", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(map(tuple, substring.op10_substring(docs.repartition(int(n))).collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] and seen[0] == seen[1] == seen[2]
