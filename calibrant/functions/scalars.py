@@ -301,3 +301,15 @@ def hash_id(prefix: str, *parts: Column, length: int = 16) -> Column:
 def seed_of(x: C) -> Column:
     """H: a portable integer from the first 8 hex digits of SHA-256."""
     return F.conv(F.substring(F.sha2(_c(x).cast("string"), 256), 1, 8), 16, 10).cast("long")
+
+
+def json_list(x: C, item: str) -> Column:
+    """H: a JSON list of ``item`` (a type); empty for null, broken text or another kind of value."""
+    kind = f"array<{item}>"
+    return F.coalesce(F.when(F.ltrim(_c(x)).startswith("["), F.from_json(_c(x), kind)), F.array().cast(kind))
+
+
+def json_object(x: C, value: str) -> Column:
+    """H: a JSON object of ``value`` (a type) by name; empty for null, broken text or another kind of value."""
+    kind = f"map<string,{value}>"
+    return F.coalesce(F.when(F.ltrim(_c(x)).startswith("{"), F.from_json(_c(x), kind)), F.create_map().cast(kind))

@@ -225,11 +225,11 @@ def union_cohorts(**cohorts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("cohort", F.lit(n)) for n, df in cohorts.items()])
 
 
-def reference_transitions(states: DataFrame, group: str, state: str, charge: str, forms: str, is_reference: str) -> DataFrame:
+def reference_transitions(states: DataFrame, group: str, state: str, charge: str, forms: str, is_reference: str, sites: str | None = None) -> DataFrame:
     """Each state against the group's reference: group, state, status, family. ``forms`` is map<family, count> of
     acid-side sites. unambiguous: one reference, charge off by one, exactly one family changed, by one, in the same
-    direction as the charge."""
-    ref = states.where(F.col(is_reference)).groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col(state).alias("s"), F.col(charge).alias("q"), F.map_entries(forms).alias("f"))).alias("_ref"))
+    direction as the charge, and, where ``sites`` (map<family, count> of all sites) is given, a single site of that family in the reference."""
+    ref = states.where(F.col(is_reference)).groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col(state).alias("s"), F.col(charge).alias("q"), F.map_entries(forms).alias("f"), F.map_entries(sites or forms).alias("u"))).alias("_ref"))
     j = states.where(~F.col(is_reference)).join(ref, group, "left")
     of = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
     ref_map = F.map_from_entries(F.col("_ref.f"))
@@ -239,6 +239,18 @@ def reference_transitions(states: DataFrame, group: str, state: str, charge: str
     one = F.get(diff, F.lit(0))
     status = (
         F.when(F.col("_n").isNull(), "no_reference").when(F.col("_n") > 1, "several_references").when(F.abs(step) != 1, "charge_not_one").when(F.size(diff) != 1, "families_changed")
-        .when(F.abs(one["d"]) != 1, "several_sites").when(one["d"] != step, "wrong_direction").otherwise("unambiguous")
+        .when(F.abs(one["d"]) != 1, "several_sites").when(one["d"] != step, "wrong_direction")
+        .when(F.lit(sites is not None) & (of(F.map_from_entries(F.col("_ref.u")), one["k"]) != 1), "site_not_unique").otherwise("unambiguous")
     )
     return j.select(group, state, status.alias("status"), F.when(status == "unambiguous", one["k"]).alias("family"))
+
+
+def observed_transitions(observations: DataFrame, transitions: DataFrame, group: str, state: str) -> DataFrame:
+    """``observations`` with n_observations and n_unambiguous of their group, families (of the unambiguous transitions, pipe-joined),
+    usable and the transition (state) they are assigned to: only where the group has one observation and its unambiguous transitions name one
+    family, the first of them by state."""
+    clear = transitions.where("status = 'unambiguous'").groupBy(group).agg(F.count(F.lit(1)).alias("n_unambiguous"), F.sort_array(F.collect_set("family")).alias("_f"), F.min(state).alias("_first"))
+    n = observations.groupBy(group).agg(F.count(F.lit(1)).alias("n_observations"))
+    t = observations.join(n, group).join(clear, group, "left")
+    usable = (F.col("n_observations") == 1) & (F.coalesce(F.size("_f"), F.lit(0)) == 1)
+    return t.select(*observations.columns, "n_observations", F.coalesce("n_unambiguous", F.lit(0)).alias("n_unambiguous"), F.coalesce(F.array_join("_f", "|"), F.lit("")).alias("families"), usable.alias("usable"), F.when(usable, F.col("_first")).alias(state))

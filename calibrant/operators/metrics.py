@@ -145,6 +145,22 @@ def portability_block(df: DataFrame, predictors: list[str], *keys: str) -> DataF
     return long.groupBy(*keys, "predictor").agg(F.count(F.lit(1)).alias("rows"), F.avg(_err()).alias("mae"), F.sqrt(F.avg(_err() * _err())).alias("rmse"), F.avg(F.col("p") - F.col("y")).alias("bias")).transform(lambda t: ranks.beside(t, ranks.quantiles(long.select(*keys, "predictor", _err().alias("_e")), [*keys, "predictor"], "_e", {"p90": 0.9}), [*keys, "predictor"]))
 
 
+def portability_report(df: DataFrame, predictors: list[str], reference: str, low: str, high: str, group: str, subset: Column, nominal: float = 0.9) -> DataFrame:
+    """Scope (overall, group or disjoint), name (the group's), predictor, rows, mae, rmse, bias, p90, gain (the reference's mae less its
+    own), nominal and coverage (the share of rows whose ``low`` to ``high`` holds y) for several predictor columns of y; ``subset`` tells the disjoint rows. A
+    scope without rows has no row."""
+    scopes = F.array(F.struct(F.lit("overall").alias("scope"), F.lit("").alias("name")), F.struct(F.lit("group").alias("scope"), F.col(group).cast("string").alias("name")), F.when(subset, F.struct(F.lit("disjoint").alias("scope"), F.lit("").alias("name"))))
+    inside = ((F.col(low) <= F.col("y")) & (F.col("y") <= F.col(high))).cast("double")
+    named = F.map_from_arrays(F.array(*map(F.lit, predictors)), F.array(*[F.col(c).cast("double") for c in predictors]))
+    long = df.select("y", inside.alias("_in"), F.explode(F.filter(scopes, lambda x: x.isNotNull())).alias("s"), named.alias("_p")).select("s.*", "y", "_in", F.explode("_p").alias("predictor", "p"))
+    on = ["scope", "name", "predictor"]
+    sums = long.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"), F.avg(_err()).alias("mae"), F.sqrt(F.avg(_err() * _err())).alias("rmse"), F.avg(F.col("p") - F.col("y")).alias("bias"), F.avg("_in").alias("coverage"))
+    t = ranks.beside(sums, ranks.quantiles(long.select(*on, _err().alias("_e")), on, "_e", {"p90": 0.9}), on)
+    base = t.where(F.col("predictor") == reference).select("scope", "name", F.col("mae").alias("_base"))
+    t = ranks.beside(t, base, ["scope", "name"])
+    return t.select(*on, "rows", "mae", "rmse", "bias", "p90", (F.col("_base") - F.col("mae")).alias("gain"), F.lit(nominal).alias("nominal"), "coverage")
+
+
 def distribution_summary(df: DataFrame, x: str, *keys: str) -> DataFrame:
     """D29."""
     q = ranks.quantiles(df.select(*keys, F.col(x).alias("_v")), list(keys), "_v", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
@@ -455,3 +471,32 @@ def cluster_1d(values: Column, gap: float = 1.0, span: float = 2.0) -> Column:
         return F.when(fits, F.struct(s["done"].alias("done"), F.array_append(s["now"], v).alias("now"))).otherwise(F.struct(F.array_append(s["done"], s["now"]).alias("done"), F.array(v).alias("now")))
 
     return F.aggregate(sorted_, empty, put, lambda s: F.when(F.size(s["now"]) > 0, F.array_append(s["done"], s["now"])).otherwise(s["done"]))
+
+
+def clusters_with_medians(values: Column, gap: float = 1.0, span: float = 2.0) -> Column:
+    """Array of (low, high, n, median) of the clusters of :func:`cluster_1d`; n and median are of the distinct values."""
+    at = lambda c, i: F.get(c, i.cast("int"))
+    middle = lambda c: (at(c, F.floor((F.size(c) - 1) / 2)) + at(c, F.floor(F.size(c) / 2))) / 2
+    return F.transform(cluster_1d(values, gap, span), lambda c: F.struct(F.element_at(c, 1).alias("low"), F.element_at(c, -1).alias("high"), F.size(c).alias("n"), middle(c).alias("median")))
+
+
+def top1_summary(df: DataFrame, entity: str, best: list[Column], label: Column, form: Column, subset: Column, confidence: str) -> DataFrame:
+    """One row over the best row of each entity (the largest by ``best``): entities, label_accuracy, pair_rows (of the ``subset``),
+    pair_accuracy (of ``form`` in it) and mean_confidence; an empty set has zeros."""
+    row = F.struct(label.cast("double").alias("l"), F.when(subset, form.cast("double")).alias("f"), subset.alias("s"), F.col(confidence).cast("double").alias("c"))
+    top = df.groupBy(entity).agg(F.max_by(row, F.struct(*best)).alias("t"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return top.agg(F.count(F.lit(1)).alias("entities"), zero(F.avg("t.l")).alias("label_accuracy"), F.count_if("t.s").alias("pair_rows"), zero(F.avg("t.f")).alias("pair_accuracy"), zero(F.avg("t.c")).alias("mean_confidence"))
+
+
+def dataset_manifest(df: DataFrame, dataset: str, entity: str, label: str, flags: dict[str, Column], roles: list[tuple[str, str]], top: int = 5) -> DataFrame:
+    """A row per dataset: role (that of the first of ``roles``, patterns and names, which its name matches; else "other"), rows, entities, a
+    count and rate per flag (0 where there are no rows) and top_labels, a JSON object of its most frequent labels (ties by name)."""
+    role = F.coalesce(*[F.when(F.col(dataset).rlike(pattern), name) for pattern, name in roles], F.lit("other"))
+    counts = [x for name, c in flags.items() for x in (F.count_if(c).alias(name), F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("double")), F.lit(0.0)).alias(f"{name}_rate"))]
+    sums = df.groupBy(dataset).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(entity).alias("entities"), *counts)
+    n = df.where(F.col(label).isNotNull()).groupBy(dataset, F.col(label).cast("string").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    first = n.withColumn("_r", F.row_number().over(Window.partitionBy(dataset).orderBy(F.col("_n").desc(), "_l"))).where(F.col("_r") <= top)
+    pair = F.transform(F.sort_array(F.collect_list(F.struct("_r", "_l", "_n"))), lambda x: F.struct(x["_l"], x["_n"]))
+    tops = first.groupBy(dataset).agg(F.to_json(F.map_from_entries(pair)).alias("top_labels"))
+    return ranks.beside(sums, tops, [dataset]).withColumn("top_labels", F.coalesce("top_labels", F.lit("{}"))).withColumn("role", role)

@@ -43,6 +43,42 @@ def nearest_within(sites: DataFrame, points: DataFrame, scope: str, site: str, p
     return pairs.select(scope, site, point, "distance", F.row_number().over(w.orderBy(F.round("distance", 9), point)).alias("rank"), F.count(F.lit(1)).over(w).alias("n_near")).where(F.col("rank") <= k)
 
 
+def nearest_within_budget(sites: DataFrame, points: DataFrame, scope: str, site: str, point: str, radius: float, k: int, states: str, cap: int) -> DataFrame:
+    """All points within the radius of each site with rank (by distance, then id), selected and reason. The nearest ones are
+    kept while there are ``k`` at most and the site's ``states`` (a column of ``sites``), doubled by each, stay within ``cap``; the others
+    are the ledger of what was capped out: ``too_many_points`` or ``too_many_states``."""
+    near = within(sites, points, scope, site, radius).where(F.col(site) != F.col(point))
+    ranked = near.select(scope, site, point, "distance", F.row_number().over(Window.partitionBy(scope, site).orderBy(F.round("distance", 9), point)).alias("rank"))
+    room = F.size(F.filter(F.sequence(F.lit(1), F.lit(max(k, 1))), lambda i: F.col("_s") * F.pow(F.lit(2.0), i) <= cap))
+    t = ranked.join(sites.select(scope, site, F.col(states).cast("double").alias("_s")), [scope, site]).withColumn("_room", room)
+    reason = F.when(F.col("rank") > k, "too_many_points").when(F.col("rank") > F.col("_room"), "too_many_states")
+    return t.select(scope, site, point, "distance", "rank", reason.isNull().alias("selected"), reason.alias("reason"))
+
+
+def site_shape(points: DataFrame, *keys: str) -> DataFrame:
+    """Keys, n, cx, cy, cz (the centre), gyration (root mean square distance from it), span (the largest distance of two points)
+    and reason (``no_points`` for keys whose rows all lack a coordinate, with null figures).
+
+    The span needs no pairs of all points: one lies as far from the centre as the span less the radius at least, and the point
+    that is farthest from the farthest one gives a span to begin with.
+    """
+    on = list(keys)
+    real = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    p = cut(points.select(*on, "x", "y", "z").where(real), "shape-points")
+    length = lambda a, b: F.sqrt(sum((F.pow(F.col(f"{a}{c}") - F.col(f"{b}{c}"), 2) for c in "yz"), F.pow(F.col(f"{a}x") - F.col(f"{b}x"), 2)))
+    centre = p.groupBy(*on).agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"], F.count(F.lit(1)).alias("n"))
+    out = p.join(centre, on).withColumn("_r", length("", "c"))
+    far = out.groupBy(*on).agg(F.max(F.struct("_r", "x", "y", "z")).alias("_f"), F.sqrt(F.avg(F.col("_r") * F.col("_r"))).alias("gyration"))
+    far = far.select(*on, "gyration", F.col("_f._r").alias("_most"), *[F.col(f"_f.{c}").alias(f"f{c}") for c in "xyz"])
+    least = out.join(far, on).groupBy(*on).agg(F.max(length("", "f")).alias("_least"), F.first("_most").alias("_most"))
+    rim = out.join(least, on).where(F.col("_r") >= F.col("_least") - F.col("_most") - 1e-9).select(*on, "x", "y", "z").distinct()
+    rim = cut(rim, "shape-rim")
+    other = rim.select(*on, *[F.col(c).alias(f"o{c}") for c in "xyz"])
+    span = rim.join(other, on).groupBy(*on).agg(F.max(length("", "o")).alias("span"))
+    every = points.select(*on).distinct().join(centre, on, "left").join(far.select(*on, "gyration"), on, "left").join(span, on, "left")
+    return every.select(*on, F.coalesce("n", F.lit(0)).alias("n"), "cx", "cy", "cz", "gyration", "span", F.when(F.col("n").isNull(), "no_points").alias("reason"))
+
+
 def similar_sets(a: DataFrame, b: DataFrame, key: str, items: str, least: float, scope: str | None = None) -> DataFrame:
     """a_<key>, b_<key>, jaccard of pairs with Jaccard at least ``least``: exact, by prefix filtering. Items are
     ranked from rare to frequent; sets that alike must share one of their n - ceil(least n) + 1 rarest items, so frequent
@@ -103,6 +139,23 @@ def best_matches(queries: DataFrame, candidates: DataFrame, key: str, items: str
     return done
 
 
+def near_duplicate_audit(rows: DataFrame, train: DataFrame, key: str, items: str, threshold: float = 0.8, least: int = 30, length: str | None = None) -> DataFrame:
+    """Key, similarity and nearest (the training row whose items are most alike, of equal ones the smallest key), length, status and
+    disjoint for every row. The similarity is that of Jaccard on the items (shingles of a sequence, say); see :func:`best_matches`.
+
+    Rows without items are unavailable, those of fewer than ``least`` (of ``length``, else of items) too short; neither is compared nor disjoint.
+    """
+    n = F.coalesce(F.col(length) if length else F.size(F.array_distinct(items)), F.lit(0)).cast("long")
+    told = rows.select(key, F.col(items).alias(items), n.alias("length"))
+    fit = told.where((F.col("length") >= least) & (F.size(F.coalesce(items, F.array().cast(rows.schema[items].dataType))) > 0))
+    best = best_matches(fit, train, key, items).select(key, F.col("jaccard").alias("similarity"), F.col("match").alias("nearest"))
+    t = told.join(best, key, "left").withColumn("_fit", (F.col("length") >= least) & (F.coalesce(F.size(items), F.lit(0)) > 0))
+    same = F.coalesce("similarity", F.lit(0.0)) >= threshold
+    # The names of the states.
+    status = F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "target_chain_sequence_unavailable").when(~F.col("_fit"), "target_chain_sequence_too_short").when(same, "near_duplicate_training_chain").otherwise("disjoint_at_proxy_threshold")
+    return t.select(key, F.when(F.col("_fit"), F.coalesce("similarity", F.lit(0.0))).alias("similarity"), "nearest", "length", status.alias("status"), (F.col("_fit") & ~same).alias("disjoint"))
+
+
 def nearest_same_label(query: DataFrame, train: DataFrame, key: str, label: str, items: str) -> DataFrame:
     """C17: key, label, similarity (the largest Tanimoto to a training row of the label), n_train, domain; see :func:`best_matches`."""
     best = best_matches(query, train, key, items, scope=label).select(key, label, F.col("jaccard").alias("similarity"))

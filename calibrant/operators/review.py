@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from calibrant.functions.scalars import hash_id
+
 
 def outlier_queue(oof: DataFrame, decisions: DataFrame, key: str, threshold: float) -> DataFrame:
     """rows (id, key, y, p) with an error over the threshold, ranked within their key (ties by id), with the current
@@ -94,3 +96,13 @@ def expand_states(df: DataFrame, key: str, levels: str, cap: int = 4096) -> Data
     one = lambda s: F.transform("_l", lambda n, i: F.floor(s / radix(i)) % n)
     every = F.when(~F.col("truncated") & (F.col("_t") > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.col("_t") - 1), one))
     return t.select(key, "truncated", F.explode_outer(every).alias("state"))
+
+
+def consistency_queue(measured: DataFrame, states: DataFrame, measurement: str, entity: str, call: str, implied: str, state: str, form: str, population: str, prefix: str = "rev_") -> DataFrame:
+    """a row per measurement whose ``call`` disagrees with the ``implied`` form: entity, call, implied, the best state given the implied form (largest
+    population, ties by state; null where no state has it), its population, and a stable review_id. ``states``: entity, state, form, population."""
+    bad = measured.where(F.col(implied).isNotNull() & F.col(call).isNotNull() & (F.col(implied) != F.col(call)))
+    top = states.groupBy(entity, F.col(form).alias(implied)).agg(F.max(population).alias("_p"))
+    best = states.withColumnRenamed(form, implied).join(top, [entity, implied]).where(F.col(population) == F.col("_p")).groupBy(entity, implied).agg(F.min(state).alias("best_state"), F.first("_p").alias("best_population"))
+    t = bad.join(best, [entity, implied], "left")
+    return t.select(measurement, entity, call, implied, "best_state", "best_population", hash_id(prefix, F.col(measurement).cast("string"), F.col(entity).cast("string")).alias("review_id"))

@@ -143,6 +143,27 @@ def state_rows(g: DataFrame) -> DataFrame:
     return z.select("graph_id", "z.states.state", "z.states.n", "z.states.weight", F.col("z.p").alias("population"))
 
 
+def shared_populations(rows: DataFrame, graph: str, configuration: str, level: float) -> DataFrame:
+    """``rows`` (drawings of configurations, with weight and n) with population, share and duplicates: a configuration has one
+    place in the sum however often it is drawn, and its drawings share its population equally. Drawings of one configuration that
+    differ in weight or n are two configurations."""
+    on = [graph, configuration, "weight", "n"]
+    one = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("duplicates")).withColumn("_e", F.col("weight") - F.col("n") * level)
+    z = log10_sum_by(one, "_e", graph).withColumnRenamed("log10_sum", "_z")
+    population = one.join(z, graph).select(*on, "duplicates", F.pow(F.lit(10.0), F.col("_e") - F.col("_z")).alias("population"))
+    return rows.join(population, on).withColumn("share", F.col("population") / F.col("duplicates"))
+
+
+def coupled_and_free(g: DataFrame, free: DataFrame) -> DataFrame:
+    """graph_id, dominant, dominant_free, dominant_changed, changed (sites whose side changes without couplings) and largest (the largest
+    change of a site's share) for graphs with populations with and without couplings; unavailable ones are left out."""
+    share = lambda r: F.transform(F.col(f"{r}.sites"), lambda s, i: F.aggregate(F.arrays_zip(F.col(f"{r}.states"), F.col(f"{r}.p")), F.lit(0.0), lambda t, z: t + z["p"] * _bit(z["states"]["state"], i)))
+    of = lambda df, name: df.where("available").select("graph_id", F.struct("sites", "states", "p", "dominant").alias(name))
+    t = of(g, "a").join(of(free, "f"), "graph_id").select("graph_id", F.col("a.dominant").alias("dominant"), F.col("f.dominant").alias("dominant_free"), F.zip_with(share("a"), share("f"), lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("_z"))
+    flips = F.size(F.filter("_z", lambda z: (F.round(z["x"], 9) >= 0.5) != (F.round(z["y"], 9) >= 0.5)))
+    return t.select("graph_id", "dominant", "dominant_free", (F.col("dominant") != F.col("dominant_free")).alias("dominant_changed"), flips.alias("changed"), F.array_max(F.transform("_z", lambda z: F.abs(z["x"] - z["y"]))).alias("largest"))
+
+
 def marginals(g: DataFrame) -> DataFrame:
     """graph_id, site_id, p_acid: share of the states with the site on the acid side."""
     share = lambda zs, i: F.aggregate(zs, F.lit(0.0), lambda t, z: t + z["p"] * _bit(z["states"]["state"], i))
@@ -265,9 +286,10 @@ def projection_with_fixed(rows: DataFrame, group: str, step: str, value: str, fi
     return runs.select(group, F.explode(F.arrays_zip("r", "f")).alias("z")).select(group, F.col("z.r.s").alias(step), F.col("z.r.v").alias(value), F.col("z.r.fx").alias(fixed), fit.alias("fitted"))
 
 
-def softmax_rank(rows: DataFrame, group: str, score: str, item: str, temperature: float = 5.0, cap: int = 16) -> DataFrame:
+def softmax_rank(rows: DataFrame, group: str, score: str, item: str, temperature: float = 5.0, cap: int = 16, population: str | None = None) -> DataFrame:
     """Group, item, rank, share, tied, n_items, truncated, effective: the first ``cap`` by score (ties by item),
-    softmax at ``temperature``; the rank filter lets Spark drop rows before the sort ends."""
+    softmax at ``temperature``; the rank filter lets Spark drop rows before the sort ends. With ``population``, that of the group's configuration
+    (a column alike in its rows), also complete: the share times it, 0 where it is null."""
     w = Window.partitionBy(group).orderBy(F.col(score).desc(), item)
     every = Window.partitionBy(group)
     top = rows.withColumn("rank", F.row_number().over(w)).withColumn("n_items", F.count(F.lit(1)).over(every)).where(F.col("rank") <= cap)
@@ -275,4 +297,5 @@ def softmax_rank(rows: DataFrame, group: str, score: str, item: str, temperature
     share = raw.withColumn("share", F.col("_e") / F.sum("_e").over(every))
     entropy = -F.sum(F.when(F.col("share") > 0, F.col("share") * F.ln("share")).otherwise(0.0)).over(every)
     tied = F.count(F.lit(1)).over(Window.partitionBy(group, score)) > 1
-    return share.select(group, item, score, "rank", "share", tied.alias("tied"), "n_items", (F.col("n_items") > cap).alias("truncated"), F.exp(entropy).alias("effective"))
+    complete = [] if population is None else [(F.col("share") * F.coalesce(population, F.lit(0.0))).alias("complete")]
+    return share.select(group, item, score, "rank", "share", *complete, tied.alias("tied"), "n_items", (F.col("n_items") > cap).alias("truncated"), F.exp(entropy).alias("effective"))

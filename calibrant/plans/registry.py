@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from calibrant.plans import evidence, joins, metrics, models, policies, sources, states, training
+from calibrant.plans import evidence, joins, metrics, models, policies, reports, sources, states, training
 
-MODULES = (states, evidence, metrics, joins, models, sources, policies, training)
+MODULES = (states, evidence, metrics, joins, models, sources, policies, training, reports)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
