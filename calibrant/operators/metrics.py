@@ -348,7 +348,9 @@ def leave_fold_out_median(df: DataFrame, key: str, fold: str, x: str, folds: int
 
     def each(keys: list[str]) -> DataFrame:
         by = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_x")).agg(*counts)
-        wide = ranks.cumulative(by, keys, ["_x"], rest).groupBy(*keys).agg(*[ranks.interpolated("_x", f"upto_{c}", f"n_{c}", 0.5).alias(c) for c in rest])
+        small = lambda t: t.groupBy(*keys).agg(*[F.percentile("_x", 0.5, F.col(c)).alias(c) for c in rest])
+        large = lambda t: ranks.cumulative(t, keys, ["_x"], rest).groupBy(*keys).agg(*[ranks.interpolated("_x", f"upto_{c}", f"n_{c}", 0.5).alias(c) for c in rest])
+        wide = ranks.by_size(cut(by, "counted"), keys, small, large)
         return wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias(fold), F.col(c).alias("m")) for f, c in enumerate(rest)])).alias("s")).select(*keys, f"s.{fold}", "s.m")
 
     asked = df.select(key, fold).distinct()

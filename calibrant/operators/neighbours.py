@@ -238,24 +238,32 @@ def class_sums(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return out.where("n > 0")
 
 
-def connected_groups(edges: DataFrame) -> DataFrame:
-    """Node, group (the smallest member) over edges a, b: rounds of large star and small star, each written to the
-    shared folder, until nothing changes. Nodes only in loops a = b are groups of one."""
-    lone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
-    t = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    seen = None
+def star_rounds(edges: DataFrame, label: str = "stars") -> DataFrame:
+    """node, root (the smallest node reachable) of every node of the edges a, b that isn't a root itself; loops count as none.
+
+    Rounds: every node sends its larger neighbours to its smallest (large star), then its smaller ones and itself to the smallest (small
+    star), until nothing changes: about the logarithm of the longest path. A round is written and the one before deleted; the caller
+    deletes the last.
+    """
+    table, seen = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label), None
     while True:
-        both = t.unionByName(t.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u")
-        t = cut(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
-        mark = tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        new = cut(small, label)
+        mark = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        drop_files(table)
+        table = new
         if mark == seen or not mark[0]:
-            break
+            return table.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
-    placed = t.select(F.col("u").alias("node"), F.col("v").alias("group"))
-    roots = placed.select(F.col("group").alias("node"), "group").distinct()
-    named = placed.unionByName(roots)
+
+
+def connected_groups(edges: DataFrame) -> DataFrame:
+    """Node, group (the smallest member) over edges a, b; see :func:`star_rounds`. Nodes only in loops a = b are groups of one."""
+    placed = star_rounds(edges).withColumnRenamed("root", "group")
+    named = placed.unionByName(placed.select(F.col("group").alias("node"), "group").distinct())
+    lone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     return named.unionByName(lone.join(named, "node", "left_anti").select("node", F.col("node").alias("group")))

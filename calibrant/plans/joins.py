@@ -268,8 +268,9 @@ def consistency_queue(spark, d):
 
 
 def run_manifest(spark, d):
-    t = tables.run_manifest(orders=read(spark, d, "orders").select("o_orderkey"), nation=read(spark, d, "nation").select("n_nationkey"))
-    return t.select("table", "version", "rows")
+    """Rows and digests of whole tables, of which one has nulls."""
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_nationkey") > 4, F.col("c_nationkey")).alias("nation"))
+    return tables.run_manifest(orders=read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), customer=c, nation=read(spark, d, "nation").select("n_nationkey", "n_name"), none=c.where("c_custkey is null"))
 
 
 def stable_prefix(spark, d):
@@ -356,7 +357,9 @@ SQL = {
     "history_merge": "SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "top_label_counts": "WITH n AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, source LIMIT 5) SELECT '{' || string_agg('\"' || source || '\":' || n, ',' ORDER BY n DESC, source) || '}' AS top FROM n",
     "consistency_queue": f"WITH o AS (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'acid_form' ELSE 'base_form' END AS i, CASE WHEN o_orderstatus = 'F' THEN 'acid_form' ELSE 'base_form' END AS c FROM orders WHERE o_totalprice <> 150000), b AS (SELECT l_orderkey, rn FROM {NUMBERED} QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, rn) = 1) SELECT o_orderkey, rn AS best, 'rev_' || substr(sha256(o_orderkey::VARCHAR), 1, 16) AS review_id FROM o LEFT JOIN b ON o_orderkey = l_orderkey WHERE i <> c",
-    "run_manifest": "SELECT 'orders' AS \"table\", '1' AS version, count(*) AS rows FROM orders UNION ALL SELECT 'nation', '1', count(*) FROM nation",
+    "run_manifest": "SELECT 'orders' AS \"table\", '1' AS version, count(*) AS rows, coalesce(sum(('0x' || substr(sha256(concat_ws(chr(31), o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 15))::HUGEINT), 0)::VARCHAR AS digest FROM orders"
+    " UNION ALL SELECT 'customer', '1', count(*), sum(('0x' || substr(sha256(concat_ws(chr(31), c_custkey, c_mktsegment, coalesce(CASE WHEN c_nationkey > 4 THEN c_nationkey END::VARCHAR, chr(27)))), 1, 15))::HUGEINT)::VARCHAR FROM customer"
+    " UNION ALL SELECT 'nation', '1', count(*), sum(('0x' || substr(sha256(concat_ws(chr(31), n_nationkey, n_name)), 1, 15))::HUGEINT)::VARCHAR FROM nation UNION ALL SELECT 'none', '1', 0, '0'",
     "stable_prefix": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 100",
     "label_frequency": "SELECT p_partkey, count(*) OVER (PARTITION BY p_type) AS n, round(1 / ln(1 + count(*) OVER (PARTITION BY p_type)), 6) + 0.0 AS uniqueness FROM part",
     "nested_value_counts": "SELECT l_returnflag AS tier, count(*) AS n, min(l_extendedprice::DOUBLE) AS low, median(l_extendedprice::DOUBLE) AS mid, max(l_extendedprice::DOUBLE) AS high FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1",

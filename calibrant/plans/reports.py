@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from calibrant.functions import scalars as s
-from calibrant.operators import batch
+from calibrant.operators import batch, encode
 from calibrant.operators import joins as j
 from calibrant.operators import metrics as m
 from calibrant.operators import neighbours as nb
@@ -122,6 +122,13 @@ def json_cells(spark, d):
     return c.select("c_custkey", F.array_join(F.transform(s.json_list("cell", "long"), lambda x: x.cast("string")), ",").alias("items"), F.size(s.json_object("cell", "long")).cast("long").alias("names"), F.coalesce(F.try_element_at(s.json_object("cell", "long"), F.lit("a")), F.lit(-1)).alias("a"))
 
 
+def one_hot(spark, d):
+    """H: the place of each document's source among the sources in order; those of another vocabulary have none."""
+    docs = read(spark, d, "documents").select("doc_id", "source")
+    words = encode.vocabulary(docs.where("source not like '%1'"), F.array(F.coalesce("source", F.lit("unknown"))))
+    return encode.one_hot(docs, "source", words).select("doc_id", F.coalesce("index", F.lit(-1)).alias("index"))
+
+
 def keyed_files(spark, d):
     """Three tables' files read together, each row with the entity that its file's name tells."""
     t = spark.read.option("mergeSchema", True).parquet(*[f"{d}/{t}.parquet" for t in ("nation", "supplier", "customer")])
@@ -214,6 +221,7 @@ SQL = {
     "consistent_states": f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'acid_form' ELSE 'base_form' END AS call, CASE WHEN o_totalprice > 150000 THEN 'acid_form' ELSE 'base_form' END AS implied FROM orders), l AS (SELECT l_orderkey, rn, CASE WHEN l_returnflag = 'R' THEN 'acid_form' ELSE 'base_form' END AS form, l_extendedprice::DOUBLE AS p FROM {NUMBERED}),
         b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY l_orderkey, form ORDER BY p DESC, rn) = 1) SELECT o_orderkey, implied, rn AS best_state, round(p, 6) + 0.0 AS best_population, 'rev_' || substr(sha256(o_orderkey || '|' || o_orderkey), 1, 16) AS review_id FROM o LEFT JOIN b ON o_orderkey = l_orderkey AND implied = form WHERE call <> implied""",
     "json_cells": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 1 THEN c_custkey || ',7' ELSE '' END AS items, (c_custkey % 5 = 3)::BIGINT AS names, CASE WHEN c_custkey % 5 = 3 THEN c_custkey ELSE -1 END AS a FROM customer",
+    "one_hot": "WITH v AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents WHERE source NOT LIKE '%1')) SELECT doc_id, coalesce(i, -1) AS index FROM documents d LEFT JOIN v ON d.source = v.source",
     "keyed_files": "SELECT 'nation' AS entity_id, count(*) AS rows, count(n_name) AS named, 0::BIGINT AS suppliers FROM nation UNION ALL SELECT 'supplier', count(*), 0, count(s_suppkey) FROM supplier UNION ALL SELECT 'customer', count(*), 0, 0 FROM customer",
     "reused_outputs": "SELECT o_orderpriority AS name, CASE o_orderpriority WHEN '1-URGENT' THEN 'changed' WHEN '2-HIGH' THEN 'gone' WHEN '3-MEDIUM' THEN 'output_mismatch' WHEN '5-LOW' THEN 'new' ELSE 'reused' END AS status, count(*) FILTER (o_orderpriority <> '2-HIGH') AS rows FROM orders GROUP BY 1",
     "batch_counts": f"""WITH {_S}, g AS (SELECT graph_id, count(*) AS k FROM s GROUP BY 1), m AS ({_SHARE}), r AS (SELECT graph_id, p, {_TOP} AS rk FROM q), gap AS (SELECT graph_id, max(p) FILTER (rk = 1) - max(p) FILTER (rk = 2) AS gap FROM r GROUP BY 1)
