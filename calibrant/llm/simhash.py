@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.llm.arrow import mixed, rolled, slices, words
-from calibrant.llm.common import cut, drop_path, need
+from calibrant.llm.common import cut, drop_table, need
+from calibrant.operators.neighbours import star_rounds
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,30 +85,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """node, root (the smallest node reachable) of the undirected graph with edges a, b (two equal ones count
-    as none). Each round is written to the shared folder; a round moves each edge's rows once per star.
-
-    Rounds: every node sends its larger neighbours to its smallest (large star), then its smaller ones and
-    itself to the smallest (small star), until nothing changes: about the logarithm of the longest path.
-    """
-    spark = edges.sparkSession
-    table, seen, path = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label), None, None
-    while True:
-        both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        table = cut(small, label)
-        mark = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        old, path = path, table.inputFiles()[0].rpartition("/")[0] if mark[0] else None
-        if old:
-            drop_path(spark, old)
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-    return table.select(F.col("u").alias("node"), F.col("v").alias("root"))
+components = star_rounds  # node, root of nodes that aren't roots, over edges a, b
 
 
 def groups(docs: DataFrame, *keep: str, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
@@ -161,15 +139,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
             total = np.array([len(x) + len(y) for x, y in zip(mine, theirs)])
             yield b.select(["a", "b"]).filter(pa.array(both >= NEAR * (total - both)))
 
-    node = lambda x, y: F.xxhash64(F.col(x), F.col(y))
+    node = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))  # noqa: E731  whole keys: hashes of them could meet
     texts = docs.select("k1", "k2", F.coalesce("text", F.lit("")).alias("text"))
     rows = cut(texts.mapInArrow(bands, "key long, k1 long, k2 long").distinct(), "near-bands")
     first = rows.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     star = rows.join(first, "key").where(F.struct("k1", "k2") != F.col("f")).select("k1", "k2", F.col("f.k1").alias("o1"), F.col("f.k2").alias("o2")).distinct()
     one = texts.dropDuplicates(["k1", "k2"])
-    both = cut(star, "near-pairs").join(one, ["k1", "k2"]).join(one.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("text").alias("o_text")), ["o1", "o2"])
-    edges = both.select(node("o1", "o2").alias("a"), node("k1", "k2").alias("b"), "text", "o_text").mapInArrow(checked, "a long, b long")
-    root = components(cut(edges, "near-edges"), "near-links")
+    pairs = cut(star, "near-pairs")
+    both = pairs.join(one, ["k1", "k2"]).join(one.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("text").alias("o_text")), ["o1", "o2"])
+    ends = "struct<k1:long,k2:long>"
+    edges = cut(both.select(node("o1", "o2").alias("a"), node("k1", "k2").alias("b"), "text", "o_text").mapInArrow(checked, f"a {ends}, b {ends}"), "near-edges")
+    root = components(edges, "near-links")
+    for table in (rows, pairs, edges):
+        drop_table(table)
     return docs.select("k1", "k2", node("k1", "k2").alias("node")).join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
 
 
