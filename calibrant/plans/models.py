@@ -1,4 +1,4 @@
-"""Model queries (rows only: fitted trees have no SQL)."""
+"""Model queries. Fitted trees have no SQL; linear models have their normal equations, logistic ones Newton's steps."""
 
 from __future__ import annotations
 
@@ -41,7 +41,7 @@ def candidate_scores(spark, d):
 def supplement_gate(spark, d):
     o = _orders(spark, d)
     got = md.supplement_gate(o.where("o_custkey % 2 = 0"), o.where("o_custkey % 2 = 1"), md.candidates()["linear"], FOLDS)
-    return spark.createDataFrame([(float(got["mae_without"]), float(got["mae_with"]), bool(got["deploy"]))], "mae_without double, mae_with double, deploy boolean")
+    return spark.createDataFrame([(round(float(got["mae_without"]), 6), round(float(got["mae_with"]), 6), bool(got["deploy"]))], "mae_without double, mae_with double, deploy boolean")
 
 
 def rank_classifier(spark, d):
@@ -117,7 +117,35 @@ _HEADS = """n AS (SELECT l_orderkey, count(*)::DOUBLE AS x2 FROM lineitem GROUP
     for k in range(1, 10)
 ) + ", q AS (SELECT o_orderkey, z.f, y, t, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))) AS q FROM z JOIN b9 b ON z.f = b.f)"
 
+#: The rows of the linear models: fold, three features, target, weight.
+LINEAR_ROWS = """lo AS (SELECT o_orderkey, o_custkey, o_orderpriority AS label, (o_custkey % 3)::INT AS fold, n AS x1, qty AS x2, disc AS x3, o_totalprice::DOUBLE / 10000 AS y, 1.0::DOUBLE + o_orderkey % 3 AS w
+    FROM orders JOIN (SELECT l_orderkey, count(*)::DOUBLE AS n, sum(l_quantity::DOUBLE) AS qty, avg(l_discount::DOUBLE) AS disc FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
+
+
+def linear_fit(name: str, rows: str, ridge: float = 0.01) -> str:
+    """SQL tables up to ``name`` (f, b0..b3): the weighted ridge regression of y on x1, x2, x3 over the rows of all folds but f, with features and
+    target scaled to unit variance for the penalty: normal equations of correlations by Cramer's rule."""
+    x = ("x1", "x2", "x3")
+    means = ", ".join(f"sum(w * {c}) / sum(w) AS m_{c}" for c in (*x, "y"))
+    seconds = ", ".join(f"sum(w * {a} * {b}) / sum(w) AS s_{a}{b}" for i, a in enumerate((*x, "y")) for b in (*x, "y")[i:])
+    cov = lambda a, b: f"(s_{a}{b} - m_{a} * m_{b})"
+    sd = ", ".join(f"sqrt({cov(c, c)}) AS d_{c}" for c in (*x, "y"))
+    first = lambda a, b: (a, b) if a <= b else (b, a)
+    matrix = [f"({cov(*first(a, b))} / (d_{a} * d_{b}){f' + {ridge} / d_y' if a == b else ''})" for a in x for b in x]
+    right = [f"({cov(a, 'y')} / d_{a})" for a in x]
+    slopes = ", ".join(f"{_det(*[right[i // 3] if i % 3 == k else matrix[i] for i in range(9)])} / {_det(*matrix)} / d_{c} AS b{k + 1}" for k, c in enumerate(x))
+    return (
+        f"{name}_m AS (SELECT f, {means}, {seconds} FROM {rows}, (SELECT unnest(range(3)) AS f) WHERE fold <> f GROUP BY f), {name}_d AS (SELECT *, {sd} FROM {name}_m),"
+        f" {name}_b AS (SELECT *, {slopes} FROM {name}_d), {name} AS MATERIALIZED (SELECT f, m_y - b1 * m_x1 - b2 * m_x2 - b3 * m_x3 AS b0, b1, b2, b3 FROM {name}_b)"
+    )
+
+
+LINEAR = "b0 + b1 * x1 + b2 * x2 + b3 * x3"
+
 SQL = {
+    "supplement_gate": f"""WITH {LINEAR_ROWS}, own AS (SELECT * FROM lo WHERE o_custkey % 2 = 0), {linear_fit("alone", "own")}, {linear_fit("pooled", "lo")},
+        e AS (SELECT w, abs(y - (a.b0 + a.b1 * x1 + a.b2 * x2 + a.b3 * x3)) AS ea, abs(y - (b.b0 + b.b1 * x1 + b.b2 * x2 + b.b3 * x3)) AS eb FROM own JOIN alone a ON a.f = fold JOIN pooled b ON b.f = fold)
+        SELECT round(avg(ea), 6) AS mae_without, round(avg(eb), 6) AS mae_with, avg(eb) <= avg(ea) AND sum(w * eb) <= sum(w * ea) AS deploy FROM e""",
     "form_heads": f"""WITH {_HEADS}, g AS (SELECT f, i, 0.1 + i * 0.025 AS threshold, round((count(*) FILTER (y = 1 AND k >= i) / count(*) FILTER (y = 1) + count(*) FILTER (y = 0 AND k < i) / count(*) FILTER (y = 0)) / 2, 12) AS ba FROM (SELECT *, floor(round((q - 0.1) / 0.025, 9)) AS k FROM q WHERE NOT t), range(33) r(i) GROUP BY ALL),
         a AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY f ORDER BY ba DESC, i) = 1)
         SELECT s.f AS o_orderpriority, rows, 'trained' AS status, round(b0, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2, round(threshold::DOUBLE, 6) AS threshold, round(greatest(0.05, least(0.2, 0.5 * abs(threshold::DOUBLE - 0.5))), 6) AS margin, round(ba, 6) AS balanced_accuracy FROM s JOIN b9 ON s.f = b9.f JOIN a ON s.f = a.f""",

@@ -13,7 +13,7 @@ from calibrant.operators import metrics as m
 from calibrant.operators import models as md
 from calibrant.plans.common import NUMBERED, numbered, r6, read
 from calibrant.plans.metrics import _OOF, _oof
-from calibrant.plans.models import _orders
+from calibrant.plans.models import LINEAR, LINEAR_ROWS, _orders, linear_fit
 from calibrant.sources import tables
 
 
@@ -137,6 +137,10 @@ QUERIES = {f.__name__: f for f in (provenance_buckets, strict_training, pair_tra
 
 
 SQL = {
+    "reference_residual": f"""WITH {LINEAR_ROWS}, k AS (SELECT label, f, median(y) AS prior FROM lo, (SELECT unnest(range(3)) AS f) WHERE fold <> f AND label < '4' GROUP BY ALL), r AS (SELECT lo.* REPLACE (y - prior AS y), prior FROM lo JOIN k ON lo.label = k.label AND lo.fold = k.f), u AS (SELECT * FROM lo WHERE NOT label < '4'),
+        {linear_fit("rb", "r")}, {linear_fit("ub", "u")} SELECT o_orderkey, fold, round(prior + {LINEAR}, 6) + 0.0 AS p FROM r JOIN rb ON rb.f = fold UNION ALL SELECT o_orderkey, fold, round({LINEAR}, 6) + 0.0 FROM u JOIN ub ON ub.f = fold""",
+    "paired_difference": f"""WITH {LINEAR_ROWS}, c AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY y, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM lo), t AS (SELECT * FROM c WHERE n > 1 AND (i = 1 OR i = n)), {linear_fit("tb", "t")},
+        p AS (SELECT o_custkey, i = 1 AS first, y, {LINEAR} AS p FROM t JOIN tb ON tb.f = fold) SELECT a.o_custkey, round(b.y - a.y, 6) + 0.0 AS dy, round(b.p - a.p, 6) + 0.0 AS dp FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND a.first AND NOT b.first""",
     "provenance_buckets": """WITH x AS (SELECT CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'marvin_atom_match' WHEN l_returnflag = 'R' THEN 'marvin_no_atom_match' WHEN l_suppkey % 5 = 0 THEN 'manual_site_override'
         WHEN l_linestatus = 'O' THEN 'explicit_atom_match_non_marvin' WHEN l_linenumber = 1 THEN 'single_group_drawn_state' ELSE 'multi_group_pair_first' END AS detail FROM lineitem)
         SELECT CASE WHEN detail LIKE 'marvin%' THEN 'marvin_backed' WHEN detail = 'multi_group_pair_first' THEN 'macro_only_no_site_truth' ELSE 'structure_supported_non_marvin' END AS bucket, detail, count(*) AS n FROM x GROUP BY ALL""",
