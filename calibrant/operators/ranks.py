@@ -34,10 +34,12 @@ LARGE = 100_000
 def by_size(values: DataFrame, keys: list[str], small, large) -> DataFrame:
     """``small(rows)`` of the groups of ``values`` with at most LARGE rows, and ``large(rows)`` of the others. ``values`` is a
     written table (:func:`cut`) with a row per distinct value of a group."""
-    group = F.struct(*keys) if keys else F.lit(0)
+    group = F.struct(*keys) if keys else F.lit(0)  # without keys all rows are one group
     sizes = values.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_d"))
     if (sizes.agg(F.max("_d")).first()[0] or 0) <= LARGE:
         return small(values)
+    if not keys:
+        return large(values)
     big = cut(sizes.where(F.col("_d") > LARGE).select("_g"), "large-groups")
     tagged = values.withColumn("_g", group)
     return small(tagged.join(big, "_g", "left_anti").drop("_g")).unionByName(large(tagged.join(big, "_g", "left_semi").drop("_g")))
@@ -71,10 +73,10 @@ def ranged(values: DataFrame, keys: list[str], at: dict[str, float]) -> DataFram
 
 
 def quantiles(df: DataFrame, keys: list[str], x: str, at: dict[str, float]) -> DataFrame:
-    """keys and one column per entry of ``at``: the exact quantiles of the values of ``x`` that aren't null (none: no row)."""
+    """keys and one column per entry of ``at``: the exact quantiles of the values of ``x`` that aren't null. A group without any has no row;
+    without keys there is always one."""
     by = cut(counted(df, keys, x), "counted")
-    found = by_size(by, keys, lambda rows: rows.groupBy(*keys).agg(*percentiles(at)), lambda rows: ranged(rows, keys, at))
-    return found.where(F.col(next(iter(at))).isNotNull())
+    return by_size(by, keys, lambda rows: rows.groupBy(*keys).agg(*percentiles(at)), lambda rows: ranged(rows, keys, at))
 
 
 def away(by: DataFrame, middle: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,7 +97,7 @@ def deviations(df: DataFrame, keys: list[str], x: str) -> DataFrame:
         middle = cut(ranged(by, keys, mid), "medians")
         return beside(middle, ranged(away(by, middle, keys), keys, mad), keys)
 
-    return by_size(cut(counted(df, keys, x), "counted"), keys, small, large).where(F.col("median").isNotNull())
+    return by_size(cut(counted(df, keys, x), "counted"), keys, small, large)
 
 
 def first_reaching(values: DataFrame, keys: list[str], reached) -> DataFrame:
