@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ SLICE_BYTES = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most ``size`` bytes of text, one row at least. What Arrow's pool holds free is given back at the
-    end: a worker outlives its task."""
+    """Runs of rows with at most ``size`` bytes of text, one row at least. Free memory is given back at the end: a worker
+    outlives its task."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -26,7 +27,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
                 start, held = i, 0
             held += k
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what Arrow's pool and the C library hold free to the system, where they can."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
