@@ -117,10 +117,64 @@ def _shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return [rolled(h, min(len(h), NEAR_WIDTH)) if len(h) else np.zeros(1, np.uint64) for h in each]
 
 
+LACKING, SURPLUS = 32, 8  # keys of what a document holds and its dissimilar first doesn't, and the other way round
+BLOCK = 512  # partners of a document that meet one copy of its text
+
+
+def _factors(n: int, seed: int) -> list[np.uint64]:
+    return [np.uint64(x | 1) for x in np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64).tolist()]
+
+
+def _narrower(first: np.ndarray, x: np.ndarray, name: np.uint64) -> list[int]:
+    """Keys under which a document (shingles ``x``) goes on when its first (``first``, hashed to ``name``) is not similar.
+
+    Documents alike share most of what they differ in from a third that is like neither: of two of similarity 0.8 the
+    differences to it have a quarter in common at least, and what is rare lies in them and not in the template around it.
+    """
+    out: list[int] = []
+    for part, factors in ((np.setdiff1d(x, first, True), _factors(LACKING, SEED + 1)), (np.setdiff1d(first, x, True), _factors(SURPLUS, SEED + 2))):
+        if len(part):
+            least = np.array([(part * f).min() for f in factors], np.uint64)
+            out += mixed(least ^ mixed(np.array(factors, np.uint64) ^ name)).view(np.int64).tolist()
+    return out
+
+
+def _compared(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """The pairs of documents (o1, o2 the first, k1, k2) with near (similarity NEAR or more on whole shingle sets) and, where it
+    isn't, the narrower keys. A first meets its partners in blocks of BLOCK, each with a copy of its text."""
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            mine, theirs = ([np.unique(x) for x in _shingle_sets(b.column(c))] for c in ("text", "o_text"))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(mine, theirs)])
+            near = both >= NEAR * (np.array([len(x) + len(y) for x, y in zip(mine, theirs)]) - both)
+            ends = [np.asarray(b.column(c)).view(np.uint64) for c in ("o1", "o2")]
+            names = mixed(mixed(ends[0]) ^ ends[1])
+            keys = [None if n else _narrower(y, x, name) for n, x, y, name in zip(near, mine, theirs, names)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("o1", "o2", "k1", "k2")], pa.array(near), pa.array(keys, pa.list_(pa.int64()))], ["o1", "o2", "k1", "k2", "near", "keys"])
+
+    blocks = pairs.groupBy("o1", "o2").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = pairs.join(blocks, ["o1", "o2"]).withColumn("block", F.pmod(F.xxhash64("k1", "k2"), "blocks")).drop("blocks")
+    firsts = blocks.join(one.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("text").alias("o_text")), ["o1", "o2"])
+    copies = firsts.select("o1", "o2", "o_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    met = dealt.join(one, ["k1", "k2"]).join(copies, ["o1", "o2", "block"])
+    return met.select("o1", "o2", "k1", "k2", "text", "o_text").mapInArrow(checked, "o1 long, o2 long, k1 long, k2 long, near boolean, keys array<long>")
+
+
+def _with_first(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of the first document of a key (o1, o2) and each other one (k1, k2), over rows (key, k1, k2)."""
+    first = rows.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return rows.join(first, "key").where(F.struct("k1", "k2") != F.col("f")).select("f.k1", "f.k2", "k1", "k2").toDF("o1", "o2", "k1", "k2").distinct()
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """k1, k2, root per row of ``docs`` (k1, k2, text): components of links with a Jaccard similarity of NEAR or more on
-    whole sets of five-word shingles. A document is compared with the first of each of its min-hash bands."""
-    factors = [np.uint64(x | 1) for x in np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64).tolist()]
+    whole sets of five-word shingles.
+
+    A document is compared with the first of each of its min-hash bands. Where the two are not similar, it goes on under keys of what
+    they differ in, so that documents alike meet beside one that is like neither; it is compared with the first of each of those.
+    """
+    factors = _factors(BANDS * ROWS, SEED)
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -132,25 +186,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
                     key = mixed(key ^ np.minimum.reduceat(x * f, starts))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("k1"), b.column("k2")], ["key", "k1", "k2"])
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            mine, theirs = ([np.unique(x) for x in _shingle_sets(b.column(c))] for c in ("text", "o_text"))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(mine, theirs)])
-            total = np.array([len(x) + len(y) for x, y in zip(mine, theirs)])
-            yield b.select(["a", "b"]).filter(pa.array(both >= NEAR * (total - both)))
-
-    node = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))  # noqa: E731  whole keys: hashes of them could meet
     texts = docs.select("k1", "k2", F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(texts.mapInArrow(bands, "key long, k1 long, k2 long").distinct(), "near-bands")
-    first = rows.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    star = rows.join(first, "key").where(F.struct("k1", "k2") != F.col("f")).select("k1", "k2", F.col("f.k1").alias("o1"), F.col("f.k2").alias("o2")).distinct()
     one = texts.dropDuplicates(["k1", "k2"])
-    pairs = cut(star, "near-pairs")
-    both = pairs.join(one, ["k1", "k2"]).join(one.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("text").alias("o_text")), ["o1", "o2"])
-    ends = "struct<k1:long,k2:long>"
-    edges = cut(both.select(node("o1", "o2").alias("a"), node("k1", "k2").alias("b"), "text", "o_text").mapInArrow(checked, f"a {ends}, b {ends}"), "near-edges")
+    rows = cut(texts.mapInArrow(bands, "key long, k1 long, k2 long").distinct(), "near-bands")
+    pairs = cut(_with_first(rows), "near-pairs")
+    met = cut(_compared(pairs, one), "near-met")
+    further = cut(met.where("not near").select(F.explode("keys").alias("key"), "k1", "k2").distinct(), "near-further")
+    again = cut(_with_first(further).join(pairs, ["o1", "o2", "k1", "k2"], "left_anti"), "near-again")
+    met_again = cut(_compared(again, one).drop("keys"), "near-met-again")
+    node = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))  # noqa: E731  whole keys: hashes of them could meet
+    edges = met.drop("keys").unionByName(met_again).where("near").select(node("o1", "o2").alias("a"), node("k1", "k2").alias("b"))
     root = components(edges, "near-links")
-    for table in (rows, pairs, edges):
+    for table in (rows, pairs, met, further, again, met_again):
         drop_table(table)
     return docs.select("k1", "k2", node("k1", "k2").alias("node")).join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from calibrant.llm import fim, negatives, tokencount
+from calibrant.llm import fim, negatives, simhash, tokencount
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -193,3 +193,35 @@ def test_passages_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] and seen[0] == seen[1] == seen[2]
+
+
+def test_near_copies_beside_earlier_documents_of_a_template(spark):
+    """60 earlier documents are edits of one template, like neither of the 60 pairs that are near copies of each other; the groups are
+    compared with those of all pairs. One document holds a whole pair and more."""
+    rng, fresh = random.Random(5), iter(range(10**6))
+    template = [f"t{i}" for i in range(300)]
+
+    def edited(words, n):
+        words = list(words)
+        for p in rng.sample(range(5, len(words) - 5), n):
+            words[p] = f"u{next(fresh)}"
+        return words
+
+    docs = [edited(template, 6) for _ in range(60)]
+    long = [f"l{i}" for i in range(200)]
+    docs += [long + [f"m{i}" for i in range(90)], edited(long, 1), edited(long, 1)]
+    for _ in range(60):
+        middle = edited(template, 4)
+        docs += [edited(middle, 2), edited(middle, 2)]
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
+    links = [(a, b) for b in range(len(docs)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(docs)))
+    for a, b in links:
+        old, new = root[b], root[a]
+        root = [new if r == old else r for r in root]
+    rows = spark.createDataFrame([(i, 0, " ".join(d)) for i, d in enumerate(docs)] + [(0, 0, " ".join(docs[0]))], "k1 long, k2 long, text string")
+    got = {r.k1: r.root.k1 for r in simhash.near_groups(rows).collect()}
+    assert got[61] == got[62] != got[60]
+    for a, b in {(got[a], a) for a in got}:
+        assert root[a] == root[b]  # no group holds what isn't linked
+    assert sum(got[a] == got[b] for a, b in links) >= 0.97 * len(links) > 55
