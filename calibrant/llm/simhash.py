@@ -129,7 +129,7 @@ def _narrower(first: np.ndarray, x: np.ndarray, name: np.uint64) -> list[int]:
     """Keys under which a document (shingles ``x``) goes on when its first (``first``, hashed to ``name``) is not similar.
 
     Documents alike share most of what they differ in from a third that is like neither: of two of similarity 0.8 the
-    differences to it have a quarter in common at least, and what is rare lies in them and not in the template around it.
+    differences to it (both ways together) have over a fifth in common, and what is rare lies in them and not in the template around it.
     """
     out: list[int] = []
     for part, factors in ((np.setdiff1d(x, first, True), _factors(LACKING, SEED + 1)), (np.setdiff1d(first, x, True), _factors(SURPLUS, SEED + 2))):
