@@ -3,8 +3,31 @@
 from pyspark.sql import functions as F
 
 from calibrant.functions import scalars as s
+from calibrant.operators import neighbours as nb
+from calibrant.plans import registry
 
 
 def test_stamps_of_years_of_five_digits(spark):
     t = spark.createDataFrame([(0, "1970-01-01T00:00:00Z"), (253402300799, "9999-12-31T23:59:59Z"), (253402300800, "10000-01-01T00:00:00Z"), (518_393_913_601, "18397-04-01T13:20:01Z")], "at long, want string")
     assert t.select(s.utc_stamp(F.timestamp_seconds("at")).alias("got"), "want").where("got <> want").collect() == []
+
+
+def test_tables_in_parts_are_one_entry_each(spark, tmp_path):
+    for name in ("nation", "part", "region", "orders"):
+        spark.range(10).repartition(3).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    (tmp_path / "events.parquet").write_bytes(b"x")
+    got = {r.name: r.status for r in registry.QUERIES["integrity_ledger"](spark, str(tmp_path)).collect()}
+    assert got == {"part.parquet": "mismatch", "region.parquet": "unexpected", "gone.parquet": "missing", "orders.parquet": "ok", "events.parquet": "ok"}
+
+
+def test_matches_of_items_dealt_out(spark):
+    """3,000 sets that all hold one item: 4.5 million pairs. An item dealt out over places gives the same."""
+    rows = spark.range(3000).select("id", F.array(F.lit(-1), F.col("id"), F.col("id") % 50 + 10000).alias("m"))
+    before, got = nb.HOLDERS, []
+    try:
+        for holders in (4096, 100):
+            nb.HOLDERS = holders
+            got.append({r.id: (r.jaccard, r.n_best, r.match) for r in nb.best_matches(rows, rows, "id", "m", same_table=True).collect()})
+    finally:
+        nb.HOLDERS = before
+    assert got[0] == got[1] == {i: (0.5, 59, i % 50 if i >= 50 else i + 50) for i in range(3000)}
