@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from calibrant.functions import scalars as s
 from calibrant.operators import neighbours as nb
+from calibrant.operators import states
 from calibrant.plans import registry
 
 
@@ -31,3 +32,9 @@ def test_matches_of_items_dealt_out(spark):
     finally:
         nb.HOLDERS = before
     assert got[0] == got[1] == {i: (0.5, 59, i % 50 if i >= 50 else i + 50) for i in range(3000)}
+
+
+def test_the_grid_of_the_scan_stays_in_its_row(spark):
+    t = spark.createDataFrame([(1, [9.0, 8.0], [9.0, 7.7])], "graph_id int, b array<double>, target array<double>")
+    plan = states.coupling_scan(t)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
