@@ -38,3 +38,26 @@ def test_the_grid_of_the_scan_stays_in_its_row(spark):
     t = spark.createDataFrame([(1, [9.0, 8.0], [9.0, 7.7])], "graph_id int, b array<double>, target array<double>")
     plan = states.coupling_scan(t)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_neighbourhoods_are_lists_not_pairs(spark, monkeypatch):
+    """200 nodes around 4 centres: 40,000 pairs within two hops, and no table of more rows than nodes or edges; the same when ids are dealt over buckets."""
+    edges = spark.range(200).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("a"), (F.col("id") + 10).alias("b"))
+    nodes = spark.range(210).select(F.col("id").alias("node"), F.when(F.col("id") < 10, "hub").otherwise("leaf").alias("class"), (F.col("id") % 3 - 1).cast("int").alias("charge"))
+    write, rows = nb.cut, []
+
+    def counted(df, label="cut"):
+        out = write(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(nb, "cut", counted)
+    charge = sum(i % 3 - 1 for i in range(10, 210))
+    for gathered in (nb.GATHERED, 50):
+        monkeypatch.setattr(nb, "GATHERED", gathered)
+        rows.clear()
+        sums = {(r.node, r["class"]): (r.n, r.charge) for r in nb.class_sums(edges, nodes, 2).collect()}
+        assert len(sums) == 408 and sums[0, "leaf"] == (200, charge) and sums[0, "hub"] == (3, 0) and sums[12, "leaf"] == (199, charge + 1) and sums[12, "hub"] == (4, -1)
+        hops = nb.hop_lists(edges, edges.select("b"), 3)
+        assert gathered == 50 or max(rows) <= 800
+        assert {(r.start, r.hops): r.n for r in hops.groupBy("start", "hops").agg(F.sum(F.size("ids")).alias("n")).collect()} == {(i, h): n for i in range(10, 210) for h, n in ((0, 1), (1, 4), (2, 199))}
