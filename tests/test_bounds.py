@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from calibrant.functions import scalars as s
+from calibrant.operators import joins as j
+from calibrant.operators import metrics as m
 from calibrant.operators import neighbours as nb
 from calibrant.operators import states
 from calibrant.plans import registry
@@ -61,3 +63,17 @@ def test_neighbourhoods_are_lists_not_pairs(spark, monkeypatch):
         hops = nb.hop_lists(edges, edges.select("b"), 3)
         assert gathered == 50 or max(rows) <= 800
         assert {(r.start, r.hops): r.n for r in hops.groupBy("start", "hops").agg(F.sum(F.size("ids")).alias("n")).collect()} == {(i, h): n for i in range(10, 210) for h, n in ((0, 1), (1, 4), (2, 199))}
+
+
+def test_statistics_beside_others_take_one_sort(spark):
+    t = spark.createDataFrame([(1, 1, 2.0), (1, 2, 2.0), (1, 3, 5.0), (2, 1, 7.0), (3, 1, None), (3, 2, 4.0)], "g int, i int, x double")
+    got = m.context_stats(t, "g", "i", "x")
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window") == 3 and got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert {tuple(r) for r in got.collect() if r.g < 3} == {(1, 1, 2, 2.0, 5.0, 3.5, 0.0, 0, 1), (1, 2, 2, 2.0, 5.0, 3.5, 0.0, 0, 1), (1, 3, 2, 2.0, 2.0, 2.0, 3.0, 2, 0), (2, 1, 0, 0.0, 0.0, 0.0, 0.0, 0, 0)}
+
+
+def test_small_groups_are_not_dealt_over_ranges(spark, monkeypatch):
+    write, labels = j.cut, []
+    monkeypatch.setattr(j, "cut", lambda df, label="cut": labels.append(label) or write(df, label))
+    t = spark.createDataFrame([(g, i, float(i), float(i * g)) for g in range(5) for i in range(4)], "g int, i int, o double, p double")
+    assert j.alternative_assignment(t, "g", "i", "o", "p").count() == 20 and "on-a-line" not in labels
