@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.llm.arrow import mixed, rolled, slices, words
-from calibrant.llm.common import cut, drop_table, need
+from calibrant.llm.common import cut, drop_table, join_hot, need
 from calibrant.operators.neighbours import star_rounds
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -167,11 +167,26 @@ def _with_first(rows: DataFrame) -> DataFrame:
     return rows.join(first, "key").where(F.struct("k1", "k2") != F.col("f")).select("f.k1", "f.k2", "k1", "k2").toDF("o1", "o2", "k1", "k2").distinct()
 
 
+def simhash_edges(docs: DataFrame) -> DataFrame:
+    """a, b: the documents (k1, k2) of a component of SimHash links (see :func:`links`) as a star around the first of them."""
+    node = F.struct("k1", "k2")
+    rows = cut(fingerprints(docs, "k1", "k2").distinct(), "near-simhash")
+    own = cut(rows.groupBy("fp").agg(F.min(node).alias("first"), F.count(F.lit(1)).alias("n")), "near-fingerprints")
+    root = cut(components(links(own.select("fp")), "near-balls"), "near-roots").withColumnRenamed("node", "fp")
+    placed = own.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
+    named = placed.groupBy("root").agg(F.min("first").alias("a"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    of = placed.join(named, "root").select("fp", "a")
+    out = cut(join_hot(rows, of, "fp", own.select("fp", "n")).where("a is not null").select("a", node.alias("b")).where("a <> b"), "near-stars")
+    for table in (rows, own, root):
+        drop_table(table)
+    return out
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
-    """k1, k2, root per row of ``docs`` (k1, k2, text): components of links with a Jaccard similarity of NEAR or more on
-    whole sets of five-word shingles.
+    """k1, k2, root per row of ``docs`` (k1, k2, text): components of SimHash links (fingerprints of three-word shingles within two bits, the links of
+    :func:`groups`) and of links with a Jaccard similarity of NEAR or more on whole sets of five-word shingles.
 
-    A document is compared with the first of each of its min-hash bands. Where the two are not similar, it goes on under keys of what
+    The SimHash links come from balls around the fingerprints. Documents that are alike but lie further apart in fingerprints are linked besides: a document is compared with the first of each of its min-hash bands. Where the two are not similar, it goes on under keys of what
     they differ in, so that documents alike meet beside one that is like neither; it is compared with the first of each of those.
     """
     factors = _factors(BANDS * ROWS, SEED)
@@ -196,8 +211,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     met_again = cut(_compared(again, one).drop("keys"), "near-met-again")
     node = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))  # noqa: E731  whole keys: hashes of them could meet
     edges = met.drop("keys").unionByName(met_again).where("near").select(node("o1", "o2").alias("a"), node("k1", "k2").alias("b"))
-    root = components(edges, "near-links")
-    for table in (rows, pairs, met, further, again, met_again):
+    stars = simhash_edges(texts)
+    root = components(edges.unionByName(stars), "near-links")
+    for table in (rows, pairs, met, further, again, met_again, stars):
         drop_table(table)
     return docs.select("k1", "k2", node("k1", "k2").alias("node")).join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
 

@@ -44,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (similarity 0.8 on five-word shingles) stays: the one with the smallest doc_id (null first; of equal ids the one
+    """One document of each group (SimHash fingerprints within two bits, as in op9, or a similarity of 0.8 on five-word shingles) stays: the one with the smallest doc_id (null first; of equal ids the one
     whose text has the smallest hash). Of rows alike in id and text one stays, the first by its columns as JSON. Null and empty texts are one group."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *linedup.document_key())
     placed = cut(simhash.near_groups(docs.select("text", *linedup.document_key())), "stage-simhash")
