@@ -1,5 +1,7 @@
 """Results at sizes and layouts beyond those of the given tables."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from calibrant.functions import scalars as s
@@ -77,3 +79,22 @@ def test_small_groups_are_not_dealt_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(j, "cut", lambda df, label="cut": labels.append(label) or write(df, label))
     t = spark.createDataFrame([(g, i, float(i), float(i * g)) for g in range(5) for i in range(4)], "g int, i int, o double, p double")
     assert j.alternative_assignment(t, "g", "i", "o", "p").count() == 20 and "on-a-line" not in labels
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Points that all are near and tie in places, against plain Python, in blocks of a few; the ledger of all pairs is ranked where they meet."""
+    rows = [(s, i, float(i % 5), float(i % 3), (i % 7) / 2) for s in "ab" for i in range(60)] + [("a", 99, None, 0.0, 0.0), (None, 98, 0.0, 0.0, 0.0)]
+    t = spark.createDataFrame(rows, "scope string, id int, x double, y double, z double").withColumn("states", F.lit(2))
+    sites, points = t.withColumnRenamed("id", "site"), t.drop("states").withColumnRenamed("id", "point")
+    want = {}
+    for s, i, *p in rows:
+        near = sorted((round(math.dist(p, q), 9), j) for u, j, *q in rows if u == s and j != i and None not in q and None not in p and s and math.dist(p, q) <= 2.0)
+        want |= {(s, i, j): (r, len(near)) for r, (_, j) in enumerate(near, 1)}
+    for sizes in ((nb.SITES, nb.POINTS, nb.PAIRS), (7, 5, 20)):
+        for name, size in zip(("SITES", "POINTS", "PAIRS"), sizes):
+            monkeypatch.setattr(nb, name, size)
+        got = {(r.scope, r.site, r.point): (r.rank, r.n_near) for r in nb.nearest_within(sites, points, "scope", "site", "point", 2.0, 4).collect()}
+        assert got == {k: v for k, v in want.items() if v[0] <= 4}
+        ledger = nb.nearest_within_budget(sites, points, "scope", "site", "point", 2.0, 3, "states", 8)
+        assert "Window" not in ledger._jdf.queryExecution().executedPlan().toString()
+        assert {(r.scope, r.site, r.point): (r.rank, r.selected) for r in ledger.collect()} == {k: (v[0], v[0] <= 2) for k, v in want.items()}
