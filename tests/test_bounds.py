@@ -98,3 +98,14 @@ def test_neighbours_in_blocks(spark, monkeypatch):
         ledger = nb.nearest_within_budget(sites, points, "scope", "site", "point", 2.0, 3, "states", 8)
         assert "Window" not in ledger._jdf.queryExecution().executedPlan().toString()
         assert {(r.scope, r.site, r.point): (r.rank, r.selected) for r in ledger.collect()} == {k: (v[0], v[0] <= 2) for k, v in want.items()}
+
+
+def test_rows_of_a_hub_are_not_joined_in_one_task(spark, monkeypatch):
+    """A star of 3,000 and a path: the star's centre takes what it needs by broadcast; the same groups either way."""
+    edges = spark.range(3000).select(F.lit(0).cast("long").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.range(5000, 5040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    write, labels = nb.cut, []
+    monkeypatch.setattr(nb, "cut", lambda df, label="cut": labels.append(label) or write(df, label))
+    for rows in (nb.HUB_ROWS, 100):
+        monkeypatch.setattr(nb, "HUB_ROWS", rows)
+        assert {(r.node, r.group) for r in nb.connected_groups(edges).collect()} == {(i, 0) for i in range(3001)} | {(i, 5000) for i in range(5000, 5041)}
+    assert "hubs" in labels
