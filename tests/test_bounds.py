@@ -109,3 +109,20 @@ def test_rows_of_a_hub_are_not_joined_in_one_task(spark, monkeypatch):
         monkeypatch.setattr(nb, "HUB_ROWS", rows)
         assert {(r.node, r.group) for r in nb.connected_groups(edges).collect()} == {(i, 0) for i in range(3001)} | {(i, 5000) for i in range(5000, 5041)}
     assert "hubs" in labels
+
+
+def test_nearest_of_a_class_are_one_row(spark, monkeypatch):
+    """40 leaves around 2 hubs: a node keeps its two nearest members of a class in one row."""
+    edges = spark.range(40).select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("a"), (F.col("id") + 10).alias("b"))
+    nodes = spark.range(50).where("id < 2 or id >= 10").select(F.col("id").alias("node"), F.when(F.col("id") < 10, "hub").otherwise("leaf").alias("class"))
+    write, rows = nb.cut, []
+
+    def counted(df, label="cut"):
+        out = write(df, label)
+        rows.append(out.count() if label == "nearest-of-class" else 0)
+        return out
+
+    monkeypatch.setattr(nb, "cut", counted)
+    got = {(r.node, r["class"]): r.distance for r in nb.class_distances(edges, nodes, 3).collect()}
+    want = {(n, c): d for n in (0, 1) for c, d in (("hub", 2), ("leaf", 1))} | {(n, c): d for n in range(10, 50) for c, d in (("hub", 1), ("leaf", 2))}
+    assert got == want and max(rows) <= len(want)
