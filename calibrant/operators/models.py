@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibrant.operators.cells import by_cells, cell_predict
 from calibrant.operators.metrics import best_threshold, error_metrics, group_balanced_mae
 from calibrant.sources.tables import cut
 
@@ -39,15 +40,19 @@ def candidates(target: str = "y", weight: str = "w") -> dict[str, object]:
 
 
 def oof_predict(df: DataFrame, estimator, folds: int, fold: str = "fold") -> DataFrame:
-    """Every row predicted once (p) by a model that didn't see its fold. Raises where a fold leaves nothing to fit."""
-    df, parts = cut(df, "oof"), []  # read by a test, a fit and a prediction per fold
+    """Every row predicted once (p) by a model that didn't see its fold. Raises where a fold leaves nothing to fit.
+
+    Trees are fitted on sums by cell of their binned features (:mod:`calibrant.operators.cells`), other estimators on the rows."""
+    df, used = cut(df, "oof"), []  # read by a test, a fit and a prediction per fold
     for f in range(folds):
-        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        if test.isEmpty():
+        if df.where(F.col(fold) == f).isEmpty():
             continue
-        if train.isEmpty():
+        if df.where(F.col(fold) != f).isEmpty():
             raise ValueError(f"fold {f} leaves no rows to fit")
-        parts.append(estimator.fit(train).transform(test).withColumnRenamed("prediction", "p"))
+        used.append(f)
+    if by_cells(estimator):
+        return cell_predict(df, estimator, used, fold)
+    parts = [estimator.fit(df.where(F.col(fold) != f)).transform(df.where(F.col(fold) == f)).withColumnRenamed("prediction", "p") for f in used]
     return reduce(DataFrame.unionByName, parts)
 
 
