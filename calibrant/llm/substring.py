@@ -18,10 +18,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.arrow import mixed, rolled, slices, words
+from calibrant.llm.arrow import SLICE_BYTES, mixed, rolled, slices, words
 from calibrant.llm.common import LOWEST, SPACE, cut, drop_table, filled, need
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -47,32 +47,35 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def compact_windows(values: np.ndarray, span: int = SPAN) -> tuple[list[int], list[int], list[int]]:
+def _nearest(value: np.ndarray, step: int, beyond) -> np.ndarray:
+    """For each value that isn't 0 the place of the first one in the direction ``step`` that isn't ``beyond`` it; a 0 never is.
+
+    A place that is beyond is left for the one that it points to itself: what lies between is beyond it, and so beyond
+    the value too. All values step at once, and those that arrived rest."""
+    to = np.clip(np.arange(len(value)) + step, 0, len(value) - 1)
+    go = np.flatnonzero(value)
+    while len(go := go[beyond(value[to[go]], value[go])]):
+        to[go] = to[to[go]]
+    return to
+
+
+def compact_windows(values: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """left, centre, right (all inclusive) of the compact windows of at least ``span`` values.
 
     ``values`` starts and ends with 0, which also parts texts and stays out of windows; of equal values the
     first is the smallest. Only values that are the smallest of some full run can be such centres, and the
-    nearest smaller values around one are themselves of that kind, so the tree is built over them alone.
+    nearest smaller values around one are themselves of that kind, so these are sought among them alone.
     """
     if len(values) < span + 2:
-        return [], [], []
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
     low = _slide(values, span, np.minimum)
     edge = np.zeros(span - 1, values.dtype)
     opened = _slide(np.concatenate([edge, low, edge]), span, np.maximum)
     at = np.flatnonzero((opened == values) | (values == 0))
-    place, value = at.tolist(), values[at].tolist()
-    left, centre, right = [], [], []
-    stack: list[int] = []
-    for i, v in enumerate(value):
-        while stack and value[stack[-1]] > v:
-            top = stack.pop()
-            a, b = place[stack[-1]] + 1, place[i] - 1
-            if b - a + 1 >= span:
-                left.append(a)
-                centre.append(place[top])
-                right.append(b)
-        stack.append(i)
-    return left, centre, right
+    value = values[at]
+    left, right = at[_nearest(value, -1, np.greater)] + 1, at[_nearest(value, 1, np.greater_equal)] - 1
+    wide = (value != 0) & (right - left + 1 >= span)
+    return left[wide], at[wide], right[wide]
 
 
 def _values(shingles: np.ndarray, f: int) -> np.ndarray:
@@ -86,7 +89,7 @@ def _counted(lengths: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(dictionary: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in dictionary.to_pylist()), np.uint64, len(dictionary))
+    return np.fromiter(map(xxhash.xxh64_intdigest, dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64, len(dictionary))
 
 
 WINDOWS = "key long, k1 long, k2 long, lo int, at int, hi int"
@@ -130,7 +133,7 @@ def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFram
             for f in range(hashes):
                 values = np.zeros(n_all, np.uint64)
                 values[target] = _values(source, f)
-                left, centre, right = map(np.asarray, compact_windows(values, span))
+                left, centre, right = compact_windows(values, span)
                 if not len(centre):
                     continue
                 doc = np.searchsorted(begin, centre, side="right") - 1
@@ -330,11 +333,15 @@ def similar_runs(a: np.ndarray, b: np.ndarray, span: int = SPAN, similarity: flo
     return out
 
 
+ASKED = "k1 long, k2 long, a_lo int, a_hi int, o1 long, o2 long, b_lo int, b_hi int, block int, text binary"
 FOUND = "k1 long, k2 long, start int, end int, o1 long, o2 long, o_start int, o_end int, similarity double"
 STEP = 32  # places of an earlier document's regions are multiples, so that it has few different ones
 PAIR = ("o1", "o2", "b_lo", "b_hi", "block")
 
 
+REGIONS = "k1 long, k2 long, a_lo int, a_hi int, o1 long, o2 long, b_lo int, b_hi int, block int"
+
+
 def regions(met: DataFrame, agree: int = 1) -> DataFrame:
     """Regions (shingles a_lo..a_hi of k1, k2 and b_lo..b_hi of o1, o2) around windows that met, as intervals along one
     shift joined where they overlap, for pairs of documents that met under at least ``agree`` hash functions. One exchange,
@@ -345,31 +352,91 @@ def regions(met: DataFrame, agree: int = 1) -> DataFrame:
         F.greatest(F.col("lo"), F.col("at") - reach(F.col("f_at") - F.col("f_lo"))).alias("a_lo"), F.least(F.col("hi"), F.col("at") + reach(F.col("f_hi") - F.col("f_at"))).alias("a_hi"),
         F.greatest(F.col("f_lo"), F.col("f_at") - reach(F.col("at") - F.col("lo"))).alias("b_lo"), F.least(F.col("f_hi"), F.col("f_at") + reach(F.col("hi") - F.col("at"))).alias("b_hi"),
     )
-    pair = Window.partitionBy("k1", "k2", "o1", "o2")
-    each = each.withColumn("functions", F.bit_or("functions").over(pair)).where(F.bit_count("functions") >= agree)
-    along = Window.partitionBy("k1", "k2", "o1", "o2", "shift").orderBy("a_lo", "a_hi")
-    apart = F.coalesce((F.col("a_lo") > F.max("a_hi").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
-    island = each.withColumn("apart", apart).withColumn("island", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = island.groupBy("k1", "k2", "o1", "o2", "shift", "island").agg(F.min("block").alias("block"), F.min("a_lo").alias("a_lo"), F.max("a_hi").alias("a_hi"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"))
-    return joined.select("k1", "k2", "a_lo", "a_hi", "o1", "o2", (F.floor(F.col("b_lo") / STEP) * STEP).cast("int").alias("b_lo"), (F.ceil((F.col("b_hi") + 1) / STEP) * STEP - 1).cast("int").alias("b_hi"), "block").distinct()
+    order = ("k1", "k2", "o1", "o2", "shift", "a_lo", "a_hi")
+    given = each.columns
+    dealt = each.repartition("k1", "k2").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last document so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
+            whole = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
+            if held and (held[-1].column("k1")[-1], held[-1].column("k2")[-1]) != (b.column("k1")[0], b.column("k2")[0]):
+                yield joined(held)
+                held = []
+            if len(whole):
+                yield joined([*held, b.slice(0, int(whole[-1]) + 1)])
+                held = []
+            held.append(b.slice(int(whole[-1]) + 1 if len(whole) else 0))
+        if held:
+            yield joined(held)
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        col = {c: np.concatenate([b.column(c).to_numpy() for b in parts]) for c in given}
+        parted = lambda names: np.concatenate([[True], np.any([col[c][1:] != col[c][:-1] for c in names], axis=0)])
+        pair = np.flatnonzero(parted(order[:4]))
+        agreed = np.bitwise_count(np.bitwise_or.reduceat(col["functions"], pair)) >= agree
+        col = {c: x[np.repeat(agreed, np.diff(pair, append=len(x)))] for c, x in col.items()}
+        if not len(col["k1"]):
+            return pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names)
+        along = parted(order[:5])
+        reached = np.maximum.accumulate(col["a_hi"] + (np.cumsum(along) << 32))  # a group's places are above those of the one before
+        along[1:] |= col["a_lo"][1:] + (np.cumsum(along)[1:] << 32) > reached[:-1]
+        island = np.flatnonzero(along)
+        least, most = ({c: np.minimum.reduceat(col[c], island) for c in ("a_lo", "b_lo", "block")}, {c: np.maximum.reduceat(col[c], island) for c in ("a_hi", "b_hi")})
+        places = least | most | {c: col[c][island] for c in order[:4]}
+        places |= {"b_lo": places["b_lo"] // STEP * STEP, "b_hi": -(-(places["b_hi"] + 1) // STEP) * STEP - 1}
+        return pa.RecordBatch.from_arrays([pa.array(places[c], k) for c, k in zip(names, kinds)], names)
+
+    names = [c.split(" ")[0] for c in REGIONS.split(", ")]
+    kinds = [pa.int64() if c.endswith("long") else pa.int32() for c in REGIONS.split(", ")]
+    return dealt.mapInArrow(run, REGIONS).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Compare the words of the :func:`regions` in ``pairs``.
 
-    Both sides ask for their words at once: the texts are shuffled a single time and cut down to the regions asked for
-    where they meet the requests. The slices then meet on the earlier document's region and its block, so that a region
+    The regions are written, as both sides ask for their words at once: the texts are shuffled a single time and cut down to
+    the regions asked for where they meet the requests. The slices then meet on the earlier document's region and its block, so that a region
     with any number of partners is spread over tasks of BLOCK windows' partners each.
     """
+    pairs = cut(pairs, "passage-regions")
     none = F.lit(None).cast("int")
     asks = F.struct("a_lo", "a_hi", *PAIR)
     mine = pairs.select("k1", "k2", asks.alias("ask"))
     theirs = pairs.select(*PAIR).distinct().select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.struct(none.alias("a_lo"), none.alias("a_hi"), *PAIR).alias("ask"))
     asked = mine.unionByName(theirs).groupBy("k1", "k2").agg(F.collect_list("ask").alias("asks"))
     texts = docs.select(*document_key(), filled("text").alias("text"))
-    told = texts.hint("merge").join(asked, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"), "asks")
-    lo, hi = F.coalesce("ask.a_lo", "ask.b_lo"), F.coalesce("ask.a_hi", "ask.b_hi")
-    slices_ = told.select("k1", "k2", "words", F.explode("asks").alias("ask")).select("k1", "k2", "ask.*", F.array_join(F.slice("words", lo + 1, hi - lo + SHINGLE), " ").cast("binary").alias("text"))
+    told = texts.hint("merge").join(asked, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "asks")
+    names = [c.split(" ")[0] for c in ASKED.split(", ")]
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            asks = dict(zip(names[2:-1], b.column("asks").flatten().flatten()))
+            doc = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(b.column("asks"))))
+            of = b.column("text").cast(pa.large_binary())
+            lo, hi = (pc.coalesce(asks[f"a_{c}"], asks[f"b_{c}"]).to_numpy().tolist() for c in ("lo", "hi"))
+
+            def out(texts: list[bytes], upto: int) -> pa.RecordBatch:
+                some = slice(upto - len(texts), upto)
+                rows = pa.array(doc[some])
+                return pa.RecordBatch.from_arrays([b.column("k1").take(rows), b.column("k2").take(rows), *[asks[c][some] for c in names[2:-1]], pa.array(texts, pa.binary())], names)
+
+            now, split, texts, held = -1, [], [], 0
+            for i, d in enumerate(doc.tolist()):
+                if d != now:
+                    now, split = d, of[d].as_py().split()  # bytes part at ASCII white space alone, as SPACE does
+                texts.append(b" ".join(split[lo[i] : hi[i] + SHINGLE]))
+                held += len(texts[-1])
+                if held > SLICE_BYTES:
+                    yield out(texts, i + 1)
+                    texts, held = [], 0
+            if texts:
+                yield out(texts, len(doc))
+
+    slices_ = told.mapInArrow(sliced, ASKED)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # comparing costs more than its bytes tell
     ordered = slices_.repartition(n, *PAIR).sortWithinPartitions(*PAIR, F.col("a_lo").asc_nulls_first())
 
@@ -380,15 +447,14 @@ def verified(pairs: DataFrame, docs: DataFrame, span: int = SPAN) -> DataFrame:
         theirs, places = np.zeros(0, np.uint64), None
         for batch in batches:
             rows = []
-            for p in batch.to_pandas().itertuples(index=False):
-                if p.a_lo != p.a_lo:  # null: the earlier document's region leads its partners
-                    theirs = coded(p.text)
+            for k1, k2, at, _, o1, o2, b_lo, _, _, text in zip(*(batch.column(c).to_pylist() for c in names)):
+                if at is None:  # the earlier document's region leads its partners
+                    theirs = coded(text)
                     places = sorted_places(theirs) if len(theirs) else None
                     continue
-                a = coded(p.text)
+                a = coded(text)
                 if len(a) and len(theirs):
-                    at = int(p.a_lo)
-                    rows += [(p.k1, p.k2, at + i, at + j + SHINGLE - 1, p.o1, p.o2, p.b_lo + k, p.b_lo + m + SHINGLE - 1, s) for i, j, k, m, s in similar_runs(a, theirs, span, places=places)]
+                    rows += [(k1, k2, at + i, at + j + SHINGLE - 1, o1, o2, b_lo + k, b_lo + m + SHINGLE - 1, s) for i, j, k, m, s in similar_runs(a, theirs, span, places=places)]
             if rows:
                 columns = zip(*rows)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
