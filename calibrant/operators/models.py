@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.operators.cells import by_cells, cell_predict
+from calibrant.operators.cells import by_cells, cell_predict, reads
 from calibrant.operators.metrics import best_threshold, error_metrics, group_balanced_mae
 from calibrant.sources.tables import cut
 
@@ -43,17 +43,28 @@ def oof_predict(df: DataFrame, estimator, folds: int, fold: str = "fold") -> Dat
     """Every row predicted once (p) by a model that didn't see its fold. Raises where a fold leaves nothing to fit.
 
     Trees are fitted on sums by cell of their binned features (:mod:`calibrant.operators.cells`), other estimators on the rows."""
-    df, used = cut(df, "oof"), []  # read by a test, a fit and a prediction per fold
-    for f in range(folds):
-        if df.where(F.col(fold) == f).isEmpty():
-            continue
-        if df.where(F.col(fold) != f).isEmpty():
+    return oof_predict_each(df, {"": estimator}, folds, fold)[""]
+
+
+def oof_predict_each(df: DataFrame, estimators: dict[str, object], folds: int, fold: str = "fold") -> dict[str, DataFrame]:
+    """:func:`oof_predict` for each of ``estimators``. ``df`` is computed once, and trees that read the same columns share bins and cells."""
+    df = cut(df, "oof")
+    there = df.agg(*[F.bool_or(t).alias(f"{n}{f}") for f in range(folds) for n, t in (("own", F.col(fold) == f), ("other", F.col(fold) != f))]).first()
+    used = [f for f in range(folds) if there[f"own{f}"]]
+    for f in used:
+        if not there[f"other{f}"]:
             raise ValueError(f"fold {f} leaves no rows to fit")
-        used.append(f)
-    if by_cells(estimator):
-        return cell_predict(df, estimator, used, fold)
-    parts = [estimator.fit(df.where(F.col(fold) != f)).transform(df.where(F.col(fold) == f)).withColumnRenamed("prediction", "p") for f in used]
-    return reduce(DataFrame.unionByName, parts)
+    shared: dict[tuple, dict] = {}
+    out = {}
+    for name, e in estimators.items():
+        if by_cells(e):
+            shared.setdefault(reads(e), {})[name] = e
+        else:
+            parts = [e.fit(df.where(F.col(fold) != f)).transform(df.where(F.col(fold) == f)).withColumnRenamed("prediction", "p") for f in used]
+            out[name] = reduce(DataFrame.unionByName, parts)
+    for alike in shared.values():
+        out |= cell_predict(df, alike, used, fold)
+    return out
 
 
 def reference_residual(df: DataFrame, estimator_of, folds: int, y: str = "y", prior: str = "prior") -> DataFrame:
