@@ -94,27 +94,81 @@ def _word_hashes(dictionary: pa.Array) -> np.ndarray:
 
 WINDOWS = "key long, k1 long, k2 long, lo int, at int, hi int"
 WHOLE = -1  # ``at`` of the row that stands for a whole text
+POINTS = 100  # windows of each range that tell where ranges end
+SAMPLE = 1 / 64  # the documents whose windows are asked for them
 
 
-def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFrame:
+PLACE = ("key", "k1", "k2", "at")  # the order in which windows meet
+#: A window as bytes that sort in that order (the highest bit of each number but the last is turned): one value a row for shuffles, sorts and Arrow.
+PACKED = np.dtype([("key", ">u8"), ("k1", ">u8"), ("k2", ">u8"), ("at", ">u4"), ("lo", ">u4"), ("hi", ">u4"), ("inside", "u1")])
+
+
+def packed(key: np.ndarray, k1: np.ndarray, k2: np.ndarray, lo: np.ndarray, at: np.ndarray, hi: np.ndarray, inside: np.ndarray | bool = False) -> pa.Array:
+    """Windows as PACKED bytes."""
+    out = np.empty(len(key), PACKED)
+    for c, x in (("key", key), ("k1", k1), ("k2", k2)):
+        out[c] = x.view(np.uint64) ^ np.uint64(1 << 63)
+    for c, x in (("lo", lo), ("at", at), ("hi", hi)):
+        out[c] = x.astype(np.int32).view(np.uint32) ^ np.uint32(1 << 31)
+    out["inside"] = inside
+    ends = np.arange(len(key) + 1, dtype=np.int32) * PACKED.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+
+
+def unpacked(places: pa.Array) -> dict[str, np.ndarray]:
+    """The columns of :func:`packed` windows."""
+    fixed = places.cast(pa.binary(PACKED.itemsize))
+    rows = np.frombuffer(fixed.buffers()[1], PACKED, len(fixed), fixed.offset * PACKED.itemsize)
+    long = {c: (rows[c].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64) for c in ("key", "k1", "k2")}
+    return long | {c: (rows[c].astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32) for c in ("lo", "at", "hi")} | {"inside": rows["inside"].astype(bool)}
+
+
+def range_ends(wins: DataFrame, n: int) -> np.ndarray:
+    """The places (PLACE by column) at which the ranges of ``wins`` but the last end, for ``n`` ranges of about equal size, from some POINTS of each."""
+    wins = cut(wins.select(*PLACE), "passage-sample")
+    seen = wins.sample(min(1.0, n * POINTS / max(wins.count(), 1)), seed=1).toPandas().sort_values(list(PLACE)).to_numpy(np.int64).reshape(-1, len(PLACE))
+    drop_table(wins)
+    return np.unique(seen[len(seen) * np.arange(1, n) // n], axis=0) if len(seen) else seen
+
+
+def range_numbers(places: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """How many of ``ends`` are below each row, whose ``places`` are arrays by column of PLACE: the number of its range."""
+    number, upto = (np.searchsorted(ends[:, 0], places[0], side) for side in ("left", "right"))
+    tied = np.flatnonzero(number < upto)  # ranges end within these keys
+    first, last = number[tied], upto[tied]
+    for i in np.unique(np.concatenate([np.arange(x, y) for x, y in set(zip(first.tolist(), last.tolist()))])) if len(tied) else ():
+        rows = tied[(first <= i) & (i < last)]
+        above = np.zeros(len(rows), bool)
+        for x, end in zip(places[:0:-1], ends[i, :0:-1]):
+            above = (x[rows] > end) | (x[rows] == end) & above
+        number[rows] += above
+    return number
+
+
+def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN, ends: np.ndarray | None = None) -> DataFrame:
     """key (the smallest hash, the number of its function in the lowest bits), document key, and lo, at, hi (shingle
-    numbers) of each compact window.
+    numbers) of each compact window; with ``ends`` as place (:func:`packed`) and part, the number of its range.
 
     Each text with a word also has one row for itself: at WHOLE, key and hi a hash of all of its words in order (95
     bits), lo their number.
     """
 
+    kinds = WINDOWS if ends is None else "place binary, part int"
+    names = [c.split(" ")[0] for c in kinds.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             codes, dictionary, offsets = words(pc.ascii_lower(b.column("text")))
             hashed = _word_hashes(dictionary)[codes]
             starts, n = offsets[:-1], np.maximum(np.diff(offsets) - SHINGLE + 1, 0)
 
+            k1, k2 = (b.column(c).to_numpy() for c in ("k1", "k2"))
+
             def out(key: np.ndarray, doc: np.ndarray, *places: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), b.column("k1").take(pa.array(doc)), b.column("k2").take(pa.array(doc)), *[pa.array(x.astype(np.int32)) for x in places]],
-                    ["key", "k1", "k2", "lo", "at", "hi"],
-                )
+                columns = [key.view(np.int64), k1[doc], k2[doc], *[x.astype(np.int32) for x in places]]
+                if ends is not None:
+                    columns = [packed(*columns), range_numbers([*columns[:3], columns[4]], ends).astype(np.int32)]
+                return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
 
             some = np.flatnonzero(np.diff(offsets))
             if not len(some):
@@ -140,19 +194,20 @@ def windows(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFram
                 first = begin[doc] + 1
                 yield out(values[centre] & ~np.uint64(FUNCTIONS) | np.uint64(f), doc, *[x - first for x in (left, centre, right)])
 
-    return docs.select(*document_key(), filled("text").alias("text")).mapInArrow(run, WINDOWS)
+    return docs.select(*document_key(), filled("text").alias("text")).mapInArrow(run, kinds)
 
 
 LEADER = ("k1", "k2", "lo", "at", "hi")
-MET = WINDOWS + ", edge boolean, block int, " + ", ".join(f"f_{c} {'long' if c[0] == 'k' else 'int'}" for c in LEADER)
+MET = WINDOWS + ", inside boolean, edge boolean, block int, " + ", ".join(f"f_{c} {'long' if c[0] == 'k' else 'int'}" for c in LEADER) + ", whole boolean"
 BLOCK = 512  # windows of a key that share a copy of its first one's text
 
 
 def met_in_order(wins: DataFrame) -> DataFrame:
-    """Each window that meets the first of its key (f_...) from another document; whole texts alike.
+    """Each of the :func:`packed` windows (place) that meets the first of its key (f_...) from another document; whole texts alike (``whole``, by
+    which the table is parted).
 
-    The windows are dealt out by ranges of key and document and sorted, so that a hot key spans several tasks
-    and each streams its rows. Where a key crosses from one task to the next, each task takes its own first,
+    The windows are dealt out by ranges of key and document (those of ``part``, where they have one) and sorted, so that a hot key spans several tasks
+    and each streams its rows. Rows that are ``inside`` lead others, and don't come out themselves. Where a key crosses from one task to the next, each task takes its own first,
     which then gives way to the first of the key: two keys a task at most are broadcast for that. ``block`` parts the windows of a key into bounded lots.
     """
 
@@ -161,8 +216,8 @@ def met_in_order(wins: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", *LEADER)}
-            key = col["key"]
+            col = unpacked(b.column("place"))
+            key, inside = col["key"], col["inside"]
             rows = np.arange(len(key))
             start = np.concatenate([[leader is None or key[0] != key_now], key[1:] != key[:-1]])
             index = np.maximum.accumulate(np.where(start, rows, -1))  # -1: the group of the last batch
@@ -173,28 +228,29 @@ def met_in_order(wins: DataFrame) -> DataFrame:
             group -= group[0]
             whole = col["at"] == WHOLE  # the rest of the hash and the number of words tell too
             show &= np.where(whole, (first["at"] == WHOLE) & (col["hi"] == first["hi"]) & (col["lo"] == first["lo"]), first["at"] != WHOLE)
+            show &= ~inside
             edge = np.zeros(len(key), bool)
             if opening:  # the first of the task's first key, with all its windows
                 edge = (group == 0) & (col["k1"] == col["k1"][0]) & (col["k2"] == col["k2"][0])
                 show |= edge
                 opening = False
-            columns = [*[pa.array(col[c][show]) for c in ("key", *LEADER)], pa.array(edge[show]), pa.array((place[show] // BLOCK).astype(np.int32)), *[pa.array(first[c][show]) for c in LEADER]]
+            columns = [*[pa.array(col[c][show]) for c in ("key", *LEADER)], pa.array(inside[show]), pa.array(edge[show]), pa.array((place[show] // BLOCK).astype(np.int32)), *[pa.array(first[c][show]) for c in LEADER], pa.array(whole[show])]
             yield pa.RecordBatch.from_arrays(columns, names)
             leader, key_now, number = {c: first[c][-1] for c in LEADER}, key[-1], int(place[-1]) + 1
-        if leader is not None:  # the first of the task's last key
+        if leader is not None:  # the first of the task's last key, to lead alone
             own = [pa.array([leader[c]], kinds[c]) for c in LEADER]
-            yield pa.RecordBatch.from_arrays([pa.array([key_now], pa.int64()), *own, pa.array([True]), pa.array([0], pa.int32()), *own], names)
+            yield pa.RecordBatch.from_arrays([pa.array([key_now], pa.int64()), *own, pa.array([True]), pa.array([True]), pa.array([0], pa.int32()), *own, pa.array([bool(leader["at"] == WHOLE)])], names)
 
-    names = ["key", *LEADER, "edge", "block", *[f"f_{c}" for c in LEADER]]
+    names = ["key", *LEADER, "inside", "edge", "block", *[f"f_{c}" for c in LEADER], "whole"]
     kinds = {c: pa.int64() if c[0] == "k" else pa.int32() for c in LEADER}
     n = int(wins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = wins.repartitionByRange(n, "key", "k1", "k2", "at").sortWithinPartitions("key", "k1", "k2", "at")
-    met = cut(dealt.mapInArrow(run, MET), "passage-met")
-    edges = met.where("edge").select("key", *LEADER).distinct()
+    dealt = wins.repartitionById(n, "part").drop("part") if "part" in wins.columns else wins.repartitionByRange(n, "place")
+    met = cut(dealt.sortWithinPartitions("place").mapInArrow(run, MET), "passage-met", by=("whole",))
+    edges = met.where("edge").select("key", *LEADER, "inside").distinct()
     first = edges.groupBy("key").agg(F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("f"))  # two keys a task at most
-    crossed = edges.select("key", *LEADER, F.lit(0).alias("block"), *[F.col(c).alias(f"f_{c}") for c in LEADER])
+    crossed = edges.where("not inside").select("key", *LEADER, "inside", F.lit(0).alias("block"), *[F.col(c).alias(f"f_{c}") for c in LEADER], (F.col("at") == WHOLE).alias("whole"))
     rows = met.where("not edge").drop("edge").unionByName(crossed).join(F.broadcast(first), "key", "left")
-    told = rows.select("key", *LEADER, "block", *[F.coalesce(F.col(f"f.{c}"), F.col(f"f_{c}")).alias(f"f_{c}") for c in LEADER]).where(F.struct("k1", "k2") != F.struct("f_k1", "f_k2"))
+    told = rows.select("whole", "key", *LEADER, "block", *[F.coalesce(F.col(f"f.{c}"), F.col(f"f_{c}")).alias(f"f_{c}") for c in LEADER]).where(F.struct("k1", "k2") != F.struct("f_k1", "f_k2"))
     both, same = (F.col("at") == WHOLE).cast("int") + (F.col("f_at") == WHOLE).cast("int"), F.struct("lo", "hi") == F.struct("f_lo", "f_hi")
     return told.where((both == 0) | (both == 2) & same)
 
@@ -478,17 +534,38 @@ def _slices_of(counts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
 WINDOWS_AT_ONCE = 1 << 14
 
 
+def _found_spans(found: DataFrame) -> DataFrame:
+    """k1, k2 and spans: the passages found in each document, and which of them are equal to an earlier document's."""
+    return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", (F.col("similarity") == 1).alias("same"))).alias("spans"))
+
+
+def within_spans(spans: pa.Array, doc: np.ndarray, lo: np.ndarray, at: np.ndarray, hi: np.ndarray, span: int) -> np.ndarray:
+    """Which windows (of the texts numbered ``doc``) lie in one of the ``spans`` of their text: a whole run of words with all of its words, others
+    with the place of their shingle."""
+    end = np.where((at == lo) & (hi - lo == span - 1), hi + SHINGLE, at + 1)
+    of = np.repeat(np.arange(len(spans)), np.asarray(pc.fill_null(pc.list_value_length(spans), 0)))
+    if not len(of):
+        return np.zeros(len(doc), bool)
+    begin, stop = (x.to_numpy(zero_copy_only=False).astype(np.int64) + (of << 32) for x in spans.flatten().flatten()[:2])
+    order = np.argsort(begin, kind="stable")
+    reached = np.maximum.accumulate(stop[order])  # a text's places are above those of the one before
+    before = np.searchsorted(begin[order], at + (doc << 32), "right") - 1
+    return (before >= 0) & (reached[np.maximum(before, 0)] >= end + (doc << 32))
+
+
+JOINED = "place binary, k1 long, k2 long, lo int, hi int"
+
+
 def agreeing(met: DataFrame, found: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFrame:
     """Interval joins of the windows of ``met`` within each document, as windows under pair keys: runs whose windows of
-    two functions both have other holders. And rows at WHOLE: the runs lo..hi for
-    which that is so of all functions, as it is of every run that another document holds unchanged.
+    two functions both have other holders (place, :func:`packed`). And rows without a place: the runs lo..hi of k1, k2 for
+    which that is so of all functions, as it is of every run that another document holds unchanged. What lies in a passage that was found is ``inside``.
 
     Runs in a passage equal to an earlier document's are left out: that document's own runs stand for them.
     """
     window = lambda f: F.struct("key", *[F.col(f + c).alias(c) for c in ("lo", "at", "hi")]).alias("w")
     members = met.select("k1", "k2", window(""))
     held = members.unionByName(met.select(F.col("f_k1").alias("k1"), F.col("f_k2").alias("k2"), window("f_"))).groupBy("k1", "k2").agg(F.collect_set("w").alias("ws"))
-    equal = found.where("similarity = 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -509,7 +586,8 @@ def agreeing(met: DataFrame, found: DataFrame, hashes: int = HASHES, span: int =
         spans = b.column("spans")
         of = np.repeat(np.arange(b.num_rows), np.asarray(pc.fill_null(pc.list_value_length(spans), 0)))
         equal = np.zeros(total + 1, np.int64)
-        begin, end = (x.to_numpy().astype(np.int64) for x in spans.flatten().flatten()) if len(of) else (of, of)
+        begin, end, same = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten())
+        of, begin, end = of[same], begin[same].astype(np.int64), end[same].astype(np.int64)
         stop = np.minimum(np.maximum(end - (span + SHINGLE - 1) + 1, begin), size[of])
         begin = np.minimum(begin, size[of])
         np.add.at(equal, zero[of] + begin, 1)
@@ -529,29 +607,31 @@ def agreeing(met: DataFrame, found: DataFrame, hashes: int = HASHES, span: int =
             new[1:] &= ~still
             return np.flatnonzero(new)
 
-        def out(keys: np.ndarray, rows: np.ndarray, *places: np.ndarray) -> pa.RecordBatch:
-            docs = pa.array(rows)
-            return pa.RecordBatch.from_arrays([pa.array(keys), b.column("k1").take(docs), b.column("k2").take(docs), *[pa.array(x.astype(np.int32)) for x in places]], ["key", "k1", "k2", "lo", "at", "hi"])
-
+        k1, k2 = (b.column(c).to_numpy() for c in ("k1", "k2"))
         for f in range(hashes):
             for g in range(f + 1, hashes):
                 x, y = which[f], which[g]
                 at_runs = starts((x >= 0) & (y >= 0) & free, x, y)
                 x, y = x[at_runs], y[at_runs]
                 keys = mixed(mixed(key[x].view(np.uint64)) + key[y].view(np.uint64) * np.uint64(3)).view(np.int64)
-                yield out(keys, doc[x], np.maximum(lo[x], lo[y]), at[x], np.minimum(hi[x], hi[y]))
+                rows, places = doc[x], (np.maximum(lo[x], lo[y]), at[x], np.minimum(hi[x], hi[y]))
+                place = packed(keys, k1[rows], k2[rows], *places, within_spans(spans, rows, *places, span))
+                yield pa.RecordBatch.from_arrays([place, *[pa.nulls(len(rows), k) for k in kinds]], names)
         full = (which >= 0).all(axis=0) & free
         a = starts(full)
         z = np.flatnonzero(full & ~np.concatenate([full[1:], [False]]))
         rows = doc[which[0][a]]
-        yield out(np.zeros(len(a), np.int64), rows, a - zero[rows], np.full(len(a), WHOLE), z - zero[rows])
+        columns = [k1[rows], k2[rows], a - zero[rows], z - zero[rows]]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.binary()), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
 
-    return held.hint("merge").join(equal, ["k1", "k2"], "left").select("k1", "k2", "ws", "spans").mapInArrow(run, WINDOWS)
+    names, kinds = [c.split(" ")[0] for c in JOINED.split(", ")], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return held.hint("merge").join(_found_spans(found), ["k1", "k2"], "left").select("k1", "k2", "ws", "spans").mapInArrow(run, JOINED)
 
 
-def whole_runs(ranges: DataFrame, docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Windows of exactly ``span`` shingles for the runs lo..hi of each document, keyed by the hash of all their words."""
-    at = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+def whole_runs(ranges: DataFrame, found: DataFrame, docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """Windows (place, :func:`packed`) of exactly ``span`` shingles for the runs lo..hi of each document, keyed by the hash of all their words; those
+    in a passage that was found are ``inside``."""
+    at = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")).hint("merge").join(_found_spans(found), ["k1", "k2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -561,11 +641,13 @@ def whole_runs(ranges: DataFrame, docs: DataFrame, span: int = SPAN) -> DataFram
             doc = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(b.column("ranges"))))
             n = hi - lo + 1
             place, doc = np.repeat(lo, n) + _counted(n), np.repeat(doc, n)
-            columns = [pa.array(runs[offsets[doc] + place].view(np.int64)), b.column("k1").take(pa.array(doc)), b.column("k2").take(pa.array(doc)), *[pa.array(x.astype(np.int32)) for x in (place, place, place + span - 1)]]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "k1", "k2", "lo", "at", "hi"])
+            places = (place, place, place + span - 1)
+            inside = within_spans(b.column("spans"), doc, *places, span)
+            k1, k2 = (b.column(c).to_numpy()[doc] for c in ("k1", "k2"))
+            yield pa.RecordBatch.from_arrays([packed(runs[offsets[doc] + place], k1, k2, *places, inside)], ["place"])
 
     texts = docs.select(*document_key(), filled("text").alias("text"))
-    return texts.hint("merge").join(at, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "ranges").mapInArrow(run, WINDOWS)
+    return texts.hint("merge").join(at, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "ranges", "spans").mapInArrow(run, "place binary")
 
 
 AGREE = 2  # of HASHES functions: 0.973 of the runs of similarity 0.8
@@ -582,26 +664,20 @@ def passages(docs: DataFrame, hashes: int = HASHES, span: int = SPAN) -> DataFra
     (:func:`agreeing`), and whole runs of words (:func:`whole_runs`), which no order or company of documents can hide.
     Copies of whole documents are found by digest, and only their first takes part.
     """
-    wins = cut(windows(docs, hashes, span), "passage-windows")
-    every = met_in_order(wins)
-    twins = cut(every.where(F.col("at") == WHOLE).select("k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2"), F.col("lo").alias("n_words")).distinct(), "passage-copies")
-    met = cut(every.where(F.col("at") != WHOLE).hint("merge").join(twins.select("k1", "k2"), ["k1", "k2"], "left_anti"), "passage-own")
-    drop_table(wins)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = met_in_order(windows(docs, hashes, span, range_ends(windows(docs.sample(SAMPLE, seed=1), hashes, span), n)))
+    twins = cut(every.where("whole").select("k1", "k2", F.col("f_k1").alias("o1"), F.col("f_k2").alias("o2"), F.col("lo").alias("n_words")).distinct(), "passage-copies")
+    met = cut(every.where("not whole").drop("whole").hint("merge").join(twins.select("k1", "k2"), ["k1", "k2"], "left_anti"), "passage-own")
     drop_table(every)
     found = cut(verified(regions(met, AGREE), docs, span), "passages")
     joined = cut(agreeing(met, found, hashes, span), "passage-agreeing")
     drop_table(met)
-    runs = cut(whole_runs(joined.where(F.col("at") == WHOLE), docs, span), "passage-runs")
-    again = met_in_order(joined.where(F.col("at") != WHOLE).unionByName(runs))
+    runs = cut(whole_runs(joined.where("place is null"), found, docs, span), "passage-runs")
+    missed = met_in_order(joined.where("place is not null").select("place").unionByName(runs))
     drop_table(joined)
     drop_table(runs)
-    one_run = (F.col("at") == F.col("lo")) & (F.col("hi") - F.col("lo") == span - 1)
-    end = F.when(one_run, F.col("hi") + SHINGLE).otherwise(F.col("at") + 1)
-    spans = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    inside = F.coalesce(F.exists("spans", lambda s: (s["start"] <= F.col("at")) & (end <= s["end"])), F.lit(False))
-    missed = again.hint("merge").join(spans, ["k1", "k2"], "left").where(~inside).drop("spans")
     found = found.unionByName(cut(verified(regions(missed), docs, span), "passages"))
-    drop_table(again)
+    drop_table(missed)
     whole = twins.where(F.col("n_words") >= MIN_WORDS).select("k1", "k2", F.lit(0).alias("start"), F.col("n_words").alias("end"), "o1", "o2", F.lit(0).alias("o_start"), F.col("n_words").alias("o_end"), F.lit(1.0).alias("similarity"))
     earliest = found.groupBy("k1", "k2", "start", "end").agg(F.min(F.struct("o1", "o2", "o_start", "o_end", "similarity")).alias("o")).select("k1", "k2", "start", "end", "o.*")
     return earliest.unionByName(whole)
