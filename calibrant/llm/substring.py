@@ -30,6 +30,8 @@ SPAN = MIN_WORDS - SHINGLE + 1
 HASHES = 4
 FUNCTIONS = 3  # the bits of a key that tell its hash function
 PLACES = 1 << 20  # places of shingles that vote on a shift at a time
+OFTEN = 1 << 11  # votes of a shingle that are worth a pass of their own
+CORRELATE = 8  # votes for each place of a correlation that cost as much as it does
 MISS = 8  # 8 of 9 matching shingles on both sides are a Jaccard similarity of 0.8
 
 
@@ -297,27 +299,37 @@ def sorted_places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def shift_votes(at: np.ndarray, first: np.ndarray, count: np.ndarray, order: np.ndarray, zero: int) -> np.ndarray:
     """How many of the places order[first : first + count] of each shingle lie each shift from its own place ``at``; shift 0 is
-    entry ``zero``. Places vote a bounded number at a time; shingles that are frequent on both sides by a correlation of
-    their places, which costs no more than the lengths."""
+    entry ``zero``. Places vote a bounded number at a time: those of a shingle with more votes than shifts as differences of its places on both
+    sides, or by their correlation where that costs less; the others all together."""
     size = zero + len(order) + 1
     votes = np.zeros(size, np.int64)
-    of = np.unique(first, return_inverse=True)[1]
-    often = (np.bincount(of, count) > PLACES)[of]
-    for f in np.unique(first[often]):
-        mine = np.flatnonzero(first == f)
-        n = 1 << int(2 * size).bit_length()
-        x, y = np.zeros(n), np.zeros(n)
-        x[at[mine]] = 1
-        y[order[f : f + count[mine[0]]]] = 1
-        both = np.rint(np.fft.irfft(np.fft.rfft(y) * np.conj(np.fft.rfft(x)), n)).astype(np.int64)
-        votes[zero:] += both[: size - zero]
-        votes[:zero] += both[n - zero :] if zero else 0
-    rest = np.flatnonzero(~often)
-    for i, j in _slices_of(count[rest], PLACES):
-        some = rest[i:j]
-        n = count[some]
-        places = order[np.repeat(first[some], n) + _counted(n)]
-        votes += np.bincount(places - np.repeat(at[some], n) + zero, minlength=size)
+    n = 1 << int(2 * size).bit_length()
+    if int(count.sum()) <= max(OFTEN, size):
+        own = np.arange(len(at))
+    else:
+        by = np.argsort(first, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(first[by]) != 0]))
+        each = np.add.reduceat(count[by], begin)  # votes of each shingle
+        often = each > max(OFTEN, size)
+        own = by[np.repeat(~often, np.diff(begin, append=len(by)))]
+        for i in np.flatnonzero(often).tolist():
+            mine = by[begin[i] : begin[i + 1] if i + 1 < len(begin) else len(by)]
+            places, mine = order[first[mine[0]] : first[mine[0]] + count[mine[0]]], at[mine]
+            if each[i] > CORRELATE * n:
+                x, y = np.zeros(n), np.zeros(n)
+                x[mine] = 1
+                y[places] = 1
+                both = np.rint(np.fft.irfft(np.fft.rfft(y) * np.conj(np.fft.rfft(x)), n)).astype(np.int64)
+                votes[zero:] += both[: size - zero]
+                votes[:zero] += both[n - zero :] if zero else 0
+            else:
+                rows = max(PLACES // len(places), 1)
+                for k in range(0, len(mine), rows):
+                    votes += np.bincount(np.subtract.outer(places + zero, mine[k : k + rows]).ravel(), minlength=size)
+    for i, j in _slices_of(count[own], PLACES):
+        some = own[i:j]
+        m = count[some]
+        votes += np.bincount(order[np.repeat(first[some], m) + _counted(m)] - np.repeat(at[some], m) + zero, minlength=size)
     return votes
 
 
@@ -497,18 +509,18 @@ def verified(pairs: DataFrame, docs: DataFrame, span: int = SPAN) -> DataFrame:
     ordered = slices_.repartition(n, *PAIR).sortWithinPartitions(*PAIR, F.col("a_lo").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def coded(text: bytes) -> np.ndarray:  # equality within this task is all that counts
-            return rolled(np.fromiter(map(hash, text.lower().split(b" ")), np.int64).view(np.uint64), SHINGLE)
-
         theirs, places = np.zeros(0, np.uint64), None
-        for batch in batches:
+        for batch in slices(batches):
+            codes, dictionary, offsets = words(pc.ascii_lower(batch.column("text").cast(pa.string())))
+            shingles = rolled(_word_hashes(dictionary)[codes], SHINGLE)
+            ends = np.maximum(offsets[1:] - SHINGLE + 1, offsets[:-1]).tolist()
             rows = []
-            for k1, k2, at, _, o1, o2, b_lo, _, _, text in zip(*(batch.column(c).to_pylist() for c in names)):
+            for k1, k2, at, _, o1, o2, b_lo, _, _, start, end in zip(*(batch.column(c).to_pylist() for c in names[:-1]), offsets.tolist(), ends):
+                a = shingles[start:end]
                 if at is None:  # the earlier document's region leads its partners
-                    theirs = coded(text)
+                    theirs = a
                     places = sorted_places(theirs) if len(theirs) else None
                     continue
-                a = coded(text)
                 if len(a) and len(theirs):
                     rows += [(k1, k2, at + i, at + j + SHINGLE - 1, o1, o2, b_lo + k, b_lo + m + SHINGLE - 1, s) for i, j, k, m, s in similar_runs(a, theirs, span, places=places)]
             if rows:

@@ -88,3 +88,44 @@ def test_rows_inside_found_passages_do_not_come_out_again(spark, monkeypatch):
     (_, _), (asked, out) = missed
     assert asked > 1000 and "inside" not in out.columns and seen[1] < asked / 20
     assert "spans" not in out._jdf.queryExecution().optimizedPlan().toString()  # told by a flag of the row, without a join
+
+
+def test_votes_of_frequent_shingles(monkeypatch):
+    """As differences, as correlations and all together: the same votes as counting every pair of places."""
+    rng = np.random.default_rng(6)
+    for t in range(60):
+        kinds = int(rng.choice([1, 3, 40, 500]))
+        a, b = rng.integers(0, kinds, int(rng.integers(1, 400))), rng.integers(0, kinds, int(rng.integers(1, 400)))
+        order, ordered, ends, _ = substring.sorted_places(b)
+        first = np.minimum(np.searchsorted(ordered, a), len(b) - 1)
+        at = np.flatnonzero(ordered[first] == a)
+        want = np.zeros(len(a) + len(b) + 1, np.int64)
+        np.add.at(want, [y - x + len(a) for x in range(len(a)) for y in np.flatnonzero(b == a[x])], 1)
+        for often, correlate, places in ((1 << 11, 8, 1 << 20), (1, 1e9, 50), (1, 0, 1 << 20)):
+            for name, x in (("OFTEN", often), ("CORRELATE", correlate), ("PLACES", places)):
+                monkeypatch.setattr(substring, name, x)
+            if len(at):
+                assert (substring.shift_votes(at, first[at], (ends[first] - first)[at], order, len(a)) == want).all()
+
+
+def test_words_are_compared_alike_in_any_batches(spark):
+    """Regions whose first document came in an earlier batch, upper case, words of many bytes."""
+    docs = [(d, text.replace("c", "É") if d % 2 else text.replace("c", "É").upper()) for d, text in texts_of(3)]
+    frame, before, seen = spark.createDataFrame(docs, "doc_id long, text string"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for size in ("1", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            seen.append(sorted(tuple(r) for r in substring.op10_substring(frame).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert seen[0] == seen[1] and {r[0] for r in seen[0]} == set(range(1, 40))
+
+
+def test_regions_larger_than_a_slice_of_text(spark):
+    """Four texts of 1.5 MB, alike but for a word in 40,000: a task compares more than it holds at a time."""
+    words = [f"W{i}é" for i in range(180_000)]
+    docs = [(d, " ".join(w if not d or (i + d * 7) % 40_000 else f"x{d}" for i, w in enumerate(words))) for d in range(4)]
+    held = {}
+    for r in substring.op10_substring(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        held.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    assert set(held) == {1, 2, 3} and all(sum(b - a for a, b in spans) >= 179_000 for spans in held.values())
